@@ -227,4 +227,4 @@ def sentencepiece_round_trip(docs: DataFrame, model: bytes, text: str = "text",
                     names=[*names, ids, decoded],
                 )
 
-    return docs.select(*dict.fromkeys([*(F.col(f"`{n}`") for n in names)]), *([] if keep_text else [F.col(f"`{text}`")])).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in dict.fromkeys([*names, text]))).mapInArrow(run, schema)

@@ -26,9 +26,103 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.shards import histogram_shards
+
+    docs = table(spark, sf_dir, "documents")
+    # the text itself is needed for hash and size only
+    narrow = docs.select("doc_id", "text")
+    placed = histogram_shards(narrow.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), 8, carry=("doc_id", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.rules import apply_policy, mask, rule_ledger
+
+    ledger = rule_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    ledger = ledger.withColumn("base_failed", F.col("fail_bits").bitwiseAND(mask("base")) != 0)
+    return apply_policy(ledger, "v2").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_stutter"
+    )
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), g AS (
+  SELECT doc_id, row_number() OVER () AS k, t, w, ls FROM d
+), win AS (
+  SELECT k, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM g WHERE len(w) >= 5)
+), hit AS (
+  SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS c FROM win) WHERE c > 1
+), rep AS (
+  SELECT k, CAST(sum(coalesce(least(5, nxt - i), 5)) AS BIGINT) AS r FROM hit GROUP BY k
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(r, 0) AS n_repeat_words,
+         CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS BIGINT) AS n_stutter
+  FROM g LEFT JOIN rep USING (k)
+), b AS (
+  SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END)
+    + (CASE WHEN 100 * n_stutter > 30 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
+       fail_bits, n_lines, n_stutter FROM b
+"""
+
+
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.chats import format_trees, linear_tree, loss_text, turns_of
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, n AS turn, r AS role FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(n, r)").withColumn("text", F.lit(said))
+    made = format_trees(linear_tree(rows.unionByName(extra)))
+    turns, loss = turns_of(F.col("formatted")), loss_text(F.col("formatted"), F.col("loss_spans"))
+    return made.select(
+        F.col("tree").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        hex_digest(F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        hex_digest(loss).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') AS et,
+    replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n') AS er FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length('### ' || er || ': ' || et || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    return {
+        "op3_rule_ledger": op3_rule_ledger,
+        "op6_reply_trees": op6_reply_trees,
+        "op7_histogram_sort": op7_histogram_sort,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_rule_ledger": OP3_SQL, "op6_reply_trees": OP6_SQL}
