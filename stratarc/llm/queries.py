@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from stratarc.llm.common import hex_digest, table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -117,6 +124,7 @@ FROM e GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op3_rule_ledger": op3_rule_ledger,
         "op6_reply_trees": op6_reply_trees,
         "op7_histogram_sort": op7_histogram_sort,
