@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from stratarc.llm.common import hex_digest, table
 
 
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.passages import dedup_passages
+
+    cut = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, s: a + s.length)
+    return cut.select(
+        "doc_id",
+        (F.octet_length("kept_bytes") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratarc.llm.simhash import near_duplicates
 
@@ -124,6 +138,7 @@ FROM e GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bwt_dedup": op1_bwt_dedup,
         "op2_simhash": op2_simhash,
         "op3_rule_ledger": op3_rule_ledger,
         "op6_reply_trees": op6_reply_trees,
