@@ -31,6 +31,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.brown import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -141,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bwt_dedup": op1_bwt_dedup,
         "op2_simhash": op2_simhash,
         "op3_rule_ledger": op3_rule_ledger,
+        "op4_brown": op4_brown,
         "op6_reply_trees": op6_reply_trees,
         "op7_histogram_sort": op7_histogram_sort,
         "op10_sentencepiece": op10_sentencepiece,
