@@ -37,6 +37,13 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.leaks import leaked_items
+
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("bm25_share", 4).alias("bm25_share"), F.round("overlap", 6).alias("overlap"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -150,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_brown": op4_brown,
         "op6_reply_trees": op6_reply_trees,
         "op7_histogram_sort": op7_histogram_sort,
+        "op9_bm25_leaks": op9_bm25_leaks,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
