@@ -37,6 +37,22 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.toxicity import fit, held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs.select("doc_id", "text", "lang"), model).drop("text")
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold",
+        (F.col("score") >= F.col("threshold")).alias("rejected"),
+    )
+
+
 def op9_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratarc.llm.leaks import leaked_items
 
@@ -155,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_rule_ledger": op3_rule_ledger,
         "op4_brown": op4_brown,
+        "op5_toxicity": op5_toxicity,
         "op6_reply_trees": op6_reply_trees,
         "op7_histogram_sort": op7_histogram_sort,
         "op9_bm25_leaks": op9_bm25_leaks,
