@@ -53,6 +53,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.wrappers import extract_pages
+
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratarc.llm.leaks import leaked_items
 
@@ -174,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_reply_trees": op6_reply_trees,
         "op7_histogram_sort": op7_histogram_sort,
+        "op8_wrapper_induction": op8_wrapper_induction,
         "op9_bm25_leaks": op9_bm25_leaks,
         "op10_sentencepiece": op10_sentencepiece,
     }
