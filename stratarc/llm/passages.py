@@ -300,8 +300,11 @@ def _joined(blobs) -> np.ndarray:
     return np.concatenate([_keys(np.frombuffer(b, np.uint8)) for b in blobs]) if blobs else np.empty(0, np.uint64)
 
 
-def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 50, spans: str = "removed_spans", kept_text: str = "kept_bytes") -> DataFrame:
-    """Adds the removed spans (start, length in bytes) and what is left of the UTF-8 text (binary: a cut may part a character)."""
+def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 50, spans: str = "removed_spans", kept_text: str = "kept_bytes", as_text: bool = False) -> DataFrame:
+    """Adds the removed spans (start, length in bytes) and what is left of the UTF-8 text.
+
+    That is binary, since a cut may part a character; with ``as_text`` it is a string without such parts.
+    """
     kept = [f for f in docs.schema.fields if f.name.lower() not in (spans.lower(), kept_text.lower())]
     names = [f.name for f in kept]
     packs = packed(docs.select(*(F.col(f"`{n}`") for n in names)), text)
@@ -310,7 +313,7 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     anchors = _repeated_anchors(packs, buckets, id_column, text, width)
     answers = _least_ids(packs, anchors, buckets, id_column, text, width)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    schema = T.StructType([*kept, T.StructField(spans, span), T.StructField(kept_text, T.BinaryType())])
+    schema = T.StructType([*kept, T.StructField(spans, span), T.StructField(kept_text, T.StringType() if as_text else T.BinaryType())])
     span_arrow = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def cut(batches):
@@ -339,7 +342,9 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                     found.append([{"start": int(a), "length": int(z - a)} for a, z in zip(edge[::2], edge[1::2])])
                     left.append(np.frombuffer(t, np.uint8)[~gone].tobytes() if len(edge) else t)
+                if as_text:
+                    left = [t.decode("utf-8", "ignore") for t in left]
                 columns = [p.batch.column(p.batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, span_arrow), pa.array(left, pa.binary())], names=[*names, spans, kept_text])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, span_arrow), pa.array(left, pa.string() if as_text else pa.binary())], names=[*names, spans, kept_text])
 
     return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "warm", "hot", "answers").mapInArrow(cut, schema)
