@@ -45,7 +45,7 @@ def content_essence(s: Column) -> Column:
 
 
 def content_type_full(s: Column) -> Column:
-    return F.array_join(F.transform(F.split(s, ";"), F.trim), "; ")
+    return F.array_join(F.transform(F.split(s, ";"), lambda part: F.trim(part)), "; ")
 
 
 def custom_id(file_name: Column, url: Column, uuid: Column) -> Column:

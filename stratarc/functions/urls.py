@@ -14,6 +14,11 @@ GRAMMAR = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)
 PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, GRAMMAR, group)
 
@@ -27,6 +32,10 @@ def _parses(url: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Dot segments removed; a trailing one leaves a slash."""
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), _let(path, _undotted)).otherwise(path)
+
+
+def _undotted(path: Column) -> Column:
     steps = F.split(F.regexp_replace(path, "^/", ""), "/")
     kept = F.aggregate(
         steps,
@@ -34,8 +43,7 @@ def _without_dots(path: Column) -> Column:
         lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
     )
     tail = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
-    dotted = path.rlike(r"(^|/)\.{1,2}(/|$)")
-    return F.when(dotted, F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
 
 
 def _escaped(s: Column) -> Column:
@@ -54,13 +62,16 @@ def _authority(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-case, default port and dot segments gone, empty path '/'; odd text stays as it is."""
-    text = F.trim(url)
-    scheme = F.lower(_part(text, 1))
-    special = scheme.isin(*PORTS)
-    path = F.when(special, _without_dots(F.when(_part(text, 4) == "", "/").otherwise(_part(text, 4)))).otherwise(_part(text, 4))
-    user = F.regexp_extract(_part(text, 3), r"^([^@]*@)", 1)
-    built = F.concat(scheme, F.lit(":"), F.when(_part(text, 2) != "", F.concat(F.lit("//"), user, _authority(text))).otherwise(""), _escaped(path), _escaped(_part(text, 5)), _escaped(_part(text, 6)))
-    return F.when(_parses(text), built).otherwise(url)
+
+    def built(text: Column) -> Column:
+        scheme = F.lower(_part(text, 1))
+        path = _part(text, 4)
+        path = F.when(scheme.isin(*PORTS), _without_dots(F.when(path == "", "/").otherwise(path))).otherwise(path)
+        user = F.regexp_extract(_part(text, 3), r"^([^@]*@)", 1)
+        place = F.when(_part(text, 2) != "", F.concat(F.lit("//"), user, _authority(text))).otherwise("")
+        return F.when(_parses(text), F.concat(scheme, F.lit(":"), place, _escaped(path), _escaped(_part(text, 5)), _escaped(_part(text, 6))))
+
+    return F.coalesce(_let(F.trim(url), built), url)
 
 
 def url_parts(url: Column) -> Column:
@@ -145,7 +156,7 @@ def resolve_reference(base: Column, ref: Column) -> Column:
         .otherwise(F.concat(origin, folder, r))
     )
     whole = F.when(r.rlike(SCHEME), r).otherwise(relative)
-    return F.when((r != "") & _parses(whole), canonical_url(whole))
+    return F.when(r != "", _let(whole, lambda w: F.when(_parses(w), canonical_url(w))))
 
 
 def redirect_target(status: Column, location: Column, url: Column) -> Column:
