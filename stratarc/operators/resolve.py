@@ -30,6 +30,7 @@ def resolve_revisits(captures: DataFrame, same_file: bool = False) -> DataFrame:
         join = F.col
     key = lambda c: F.when(F.col(c).isNotNull(), join(c))
     by_digest = nearest(revisits.withColumn("key", key("digest")), donors.where("digest IS NOT NULL").select(key("digest").alias("key"), *CARRIED), near="archived_ts")
+    by_digest = stored(by_digest, "by-digest")  # both branches below read it
     found = by_digest.where("hit IS NOT NULL").withColumn("via", F.lit("digest"))
     rest = by_digest.where("hit IS NULL").drop("hit", "key").withColumn("key", key("refers_to_uri")).withColumn("__at", F.coalesce("refers_to_date", "archived_ts"))
     by_uri = nearest(rest, donors.select(key("uri").alias("key"), *CARRIED), near="__at").drop("__at").withColumn("via", F.when(F.col("hit").isNotNull(), "uri"))

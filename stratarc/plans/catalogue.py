@@ -504,7 +504,7 @@ def resolved_refs(spark, d):
 
 @query(
     "notices_top",
-    "SELECT target AS url, reason, at.p AS page_uri, at.k AS pos FROM (SELECT target, reason, min({'p': page_uri, 'k': pos}) AS at FROM (SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400) GROUP BY ALL) ORDER BY page_uri DESC, pos DESC, url, reason LIMIT 500",
+    "SELECT target AS url, reason, spot.p AS page_uri, spot.k AS pos FROM (SELECT target, reason, min({'p': page_uri, 'k': pos}) AS spot FROM (SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400) GROUP BY ALL) ORDER BY page_uri DESC, pos DESC, url, reason LIMIT 500",
     BENT_SQL,
 )
 def notices_top(spark, d):
@@ -532,10 +532,10 @@ def site_index(spark, d):
 
 # --- progress and streams
 
-PROGRESS_SQL = """ rep AS (SELECT 'f' || (event_id % 8) AS file_name, CAST(event_id % 4 AS INTEGER) AS segment, (event_id % 4) * 1000 + event_id % 1200 AS at, event_id % 50 AS records, event_id % 20 AS responses, event_id % 97 = 0 AS done FROM events),
+PROGRESS_SQL = """ rep AS (SELECT 'f' || (event_id % 8) AS file_name, CAST(event_id % 4 AS INTEGER) AS segment, (event_id % 4) * 1000 + event_id % 1200 AS place, event_id % 50 AS records, event_id % 20 AS responses, event_id % 97 = 0 AS done FROM events),
  seg AS (SELECT f.file_name, CAST(s AS INTEGER) AS segment, s * 1000 AS st, s * 1000 + 1000 AS en FROM (SELECT 'f' || unnest(range(0, 8)) AS file_name) f, (SELECT unnest(range(0, 3)) AS s)),
- best AS (SELECT file_name, segment, max(at) AS at, max(records) AS records, max(responses) AS responses, max(done) AS done FROM rep GROUP BY ALL),
- files AS (SELECT file_name, CAST(sum(least(greatest(coalesce(at, st), st), en) - st) AS BIGINT) AS bytes, CAST(sum(en - st) AS BIGINT) AS size, CAST(sum(coalesce(records, 0)) AS BIGINT) AS records, CAST(sum(coalesce(responses, 0)) AS BIGINT) AS responses, min(coalesce(done, false)) AS done FROM seg LEFT JOIN best USING (file_name, segment) GROUP BY file_name)"""
+ best AS (SELECT file_name, segment, max(place) AS place, max(records) AS records, max(responses) AS responses, max(done) AS done FROM rep GROUP BY ALL),
+ files AS (SELECT file_name, CAST(sum(least(greatest(coalesce(place, st), st), en) - st) AS BIGINT) AS bytes, CAST(sum(en - st) AS BIGINT) AS size, CAST(sum(coalesce(records, 0)) AS BIGINT) AS records, CAST(sum(coalesce(responses, 0)) AS BIGINT) AS responses, min(coalesce(done, false)) AS done FROM seg LEFT JOIN best USING (file_name, segment) GROUP BY file_name)"""
 PROGRESS = "SELECT *, CASE WHEN done THEN 100 ELSE least(CAST(floor(100.0 * bytes / size) AS INTEGER), 99) END AS percent FROM files"
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stratarc.functions import urls as U
 from stratarc.operators.resolve import resolve_revisits
@@ -72,7 +73,7 @@ def drain(df: DataFrame, mode: str, keys: list[str] | None, path: str) -> DataFr
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
     spark = df.sparkSession
-    rows = spark.read.schema(df.schema.add("__batch", "int")).parquet(f"{path}/rows")
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("__batch", IntegerType())])).parquet(f"{path}/rows")
     rows = rows.select(*df.columns, "__batch")
     if mode == "append":
         return rows.drop("__batch")
