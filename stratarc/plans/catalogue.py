@@ -591,3 +591,82 @@ def stream_timeline(spark, d):
 def stream_changed_nodes(spark, d):
     rows, at = _stream(spark, captures(spark, d).drop("headers"))
     return live.drain(live.live_nodes(rows), "update", ["node"], at)
+
+
+# --- sources
+
+
+def _as_warc(spark: SparkSession, d: str) -> str:
+    """The captures written as plain WARC files by Spark; each record is one row of text."""
+    c = captures(spark, d)
+    nl = F.lit("\r\n")
+    line = lambda name, v: F.when(v.isNotNull(), F.concat(F.lit(f"{name}: "), v, nl)).otherwise("")
+    http = F.concat(F.lit("HTTP/1.1 "), F.coalesce("status", F.lit(200)).cast("string"), F.lit(" Ok"), nl, line("Content-Type", F.col("content_type_raw")), line("Location", F.col("location")), nl, F.repeat(F.lit("x"), F.least(F.coalesce("payload_size", F.lit(0)), F.lit(500)).cast("int")))
+    body = F.when(F.col("rec_type") == "response", http).otherwise("")
+    record = F.concat(
+        F.lit("WARC/1.0\r\n"),
+        line("WARC-Type", F.col("rec_type")),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("uuid"), F.lit(">"))),
+        line("WARC-Target-URI", F.col("uri")),
+        line("WARC-Date", F.date_format("archived_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Payload-Digest", F.col("digest")),
+        line("Content-Type", F.when(F.col("rec_type") == "response", F.lit("application/http; msgtype=response"))),
+        line("Content-Length", F.octet_length(body).cast("string")),
+        nl,
+        body,
+    )
+    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    c.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(at)
+    return at
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    from stratarc.sources.warc import read_warc
+
+    return read_warc(spark, _as_warc(spark, d), names=r"\.txt$", splitFrom=200_000, splitFloor=100_000)
+
+
+@query(
+    "warc_scan",
+    "SELECT uuid, uri AS url, rec_type, digest, content_type, CASE WHEN rec_type = 'response' THEN coalesce(status, 200) END AS status, CASE WHEN rec_type = 'response' THEN nullif(least(coalesce(payload_size, 0), 500), 0) END AS size FROM (SELECT * REPLACE (CASE WHEN rec_type = 'response' THEN content_type ELSE '' END AS content_type) FROM cap)",
+)
+def warc_scan(spark, d):
+    from stratarc.sources.warc import records
+
+    c = C.to_captures(records(_scanned(spark, d)))
+    return c.select("uuid", "url", "rec_type", "digest", "content_type", F.col("http.status").alias("status"), F.col("payload.size").alias("size"))
+
+
+@query("ingest_report", "SELECT 'parsed' AS status, count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses FROM cap")
+def ingest_report(spark, d):
+    from stratarc.sources.warc import ingest_report as report
+
+    return report(_scanned(spark, d)).groupBy("status").agg(F.sum("records").alias("records"), F.sum("responses").alias("responses"))
+
+
+@query("snapshot_roundtrip", "SELECT content_type, nodes, captures, true AS stale FROM (SELECT content_type, count(DISTINCT path[len(path)]) AS nodes, count(*) AS captures FROM treed WHERE content_type <> '' GROUP BY content_type)", PATH_SQL)
+def snapshot_roundtrip(spark, d):
+    from stratarc.sources.snapshots import publish, read_newest
+
+    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    types = stats.content_types(captures(spark, d))
+    publish(types.limit(1), root, "content-types", "2024-01-01 00:00:00")
+    publish(types, root, "content-types", "2024-01-02 00:00:00")
+    publish(types.where("false"), root, "content-types", "2024-01-03 00:00:00")
+    return read_newest(spark, root, "content-types").drop("saved_at")
+
+
+@query("corpus_status", "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, 'ok' AS status FROM (SELECT file_name, max(byte_offset) AS size FROM cap GROUP BY file_name)")
+def corpus_status(spark, d):
+    files = captures(spark, d).groupBy("file_name").agg(F.max("byte_offset").alias("size"))
+    return stats.corpus_status(files, F.lit("2024-01-31")).drop("date")
+
+
+@query("new_files", "SELECT DISTINCT file_name FROM cap WHERE event_id % 8 >= 5")
+def new_files(spark, d):
+    from stratarc.sources.warc import accepted
+
+    listing = captures(spark, d).groupBy("file_name").agg(F.lit(1).alias("modified"), F.max("byte_offset").alias("size"))
+    known = listing.where("substring(file_name, 6, 1) < '5'")
+    odd = listing.withColumn("file_name", F.concat("file_name", F.lit(".txt")))
+    return C.new_files(accepted(listing.unionByName(odd))[0], known).select("file_name")

@@ -1,9 +1,11 @@
 """WARC, WARC.GZ and WACZ files as a Spark data source.
 
-``spark.read.format("warc").load(path)`` gives one row per record and one error row for a file that breaks off.  Plain
+``read_warc(spark, path)`` gives one row per record and one error row for a file that breaks off.  Plain
 files of 128 MiB or more are cut into byte ranges of at least 64 MiB; a record belongs to the range in which it
 starts, and a range that opens inside one skips to the next start.  Compressed files are one task each, since members
-may start anywhere; a container becomes one task per inner archive.
+may start anywhere; a container becomes one task per inner archive.  Files are opened by path on every executor, so
+they belong on storage that is mounted everywhere.  Options: ``splitFloor``, ``splitFrom`` (bytes) and ``names`` (a
+pattern for other file names).
 """
 
 from __future__ import annotations
@@ -185,6 +187,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.floor = int(options.get("splitFloor", SPLIT_FLOOR))
         self.from_ = int(options.get("splitFrom", SPLIT_FROM))
+        self.names = options.get("names", ACCEPTED)
 
     def partitions(self):
         path = self.path.removeprefix("file://")
@@ -192,13 +195,13 @@ class WarcReader(DataSourceReader):
         out = []
         for p in names:
             shown = os.path.basename(p)
-            if not re.search(ACCEPTED, shown):
+            if not re.search(self.names, shown):
                 continue
             size = os.path.getsize(p)
-            if re.search(r"(?i)\.warc$", shown):
-                out += [Piece(p, shown, a, z, "plain") for a, z in plan_ranges(size, self.floor, self.from_)]
-            elif re.search(r"(?i)\.gz$", shown):
+            if re.search(r"(?i)\.gz$", shown):
                 out.append(Piece(p, shown, 0, size, "gz"))
+            elif not re.search(r"(?i)\.(wacz|zip)$", shown):
+                out += [Piece(p, shown, a, z, "plain") for a, z in plan_ranges(size, self.floor, self.from_)]
             else:
                 try:
                     with zipfile.ZipFile(p) as z:
