@@ -32,7 +32,8 @@ from stratarc.llm.common import saved
 K1, B = 1.2, 0.75
 SHINGLE = 5
 BLOCK = 8
-SHARD_BYTES = 4_000_000
+#: Text of one shard; its term by item matrix stays at some tens of MB.
+SHARD_BYTES = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
