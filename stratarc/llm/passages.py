@@ -3,7 +3,8 @@
 A byte goes if a ``width``-byte string that covers it also starts in a document with a smaller id.  The work is laid
 out so that equal strings meet, and no task sees more than a bounded share of the corpus:
 
-1. *Packs.*  Documents are written once to the shared folder in compressed packs of some MB.
+1. *Packs.*  Documents are written once to the shared folder in compressed packs of some MB, bucketed by pack, so that
+   answers are joined to them without moving them again.
 2. *Anchors.*  Of the 16-byte hashes inside a width-byte string the least is its anchor; equal strings have equal
    anchors.  Packs send their distinct anchors to buckets; buckets answer which occur in two documents.  Only what
    these anchors own can repeat.
@@ -14,7 +15,7 @@ out so that equal strings meet, and no task sees more than a bounded share of th
    (:mod:`stratarc.llm.bwt`), and gives every repeated interval its least id.
 5. *Cut.*  Packs get the answers, mark strings whose least id is smaller than the document's own, and cut.
 
-Steps 2 to 5 only move anchors, repeated strings and answers; texts travel as packs.
+Only anchors, repeated strings and answers are exchanged.
 
 Defined cases: null texts are empty; texts shorter than ``width`` stay whole; rows with equal ids never cover one
 another; a null id counts as larger than any other; repeated rows get a row each; an empty table gives an empty one.
@@ -30,16 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratarc.llm.bwt import least_in_intervals
-from stratarc.llm.common import saved
+from stratarc.llm.common import saved, saved_by
 
 GRAM = 16
-PACK_BYTES = 4 << 20
+PACK_BYTES = 3 << 20
 #: Strings of one anchor in one document are sent in runs of at most this many.
 RUN = 64
 #: Bytes of strings that are merged at once inside a bucket.
 BLOCK_BYTES = 1 << 20
 #: An anchor in more packs than this sends its strings one by one.
-HOT_PACKS = 64
+HOT_PACKS = 96
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -78,7 +79,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_ipc(b.slice(at, to - at))], pa.binary())], names=["pack", "payload"])
                 at, n = to, n + 1
 
-    return saved(docs.mapInArrow(run, "pack long, payload binary"), "packs")
+    return saved_by(docs.mapInArrow(run, "pack long, payload binary"), "pack", "packs")
 
 
 def _anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,28 +130,28 @@ class _Pack:
         self.width = width
 
     def strings(self, warm: np.ndarray, hot: np.ndarray, buckets: int):
-        """content -> (bucket, occurrences); an occurrence is (document, first string)."""
+        """content -> (bucket, anchor, occurrences); an occurrence is (document, first string)."""
         import xxhash
 
-        found: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        found: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
         keys = _key(self.hash)
         for hot_ones, chosen in ((False, np.isin(keys, warm)), (True, np.isin(keys, hot))):
-            for k in np.flatnonzero(chosen).tolist():
-                doc, first, count = int(self.doc[k]), int(self.first[k]), int(self.count[k])
+            at = np.flatnonzero(chosen)
+            for doc, first, count, anchor, bucket in zip(*(x[at].tolist() for x in (self.doc, self.first, self.count, keys)), (self.hash[at] % np.uint64(buckets)).tolist()):
                 text = self.texts[doc]
                 if hot_ones:
                     for at in range(first, first + count):
                         s = text[at : at + self.width]
                         if s in found:
-                            found[s][1].append((doc, at))
+                            found[s][2].append((doc, at))
                         else:
-                            found[s] = (xxhash.xxh64_intdigest(s) % buckets, [(doc, at)])
+                            found[s] = (xxhash.xxh64_intdigest(s) % buckets, anchor, [(doc, at)])
                 else:
                     s = text[first : first + count - 1 + self.width]
                     if s in found:
-                        found[s][1].append((doc, first))
+                        found[s][2].append((doc, first))
                     else:
-                        found[s] = (int(self.hash[k] % np.uint64(buckets)), [(doc, first)])
+                        found[s] = (bucket, anchor, [(doc, first)])
         return found
 
 
@@ -232,9 +233,10 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, buckets: int, id_column: st
                 p = _Pack(payload.as_buffer(), id_column, text, width)
                 out: list[list] = [[], [], []]
                 for bucket, strings in _by_bucket(p.strings(_joined(warm), _joined(hot), buckets)).items():
-                    least = np.array([min(p.ids[d] for d, _ in places) for _, places in strings], np.int64)
-                    lengths = np.array([len(s) for s, _ in strings], np.uint16)
-                    for c, v in zip(out, (bucket, number, _zip(np.frombuffer(b"".join(s for s, _ in strings), np.uint8), lengths, least))):
+                    least = np.array([min(p.ids[d] for d, _ in places) for _, _, places in strings], np.int64)
+                    lengths = np.array([len(s) for s, _, _ in strings], np.uint16)
+                    anchor = _five(np.array([a for _, a, _ in strings], np.uint64))
+                    for c, v in zip(out, (bucket, number, _zip(np.frombuffer(b"".join(s for s, _, _ in strings), np.uint8), lengths, least, anchor))):
                         c.append(v)
                 yield _rows(out, sent)
 
@@ -242,29 +244,28 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, buckets: int, id_column: st
         all_: dict[bytes, list] = {}
         order: list[tuple[int, list[bytes]]] = []
         for number, data in zip(table.column("pack").to_pylist(), table.column("data")):
-            raw, lengths, least = _unzip(data.as_buffer(), np.uint8, np.uint16, np.int64)
+            raw, lengths, least, anchors = _unzip(data.as_buffer(), np.uint8, np.uint16, np.int64, np.uint8)
             raw, ends, names = raw.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist(), []
             start = 0
-            for end, i in zip(ends, least.tolist()):
+            for end, i, a in zip(ends, least.tolist(), _keys(anchors).tolist()):
                 s = raw[start:end]
                 start = end
                 if (got := all_.get(s)) is None:
-                    all_[s] = [i, None]
+                    all_[s] = [i, None, a]
                 elif i < got[0]:
                     got[0] = i
                 names.append(s)
             order.append((number, names))
         # strings with one anchor stay together
-        anchor = {s: int(_anchors(s, width)[0].min()) for s in all_}
         block, size = [], 0
         last = None
-        for s in sorted(all_, key=anchor.__getitem__):
-            if size >= BLOCK_BYTES and anchor[s] != last:
+        for s in sorted(all_, key=lambda s: all_[s][2]):
+            if size >= BLOCK_BYTES and all_[s][2] != last:
                 _answer(all_, block, width)
                 block, size = [], 0
             block.append(s)
             size += len(s)
-            last = anchor[s]
+            last = all_[s][2]
         _answer(all_, block, width)
         bucket = table.column("bucket")[0].as_py()
         out: list[list] = [[], [], []]
@@ -291,8 +292,8 @@ def _answer(all_: dict[bytes, list], block: list[bytes], width: int) -> None:
 
 def _by_bucket(found) -> dict[int, list]:
     by: dict[int, list] = {}
-    for s, (bucket, places) in found.items():
-        by.setdefault(bucket, []).append((s, places))
+    for s, (bucket, anchor, places) in found.items():
+        by.setdefault(bucket, []).append((s, anchor, places))
     return by
 
 
@@ -326,7 +327,7 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     for x in told:
                         runs, sizes, ids = _unzip(x["least"], np.uint8, np.uint8, np.int64)
                         at = 0
-                        for (_, places), n in zip(by[x["bucket"]], runs.tolist()):
+                        for (_, _, places), n in zip(by[x["bucket"]], runs.tolist()):
                             own = [(int(s), int(i)) for s, i in zip(sizes[at : at + n], ids[at : at + n])]
                             at += n
                             for doc, first in places:
