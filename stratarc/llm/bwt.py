@@ -2,10 +2,10 @@
 
 Each shard of strings has its own transform.  The merged order is found by refining the interleave of the shards'
 rows: rows start in shard order; a round takes each row to the row of the suffix one character longer (the LF mapping
-of its own shard) and deals rows stably by that character.  After k rounds the rows are in the order of their first k
-characters, and rows with the same k characters are neighbours; where two neighbours part in round k, their common
-prefix is k - 1 long.  Rows that have parted from both neighbours cannot be in a repeated interval any more and leave.
-No suffixes of different shards are ever compared or sorted.
+of its own shard) and deals rows stably by that character (rounds are done in pairs).  After k rounds the rows are in
+the order of their first k characters, and rows with the same k characters are neighbours; where two neighbours part
+in round k, their common prefix is k - 1 long.  Rows that have parted from both neighbours cannot be in a repeated
+interval any more and leave; rows without enough characters in front never enter.  No suffixes of different shards are ever compared or sorted.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def shard_transform(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
         key = (key << np.uint64(9)) | np.where(left > j, padded[j : j + n], 0)
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         new = np.concatenate(([False], sorted_[1:] != sorted_[:-1]))
         rank = np.empty(n, np.int64)
@@ -72,35 +72,42 @@ def repeated_intervals(strings: list[bytes], depth: int, shards: int = 8):
         befores.append(before)
         lfs.append(np.where(lf < 0, -1, lf + base))
         base += len(order)
-    before, lf = np.concatenate(befores), np.concatenate(lfs)
-    rows, block = np.arange(base), np.zeros(base, np.int64)
-    for _ in range(depth):
-        char = before[rows]
-        inner = char < 256
-        rows, block, char = rows[inner], block[inner], char[inner].astype(np.uint8)
+    before, lf, places = np.concatenate(befores), np.concatenate(lfs), np.concatenate(orders)
+    begins = np.cumsum(lengths + 1) - (lengths + 1)
+    string = np.repeat(np.arange(len(strings)), lengths + 1)
+    # only rows with enough characters in front can reach the depth
+    rows = np.flatnonzero(places - begins[string[places]] >= depth)
+    block = np.zeros(len(rows), np.int64)
+    back = np.where(lf >= 0, lf, 0)
+    for step in [1] * (depth % 2) + [2] * (depth // 2):
         if not len(rows):
             break
-        order = np.argsort(char, kind="stable")
-        char, block = char[order], block[order]
-        rows = lf[rows[order]]
+        char, next_ = before[rows], back[rows]
+        if step == 2:  # two rounds at once: by the nearer character last
+            char, next_ = (before[next_] << np.uint16(8)) | char, back[next_]
+            order = np.argsort(char, kind="stable")
+        else:
+            order = np.argsort(char.astype(np.uint8), kind="stable")
+        char, block, rows = char[order], block[order], next_[order]
         part = np.concatenate(([True], (char[1:] != char[:-1]) | (block[1:] != block[:-1])))
-        lone = part & np.concatenate((part[1:], [True]))
-        keep = ~lone
+        keep = ~(part & np.concatenate((part[1:], [True])))
         rows, block = rows[keep], np.cumsum(part)[keep]
-    where = np.concatenate(orders)[rows] if base else rows  # places in all strings, each followed by its end
-    begins = np.cumsum(lengths + 1) - (lengths + 1)
-    string = np.searchsorted(begins, where, side="right") - 1
-    return string, where - begins[string], block
+    where = places[rows]
+    owner = string[where]
+    return owner, where - begins[owner], block
 
 
-def least_in_intervals(strings: list[bytes], owner: np.ndarray, depth: int, shards: int = 8) -> list[np.ndarray]:
-    """For each string and each place where ``depth`` characters begin: the least owner among all strings with these."""
+def least_in_intervals(strings: list[bytes], owner: np.ndarray, depth: int, shards: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(least, begin): for each place where ``depth`` characters begin the least owner among all strings with these.
+
+    Places of all strings stand one after the other; those of string i are least[begin[i] : begin[i + 1]].
+    """
     counts = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - depth + 1, 0)
+    begin = np.concatenate(([0], np.cumsum(counts)))
     out = np.repeat(owner, counts)
-    string, offset, block = repeated_intervals(strings, depth, shards)
+    string, offset, block = repeated_intervals(strings, depth, shards) if strings else (out, out, out)
     if len(string):
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         least = np.minimum.reduceat(owner[string], first)
-        sizes = np.diff(np.append(first, len(block)))
-        out[(np.cumsum(counts) - counts)[string] + offset] = np.repeat(least, sizes)
-    return np.split(out, np.cumsum(counts)[:-1]) if len(strings) else []
+        out[begin[string] + offset] = np.repeat(least, np.diff(np.append(first, len(block))))
+    return out, begin

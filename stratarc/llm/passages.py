@@ -284,10 +284,14 @@ def _answer(all_: dict[bytes, list], block: list[bytes], width: int) -> None:
     """Per string of the block: runs of places with one least id, as (number of runs, lengths, ids)."""
     if not block:
         return
-    least = least_in_intervals(block, np.array([all_[s][0] for s in block], np.int64), width)
-    for s, ids in zip(block, least):
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        all_[s][1] = (len(first), np.diff(np.append(first, len(ids))).astype(np.uint8).tobytes(), ids[first])
+    ids, begin = least_in_intervals(block, np.array([all_[s][0] for s in block], np.int64), width)
+    starts = np.zeros(len(ids), bool)
+    starts[begin[:-1]] = True
+    first = np.flatnonzero(starts | np.concatenate(([True], ids[1:] != ids[:-1])))
+    sizes, ids = np.diff(np.append(first, len(ids))).astype(np.uint8), ids[first]
+    edge = np.searchsorted(first, begin).tolist()
+    for s, a, z in zip(block, edge, edge[1:]):
+        all_[s][1] = (z - a, sizes[a:z].tobytes(), ids[a:z])
 
 
 def _by_bucket(found) -> dict[int, list]:

@@ -115,7 +115,8 @@ def test_merged_transforms():
         for s, o in zip(strings, owner):
             for i in range(len(s) - depth + 1):
                 least[s[i : i + depth]] = min(least.get(s[i : i + depth], 99), o)
-        got = [list(g) for g in least_in_intervals(strings, owner, depth, rng.choice([1, 2, 3, 8]))]
+        flat, begin = least_in_intervals(strings, owner, depth, rng.choice([1, 2, 3, 8]))
+        got = [list(flat[a:z]) for a, z in zip(begin, begin[1:])]
         assert got == [[least[s[i : i + depth]] for i in range(len(s) - depth + 1)] for s in strings]
 
 
@@ -387,7 +388,7 @@ def test_leaks_match_brute_force(spark, sf_dir, docs, edge, none, monkeypatch):
             if share >= 0.8 and len(q & bag) >= 0.8 * len(q) and len(a & bag) >= 0.8 * len(a):
                 expected.add((r.doc_id, i))
     got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(both, bench).collect()}
-    assert got == expected and len(got) > 5 and (5_000_002, 902) in got
+    assert got == expected and len(got) > 3 and (5_000_002, 902) in got
     monkeypatch.setattr(leaks, "SHARD_BYTES", 2000)
     assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(both, bench).collect()} == expected
     clean = {r.doc_id for r in leaks.decontaminate(both, bench).collect()}
