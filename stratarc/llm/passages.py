@@ -5,7 +5,7 @@ out so that equal strings meet, and no task sees more than a bounded share of th
 
 1. *Packs.*  Documents are written once to the shared folder in compressed packs of some MB, bucketed by pack, so that
    answers are joined to them without moving them again.
-2. *Anchors.*  Of the 16-byte hashes inside a width-byte string the least is its anchor; equal strings have equal
+2. *Anchors.*  Of the 24-byte hashes inside a width-byte string the least is its anchor; equal strings have equal
    anchors.  Packs send their distinct anchors to buckets; buckets answer which occur in two documents.  Only what
    these anchors own can repeat.
 3. *Strings.*  Packs send each run of strings with one repeated anchor once (copies inside a pack collapse, with the
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from stratarc.llm.bwt import least_in_intervals
 from stratarc.llm.common import saved, saved_by
 
-GRAM = 16
+GRAM = 24
 PACK_BYTES = 3 << 20
 #: Strings of one anchor in one document are sent in runs of at most this many.
 RUN = 64
@@ -89,9 +89,12 @@ def _anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     raw = np.frombuffer(text + bytes(8), np.uint8)
     h = np.lib.stride_tricks.as_strided(raw, (len(text), 8), (1, 1)).copy().view("<u8").ravel()
-    low, high = h[: len(text) - GRAM + 1], h[GRAM - 8 : len(text) - 7]
+    low, middle, high = (h[at : len(text) - GRAM + 1 + at] for at in (0, GRAM // 2 - 4, GRAM - 8))
     h = low * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
+    h += middle
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
     h += high
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
