@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,16 +157,16 @@ class PrefixTable:
             self.words[text] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         if not text:
-            return []
+            return array("i")
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        out: list[int] = []
+        out, known = array("i"), self.words
         for word in self.cut.findall(text) if self.cut else [text]:
-            out += self.word(word)
+            out.extend(known.get(word) or self.word(word))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         surface, first = self.surface, next((i for i in ids if self.kind[i] != CONTROL), None)
         raw = b"".join(map(surface.__getitem__, ids))
         if self.dummy_prefix and first is not None and self.kind[first] == NORMAL and raw[:1] == b" ":
@@ -177,7 +178,7 @@ class PrefixTable:
         except ValueError:
             return "".join(self._slowly(ids, first))
 
-    def _slowly(self, ids: list[int], first: int | None):
+    def _slowly(self, ids, first: int | None):
         """Runs of byte pieces that are no UTF-8 give one replacement character for each byte."""
         run, fresh = b"", True
         for i in [*ids, None]:
@@ -222,8 +223,13 @@ def sentencepiece_round_trip(docs: DataFrame, model: bytes, text: str = "text",
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = [coder.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                flat, ends = array("i"), [0]
+                for r in rows:
+                    flat.extend(r)
+                    ends.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(rows, pa.list_(pa.int32())), pa.array([coder.decode(r) for r in rows], pa.string())],
+                    [*(batch.column(batch.schema.get_field_index(n)) for n in names), lists, pa.array([coder.decode(r) for r in rows], pa.string())],
                     names=[*names, ids, decoded],
                 )
 
