@@ -94,12 +94,12 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def _bands(n: int, radius: int) -> list[tuple[int, ...]]:
-    """Masks of key bits: the fewest equal blocks that leave about 16 fingerprints in a bucket, with all choices of them."""
+    """Masks of key bits: the fewest equal blocks that leave at most about 256 fingerprints in a bucket, with all choices of them."""
     for equal in (1, 2, 3, 4):
         blocks = radius + equal
         edge = [64 * i // blocks for i in range(blocks + 1)]
         keys = [sum(((1 << edge[b + 1]) - (1 << edge[b])) for b in chosen) for chosen in combinations(range(blocks), equal)]
-        if n <= 16 << min(k.bit_count() for k in keys):
+        if n <= 256 << min(k.bit_count() for k in keys):
             break
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
