@@ -29,6 +29,21 @@ def uri_groups(captures: DataFrame, keep: int | None = None) -> DataFrame:
     return captures.groupBy("uri").agg(F.count("*").alias("n"), (F.slice(rows, 1, keep) if keep else rows).alias("captures"))
 
 
+def uri_captures(captures: DataFrame) -> DataFrame:
+    """All captures of each URI as rows (uri, n, custom_id, archived_ts, pos), newest first.
+
+    Positions are counted per URI and day, after the captures of later days, so that no task holds a whole URI.
+    """
+    dated = captures.select("uri", "custom_id", "archived_ts", F.to_date("archived_ts").alias("day"))
+    days = dated.groupBy("uri", "day").agg(F.count("*").alias("k"))
+    uri = Window.partitionBy("uri")
+    later = F.sum("k").over(uri.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col("uri").alias("of"), F.col("day").alias("on"), F.sum("k").over(uri).alias("n"), F.coalesce(later, F.lit(0)).alias("later"))
+    own = F.row_number().over(Window.partitionBy("uri", "day").orderBy(F.desc_nulls_last("archived_ts"), F.desc("custom_id")))
+    ranked = dated.withColumn("own", own).join(days, F.col("uri").eqNullSafe(F.col("of")) & F.col("day").eqNullSafe(F.col("on")))
+    return ranked.select("uri", "n", "custom_id", "archived_ts", (F.col("later") + F.col("own")).cast("long").alias("pos"))
+
+
 def uri_stats(captures: DataFrame) -> DataFrame:
     return captures.groupBy("uri").agg(
         F.count("*").alias("n"), F.coalesce(F.sum("payload_size"), F.lit(0)).cast("long").alias("total_size"), F.min("archived_ts").alias("first_ts"), F.max("archived_ts").alias("last_ts")

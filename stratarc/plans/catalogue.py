@@ -56,8 +56,13 @@ def newest_per_host(spark, d):
 
 @query("uri_groups", "SELECT uri, n, custom_id, archived_ts, rn AS pos FROM (SELECT *, count(*) OVER (PARTITION BY uri) AS n, row_number() OVER (PARTITION BY uri ORDER BY archived_ts DESC, custom_id DESC) AS rn FROM cap) WHERE rn <= 3")
 def uri_groups(spark, d):
-    groups = stats.uri_groups(captures(spark, d), 3).select("uri", "n", F.posexplode("captures").alias("pos", "c"))
-    return groups.select("uri", "n", "c.custom_id", "c.archived_ts", (F.col("pos") + 1).cast("long").alias("pos"))
+    return stats.uri_captures(captures(spark, d)).where("pos <= 3")
+
+
+@query("uri_groups_all", "SELECT uri, count(*) OVER (PARTITION BY uri) AS n, custom_id, archived_ts, row_number() OVER (PARTITION BY uri ORDER BY archived_ts DESC, custom_id DESC) AS pos FROM cap")
+def uri_groups_all(spark, d):
+    """Every capture of every URL."""
+    return stats.uri_captures(captures(spark, d))
 
 
 @query("uri_stats", "SELECT uri, count(*) AS n, CAST(coalesce(sum(payload_size), 0) AS BIGINT) AS total_size, min(archived_ts) AS first_ts, max(archived_ts) AS last_ts FROM cap GROUP BY uri")
