@@ -76,6 +76,11 @@ def capture_pattern(spark, d):
     return stats.capture_pattern(captures(spark, d).where("event_id % 400 < 30"))
 
 
+@query("capture_pattern_all", "SELECT pattern, count(*) AS urls FROM (SELECT CASE WHEN count(*) = 1 THEN 'one' WHEN count(DISTINCT CAST(archived_ts AS DATE)) = 1 THEN 'one day' ELSE 'several days' END AS pattern FROM cap GROUP BY uri) GROUP BY pattern")
+def capture_pattern_all(spark, d):
+    return stats.capture_pattern(captures(spark, d))
+
+
 @query(
     "host_overview",
     "SELECT host, count(*) AS responses, (SELECT count(DISTINCT host) FROM b) AS hosts, (SELECT min(archived_ts) FROM b) AS first_ts, (SELECT max(archived_ts) FROM b) AS last_ts FROM b GROUP BY host ORDER BY responses DESC, host LIMIT 12",
@@ -474,11 +479,11 @@ REFS_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extra
  r1 AS (SELECT page_uri, CAST(min(pos) AS INTEGER) AS pos, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0 WHERE ref <> '' GROUP BY ALL)"""
 
 
-def _resolved_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References of pages, a third of them bent to held pages, resolved at the page's newest date."""
+def _resolved_refs(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """References of two fifths of the pages, or of every page, a third of them bent to held pages, resolved at the page's newest date."""
     c = captures(spark, d)
     n = pages(spark, d).count()
-    found = refs.page_refs(pages(spark, d).where("page_id % 5 < 2"))
+    found = refs.page_refs(pages(spark, d).where("true" if every else "page_id % 5 < 2"))
     held = pages(spark, d).select(F.col("page_id").alias("__to"), F.col("url").alias("__url"))
     bent = found.withColumn("__to", F.when(F.col("pos") % 3 == 0, (F.length("page_uri") * 13 + F.length("ref") * 7) % n)).join(held, "__to", "left")
     dates = c.groupBy("uri").agg(F.max("archived_ts").alias("near"))
@@ -497,11 +502,22 @@ def page_refs(spark, d):
     return refs.page_refs(pages(spark, d).where("page_id % 5 < 2"))
 
 
+@query("page_refs_all", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL.replace(" WHERE page_id % 5 < 2", ""))
+def page_refs_all(spark, d):
+    """References of every page."""
+    return refs.page_refs(pages(spark, d))
+
+
 @query("missing_refs", "SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400", BENT_SQL)
 def missing_refs(spark, d):
     return refs.missing_refs(_resolved_refs(spark, d)[0])
 
 
+@query("missing_refs_all", "SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400", BENT_SQL.replace(" WHERE page_id % 5 < 2", ""))
+def missing_refs_all(spark, d):
+    return refs.missing_refs(_resolved_refs(spark, d, True)[0])
+
+
 @query("resolved_refs", "SELECT page_uri, target AS asked, final_url AS served, custom_id, coalesce(status, 200) AS status, coalesce(nullif(content_type, ''), 'application/octet-stream') AS content_type, coalesce(payload_size, 0) AS bytes, hops, false AS differs FROM res WHERE outcome = 'hit'", BENT_SQL)
 def resolved_refs(spark, d):
     return refs.resolved_refs(_resolved_refs(spark, d)[0])
