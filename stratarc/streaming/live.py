@@ -1,4 +1,4 @@
-"""The indexes kept current over a stream of records."""
+"""The indexes kept current over a stream of records (T1-T6; T7 and T8 are not built whole, see README)."""
 
 from __future__ import annotations
 
