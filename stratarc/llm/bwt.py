@@ -1,11 +1,12 @@
 """Merging Burrows-Wheeler transforms of shards, in numpy; small arrays inside one task.
 
-Each shard of strings has its own transform.  The merged order is found by refining the interleave of the shards'
-rows: rows start in shard order; a round takes each row to the row of the suffix one character longer (the LF mapping
-of its own shard) and deals rows stably by that character (rounds are done in pairs).  After k rounds the rows are in
-the order of their first k characters, and rows with the same k characters are neighbours; where two neighbours part
-in round k, their common prefix is k - 1 long.  Rows that have parted from both neighbours cannot be in a repeated
-interval any more and leave; rows without enough characters in front never enter.  No suffixes of different shards are ever compared or sorted.
+Each shard of strings has its own transform: its suffixes in order, the character in front of each, and the LF mapping
+(the row of the suffix that is one character longer).  The merged order is found by refining the interleave of the
+shards' rows: rows start in shard order; a round takes each row along the LF mapping of its own shard and deals rows
+stably by the character met (two rounds are done at once).  After k rounds the rows are in the order of their first k
+characters, and rows with the same k characters are neighbours; where two neighbours part in round k, their common
+prefix is k - 1 long.  Rows that have parted from both neighbours cannot be in a repeated interval any more and leave;
+rows without enough characters in front never enter.  No suffixes of different shards are ever compared or sorted.
 """
 
 from __future__ import annotations
@@ -13,101 +14,97 @@ from __future__ import annotations
 import numpy as np
 
 
-def shard_transform(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int):
-    """(order, before, lf) of the suffixes of the strings of one shard, ordered by their first ``depth`` characters or more.
+def shard_transforms(text: np.ndarray, lengths: np.ndarray, shard: np.ndarray, depth: int):
+    """(order, before, back) of the suffixes of all strings, shard after shard.
 
-    A string of n characters has n + 1 suffixes (the empty one too).  ``order``: the suffixes by rank; ``before``: the
-    character in front of each, by rank, 256 where a string begins; ``lf``: the rank of that longer suffix.
+    ``shard``: the shard of each string, ascending from 0.  A string of n characters has n + 1 suffixes (the empty one
+    too).  ``order``: places of suffixes, those of one shard by their first ``depth`` characters; ``before``: the
+    character in front of each; ``back``: the row of that longer suffix (both arbitrary where a string begins).
     """
-    n = int(lengths.sum()) + len(lengths)
-    at = starts + np.arange(len(starts))  # every string is followed by one place for its end
-    chars = np.zeros(n, np.uint16)
+    n = len(text) + len(lengths)
+    ends = np.cumsum(lengths + 1) - 1
+    plain = np.zeros(n, np.uint8)
     body = np.ones(n, bool)
-    body[at + lengths] = False
-    chars[body] = text.astype(np.uint16) + 1
-    left = np.repeat(at + lengths, lengths + 1) - np.arange(n)  # characters up to the end of the string
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate((chars.astype(np.uint64), np.zeros(8, np.uint64)))
-    for j in range(7):
-        key = (key << np.uint64(9)) | np.where(left > j, padded[j : j + n], 0)
-    reach = 7
-    while True:
-        order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.concatenate(([False], sorted_[1:] != sorted_[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if reach >= depth or int(new.sum()) == n - 1:
+    body[ends] = False
+    plain[body] = text
+    codes = np.cumsum(np.bincount(text, minlength=256) > 0)  # letters in use, from 1; 0 ends a string
+    chars = np.where(body, codes[plain], 0).astype(np.uint64)
+    width = np.uint64(int(codes[-1]).bit_length())
+    places = np.uint64(n.bit_length())
+    key = np.repeat(shard.astype(np.uint64), lengths + 1)
+    reach = max(1, (64 - int(places) - int(shard[-1]).bit_length()) // int(width))
+    chars = np.concatenate((chars, np.zeros(reach, np.uint64)))
+    for j in range(reach):
+        key <<= width
+        key |= chars[j : j + n]
+    key <<= places
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << int(places)) - 1)).astype(np.int64)
+    key >>= places
+    slots = np.arange(n)
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.maximum.accumulate(np.where(new, slots, 0))  # slot of the first row of the row's group
+    rank = np.zeros(n + 1, np.int64)
+    while reach < depth:
+        slots = slots[~(new & np.concatenate((new[1:], [True])))]
+        if not len(slots):
             break
-        after = np.zeros(n, np.int64)
-        far = np.flatnonzero(left >= reach)
-        after[far] = rank[far + reach] + 1
-        key = rank * (n + 2) + after
+        if reach and not rank.any():
+            rank[order] = first + 1
+        at, own = order[slots], first[slots]
+        key = (own.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + reach, n)].astype(np.uint64)
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[slots] = at[by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first[slots] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[order[slots]] = first[slots] + 1
         reach *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.full(n, 256, np.uint16)
-    first = np.zeros(n, bool)
-    first[at] = True
-    inner = ~first[order]
-    before[inner] = chars[order[inner] - 1] - 1
-    lf = np.full(n, -1, np.int64)
-    lf[inner] = place[order[inner] - 1]
-    return order, before, lf
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    longer = np.maximum(order - 1, 0)
+    return order, plain[longer], row[longer]
 
 
-def repeated_intervals(strings: list[bytes], depth: int, shards: int = 8):
+def repeated_intervals(text: np.ndarray, lengths: np.ndarray, shard: np.ndarray, depth: int):
     """Intervals of the merged order whose rows share ``depth`` characters: (string, offset, interval), rows in order.
 
     Only intervals of two rows or more are given.
     """
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    edges = np.unique(np.linspace(0, len(strings), min(shards, max(1, len(strings))) + 1).astype(np.int64))
-    orders, befores, lfs, base = [], [], [], 0
-    for a, b in zip(edges[:-1], edges[1:]):
-        own = lengths[a:b]
-        starts = np.cumsum(own) - own
-        order, before, lf = shard_transform(np.frombuffer(b"".join(strings[a:b]), np.uint8), starts, own, depth)
-        orders.append(order + base)
-        befores.append(before)
-        lfs.append(np.where(lf < 0, -1, lf + base))
-        base += len(order)
-    before, lf, places = np.concatenate(befores), np.concatenate(lfs), np.concatenate(orders)
+    order, before, back = shard_transforms(text, lengths, shard, depth)
     begins = np.cumsum(lengths + 1) - (lengths + 1)
-    string = np.repeat(np.arange(len(strings)), lengths + 1)
+    string = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     # only rows with enough characters in front can reach the depth
-    rows = np.flatnonzero(places - begins[string[places]] >= depth)
-    block = np.zeros(len(rows), np.int64)
-    back = np.where(lf >= 0, lf, 0)
+    front = (np.arange(len(order)) - np.repeat(begins, lengths + 1))[order]
+    rows = np.flatnonzero(front >= depth).astype(np.int32)
+    block = np.zeros(len(rows), np.int32)
+    both, far = before.astype(np.uint16), back[back]
+    both |= before[back].astype(np.uint16) << np.uint16(8)  # two rounds at once: by the nearer character last
     for step in [1] * (depth % 2) + [2] * (depth // 2):
         if not len(rows):
             break
-        char, next_ = before[rows], back[rows]
-        if step == 2:  # two rounds at once: by the nearer character last
-            char, next_ = (before[next_] << np.uint16(8)) | char, back[next_]
-            order = np.argsort(char, kind="stable")
-        else:
-            order = np.argsort(char.astype(np.uint8), kind="stable")
-        char, block, rows = char[order], block[order], next_[order]
+        chars, jump = (before, back) if step == 1 else (both, far)
+        char = chars[rows]
+        by = np.argsort(char, kind="stable")
+        char, block, rows = char[by], block[by], jump[rows[by]]
         part = np.concatenate(([True], (char[1:] != char[:-1]) | (block[1:] != block[:-1])))
         keep = ~(part & np.concatenate((part[1:], [True])))
-        rows, block = rows[keep], np.cumsum(part)[keep]
-    where = places[rows]
+        rows, block = rows[keep], np.cumsum(part, dtype=np.int32)[keep]
+    where = order[rows]
     owner = string[where]
     return owner, where - begins[owner], block
 
 
-def least_in_intervals(strings: list[bytes], owner: np.ndarray, depth: int, shards: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(least, begin): for each place where ``depth`` characters begin the least owner among all strings with these.
-
-    Places of all strings stand one after the other; those of string i are least[begin[i] : begin[i + 1]].
-    """
-    counts = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - depth + 1, 0)
-    begin = np.concatenate(([0], np.cumsum(counts)))
+def least_in_intervals(text: np.ndarray, lengths: np.ndarray, shard: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
+    """For each place where ``depth`` characters begin, string after string: the least owner of all strings with these."""
+    counts = np.maximum(lengths - depth + 1, 0)
     out = np.repeat(owner, counts)
-    string, offset, block = repeated_intervals(strings, depth, shards) if strings else (out, out, out)
-    if len(string):
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        least = np.minimum.reduceat(owner[string], first)
-        out[begin[string] + offset] = np.repeat(least, np.diff(np.append(first, len(block))))
-    return out, begin
+    if len(out):
+        begin = np.cumsum(counts) - counts
+        string, offset, block = repeated_intervals(text, lengths, shard, depth)
+        if len(string):
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            least = np.minimum.reduceat(owner[string], first)
+            out[begin[string] + offset] = np.repeat(least, np.diff(np.append(first, len(block))))
+    return out

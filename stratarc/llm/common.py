@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; a local one would lose rows on a cluster, so there is none by default."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="stratarc-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at
 
 
@@ -62,6 +62,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shrink(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes, compressed; grow() gives them back."""
+    parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return np.array([len(p) for p in parts], "<u4").tobytes() + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def grow(data, *kinds) -> list[np.ndarray]:
+    data = memoryview(data)
+    sizes = np.frombuffer(data[: 4 * len(kinds)], "<u4")
+    raw = pa.decompress(pa.py_buffer(data[4 * len(kinds) :]), int(sizes.sum()), codec="zstd") if sizes.any() else b""
+    ends = np.cumsum(sizes)
+    return [np.frombuffer(raw[e - s : e], k) for k, s, e in zip(kinds, sizes.tolist(), ends.tolist())]
+
+
 def worker_cached(key, make: Callable):
     """What make() gives, kept by this Python worker for the tasks that follow (only derived, bounded things)."""
     home = sys.modules.setdefault("stratarc_worker_cache", types.ModuleType("stratarc_worker_cache")).__dict__

@@ -6,16 +6,17 @@ out so that equal strings meet, and no task sees more than a bounded share of th
 1. *Packs.*  Documents are written once to the shared folder in compressed packs of some MB, bucketed by pack, so that
    answers are joined to them without moving them again.
 2. *Anchors.*  Of the 24-byte hashes inside a width-byte string the least is its anchor; equal strings have equal
-   anchors.  Packs send their distinct anchors to buckets; buckets answer which occur in two documents.  Only what
-   these anchors own can repeat.
+   anchors.  Packs send their distinct anchors (four bytes each) to buckets; buckets answer with one bit each: does it
+   occur in two documents?  Only what these anchors own can repeat.
 3. *Strings.*  Packs send each run of strings with one repeated anchor once (copies inside a pack collapse, with the
-   least id) to the anchor's bucket.  Anchors found in very many packs own too much for one bucket: their strings go
-   one by one to the bucket of their own hash, so that a line on every page is dealt over all tasks.
-4. *Merge.*  A bucket takes what came as shards, merges the shards' transforms by interleave refinement
-   (:mod:`stratarc.llm.bwt`), and gives every repeated interval its least id.
+   least id) to the anchor's bucket.  Anchors with very many runs own too much for one bucket: their strings go one by
+   one to the bucket of their own hash, so that a line on every page is dealt over all tasks.
+4. *Merge.*  In a bucket, equal runs of several packs collapse to one; the rest of each pack is a shard with its own
+   transform.  The shards' transforms are merged by interleave refinement (:mod:`stratarc.llm.bwt`), some MB of anchors
+   at a time, and every repeated interval gets its least id.
 5. *Cut.*  Packs get the answers, mark strings whose least id is smaller than the document's own, and cut.
 
-Only anchors, repeated strings and answers are exchanged.
+Only anchors, repeated strings and answers are exchanged.  Runs collapse only after a comparison of all their bytes.
 
 Defined cases: null texts are empty; texts shorter than ``width`` stay whole; rows with equal ids never cover one
 another; a null id counts as larger than any other; repeated rows get a row each; an empty table gives an empty one.
@@ -26,12 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratarc.llm.bwt import least_in_intervals
-from stratarc.llm.common import saved, saved_by
+from stratarc.llm.common import grow, saved, saved_by, shrink
 
 GRAM = 24
 PACK_BYTES = 3 << 20
@@ -39,9 +41,12 @@ PACK_BYTES = 3 << 20
 RUN = 64
 #: Bytes of strings that are merged at once inside a bucket.
 BLOCK_BYTES = 1 << 20
-#: An anchor in more packs than this sends its strings one by one.
-HOT_PACKS = 96
+#: An anchor with more runs than this sends its strings one by one.
+HOT_RUNS = 20_000
+#: Places that are hashed at once (their arrays stay in the processor's cache).
+STRIPE = 1 << 14
 NO_ID = np.iinfo(np.int64).max
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F))
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -55,15 +60,6 @@ def _from_ipc(data) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    return _ipc(pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], names=[str(i) for i in range(len(arrays))]))
-
-
-def _unzip(data, *kinds) -> list[np.ndarray]:
-    batch = _from_ipc(data)
-    return [np.frombuffer(batch.column(i)[0].as_py(), k) for i, k in enumerate(kinds)]
-
-
 def packed(docs: DataFrame, text: str) -> DataFrame:
     """(pack, payload): the rows as compressed Arrow batches, a document alone if it is larger than a pack."""
 
@@ -72,240 +68,302 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
 
         n, base = 0, TaskContext.get().partitionId() << 33
         for b in batches:
-            sizes = np.fromiter((len(t) if t else 0 for t in b.column(b.schema.get_field_index(text)).to_pylist()), np.int64, b.num_rows)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < b.num_rows:
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), PACK_BYTES)))
+                done = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, done + PACK_BYTES, "right")))
                 yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_ipc(b.slice(at, to - at))], pa.binary())], names=["pack", "payload"])
                 at, n = to, n + 1
 
     return saved_by(docs.mapInArrow(run, "pack long, payload binary"), "pack", "packs")
 
 
-def _anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, strings) of each run of strings with one anchor; runs of at most RUN."""
-    n = len(text) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    raw = np.frombuffer(text + bytes(8), np.uint8)
-    h = np.lib.stride_tricks.as_strided(raw, (len(text), 8), (1, 1)).copy().view("<u8").ravel()
-    low, middle, high = (h[at : len(text) - GRAM + 1 + at] for at in (0, GRAM // 2 - 4, GRAM - 8))
-    h = low * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += middle
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h += high
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    span, wide = 1, width - GRAM + 1
-    while span * 2 <= wide:
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    if wide > span:
-        h = np.minimum(h[: -(wide - span)], h[wide - span :])
-    change = np.concatenate(([True], h[1:] != h[:-1]))
-    first = np.flatnonzero(change)
-    counts = np.diff(np.append(first, n))
-    if counts.max() > RUN:
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _groups(*sorted_: np.ndarray) -> np.ndarray:
+    """Places at which a new group of equal rows begins."""
+    if not len(sorted_[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_[0]), bool)
+    new[0] = True
+    for c in sorted_:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _anchors(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first string, strings) of each run of strings with one anchor; runs of at most RUN.
+
+    ``raw``: all texts one after the other and at least ``width + 8`` bytes more; ``bounds``: where texts begin and end.
+    """
+    n, gram = int(bounds[-1]), min(GRAM, width)
+    wide = width - gram + 1
+    least = np.empty(n, np.uint64)
+    for a in range(0, n, STRIPE):
+        z = min(n, a + STRIPE)
+        grams = z - a + wide - 1
+        size = grams + gram - 8
+        word = np.empty(-(-size // 8) * 8, np.uint64)
+        for j in range(8):  # the eight bytes at each place
+            word[j::8] = np.frombuffer(raw, "<u8", len(word) // 8, a + j)
+        h = word[:grams] * _ODD[0]
+        h += word[(gram - 8) // 2 :][:grams] * _ODD[1]
+        h += word[gram - 8 :][:grams] * _ODD[2]
+        h ^= h >> np.uint64(32)
+        h *= _ODD[3]
+        span = 1
+        while span * 2 <= wide:
+            h = np.minimum(h[:-span], h[span:])
+            span *= 2
+        if wide > span:
+            h = np.minimum(h[: -(wide - span)], h[wide - span :])
+        least[a:z] = h
+    sizes = np.diff(bounds)
+    long_ = sizes >= width
+    edge = np.zeros(n + 1, np.int8)
+    edge[bounds[:-1][long_]] += 1
+    edge[bounds[1:][long_] - width + 1] -= 1
+    at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+    h = least[at]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else at
+    counts = np.diff(np.append(first, len(at)))
+    h, first = h[first] * _ODD[4], at[first]
+    if len(counts) and counts.max() > RUN:
         pieces = -(-counts // RUN)
-        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        ends = np.repeat(first + counts, pieces)
-        first = np.repeat(first, pieces) + step * RUN
-        counts = np.minimum(ends - first, RUN)
-    return h[first], first, counts
+        step = _ranges(np.zeros(len(pieces), np.int64), pieces)
+        left = np.repeat(counts, pieces) - step * RUN
+        h, first, counts = np.repeat(h, pieces), np.repeat(first, pieces) + step * RUN, np.minimum(left, RUN)
+    return h, first, counts
+
+
+def _string_hash(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes at each of the places."""
+    eight = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))
+    h = np.zeros(len(at), np.uint64)
+    for o in sorted({*range(0, width - 7, 8), width - 8}):
+        h ^= eight[at + o].view("<u8").ravel()
+        h *= _ODD[0]
+        h ^= h >> np.uint64(29)
+    h *= _ODD[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _collapse(raw: np.ndarray, first: np.ndarray, length: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each string, a string of each class): equal strings with equal keys; classes in order of the key.
+
+    Candidates come by hash; two strings are of one class only if all their bytes are equal.
+    """
+    hashed = _string_hash(raw, first, width) * _ODD[1] ^ _string_hash(raw, first + length - width, width)
+    order = np.lexsort((hashed, key))
+    k, h, n, f = key[order], hashed[order], length[order], first[order]
+    same = np.concatenate(([False], (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1]))) if len(order) else np.zeros(0, bool)
+    twin = np.flatnonzero(same)
+    if len(twin):
+        equal = raw[_ranges(f[twin], n[twin])] == raw[_ranges(f[twin - 1], n[twin])]
+        same[twin] = np.logical_and.reduceat(equal, np.cumsum(n[twin]) - n[twin])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(~same) - 1
+    return of, order[~same]
 
 
 class _Pack:
-    """A pack's texts with their runs."""
+    """A pack's texts with their runs and distinct anchors; the same arrays each time it is opened."""
 
-    def __init__(self, payload, id_column: str, text: str, width: int):
+    def __init__(self, payload, id_column: str, text: str, width: int, buckets: int):
         self.batch = _from_ipc(payload)
-        ids = self.batch.column(self.batch.schema.get_field_index(id_column)).to_pylist()
-        self.ids = [NO_ID if i is None else i for i in ids]
-        self.texts = [(t or "").encode() for t in self.batch.column(self.batch.schema.get_field_index(text)).to_pylist()]
-        runs = [_anchors(t, width) for t in self.texts]
-        self.doc = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
-        self.hash, self.first, self.count = (np.concatenate([r[k] for r in runs]) if runs else np.empty(0, np.int64) for k in range(3))
-        self.hash = self.hash.astype(np.uint64)
-        self.width = width
-
-    def strings(self, warm: np.ndarray, hot: np.ndarray, buckets: int):
-        """content -> (bucket, anchor, occurrences); an occurrence is (document, first string)."""
-        import xxhash
-
-        found: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
-        keys = _key(self.hash)
-        for hot_ones, chosen in ((False, np.isin(keys, warm)), (True, np.isin(keys, hot))):
-            at = np.flatnonzero(chosen)
-            for doc, first, count, anchor, bucket in zip(*(x[at].tolist() for x in (self.doc, self.first, self.count, keys)), (self.hash[at] % np.uint64(buckets)).tolist()):
-                text = self.texts[doc]
-                if hot_ones:
-                    for at in range(first, first + count):
-                        s = text[at : at + self.width]
-                        if s in found:
-                            found[s][2].append((doc, at))
-                        else:
-                            found[s] = (xxhash.xxh64_intdigest(s) % buckets, anchor, [(doc, at)])
-                else:
-                    s = text[first : first + count - 1 + self.width]
-                    if s in found:
-                        found[s][2].append((doc, first))
-                    else:
-                        found[s] = (bucket, anchor, [(doc, first)])
-        return found
-
-
-def _key(hashes: np.ndarray) -> np.ndarray:
-    """40 bits of a hash; two anchors that share them only cost needless strings."""
-    return hashes >> np.uint64(24)
-
-
-def _five(keys: np.ndarray) -> np.ndarray:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy()
-
-
-def _keys(five: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(five) // 5, 8), np.uint8)
-    out[:, :5] = five.reshape(-1, 5)
-    return out.view("<u8").ravel()
+        self.width, self.buckets = width, buckets
+        self.ids = pc.fill_null(self.batch.column(self.batch.schema.get_field_index(id_column)).cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+        texts = pc.fill_null(self.batch.column(self.batch.schema.get_field_index(text)).cast(pa.large_string()).cast(pa.large_binary()), b"")
+        _, at, data = texts.buffers()
+        bounds = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        size = int(bounds[-1] - bounds[0])
+        self.raw = np.zeros(size + 2 * width + 16, np.uint8)
+        if size:
+            self.raw[:size] = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        self.bounds = bounds - bounds[0]
+        self.hash, self.first, self.count = _anchors(self.raw, self.bounds, width)
+        self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
+        # distinct anchors by bucket, then hash
+        order = np.argsort(self.hash)
+        begin = _groups(self.hash[order])
+        keys = self.hash[order][begin]
+        at = (keys % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(at, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[by] = np.arange(len(keys))
+        self.keys, self.key_of = keys[by], np.empty(len(order), np.int64)
+        self.key_of[order] = np.repeat(place, np.diff(np.append(begin, len(order))))
+        self.begin, self.by, self.order = begin, by, order
+        cuts = _groups(at[by])
+        self.cuts = {int(at[by[a]]): (int(a), int(z)) for a, z in zip(cuts, np.append(cuts[1:], len(by)))}
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(runs, in two documents) of each distinct anchor."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        ids = self.ids[self.doc][self.order]
+        apart = np.minimum.reduceat(ids, self.begin) != np.maximum.reduceat(ids, self.begin)
+        return np.diff(np.append(self.begin, len(self.order)))[self.by], apart[self.by]
+
+    def strings(self, told):
+        """What the pack sends, from the buckets' bits: sets class_of, of runs first_, count_, of classes bucket_, key_, one_."""
+        warm, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
+        for x in told or ():
+            a, z = self.cuts[x["bucket"]]
+            w, t = grow(x["bits"], np.uint8, np.uint8)
+            warm[a:z] = np.unpackbits(w, count=z - a)
+            if len(t):
+                hot[a:z] = np.unpackbits(t, count=z - a)
+        plain, single = np.flatnonzero((warm & ~hot)[self.key_of]), np.flatnonzero(hot[self.key_of])
+        one_by_one = _ranges(self.first[single], self.count[single])
+        self.first_ = np.concatenate((self.first[plain], one_by_one))
+        self.count_ = np.concatenate((self.count[plain], np.ones(len(one_by_one), np.int64)))
+        self.doc_ = np.concatenate((self.doc[plain], np.repeat(self.doc[single], self.count[single])))
+        key = np.concatenate((self.hash[plain], _string_hash(self.raw, one_by_one, self.width)))
+        of, one = _collapse(self.raw, self.first_, self.count_ + self.width - 1, key, self.width)
+        bucket = (key[one] % np.uint64(self.buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.class_of, self.one_, self.key_, bucket = place[of], one[by], key[one[by]], bucket[by]
+        cuts = _groups(bucket)
+        self.sent = {int(bucket[a]): (int(a), int(z)) for a, z in zip(cuts, np.append(cuts[1:], len(bucket)))}
 
 
 def _rows(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _repeated_anchors(packs: DataFrame, buckets: int, id_column: str, text: str, width: int) -> DataFrame:
-    """(pack, warm, hot): keys of the pack's anchors that occur in two documents, and of those in very many packs."""
-    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
-    told = pa.schema([("pack", pa.int64()), ("warm", pa.binary()), ("hot", pa.binary())])
+def _repeated_anchors(packs: DataFrame, buckets: int, open_pack) -> DataFrame:
+    """(pack, told): per bucket two bits for each of the pack's anchors: in two documents; in very many runs."""
+    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())])
+    told = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
     def ask(batches):
         for b in batches:
             for number, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                p = _Pack(payload.as_buffer(), id_column, text, width)
-                ids = np.unique(np.array(p.ids, np.int64), return_inverse=True)[1]
-                order = np.lexsort((ids[p.doc], p.hash)) if len(p.hash) else np.empty(0, np.int64)
-                h, d = p.hash[order], ids[p.doc][order] if len(order) else order
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-                last = np.append(first[1:], len(h)) - 1 if len(h) else first
-                many = d[first] != d[last]
-                h = h[first]
-                at = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                h, at, many = h[order], at[order], many[order]
-                cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
-                out: list[list] = [[], [], [], []]
-                for a, z in zip(cuts, np.append(cuts[1:], len(at)) if len(at) else []):
-                    k, m = _five(_key(h[a:z])), many[a:z]
-                    for c, v in zip(out, (int(at[a]), number, k[~m].tobytes(), k[m].tobytes())):
+                p = open_pack(payload)
+                runs, apart = p.anchors()
+                short = (p.keys >> np.uint64(32)).astype(np.uint32)
+                out: list[list] = [[], [], []]
+                for bucket, (a, z) in p.cuts.items():
+                    steps = np.diff(short[a:z], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+                    for c, v in zip(out, (bucket, number, shrink(steps, np.minimum(runs[a:z], 65_535).astype(np.uint16), np.packbits(apart[a:z])))):
                         c.append(v)
                 yield _rows(out, asked)
 
     def answer(table: pa.Table) -> pa.Table:
-        packs_, once, twice = (table.column(c).to_pylist() for c in ("pack", "once", "twice"))
-        mine = [(_keys(np.frombuffer(o, np.uint8)), _keys(np.frombuffer(t, np.uint8))) for o, t in zip(once, twice)]
-        keys, counts = np.unique(np.concatenate([k for m in mine for k in m]), return_counts=True)
-        sure = np.unique(np.concatenate([m[1] for m in mine]))
-        hot = keys[counts > HOT_PACKS]
-        warm = np.setdiff1d(np.union1d(keys[counts > 1], sure), hot, assume_unique=True)
+        keys, runs, apart = [], [], []
+        for data in table.column("data"):
+            steps, n, twice = grow(data.as_buffer(), np.uint8, np.uint16, np.uint8)
+            keys.append(np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32))
+            runs.append(n)
+            apart.append(np.unpackbits(twice, count=len(n)).view(bool))
+        sizes = [len(k) for k in keys]
+        keys, runs, apart = np.concatenate(keys), np.concatenate(runs), np.concatenate(apart)
+        order = np.argsort(keys)
+        first = _groups(keys[order])
+        counts = np.diff(np.append(first, len(order)))
+        warm, hot = np.empty(len(order), bool), np.empty(len(order), bool)
+        warm[order] = np.repeat((counts > 1) | np.logical_or.reduceat(apart[order], first), counts)
+        hot[order] = np.repeat(np.add.reduceat(runs[order].astype(np.int64), first) > HOT_RUNS, counts)
+        hot &= warm
         out: list[list] = [[], [], []]
-        for number, m in zip(packs_, mine):
-            both = np.concatenate(m)
-            w, h = both[np.isin(both, warm)], both[np.isin(both, hot)]
-            if len(w) or len(h):
-                for c, v in zip(out, (number, _five(w).tobytes(), _five(h).tobytes())):
+        bucket, at = table.column("bucket")[0].as_py(), 0
+        for number, n in zip(table.column("pack").to_pylist(), sizes):
+            w, t = warm[at : at + n], hot[at : at + n]
+            at += n
+            if w.any():
+                for c, v in zip(out, (number, bucket, shrink(np.packbits(w), np.packbits(t) if t.any() else np.zeros(0, np.uint8)))):
                     c.append(v)
         return pa.Table.from_batches([_rows(out, told)])
 
-    parts = packs.mapInArrow(ask, "bucket int, pack long, once binary, twice binary").groupBy("bucket").applyInArrow(answer, "pack long, warm binary, hot binary")
-    joined = parts.groupBy("pack").agg(F.collect_list("warm").alias("warm"), F.collect_list("hot").alias("hot"))
-    return saved(joined, "anchors")
+    bits = packs.mapInArrow(ask, "bucket int, pack long, data binary").groupBy("bucket").applyInArrow(answer, "pack long, bucket int, bits binary")
+    return saved(bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "anchors")
 
 
-def _least_ids(packs: DataFrame, anchors: DataFrame, buckets: int, id_column: str, text: str, width: int) -> DataFrame:
+def _least_ids(packs: DataFrame, anchors: DataFrame, open_pack, width: int) -> DataFrame:
     """(pack, answers): per bucket the least ids of the pack's strings, in the order the pack sent them."""
     sent = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())])
     told = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("least", pa.binary())])
 
     def send(batches):
         for b in batches:
-            for number, payload, warm, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p = _Pack(payload.as_buffer(), id_column, text, width)
+            for number, payload, bits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                p = open_pack(payload)
+                p.strings(bits)
+                least = np.full(len(p.one_), NO_ID, np.int64)
+                np.minimum.at(least, p.class_of, p.ids[p.doc_])
+                first, length = p.first_[p.one_], p.count_[p.one_] + width - 1
                 out: list[list] = [[], [], []]
-                for bucket, strings in _by_bucket(p.strings(_joined(warm), _joined(hot), buckets)).items():
-                    least = np.array([min(p.ids[d] for d, _ in places) for _, _, places in strings], np.int64)
-                    lengths = np.array([len(s) for s, _, _ in strings], np.uint16)
-                    anchor = _five(np.array([a for _, a, _ in strings], np.uint64))
-                    for c, v in zip(out, (bucket, number, _zip(np.frombuffer(b"".join(s for s, _, _ in strings), np.uint8), lengths, least, anchor))):
+                for bucket, (a, z) in p.sent.items():
+                    data = shrink(p.raw[_ranges(first[a:z], length[a:z])], length[a:z].astype(np.uint16), least[a:z], (p.key_[a:z] >> np.uint64(32)).astype(np.uint32))
+                    for c, v in zip(out, (bucket, number, data)):
                         c.append(v)
                 yield _rows(out, sent)
 
     def merge(table: pa.Table) -> pa.Table:
-        all_: dict[bytes, list] = {}
-        order: list[tuple[int, list[bytes]]] = []
-        for number, data in zip(table.column("pack").to_pylist(), table.column("data")):
-            raw, lengths, least, anchors = _unzip(data.as_buffer(), np.uint8, np.uint16, np.int64, np.uint8)
-            raw, ends, names = raw.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist(), []
-            start = 0
-            for end, i, a in zip(ends, least.tolist(), _keys(anchors).tolist()):
-                s = raw[start:end]
-                start = end
-                if (got := all_.get(s)) is None:
-                    all_[s] = [i, None, a]
-                elif i < got[0]:
-                    got[0] = i
-                names.append(s)
-            order.append((number, names))
-        # strings with one anchor stay together
-        block, size = [], 0
-        last = None
-        for s in sorted(all_, key=lambda s: all_[s][2]):
-            if size >= BLOCK_BYTES and all_[s][2] != last:
-                _answer(all_, block, width)
-                block, size = [], 0
-            block.append(s)
-            size += len(s)
-            last = all_[s][2]
-        _answer(all_, block, width)
-        bucket = table.column("bucket")[0].as_py()
+        packs_ = table.column("pack").to_pylist()
+        parts = [grow(d.as_buffer(), np.uint8, np.uint16, np.int64, np.uint32) for d in table.column("data")]
+        sizes = np.array([len(x[1]) for x in parts])
+        raw = np.concatenate([*(x[0] for x in parts), np.zeros(16, np.uint8)])
+        length, least, key = (np.concatenate([x[i] for x in parts]).astype(t) for i, t in ((1, np.int64), (2, np.int64), (3, np.uint32)))
+        del parts
+        pack = np.repeat(np.arange(len(packs_)), sizes)
+        first = np.cumsum(length) - length
+        of, one = _collapse(raw, first, length, key, width)
+        low = np.full(len(one), NO_ID, np.int64)
+        np.minimum.at(low, of, least)
+        first, length, shard, key = first[one], length[one], pack[one], key[one]
+        # blocks of some MB; strings with one anchor stay together
+        begin = _groups(key)
+        block = np.cumsum(length)[begin] // BLOCK_BYTES
+        edges = np.append(begin[_groups(block)], len(one))
+        runs, sizes_, ids = np.empty(len(one), np.uint8), [], []
+        for a, z in zip(edges, edges[1:]):
+            r, s, i = _answer(raw, first[a:z], length[a:z], shard[a:z], low[a:z], width)
+            runs[a:z] = r
+            sizes_.append(s)
+            ids.append(i)
+        sizes_, ids = np.concatenate(sizes_), np.concatenate(ids)
+        ends = np.cumsum(runs, dtype=np.int64)
+        bucket, at = table.column("bucket")[0].as_py(), 0
         out: list[list] = [[], [], []]
-        for number, names in order:
-            runs, sizes, ids = zip(*(all_[s][1] for s in names))
-            for c, v in zip(out, (number, bucket, _zip(np.array(runs, np.uint8), np.frombuffer(b"".join(sizes), np.uint8), np.concatenate(ids)))):
+        for number, n in zip(packs_, sizes.tolist()):
+            mine = of[at : at + n]
+            at += n
+            where = _ranges(ends[mine] - runs[mine], runs[mine].astype(np.int64))
+            for c, v in zip(out, (number, bucket, shrink(runs[mine], sizes_[where], ids[where]))):
                 c.append(v)
         return pa.Table.from_batches([_rows(out, told)])
 
-    strings = packs.join(anchors, "pack").select("pack", "payload", "warm", "hot").mapInArrow(send, "bucket int, pack long, data binary")
+    strings = packs.join(anchors, "pack").select("pack", "payload", "told").mapInArrow(send, "bucket int, pack long, data binary")
     answers = strings.groupBy("bucket").applyInArrow(merge, "pack long, bucket int, least binary")
     return answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
 
 
-def _answer(all_: dict[bytes, list], block: list[bytes], width: int) -> None:
-    """Per string of the block: runs of places with one least id, as (number of runs, lengths, ids)."""
-    if not block:
-        return
-    ids, begin = least_in_intervals(block, np.array([all_[s][0] for s in block], np.int64), width)
-    starts = np.zeros(len(ids), bool)
-    starts[begin[:-1]] = True
-    first = np.flatnonzero(starts | np.concatenate(([True], ids[1:] != ids[:-1])))
-    sizes, ids = np.diff(np.append(first, len(ids))).astype(np.uint8), ids[first]
-    edge = np.searchsorted(first, begin).tolist()
-    for s, a, z in zip(block, edge, edge[1:]):
-        all_[s][1] = (z - a, sizes[a:z].tobytes(), ids[a:z])
-
-
-def _by_bucket(found) -> dict[int, list]:
-    by: dict[int, list] = {}
-    for s, (bucket, anchor, places) in found.items():
-        by.setdefault(bucket, []).append((s, anchor, places))
-    return by
-
-
-def _joined(blobs) -> np.ndarray:
-    return np.concatenate([_keys(np.frombuffer(b, np.uint8)) for b in blobs]) if blobs else np.empty(0, np.uint64)
+def _answer(raw, first, length, shard, low, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of one block, in their order: the number of runs of places with one least id, their lengths, their ids."""
+    by = np.argsort(shard, kind="stable")
+    length_, shard_ = length[by], np.unique(shard[by], return_inverse=True)[1]
+    ids = least_in_intervals(raw[_ranges(first[by], length_)], length_, shard_, low[by], width)
+    counts = length_ - width + 1
+    begin = np.empty(len(by), np.int64)
+    begin[by] = np.cumsum(counts) - counts
+    counts = length - width + 1
+    ids = ids[_ranges(begin, counts)]  # back in the strings' own order
+    new = np.zeros(len(ids) + 1, bool)
+    new[np.cumsum(counts) - counts] = True
+    new[1:-1] |= ids[1:] != ids[:-1]
+    new[-1] = True
+    at = np.flatnonzero(new)
+    edge = np.searchsorted(at, np.append(np.cumsum(counts) - counts, len(ids)))
+    return np.diff(edge).astype(np.uint8), np.diff(at).astype(np.uint8), ids[at[:-1]]
 
 
 def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 50, spans: str = "removed_spans", kept_text: str = "kept_bytes", as_text: bool = False) -> DataFrame:
@@ -313,46 +371,65 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     That is binary, since a cut may part a character; with ``as_text`` it is a string without such parts.
     """
+    if width < 8:
+        raise ValueError("strings of less than eight bytes have no anchors")
     kept = [f for f in docs.schema.fields if f.name.lower() not in (spans.lower(), kept_text.lower())]
     names = [f.name for f in kept]
     packs = packed(docs.select(*(F.col(f"`{n}`") for n in names)), text)
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs.count() // 8)
-    anchors = _repeated_anchors(packs, buckets, id_column, text, width)
-    answers = _least_ids(packs, anchors, buckets, id_column, text, width)
+
+    def open_pack(payload) -> _Pack:
+        return _Pack(payload.as_buffer(), id_column, text, width, buckets)
+
+    anchors = _repeated_anchors(packs, buckets, open_pack)
+    answers = _least_ids(packs, anchors, open_pack, width)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
     schema = T.StructType([*kept, T.StructField(spans, span), T.StructField(kept_text, T.StringType() if as_text else T.BinaryType())])
-    span_arrow = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def cut(batches):
         for b in batches:
-            for payload, warm, hot, told in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))):
-                p = _Pack(payload.as_buffer(), id_column, text, width)
-                marks = [np.zeros(len(t) + 1, np.int64) for t in p.texts]
+            for payload, bits, told in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2))):
+                p = open_pack(payload)
+                size = int(p.bounds[-1])
+                edge = np.zeros(size + 1, np.int32)
                 if told:
-                    by = _by_bucket(p.strings(_joined(warm), _joined(hot), buckets))
-                    for x in told:
-                        runs, sizes, ids = _unzip(x["least"], np.uint8, np.uint8, np.int64)
-                        at = 0
-                        for (_, _, places), n in zip(by[x["bucket"]], runs.tolist()):
-                            own = [(int(s), int(i)) for s, i in zip(sizes[at : at + n], ids[at : at + n])]
-                            at += n
-                            for doc, first in places:
-                                start = first
-                                for s, least in own:
-                                    if least < p.ids[doc]:
-                                        marks[doc][start] += 1
-                                        marks[doc][start + s - 1 + width] -= 1
-                                    start += s
-                found, left = [], []
-                for t, m in zip(p.texts, marks):
-                    gone = np.cumsum(m)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    found.append([{"start": int(a), "length": int(z - a)} for a, z in zip(edge[::2], edge[1::2])])
-                    left.append(np.frombuffer(t, np.uint8)[~gone].tobytes() if len(edge) else t)
+                    p.strings(bits)
+                    at = _repeated_places(p, told)
+                    edge[at] += 1
+                    edge[at + width] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                begins, ends = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+                begins[p.bounds], ends[p.bounds] = True, True
+                start = np.flatnonzero(gone & (begins[:-1] | ~np.concatenate(([False], gone[:-1]))))
+                end = np.flatnonzero(gone & (ends[1:] | ~np.concatenate((gone[1:], [False])))) + 1
+                doc = np.searchsorted(p.bounds, start, "right") - 1
+                offsets = np.searchsorted(doc, np.arange(len(p.ids) + 1))
+                pair = pa.StructArray.from_arrays([pa.array(start - p.bounds[doc], pa.int64()), pa.array(end - start, pa.int64())], ["start", "length"])
+                kept_ = p.raw[:size][~gone]
+                left = np.concatenate(([0], np.cumsum(~gone)))[p.bounds]
+                texts = pa.Array.from_buffers(pa.large_binary(), len(p.ids), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(kept_)])
                 if as_text:
-                    left = [t.decode("utf-8", "ignore") for t in left]
+                    texts = pa.array([t.decode("utf-8", "ignore") for t in texts.to_pylist()], pa.string())
                 columns = [p.batch.column(p.batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, span_arrow), pa.array(left, pa.string() if as_text else pa.binary())], names=[*names, spans, kept_text])
-
-    return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "warm", "hot", "answers").mapInArrow(cut, schema)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pair), texts if as_text else texts.cast(pa.binary())], names=[*names, spans, kept_text])
+
+    return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "told", "answers").mapInArrow(cut, schema)
+
+
+def _repeated_places(p: _Pack, told) -> np.ndarray:
+    """Places of the pack's strings that a document with a smaller id has too."""
+    runs = np.zeros(len(p.one_), np.int64)
+    sizes, ids = [np.zeros(0, np.uint8)] * len(told), [np.zeros(0, np.int64)] * len(told)
+    told = sorted(told, key=lambda x: p.sent[x["bucket"]])
+    for k, x in enumerate(told):
+        a, z = p.sent[x["bucket"]]
+        n, sizes[k], ids[k] = grow(x["least"], np.uint8, np.uint8, np.int64)
+        runs[a:z] = n
+    sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+    flat = np.repeat(ids, sizes)  # the least id of each place of each class
+    counts = p.count_[p.one_]
+    begin = np.cumsum(counts) - counts
+    least = flat[_ranges(begin[p.class_of], p.count_)]
+    smaller = least < np.repeat(p.ids[p.doc_], p.count_)
+    return _ranges(p.first_, p.count_)[smaller]

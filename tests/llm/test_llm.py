@@ -53,7 +53,16 @@ def docs(spark, sf_dir):
 # --- passages
 
 
+def brute_spans(rows):
+    """Maximal runs of bytes that go, by id."""
+    return {i: re.findall(b"\x01+", gone.tobytes()) for i, _, gone in brute_marks(rows)}
+
+
 def brute_cuts(rows, width=50):
+    return sorted(((i, np.frombuffer(b, np.uint8)[~gone].tobytes()) for i, b, gone in brute_marks(rows, width)), key=str)
+
+
+def brute_marks(rows, width=50):
     order = lambda i: math.inf if i is None else i
     first = {}
     for i, t in rows:
@@ -68,8 +77,8 @@ def brute_cuts(rows, width=50):
         for k in range(len(b) - width + 1):
             if first[b[k : k + width]] < order(i):
                 gone[k : k + width] = True
-        out.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    return sorted(out, key=str)
+        out.append((i, b, gone))
+    return out
 
 
 def test_passages_match_brute_force(spark, docs):
@@ -97,7 +106,7 @@ def test_very_frequent_passages_go_string_by_string(spark, monkeypatch):
     line = "This line stands on each and every page of the whole collection, always."
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(300)) + line + "".join(rng.choice("abcdefgh ") for _ in range(100))) for i in range(60)]
     monkeypatch.setattr(passages, "PACK_BYTES", 2000)
-    monkeypatch.setattr(passages, "HOT_PACKS", 3)
+    monkeypatch.setattr(passages, "HOT_RUNS", 3)
     monkeypatch.setattr(passages, "BLOCK_BYTES", 500)
     got = passages.dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, bytes(r.kept_bytes)) for r in got), key=str) == brute_cuts(rows)
@@ -115,7 +124,9 @@ def test_merged_transforms():
         for s, o in zip(strings, owner):
             for i in range(len(s) - depth + 1):
                 least[s[i : i + depth]] = min(least.get(s[i : i + depth], 99), o)
-        flat, begin = least_in_intervals(strings, owner, depth, rng.choice([1, 2, 3, 8]))
+        shard = np.sort([rng.randint(0, 3) for _ in strings])
+        flat = least_in_intervals(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.unique(shard, return_inverse=True)[1], owner, depth)
+        begin = np.cumsum([0, *(max(0, len(s) - depth + 1) for s in strings)])
         got = [list(flat[a:z]) for a, z in zip(begin, begin[1:])]
         assert got == [[least[s[i : i + depth]] for i in range(len(s) - depth + 1)] for s in strings]
 
@@ -471,9 +482,13 @@ def test_pipeline_without_rows(spark, sf_dir, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-def test_sha_of_kept_text(spark, sf_dir, docs):
-    got = {r.doc_id: r for r in Q.op1_bwt_dedup(spark, sf_dir).collect()}
-    text = {r.doc_id: r.text.encode() for r in docs.collect()}
-    whole = [r for r in got.values() if not r.n_removed]
-    assert whole and all(r.kept_sha256 == hashlib.sha256(text[r.doc_id]).hexdigest() and r.n_bytes == len(text[r.doc_id]) for r in whole)
-    assert os.path.isdir(sf_dir)
+def test_passage_query_matches_brute_force(spark, sf_dir, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    text = {i: t.encode() for i, t in rows}
+    want = {}
+    for i, left in brute_cuts(rows):
+        want[i] = (len(text[i]), len(text[i]) - len(left), hashlib.sha256(left).hexdigest())
+    got = Q.op1_bwt_dedup(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in got} == want
+    spans = {r.doc_id: r.n_spans for r in got}
+    assert {i: len(s) for i, s in brute_spans(rows).items()} == spans
