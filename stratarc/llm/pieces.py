@@ -12,6 +12,8 @@ that piece per prefix; the ids are then read backwards from the end.
 Characters outside the vocabulary become byte pieces.  Texts are cut beforehand
 only between two characters that no piece has side by side (before a space mark,
 around line feeds, before most punctuation), which is read off the vocabulary.
+Each distinct word between marks is encoded once by a worker; a batch's words are
+numbered, and ids and decoded bytes are gathered by number in arrays.
 
 Defined cases: null text encodes as empty (no ids, decoded text empty); rows
 keep their other columns, whatever these are called; repeated rows are encoded
@@ -22,8 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LEAST = float("-inf")
-#: Words kept with their ids by one Python worker; beyond it the store starts anew (it is only a cache).
-CACHED_WORDS = 400_000
+#: Words, and ids of words, kept by one Python worker; beyond it the store starts anew (it is only a cache).
+CACHED_WORDS, CACHED_IDS = 1_000_000, 1 << 23
 
 
 class PrefixTable:
@@ -72,16 +74,28 @@ class PrefixTable:
                 self.surface.append(self.unk_surface.encode())
             else:
                 self.surface.append(p.piece.replace(MARK, " ").encode())
+        self.pieces = [p.piece for p in spec.pieces]
+        self.size = [len(p) for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+        for piece, i in self.ids.items():
+            if self.merged(piece) == [piece]:  # its own text merges into it; no other piece can be in a final row
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.forget()
+        sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.surface_size, self.surface_at = sizes, np.cumsum(sizes) - sizes
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         mid_mark = any(b == MARK and a != MARK for p in self.ids for a, b in zip(p, p[1:]))
         line = any("\n" in p for p in self.ids)
         self.cut = None if mid_mark or line else self._cut()
+        #: Rough words: what stands between marks and line feeds, cut finer only when met for the first time.
+        self.rough = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if self.cut else None
+
+    def forget(self) -> None:
+        """An empty store of words: numbers by word, ids of all words one after the other."""
+        self.number = _Numbers(self)
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
 
     def _cut(self) -> re.Pattern:
         """Words end before a mark, around line feeds, and between a letter or digit and a sign that follows none in any piece."""
@@ -106,66 +120,85 @@ class PrefixTable:
                 gains[k] = score.get(parts[k] + parts[k + 1], LEAST)
         return parts
 
-    def stands(self, piece: str) -> bool:
-        """Does the piece's own text merge into it?"""
-        if (got := self.whole.get(piece)) is None:
-            got = self.whole[piece] = self.merged(piece) == [piece]
-        return got
-
-    def compatible(self, left: str, right: str) -> bool:
-        if (got := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 4 * CACHED_WORDS:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Do the two pieces stay as they are where they meet?"""
+        if len(self.pairs) > 4 * CACHED_WORDS:
+            self.pairs.clear()
+        left_, right_ = self.pieces[left], self.pieces[right]
+        got = self.pairs[left << 32 | right] = self.merged(left_ + right_) == [left_, right_]
         return got
 
-    def prefixes(self, text: str) -> list[str]:
-        """The last piece of each prefix of the text, by the prefix's length - 1."""
-        ending: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
-        last: list[str] = []
-        for end, char in enumerate(text):
-            found = None
-            for piece in ending[end] if char in self.ids else [*ending[end], char]:
-                start = end - len(piece)
-                if (start < 0 or self.compatible(last[start], piece)) and self.stands(piece):
-                    found = piece
-                    break
-            if found is None:
-                raise AssertionError(f"no last piece for a prefix of {text!r}")
-            last.append(found)
+    def prefixes(self, text: str) -> list[int]:
+        """The last piece of each prefix of the text, by the prefix's length - 1; -1 for a character without a piece."""
+        last, done, size, pairs = [-1] * len(text), -1, self.size, self.pairs
+        for end, piece in self.automaton.iter(text):  # the longest first
+            if end == done:
+                continue
+            start = end - size[piece]
+            if start >= 0 and (left := last[start]) >= 0:
+                fits = pairs.get(left << 32 | piece)
+                if fits is None:
+                    fits = self.compatible(left, piece)
+                if not fits:
+                    continue
+            last[end] = piece
+            done = end
         return last
 
-    def word(self, text: str) -> tuple[int, ...]:
-        if (got := self.words.get(text)) is not None:
-            return got
+    def word(self, text: str) -> list[int]:
+        """The ids of a text without a place to cut."""
         last, at, back = self.prefixes(text), len(text), []
         while at:
-            piece = last[at - 1]
-            if (i := self.ids.get(piece)) is not None:
+            if (i := last[at - 1]) >= 0:
                 back.append(i)
-            elif self.byte_ids[0] is not None:
-                back.extend(self.byte_ids[b] for b in reversed(piece.encode()))
+                at -= self.size[i]
+                continue
+            at -= 1
+            if text[at] in self.ids:
+                raise AssertionError(f"no last piece for a prefix of {text!r}")
+            if self.byte_ids[0] is not None:
+                back.extend(self.byte_ids[b] for b in reversed(text[at].encode()))
             else:
                 back.append(self.unk)
-            at -= len(piece)
-        got = tuple(reversed(back))
-        if len(text) <= 48:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[text] = got
-        return got
+        back.reverse()
+        return back
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and end)."""
+        if len(self.number) > CACHED_WORDS or self.ends[len(self.number)] > CACHED_IDS:
+            self.forget()
+        words: list[str] = []
+        counts = [0]
+        lead = MARK if self.dummy_prefix else ""
+        for t in texts:
+            if t:
+                t = lead + t.replace(" ", MARK)
+                words += self.rough.findall(t) if self.rough else [t]
+            counts.append(len(words))
+        of = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        first, size = self.ends[of], self.ends[of + 1] - self.ends[of]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(first - stop[:-1], size) + np.arange(stop[-1])]
+        return ids, stop[np.array(counts)]
 
-    def encode(self, text: str) -> array:
-        if not text:
-            return array("i")
-        text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        out, known = array("i"), self.words
-        for word in self.cut.findall(text) if self.cut else [text]:
-            out.extend(known.get(word) or self.word(word))
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts; those whose byte pieces are no UTF-8 go piece by piece."""
+        size = self.surface_size[ids]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        raw = self.surface_bytes[np.repeat(self.surface_at[ids] - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+        edge, first = stop[bounds].tolist(), bounds.tolist()
+        out = []
+        for k, (a, z) in enumerate(zip(edge, edge[1:])):
+            strip = self.dummy_prefix and a < z and raw[a] == 32 and self.kind[ids[first[k]]] == NORMAL
+            try:
+                out.append(raw[a + strip : z].decode())
+            except UnicodeDecodeError:
+                out.append(self.decode(ids[first[k] : first[k + 1]].tolist()))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def decode(self, ids) -> str:
         surface, first = self.surface, next((i for i in ids if self.kind[i] != CONTROL), None)
         raw = b"".join(map(surface.__getitem__, ids))
@@ -203,6 +236,27 @@ class PrefixTable:
             fresh = False
 
 
+class _Numbers(dict):
+    """Numbers of words; a word met for the first time is encoded."""
+
+    def __init__(self, table: PrefixTable):
+        self.table = table
+
+    def __missing__(self, text: str) -> int:
+        t, ids = self.table, []
+        for word in t.cut.findall(text) if t.cut else [text]:
+            ids += t.word(word)
+        n = len(self)
+        begin, end = int(t.ends[n]), int(t.ends[n]) + len(ids)
+        if end > len(t.flat):
+            t.flat = np.concatenate((t.flat, np.zeros(max(len(t.flat), end - begin), np.int32)))
+        if n + 2 > len(t.ends):
+            t.ends = np.concatenate((t.ends, np.zeros(len(t.ends), np.int64)))
+        t.flat[begin:end], t.ends[n + 1] = ids, end
+        self[text] = n
+        return n
+
+
 def sentencepiece_round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text", keep_text: bool = True) -> DataFrame:
     """Adds the ids of each whole text and the text decoded from them; see the module for the defined cases.
 
@@ -222,14 +276,10 @@ def sentencepiece_round_trip(docs: DataFrame, model: bytes, text: str = "text",
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [coder.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                flat, ends = array("i"), [0]
-                for r in rows:
-                    flat.extend(r)
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+                flat, bounds = coder.encode_all(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(n)) for n in names), lists, pa.array([coder.decode(r) for r in rows], pa.string())],
+                    [*(batch.column(batch.schema.get_field_index(n)) for n in names), lists, pa.array(coder.decode_all(flat, bounds), pa.string())],
                     names=[*names, ids, decoded],
                 )
 
