@@ -238,7 +238,7 @@ def test_rules(edge, none):
 def test_base_scores_and_gain(spark, docs, edge, none):
     from stratarc.llm.brown import score_documents
 
-    both = docs.select("doc_id", "text").unionByName(edge.where("doc_id <> 5 OR doc_id IS NULL").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
+    both = docs.select("doc_id", "text").unionByName(edge.withColumn("pack", F.lit("x")).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
     rows = both.collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     tokens = [(r.doc_id, [*re.findall(SPACE, ascii_lower(r.text)), None]) for r in rows]
@@ -267,6 +267,85 @@ def test_exchange_never_lowers_the_likelihood():
     assert len({(t, c) for t, c in zip(true, of)}) == 3 and set(of[24:]) == {3, 4}
 
 
+def test_classes_of_the_vocabulary_by_brute_force():
+    from stratarc.llm.brown import best_classes
+
+    rng = np.random.default_rng(2)
+    classes, total, words = 4, 7, 9
+    of = np.array([0, 1, 2, 3, 4, 5, 0, 1, 2])  # two words still have classes by shape
+    met = rng.poisson(1.2, (words, 2, total)) * (rng.random((words, 2, total)) < 0.6)
+    rest = rng.poisson(6, (total, total)).astype(float)  # all that other words add
+    grown = lambda x: float(np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0).sum())
+    like = lambda m: grown(m) - grown(m.sum(0)) - grown(m.sum(1))
+
+    def placed(m, w, k, sign=1):
+        m = m.copy()
+        m[k] += sign * met[w, 0]
+        m[:, k] += sign * met[w, 1]
+        return m
+
+    between = rest
+    for w in range(words):
+        between = placed(between, w, of[w])
+    at = np.argwhere(met.transpose(0, 1, 2).reshape(words, -1))
+    new = best_classes(at[:, 0], at[:, 1], met.reshape(words, -1)[tuple(at.T)], of, between, classes)
+    for w in range(words):
+        without = placed(between, w, of[w], -1) if of[w] < classes else between
+        # the word's own row and column are weighed one by one: sums over its contexts as they stand
+        score = [grown(without[k] + met[w, 0]) - grown(without[k]) + grown(without[:, k] + met[w, 1]) - grown(without[:, k]) for k in range(classes)]
+        score = [x - sum(grown(s[k] + n) - grown(s[k]) for s, n in ((without.sum(1), met[w, 0].sum()), (without.sum(0), met[w, 1].sum()))) for k, x in enumerate(score)]
+        if of[w] >= classes:
+            assert new[w] == int(np.argmax(score))
+    assert (new < classes).all()
+
+
+def test_class_scores_by_brute_force(spark):
+    from stratarc.llm import brown
+
+    rng = random.Random(8)
+    words = ["aa", "bb.", "c,", "dd", "ee", "f#", "gggg", "hh"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(200 + i, f"aa new{i}, dd") for i in range(12)]
+    rows += [(3, rows[3][1]), (None, "aa aa")]
+    got = brown.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    seqs = [(i, [w.encode() for w in t.split()]) for i, t in rows]
+    count = Counter(w for i, ws in seqs if brown.training(i) for w in ws)
+    core = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w)))}
+    symbol = lambda w: core[w] if w in core else len(core) + brown.shape_of(w)
+    end = len(core) + brown.SHAPES
+    bigrams = np.zeros((end + 1, end + 1))
+    for i, ws in seqs:
+        if brown.training(i):
+            row = [end, *map(symbol, ws), end]
+            for a, b in zip(row, row[1:]):
+                bigrams[a, b] += 1
+    classes = min(brown.CLASSES, len(core))
+    of = brown.exchange(bigrams, len(core), classes)
+    total = classes + brown.SHAPES + 1
+    between = np.zeros((total, total))
+    for a, b in np.argwhere(bigrams):
+        between[of[a], of[b]] += bigrams[a, b]
+    mass = between.sum(0)
+    room = Counter()
+    for w, n in count.items():
+        if n < brown.LEAST:
+            room[brown.shape_of(w)] += n + 1
+
+    def score(ws):
+        out, before = 0.0, of[end]
+        for w in [*ws, None]:
+            c = of[end] if w is None else of[symbol(w)]
+            share = (mass[c] + 1) / (mass.sum() + total)
+            out += math.log10((between[before, c] + brown.BACKOFF * share) / (between[before].sum() + brown.BACKOFF))
+            if w is not None:
+                out += math.log10(count[w] / mass[c]) if w in core else math.log10(1 / (1 + room[brown.shape_of(w)]))
+            before = c
+        return out
+
+    want = sorted((str(i), score(ws)) for i, ws in seqs)
+    mine = sorted((str(r.doc_id), r.score) for r in got)
+    assert [x[0] for x in mine] == [x[0] for x in want] and np.allclose([x[1] for x in mine], [x[1] for x in want])
+
+
 # --- toxicity
 
 
