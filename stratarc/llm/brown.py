@@ -1,7 +1,7 @@
 """Perplexity under a Brown class-based bigram model.
 
 Exchange clustering assigns words to classes.  The most frequent words (``CORE``) seed the classes: each moves to the
-class that raises the likelihood of the class bigrams most, until none moves.  Then every other word that training
+class that raises the likelihood of the class bigrams most, until a round gains next to nothing.  Then every other word that training
 holds at least ``LEAST`` times moves to the class that raises it most, given how often each class stands before and
 after it in the whole corpus; rounds go on until the likelihood gains less than ``GAIN`` of itself.  Rarer words have
 no context to speak of: they belong to classes by their shape (length and last sign), which hold any number of words,
@@ -34,7 +34,7 @@ CORE, CLASSES = 800, 48
 #: Words with fewer training tokens have a class by shape.
 LEAST = 2
 #: Rounds of exchange over the whole vocabulary end when one gains less than this share of the log likelihood.
-GAIN, ROUNDS = 0.002, 4
+GAIN, ROUNDS, SEED_GAIN = 0.002, 4, 3e-5
 LENGTHS, SIGNS = 12, 4
 SHAPES = LENGTHS * SIGNS
 #: Weight of the class's own share in a transition.
@@ -64,20 +64,25 @@ def _grown(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def _likelihood(between: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, without the part that no classes change."""
+    return float(_grown(between).sum() - _grown(between.sum(0)).sum() - _grown(between.sum(1)).sum())
+
+
 def exchange(bigrams: np.ndarray, movable: int, classes: int) -> np.ndarray:
     """A class per symbol: the first ``movable`` ones are exchanged among ``classes``, each other is its own class.
 
-    Every move raises the likelihood by some share of the tokens, so that the rounds come to an end.
+    Every move raises the likelihood; rounds over all words end when one gains less than ``SEED_GAIN`` of it.
     """
-    n, least = len(bigrams), 1e-7 * (1 + bigrams.sum())
+    n = len(bigrams)
     of = np.concatenate((np.arange(movable) % classes, classes + np.arange(n - movable))).astype(np.int64)
     member = np.zeros((n, classes + n - movable))
     member[np.arange(n), of] = 1
     right, left = bigrams @ member, bigrams.T @ member  # per word: counts of classes after and before it
     between = member.T @ right
-    moved = True
-    while moved:
-        moved = False
+    reached, before = _likelihood(between), -np.inf
+    while reached - before > SEED_GAIN * abs(reached):
+        before = reached
         for w in range(movable):
             old, same = of[w], bigrams[w, w]
             r, l = right[w].copy(), left[w].copy()
@@ -94,9 +99,8 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int) -> np.ndarray:
             gain += _grown(d + r[k] + l[k] + same) - _grown(d) - (_grown(d + r[k]) - _grown(d)) - (_grown(d + l[k]) - _grown(d))
             gain -= _grown(out_[k] + r.sum() + same) - _grown(out_[k]) + _grown(in_[k] + l.sum() + same) - _grown(in_[k])
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + least:
+            if gain[new] <= gain[old] + 1e-6:
                 continue
-            moved = True
             of[w] = new
             m[new] += r
             m[:, new] += l
@@ -106,6 +110,7 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int) -> np.ndarray:
             right[:, new] += bigrams[:, w]
             left[:, old] -= bigrams[w]
             left[:, new] += bigrams[w]
+        reached = _likelihood(between)
     return of
 
 
@@ -409,11 +414,6 @@ def _classes(p: _Pack, seeds, told) -> np.ndarray:
     return of[p.symbols(core, hashes)]
 
 
-def _likelihood(between: np.ndarray) -> float:
-    """Log likelihood of the class bigrams, without the part that no classes change."""
-    return float(_grown(between).sum() - _grown(between.sum(0)).sum() - _grown(between.sum(1)).sum())
-
-
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
