@@ -435,9 +435,9 @@ def test_hot_group_is_split(spark, none):
 
 
 def test_pages(spark):
-    from stratarc.llm.wrappers import extract_pages, main_text, parse
+    from stratarc.llm.wrappers import by_tags, extract_pages, parse
 
-    assert main_text(parse("<body><header>h</header><p>a <b>b</b>c&amp;d<p>e<script>x</script><ul><li>1<li>2</ul><!-- no --><div class='comments'>c</div>f &lt; g"), set()) == "a bc&d e 1 2 f < g"
+    assert by_tags(parse("<body><header>h</header><p>a <b>b</b>c&amp;d<p>e<script>x</script><ul><li>1<li>2</ul><!-- no --><div class='comments'>c</div>f &lt; g")) == "a bc&d e 1 2 f < g"
     page = lambda i, body: (i, f"http://h.com/{i}", f"<html><body><nav>menu</nav><div class='top'><p>Welcome to our site</p></div><div class='text'><p>{body}</p></div><footer>f</footer></body></html>")
     rows = [page(i, f"story {i}") for i in range(8)] + [(8, "http://h.com/8", None), (9, None, ""), (10, "http://o.com/", "<p>alone"), (None, "http://o.com/", "<p>alone"), (11, "http://h.com/x", "<article><h1>T</h1><div hidden>no</div>" + "<p>w</p>" * 3000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("main_text", F.lit(1)).withColumn("__x", F.lit(2))
@@ -447,6 +447,40 @@ def test_pages(spark):
     assert extract_pages(df.where("false")).count() == 0
 
 
+def test_wrapper_finds_the_content_without_tags_or_classes(spark, sf_dir):
+    from stratarc.llm.wrappers import by_tags, extract_pages, parse
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(article|nav|footer)", "<$1div"), ' class="ad"', "")
+    by_hand = {r.page_id: by_tags(parse(r.html)) for r in pages.collect()}  # these pages have an article each
+    assert {r.page_id: r.main_text for r in extract_pages(pages).collect()} == by_hand
+    plain = pages.withColumn("html", bare)
+    hosts = Counter(re.match("https?://([^/]+)", r.url)[1].lower() for r in pages.collect())
+    many = [r for r in extract_pages(plain, keep_html=True).collect() if hosts[re.match("https?://([^/]+)", r.url)[1].lower()] > 2]
+    assert len(many) > 10 and all(r.main_text == by_hand[r.page_id] for r in many)
+    assert all(r.main_text != by_tags(parse(r.html)) for r in many)  # the wrapper changed each of them
+
+
+def test_two_layouts_of_one_host(spark):
+    from stratarc.llm.wrappers import extract_pages
+
+    story = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    a = lambda i: f"<div class='x'><p>All our stories</p></div><div class='t'><h2>{i}</h2><p>{story(i)}</p></div>"
+    b = lambda i: f"<table><tr><td>Menu {i % 2}</td></tr></table><section><div><p>{story(i)}</p><p>Send this to a friend</p></div></section>"
+    rows = [(i, "http://h.com/", f"<html><body>{(a if i % 2 else b)(i)}</body></html>") for i in range(12)]
+    got = {r.page_id: r.main_text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"{i} {story(i)}" if i % 2 else story(i) for i in range(12)}
+
+
+def test_deep_and_wide_pages(spark):
+    from stratarc.llm.wrappers import extract_pages
+
+    odd = ["<b>" * 3000 + "deep<div>block</div>", "<div>" * 20_000 + "<p>low", "<p>x</p><ul><li>q</ul>" * 800, "</i>" * 20_000 + "<li>" * 5000 + "end"]
+    rows = [(k * 10 + i, f"http://h{k}.com/", f"{t} {i}") for k, t in enumerate(odd) for i in range(3)]
+    got = {r.page_id: r.main_text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got.values())
+
+
 def test_pages_joined_when_too_large_to_send(spark, sf_dir, monkeypatch):
     from stratarc.llm import wrappers
 
