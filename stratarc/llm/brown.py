@@ -41,7 +41,7 @@ SHAPES = LENGTHS * SIGNS
 BACKOFF = 20.0
 PACK_BYTES = 3 << 20
 #: Contexts of words that are weighed at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 _KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
 
@@ -140,7 +140,8 @@ def best_classes(row: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.nda
         gain[r[begin]] += np.add.reduceat(each, begin)
     at = np.arange(words)
     for share, s in ((between.sum(1)[:classes], sums[0]), (between.sum(0)[:classes], sums[1])):
-        gain -= _grown(share + s[:, None]) - _grown(share)
+        for a in range(0, words, CHUNK):
+            gain[a : a + CHUNK] -= _grown(share + s[a : a + CHUNK, None]) - _grown(share)
         own = at[of < classes]
         k, s = of[own], s[own]
         rest = np.maximum(share[k] - s, 0)
@@ -388,8 +389,12 @@ def _round(packs: DataFrame, told: DataFrame, model, classes: int, last: DataFra
         row = np.concatenate([np.repeat(p[0], p[3]) for p in parts])
         context, n = np.concatenate([p[4] for p in parts]).astype(np.int64), np.concatenate([p[5] for p in parts]).astype(np.int64)
         width = 2 * len(between)
-        key, inverse = np.unique(row * width + context, return_inverse=True)
-        n = np.bincount(inverse, weights=n, minlength=len(key))
+        key = row * width + context
+        del row, context
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+        key, n = key[first], np.add.reduceat(n, first) if len(first) else n
         new = of.copy()
         at = np.flatnonzero(free)
         place = np.cumsum(free) - 1
