@@ -82,7 +82,7 @@ def has_body(size: Column) -> Column:
 
 
 def usable_content_type(t: Column) -> Column:
-    return F.coalesce(t.rlike(r"^[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*$") & F.split_part(t, F.lit("/"), F.lit(1)).isin(*TOP_LEVEL), F.lit(False))
+    return F.coalesce(t.rlike(r"^[a-z0-9.+-]+/[a-z0-9.+*-]+$") & F.split_part(t, F.lit("/"), F.lit(1)).isin(*TOP_LEVEL), F.lit(False))
 
 
 def failure_kind(status: Column, error_name: Column, message: Column) -> Column:

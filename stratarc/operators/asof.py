@@ -16,52 +16,73 @@ from stratarc.functions import urls as U
 FILE_ORDER = ("file_name", "byte_offset", "custom_id")
 
 
-def nearest(lookups: DataFrame, candidates: DataFrame, key: str = "key", near: str = "near", ts: str = "archived_ts") -> DataFrame:
+def time_line(candidates: DataFrame, key: str = "key", ts: str = "archived_ts") -> DataFrame:
+    """Candidates made ready for nearest(): one per key and moment, the first in file order (``__key``, ``__ts``, ``__cand``)."""
+    whole = F.struct(F.col(ts).alias("__ts"), *(F.col(c) for c in FILE_ORDER), *(F.col(f"`{c}`") for c in candidates.columns if c not in (key, ts, *FILE_ORDER)), F.col(ts).alias(f"__{ts}"))
+    order = F.struct(*(F.col(c) for c in FILE_ORDER))
+    return candidates.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(ts).alias("__ts")).agg(F.min_by(whole, order).alias("__cand"))
+
+
+def nearest(lookups: DataFrame, candidates: DataFrame, key: str = "key", near: str = "near", ts: str = "archived_ts", dated: bool | None = None) -> DataFrame:
     """The lookups (with a unique ``lookup_id``) with ``hit``, a struct of the candidate's columns or null.
 
-    A null ``near`` takes the newest candidate.  Candidates need ``file_name``, ``byte_offset`` and ``custom_id``.
+    A null ``near`` takes the newest candidate (``dated``: True if none is null, False if all are).  Candidates need
+    ``file_name``, ``byte_offset`` and ``custom_id``, or are a time_line().  Only candidates of keys that are asked for
+    are laid out.
     """
-    whole = F.struct(F.col(ts).alias("__ts"), *(F.col(c) for c in FILE_ORDER), *(F.col(f"`{c}`") for c in candidates.columns if c not in (key, ts, *FILE_ORDER)), F.col(ts).alias(f"__{ts}"))
-    order = F.struct(*(F.col(c) for c in FILE_ORDER))
-    cands = candidates.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(ts).alias("__ts")).agg(F.min_by(whole, order).alias("__cand"))
-    asked = lookups.where(F.col(key).isNotNull())
-    dated = asked.where(F.col(near).isNotNull())
-    rows = cands.select("__key", F.to_date("__ts").alias("__day"), "__ts", F.lit(None).cast("string").alias("__id"), "__cand").unionByName(
-        dated.select(F.col(key).alias("__key"), F.to_date(near).alias("__day"), F.col(near).alias("__ts"), F.col("lookup_id").cast("string").alias("__id"), F.lit(None).cast(cands.schema["__cand"].dataType).alias("__cand"))
-    )
-    day = Window.partitionBy("__key", "__day")
-    first = F.col("__id").isNotNull()  # candidates before lookups of the same moment
-    back = day.orderBy("__ts", first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = day.orderBy(F.desc("__ts"), first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.select("*", F.last("__cand", ignorenulls=True).over(back).alias("__b"), F.last("__cand", ignorenulls=True).over(ahead).alias("__a")).where("__id IS NOT NULL")
-    days = rows.groupBy("__key", "__day").agg(F.min("__cand").alias("__lo"), F.max("__cand").alias("__hi"))
-    along = Window.partitionBy("__key").orderBy("__day")
-    days = days.select(
-        F.col("__key").alias("__k"),
-        F.col("__day").alias("__d"),
-        F.last("__hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-    )
-    both = inside.join(days, F.expr("__key = __k AND __day = __d"))
-    b, a = F.coalesce("__b", "__before"), F.coalesce("__a", "__after")
-    gap = lambda c: F.abs(F.unix_micros(c["__ts"].cast("timestamp")) - F.unix_micros(F.col("__ts").cast("timestamp")))
-    place = lambda c: F.struct(*(c[x] for x in FILE_ORDER))
-    choice = F.when(a.isNull(), b).when(b.isNull(), a).when((gap(b) < gap(a)) | ((gap(b) == gap(a)) & (place(b) <= place(a))), b).otherwise(a)
-    newest = cands.groupBy("__key").agg(F.max_by("__cand", "__ts").alias("__hit"))
-    undated = asked.where(F.col(near).isNull()).join(newest, F.col(key) == F.col("__key")).select(F.col("lookup_id").cast("string").alias("__id"), "__hit")
-    hits = both.select("__id", choice.alias("__hit")).unionByName(undated)
-    out = lookups.join(hits, lookups["lookup_id"].cast("string") == F.col("__id"), "left")
     fields = [c for c in candidates.columns if c != key]
+    cands = time_line(candidates, key, ts) if "__cand" not in candidates.columns else candidates
+    if "__cand" in candidates.columns:
+        fields = [ts if c == f"__{ts}" else c for c in cands.schema["__cand"].dataType.names if c != "__ts"]
+    asked = lookups.where(F.col(key).isNotNull())
+    cands = cands.join(asked.select(F.col(key).alias("__key")).distinct(), "__key", "left_semi")
+    hits = []
+    if dated is not False:
+        with_date = asked.where(F.col(near).isNotNull())
+        rows = cands.select("__key", F.to_date("__ts").alias("__day"), "__ts", F.lit(None).cast("string").alias("__id"), "__cand").unionByName(
+            with_date.select(F.col(key).alias("__key"), F.to_date(near).alias("__day"), F.col(near).alias("__ts"), F.col("lookup_id").cast("string").alias("__id"), F.lit(None).cast(cands.schema["__cand"].dataType).alias("__cand"))
+        )
+        day = Window.partitionBy("__key", "__day")
+        first = F.col("__id").isNotNull()  # candidates before lookups of the same moment
+        back = day.orderBy("__ts", first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ahead = day.orderBy(F.desc("__ts"), first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = rows.select("*", F.last("__cand", ignorenulls=True).over(back).alias("__b"), F.last("__cand", ignorenulls=True).over(ahead).alias("__a")).where("__id IS NOT NULL").drop("__cand")
+        days = rows.groupBy("__key", "__day").agg(F.min("__cand").alias("__lo"), F.max("__cand").alias("__hi"))
+        along = Window.partitionBy("__key").orderBy("__day")
+        days = days.select(
+            F.col("__key").alias("__k"),
+            F.col("__day").alias("__d"),
+            F.last("__hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+            F.first("__lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        )
+        both = inside.join(days, F.expr("__key = __k AND __day = __d"))
+        b, a = F.coalesce("__b", "__before"), F.coalesce("__a", "__after")
+        gap = lambda c: F.abs(F.unix_micros(c["__ts"].cast("timestamp")) - F.unix_micros(F.col("__ts").cast("timestamp")))
+        place = lambda c: F.struct(*(c[x] for x in FILE_ORDER))
+        choice = F.when(a.isNull(), b).when(b.isNull(), a).when((gap(b) < gap(a)) | ((gap(b) == gap(a)) & (place(b) <= place(a))), b).otherwise(a)
+        hits.append(both.select("__id", choice.alias("__hit")))
+    if not dated:
+        newest = cands.groupBy("__key").agg(F.max_by("__cand", "__ts").alias("__hit"))
+        hits.append(asked.where(F.col(near).isNull()).join(newest, F.col(key) == F.col("__key")).select(F.col("lookup_id").cast("string").alias("__id"), "__hit"))
+    found = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    out = lookups.join(found, lookups["lookup_id"].cast("string") == F.col("__id"), "left")
     hit = F.when(F.col("__hit").isNotNull(), F.struct(*((F.col(f"__hit.__{ts}") if c == ts else F.col("__hit")[c]).alias(c) for c in fields)))
     return out.select(*(lookups[c] for c in lookups.columns), hit.alias("hit"))
 
 
-def nearest_by_keys(lookups: DataFrame, groups: DataFrame, candidates: DataFrame, url: str = "url", near: str = "near") -> DataFrame:
+def nearest_by_keys(lookups: DataFrame, groups: DataFrame, candidates: DataFrame, url: str = "url", near: str = "near", dated: bool | None = None) -> DataFrame:
     """The first lookup key that has any captures decides, even if none of them can be shown.
 
     ``groups``: the distinct URIs held.  Adds ``key``, ``hit`` and ``outcome``: hit, no-payload or not-archived.
+    ``candidates``: rows with their ``uri``, or keyed_time_line() of them.
     """
     keys = lookups.select("lookup_id", F.posexplode(U.lookup_keys(F.col(url))).alias("__pos", "__uri"))
     held = keys.join(groups.select(F.col("uri").alias("__uri")), "__uri", "left_semi").groupBy("lookup_id").agg(F.min_by("__uri", "__pos").alias("key"))
-    found = nearest(lookups.join(held, "lookup_id", "left"), candidates.withColumnRenamed("uri", "key").withColumn("uri", F.col("key")), near=near)
+    line = candidates if "__cand" in candidates.columns else keyed_time_line(candidates)
+    found = nearest(lookups.join(held, "lookup_id", "left"), line, near=near, dated=dated)
     return found.withColumn("outcome", F.when(F.col("hit").isNotNull(), "hit").when(F.col("key").isNotNull(), "no-payload").otherwise("not-archived"))
+
+
+def keyed_time_line(candidates: DataFrame) -> DataFrame:
+    """time_line() by URI, with the URI kept among the fields."""
+    return time_line(candidates.withColumnRenamed("uri", "key").withColumn("uri", F.col("key")))

@@ -22,7 +22,7 @@ def resolve_refs(refs: DataFrame, captures: DataFrame, dates: DataFrame, shown:
     asked = refs.where("target IS NOT NULL").groupBy("page_uri", "target").agg(F.min("pos").alias("pos"))
     asked = asked.join(dates.withColumnRenamed("uri", "page_uri"), "page_uri")
     lookups = asked.select(F.concat_ws(" ", "page_uri", "target").alias("lookup_id"), F.col("target").alias("url"), "near")
-    final, _ = follow_redirects(lookups, captures, shown=shown)
+    final, _ = follow_redirects(lookups, captures, shown=shown, dated=True)
     return asked.withColumn("lookup_id", F.concat_ws(" ", "page_uri", "target")).join(final, "lookup_id").drop("lookup_id")
 
 

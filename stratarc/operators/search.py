@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from stratarc.functions import headers as H
 from stratarc.functions import urls as U
 
 PAGE, LAST_PAGE, COUNTED = 16, 626, 10_001
+#: Latin letters with an accent and what they are without (by Unicode decomposition).
+ACCENTS = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xE0, 0x180) if chr(c).islower() and len(unicodedata.normalize("NFD", chr(c))) > 1}
 
 
 def matches(uri: Column, query: str) -> Column:
@@ -115,6 +119,12 @@ def byte_budget(ids: DataFrame, group: str, id_column: str, order: str, budget:
 
 
 def natural_key(segment: Column) -> Column:
-    """Digit runs compare as numbers: each is padded, letters are lower-case."""
-    parts = F.regexp_extract_all(F.lower(segment), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+    """Digit runs compare as numbers: each follows its length; letters are lower-case and without accents."""
+    plain = F.translate(F.lower(segment), "".join(ACCENTS), "".join(ACCENTS.values()))
+    parts = F.regexp_extract_all(plain, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def numbered(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, numbered), "")

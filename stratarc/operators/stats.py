@@ -89,8 +89,9 @@ def capture_pattern(captures: DataFrame) -> DataFrame:
 
 def content_types(captures: DataFrame) -> DataFrame:
     """Per essence the number of distinct tree nodes; empty types excluded."""
-    nodes = captures.select(H.content_essence(F.col("content_type_raw")).alias("content_type"), U.node_url(F.col("uri")).alias("node"))
-    return nodes.where("content_type <> '' AND node IS NOT NULL").groupBy("content_type").agg(F.count_distinct("node").alias("nodes"), F.count("*").alias("captures"))
+    uris = captures.groupBy("uri", H.content_essence(F.col("content_type_raw")).alias("content_type")).agg(F.count("*").alias("n")).where("content_type <> ''")
+    nodes = uris.select("content_type", U.node_url(F.col("uri")).alias("node"), "n").where("node IS NOT NULL")
+    return nodes.groupBy("content_type", "node").agg(F.sum("n").alias("n")).groupBy("content_type").agg(F.count("*").alias("nodes"), F.sum("n").alias("captures"))
 
 
 def usable_types(captures: DataFrame) -> DataFrame:
@@ -101,10 +102,12 @@ def usable_types(captures: DataFrame) -> DataFrame:
 
 def worst_status(captures: DataFrame) -> DataFrame:
     """Per tree node over its responses: the highest status, or the lowest if that is below 300; 1 if all are null, 0 without responses."""
-    nodes = captures.select(F.explode(U.node_path(F.col("uri"))).alias("node"), "rec_type", "status")
     response = F.col("rec_type") == "response"
-    top, low = F.max(F.when(response, F.col("status"))), F.min(F.when(response, F.col("status")))
-    return nodes.groupBy("node").agg(F.when(F.count_if(response) == 0, 0).when(top.isNull(), 1).when(top < 300, low).otherwise(top).cast("int").alias("worst"))
+    status = F.when(response, F.col("status"))
+    uris = captures.groupBy("uri").agg(F.count_if(response).alias("n"), F.max(status).alias("top"), F.min(status).alias("low"))
+    nodes = uris.select(F.explode(U.node_path(F.col("uri"))).alias("node"), "n", "top", "low")
+    top, low = F.max("top"), F.min("low")
+    return nodes.groupBy("node").agg(F.when(F.sum("n") == 0, 0).when(top.isNull(), 1).when(top < 300, low).otherwise(top).cast("int").alias("worst"))
 
 
 def redirect_bodies(captures: DataFrame, small: int = 256) -> DataFrame:

@@ -40,7 +40,7 @@ def find_segments(tree: DataFrame, query: str) -> DataFrame:
 
 
 def find_type(captures: DataFrame, content_type: str, normal: bool = False) -> DataFrame:
-    rows = captures.where(H.content_essence(F.col("content_type_raw")) == content_type)
+    rows = captures.where(H.content_essence(F.col("content_type_raw")) == content_type).select("uri").distinct()
     return rows.select(U.node_url(F.col("uri"), normal).alias("node")).where("node IS NOT NULL").distinct()
 
 
@@ -90,13 +90,13 @@ def untreed(captures: DataFrame) -> DataFrame:
 
 def search_loaded(captures: DataFrame, tree: DataFrame, query: str, content_type: str | None = None, limit: int = 25) -> DataFrame:
     """Segment search; only if it finds no node, the whole URL.  One row per URL with count, newest date and type."""
-    by_node = captures.withColumn("node", U.node_url(F.col("uri")))
-    hit = find_segments(tree, query)
-    found = hit.agg((F.count("*") > 0).alias("__any"))
-    flagged = by_node.join(hit.withColumn("__hit", F.lit(True)), "node", "left").crossJoin(F.broadcast(found))
-    rows = flagged.where(F.when(F.col("__any"), F.coalesce("__hit", F.lit(False))).otherwise(matches(F.col("uri"), query.strip())))
+    rows = captures.where("rec_type = 'response'")
     if content_type:
         rows = rows.where(H.content_essence(F.col("content_type_raw")) == content_type)
-    rows = rows.where("rec_type = 'response'")
+    # counted per URL first: nodes are looked up once for each
     grouped = rows.groupBy("uri").agg(F.count("*").alias("n"), F.max("archived_ts").alias("newest_ts"), F.max_by(H.content_essence(F.col("content_type_raw")), F.struct("archived_ts", "custom_id")).alias("content_type"))
+    hit = find_segments(tree, query)
+    found = hit.agg((F.count("*") > 0).alias("__any"))
+    flagged = grouped.withColumn("node", U.node_url(F.col("uri"))).join(hit.withColumn("__hit", F.lit(True)), "node", "left").crossJoin(F.broadcast(found))
+    grouped = flagged.where(F.when(F.col("__any"), F.coalesce("__hit", F.lit(False))).otherwise(matches(F.col("uri"), query.strip()))).drop("node", "__hit", "__any")
     return grouped.orderBy(F.desc("n"), "uri").limit(limit)

@@ -70,10 +70,9 @@ def uri_stats(spark, d):
     return stats.uri_stats(captures(spark, d))
 
 
-@query("capture_pattern", "SELECT pattern, count(*) AS urls FROM (SELECT CASE WHEN count(*) = 1 THEN 'one' WHEN count(DISTINCT CAST(archived_ts AS DATE)) = 1 THEN 'one day' ELSE 'several days' END AS pattern FROM cap WHERE event_id % 400 < 30 GROUP BY uri) GROUP BY pattern")
+@query("capture_pattern", "SELECT pattern, count(*) AS urls FROM (SELECT CASE WHEN count(*) = 1 THEN 'one' WHEN count(DISTINCT CAST(archived_ts AS DATE)) = 1 THEN 'one day' ELSE 'several days' END AS pattern FROM cap GROUP BY uri) GROUP BY pattern")
 def capture_pattern(spark, d):
-    # few events per URL, so that every pattern occurs
-    return stats.capture_pattern(captures(spark, d).where("event_id % 400 < 30"))
+    return stats.capture_pattern(captures(spark, d))
 
 
 @query("capture_pattern_all", "SELECT pattern, count(*) AS urls FROM (SELECT CASE WHEN count(*) = 1 THEN 'one' WHEN count(DISTINCT CAST(archived_ts AS DATE)) = 1 THEN 'one day' ELSE 'several days' END AS pattern FROM cap GROUP BY uri) GROUP BY pattern")
@@ -118,7 +117,7 @@ def content_types(spark, d):
     return stats.content_types(captures(spark, d))
 
 
-@query("usable_types", "SELECT DISTINCT content_type FROM cap WHERE regexp_full_match(content_type, '[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*') AND split_part(content_type, '/', 1) IN ('application', 'audio', 'font', 'image', 'message', 'model', 'multipart', 'text', 'video')")
+@query("usable_types", "SELECT DISTINCT content_type FROM cap WHERE regexp_full_match(content_type, '[a-z0-9.+-]+/[a-z0-9.+*-]+') AND split_part(content_type, '/', 1) IN ('application', 'audio', 'font', 'image', 'message', 'model', 'multipart', 'text', 'video')")
 def usable_types(spark, d):
     return stats.usable_types(captures(spark, d))
 
@@ -234,10 +233,10 @@ def captures_of_uri(spark, d):
     return search.captures_of(captures(spark, d), pages(spark, d).agg(F.min("url")).first()[0]).select("custom_id", "archived_ts", "n")
 
 
-@query("same_site", "SELECT custom_id FROM cap WHERE uri IN (SELECT uri FROM cap WHERE event_id % 500 = 7)")
+@query("same_site", "SELECT custom_id FROM cap WHERE uri IN (SELECT uri FROM cap WHERE event_id % 50 = 0)")
 def same_site(spark, d):
     c = captures(spark, d)
-    return search.same_site(c, c.where("event_id % 500 = 7").select("custom_id")).select("custom_id")
+    return search.same_site(c, c.where("event_id % 50 = 0").select("custom_id")).select("custom_id")  # the stated set of queries
 
 
 @query(
@@ -314,15 +313,15 @@ def revisit_rate(spark, d):
 
 
 def lookups(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth page, with and without a fragment, at the times of one user's events; and URLs that are not held."""
-    urls = pages(spark, d).where("page_id % 10 = 3").select("page_id", "url")
-    times = events(spark, d).where("user_id = 7").select("event_id", F.col("ts").alias("near"))
-    held = urls.crossJoin(F.broadcast(times))  # a stated query set: the few events of one user
+    """A lookup for every event: some page, with or without a fragment, at the event's time; and URLs that are not held."""
+    p = pages(spark, d)
+    times = events(spark, d).select("event_id", F.col("ts").alias("near"), ((F.col("event_id") * 13 + 5) % F.lit(p.count())).alias("page_id"))
+    held = times.join(p.select("page_id", "url"), "page_id")
     url = F.when(F.col("event_id") % 3 == 0, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#part"))).when(F.col("event_id") % 11 == 0, F.concat("url", F.lit("x"))).otherwise(F.col("url"))
-    return held.select(F.concat_ws("/", "page_id", "event_id").alias("lookup_id"), url.alias("url"), "near")
+    return held.select(F.col("event_id").cast("string").alias("lookup_id"), url.alias("url"), "near")
 
 
-LOOKUP_SQL = """ lk AS (SELECT p.page_id || '/' || e.event_id AS lookup_id, CASE WHEN e.event_id % 3 = 0 THEN regexp_replace(p.url, '#.*$', '') || '#part' WHEN e.event_id % 11 = 0 THEN p.url || 'x' ELSE p.url END AS url, e.ts AS near FROM pages p, events e WHERE p.page_id % 10 = 3 AND e.user_id = 7)"""
+LOOKUP_SQL = """ lk AS (SELECT CAST(e.event_id AS VARCHAR) AS lookup_id, CASE WHEN e.event_id % 3 = 0 THEN regexp_replace(p.url, '#.*$', '') || '#part' WHEN e.event_id % 11 = 0 THEN p.url || 'x' ELSE p.url END AS url, e.ts AS near FROM events e, np JOIN pages p ON p.page_id = (e.event_id * 13 + 5) % np.n)"""
 
 
 def _hop_sql(n: int, start: str, follow: int, stop: str = "false") -> str:
@@ -350,7 +349,7 @@ FINAL = ("lookup_id", "outcome", "custom_id", "hops", "final_url", "redirects_to
 @query("nearest_capture", "SELECT lookup_id, url, f.custom_id, f.archived_ts FROM lk LEFT JOIN (SELECT * FROM (SELECT l.lookup_id AS lid, s.*, row_number() OVER (PARTITION BY l.lookup_id ORDER BY abs(epoch_us(s.archived_ts) - epoch_us(l.near)), s.file_name, s.byte_offset, s.custom_id) AS rn FROM lk l JOIN shown s ON s.uri = l.url) WHERE rn = 1) f ON f.lid = lookup_id", RESOLVE_SQL + "," + LOOKUP_SQL)
 def nearest_capture(spark, d):
     shown = resolve.candidates(captures(spark, d)).withColumnRenamed("uri", "key")
-    found = asof.nearest(lookups(spark, d).withColumn("key", F.col("url")), shown)
+    found = asof.nearest(lookups(spark, d).withColumn("key", F.col("url")), shown, dated=True)
     return found.select("lookup_id", "url", F.col("hit.custom_id").alias("custom_id"), F.col("hit.archived_ts").alias("archived_ts"))
 
 
@@ -365,23 +364,23 @@ def newest_capture(spark, d):
 @query("nearest_by_keys", "SELECT lookup_id, key, custom_id, CASE WHEN state IN ('not-archived', 'no-payload') THEN state ELSE 'hit' END AS outcome FROM h0", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql(0))
 def nearest_by_keys(spark, d):
     c = captures(spark, d)
-    found = asof.nearest_by_keys(lookups(spark, d), c.select("uri").distinct(), resolve.candidates(c))
+    found = asof.nearest_by_keys(lookups(spark, d), c.select("uri").distinct(), resolve.candidates(c), dated=True)
     return found.select("lookup_id", "key", F.col("hit.custom_id").alias("custom_id"), "outcome")
 
 
 @query("redirect_final", f"SELECT {', '.join(FINAL)} FROM final", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql())
 def redirect_final(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d))[0].select(*FINAL)
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), dated=True)[0].select(*FINAL)
 
 
 @query("redirect_hops", "SELECT * FROM hops", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql())
 def redirect_hops(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d))[1]
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), dated=True)[1]
 
 
 @query("redirect_stop_bodied", f"SELECT {', '.join(FINAL)} FROM final", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql(5, "true"))
 def redirect_stop_bodied(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), stop_at_body=True)[0].select(*FINAL)
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), stop_at_body=True, dated=True)[0].select(*FINAL)
 
 
 @query("one_hop", "SELECT lookup_id AS custom_id, url AS target, h0.custom_id AS target_id FROM h0", RESOLVE_SQL + ", mv AS (SELECT custom_id AS lookup_id, target AS url, archived_ts AS near FROM cap WHERE rec_type = 'response' AND target IS NOT NULL)," + _chain_sql(0, source="mv"))
@@ -389,11 +388,11 @@ def one_hop(spark, d):
     return resolve.one_hop(captures(spark, d))
 
 
-@query("from_page", "SELECT lookup_id, outcome, custom_id FROM final", RESOLVE_SQL + """, fp AS (SELECT p.page_id AS lookup_id, p.url, q.url AS from_url FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE p.page_id % 4 = 1),
+@query("from_page", "SELECT lookup_id, outcome, custom_id FROM final", RESOLVE_SQL + """, fp AS (SELECT p.page_id AS lookup_id, p.url, q.url AS from_url FROM pages p JOIN pages q ON q.page_id = p.page_id + 1),
  d0 AS (SELECT f.lookup_id, CAST('2100-01-01' AS TIMESTAMP) AS near, f.from_url AS url FROM fp f),""" + _chain_sql(source="d0").replace("final AS", "page_final AS").replace("hops AS (", "page_hops AS (") + """, fp2 AS (SELECT CAST(f.lookup_id AS VARCHAR) AS lookup_id, f.url, coalesce(s.archived_ts, CAST('2024-02-01' AS TIMESTAMP)) AS near FROM fp f LEFT JOIN page_final pf ON pf.lookup_id = f.lookup_id LEFT JOIN shown s ON s.custom_id = pf.custom_id),""" + re.sub(r"\b([skfho])(\d)\b", r"\1\g<2>b", _chain_sql(source="fp2")))
 def from_page(spark, d):
     p, q = pages(spark, d), pages(spark, d)
-    asked = p.where("page_id % 4 = 1").join(q.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("from_url")), "page_id").select(F.col("page_id").cast("string").alias("lookup_id"), "url", "from_url")
+    asked = p.join(q.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("from_url")), "page_id").select(F.col("page_id").cast("string").alias("lookup_id"), "url", "from_url")
     c = captures(spark, d)
     shown = stored(resolve.candidates(c), "candidates")
     return resolve.from_page(asked, c, shown, F.lit("2024-02-01").cast("timestamp_ntz"))[0].select("lookup_id", "outcome", "custom_id")
@@ -475,22 +474,22 @@ def search_fallback(spark, d):
 
 # --- references and exports
 
-REFS_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages WHERE page_id % 5 < 2),
+REFS_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
  r1 AS (SELECT page_uri, CAST(min(pos) AS INTEGER) AS pos, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0 WHERE ref <> '' GROUP BY ALL)"""
 
 
-def _resolved_refs(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """References of two fifths of the pages, or of every page, a third of them bent to held pages, resolved at the page's newest date."""
+def _resolved_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References of every page, a third of them bent to held pages, resolved at the page's newest date."""
     c = captures(spark, d)
     n = pages(spark, d).count()
-    found = refs.page_refs(pages(spark, d).where("true" if every else "page_id % 5 < 2"))
+    found = refs.page_refs(pages(spark, d))
     held = pages(spark, d).select(F.col("page_id").alias("__to"), F.col("url").alias("__url"))
     bent = found.withColumn("__to", F.when(F.col("pos") % 3 == 0, (F.length("page_uri") * 13 + F.length("ref") * 7) % n)).join(held, "__to", "left")
     dates = c.groupBy("uri").agg(F.max("archived_ts").alias("near"))
     return refs.resolve_refs(bent.withColumn("target", F.coalesce("__url", "target")), c, dates), c
 
 
-BENT_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages WHERE page_id % 5 < 2),
+BENT_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
  r1 AS (SELECT r0.page_uri, CAST(min(pos) AS INTEGER) AS pos, coalesce(p.url, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref) AS target FROM r0 CROSS JOIN np LEFT JOIN pages p ON pos % 3 = 0 AND p.page_id = (length(page_uri) * 13 + length(ref) * 7) % np.n WHERE ref <> '' GROUP BY ALL),
  r2 AS (SELECT page_uri, target, min(pos) AS pos FROM r1 GROUP BY ALL),
  dates AS (SELECT uri, max(archived_ts) AS near FROM cap GROUP BY uri),
@@ -499,10 +498,10 @@ BENT_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extra
 
 @query("page_refs", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL)
 def page_refs(spark, d):
-    return refs.page_refs(pages(spark, d).where("page_id % 5 < 2"))
+    return refs.page_refs(pages(spark, d))
 
 
-@query("page_refs_all", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL.replace(" WHERE page_id % 5 < 2", ""))
+@query("page_refs_all", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL)
 def page_refs_all(spark, d):
     """References of every page."""
     return refs.page_refs(pages(spark, d))
@@ -513,9 +512,9 @@ def missing_refs(spark, d):
     return refs.missing_refs(_resolved_refs(spark, d)[0])
 
 
-@query("missing_refs_all", "SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400", BENT_SQL.replace(" WHERE page_id % 5 < 2", ""))
+@query("missing_refs_all", "SELECT page_uri, target, pos, CASE WHEN outcome <> 'hit' THEN outcome ELSE 'error-status' END AS reason FROM res WHERE outcome <> 'hit' OR status >= 400", BENT_SQL)
 def missing_refs_all(spark, d):
-    return refs.missing_refs(_resolved_refs(spark, d, True)[0])
+    return refs.missing_refs(_resolved_refs(spark, d)[0])
 
 
 @query("resolved_refs", "SELECT page_uri, target AS asked, final_url AS served, custom_id, coalesce(status, 200) AS status, coalesce(nullif(content_type, ''), 'application/octet-stream') AS content_type, coalesce(payload_size, 0) AS bytes, hops, false AS differs FROM res WHERE outcome = 'hit'", BENT_SQL)

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def cell(x):
-    if x is None or (isinstance(x, float) and pd.isna(x)) or x is pd.NaT:
+    if x is None or x is pd.NA or (isinstance(x, float) and pd.isna(x)) or x is pd.NaT:
         return None
     if isinstance(x, pd.Timestamp):
         return x.isoformat()

@@ -26,7 +26,7 @@ def test_references_of_every_page(spark, sf_dir):
 
     linked = pages(spark, sf_dir).where("html RLIKE '(href|src)=\"'").count()
     count = lambda name: QUERIES[name](spark, sf_dir).select("page_uri").distinct().count()
-    assert count("page_refs_all") == linked > count("page_refs")
+    assert count("page_refs_all") == linked == count("page_refs")
 
 
 def test_pattern_of_every_url(spark, sf_dir):
