@@ -38,7 +38,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LEAST = float("-inf")
 #: Words, and ids of words, kept by one Python worker; beyond it the store starts anew (it is only a cache).
-CACHED_WORDS, CACHED_IDS = 1_000_000, 1 << 23
+CACHED_WORDS, CACHED_IDS = 300_000, 1 << 22
 
 
 class PrefixTable:
