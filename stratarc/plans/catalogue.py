@@ -185,6 +185,60 @@ def failure_kinds(spark, d):
     return stats.failures(log)
 
 
+@query("number_forms", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL WHEN 2 THEN CAST(event_id AS DOUBLE) ELSE event_id / 10.0 END AS number FROM events")
+def number_forms(spark, d):
+    i = F.col("event_id")
+    text = F.when(i % 4 == 0, F.lit(" ")).when(i % 4 == 1, F.concat(i.cast("string"), F.lit(" kB"))).when(i % 4 == 2, F.concat(F.lit(" "), i.cast("string"))).otherwise((i / 10.0).cast("string"))
+    return events(spark, d).select("event_id", H.number_or_null(text).alias("number"))
+
+
+@query("date_forms", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE date_trunc('second', ts) END AS date FROM events")
+def date_forms(spark, d):
+    """ISO dates, HTTP dates, and text that is no date."""
+    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    text = F.when(i % 3 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i % 3 == 1, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise("Someday, 2024")
+    return events(spark, d).select("event_id", H.date_or_null(text).cast("timestamp_ntz").alias("date"))
+
+
+@query("quality_flags", "SELECT custom_id, event_id % 3 = 1 AS chunked, event_id % 5 = 0 AS truncated, CASE WHEN event_id % 7 = 0 THEN custom_id ELSE uuid END AS shown_id FROM cap")
+def quality_flags(spark, d):
+    i = F.col("event_id")
+    chunks = F.when(i % 3 == 0, F.array().cast("array<bigint>")).when(i % 3 == 1, F.array(F.lit(4).cast("long"), i))
+    flags = H.quality_flags(chunks, F.when(i % 5 == 0, "length"), F.when(i % 7 == 0, "").otherwise(F.col("uuid")), F.col("custom_id"))
+    return captures(spark, d).select("custom_id", flags.alias("f")).select("custom_id", "f.*")
+
+
+@query("all_files", "SELECT file_name, count(*) AS n FROM cap GROUP BY file_name")
+def all_files(spark, d):
+    """Captures of even and odd files, of which only one has the header bags, as one table."""
+    c = captures(spark, d)
+    return C.all_files(c.where("event_id % 2 = 0"), c.where("event_id % 2 = 1").drop("headers")).groupBy("file_name").agg(F.count("*").alias("n"))
+
+
+@query("json_rows", "SELECT custom_id, archived_ts, status, content_type, byte_offset, location FROM cap")
+def json_rows(spark, d):
+    """The captures as JSON rows, read back: header bags as objects or as JSON text, offsets as numbers or text."""
+    from stratarc.sources.rows import read_rows
+
+    c, at = captures(spark, d), f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    even = F.col("event_id") % 2 == 0
+    plain = c.select("custom_id", "uri", F.date_format("archived_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("archived_ts"), "status", F.col("content_type_raw").alias("content_type"), "byte_offset", "headers", even.alias("even"))
+    plain.where("even").drop("even").write.json(f"{at}/even")
+    plain.where("NOT even").drop("even").withColumn("byte_offset", F.col("byte_offset").cast("string")).withColumn("headers", F.to_json("headers")).write.json(f"{at}/odd")
+    rows = read_rows(spark, f"{at}/even").unionByName(read_rows(spark, f"{at}/odd"))
+    return rows.select("custom_id", F.col("archived_ts").cast("timestamp_ntz").alias("archived_ts"), "status", "content_type", "byte_offset", H.header(F.col("headers"), "location").alias("location"))
+
+
+@query("archive_detail", "SELECT custom_id, has_request, redirect, uri FROM (SELECT r.custom_id, r.uri, count(q.custom_id) > 0 AS has_request, coalesce(r.status BETWEEN 300 AND 399, false) AS redirect FROM cap r LEFT JOIN cap q ON q.rec_type = 'request' AND q.concurrent_uuid = r.uuid WHERE r.rec_type = 'response' GROUP BY r.custom_id, r.uri, r.status) WHERE custom_id = (SELECT min(custom_id) FROM cap WHERE rec_type = 'response')")
+def archive_detail(spark, d):
+    """The named function for one capture."""
+    from stratarc import api
+
+    c = captures(spark, d)
+    one = c.where("rec_type = 'response'").agg(F.min("custom_id")).first()[0]
+    return api.get_capture_detail(c, one).select("custom_id", "has_request", "redirect", "uri")
+
+
 # --- search and paging
 
 FOUND_SQL = " found AS (SELECT DISTINCT uri, CAST(len(segs) AS INTEGER) AS level FROM cap WHERE contains(lower(uri), 'th'))"
@@ -211,6 +265,11 @@ def search_capped(spark, d):
     return search.capped_count(captures(spark, d), "th")
 
 
+@query("search_exact", "SELECT count(*) AS total FROM found", FOUND_SQL)
+def search_exact(spark, d):
+    return search.found_uris(captures(spark, d), "th").agg(F.count("*").alias("total"))
+
+
 @query(
     "search_summary",
     "SELECT (SELECT count(*) FROM pg) AS shown, t AS total, t >= 10001 AS capped, 1 AS page, CAST(least(greatest(ceil(t / 16.0), 1), 626) AS INTEGER) AS pages, (SELECT level FROM pg ORDER BY level DESC, uri DESC LIMIT 1) AS next_level, (SELECT uri FROM pg ORDER BY level DESC, uri DESC LIMIT 1) AS next_uri FROM (SELECT least(count(*), 10001) AS t FROM found)",
@@ -613,6 +672,33 @@ def stream_changed_nodes(spark, d):
     return live.drain(live.live_nodes(rows), "update", ["node"], at)
 
 
+@query("stream_totals", "SELECT count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses FROM cap")
+def stream_totals(spark, d):
+    rows, at = _stream(spark, captures(spark, d).drop("headers"))
+    return live.drain(live.live_totals(rows), "complete", None, at)
+
+
+@query("stream_newest_host", "SELECT regexp_replace(host, '^www[.]', '') AS host, max(archived_ts) AS last_archived_ts FROM cap GROUP BY 1")
+def stream_newest_host(spark, d):
+    rows, at = _stream(spark, captures(spark, d).drop("headers"))
+    return live.drain(live.live_newest_host(rows), "update", ["host"], at).withColumn("last_archived_ts", F.col("last_archived_ts").cast("timestamp_ntz"))
+
+
+@query("stream_notices", "SELECT DISTINCT uri AS target, CASE WHEN status >= 400 THEN 'error-status' ELSE 'no-payload' END AS reason FROM cap WHERE status >= 400 OR (rec_type = 'response' AND payload_size IS NULL)")
+def stream_notices(spark, d):
+    """All distinct notices: no more are held than the number kept, so that none is trimmed here."""
+    c = captures(spark, d).where("status >= 400 OR (rec_type = 'response' AND payload_size IS NULL)")
+    reason = F.when(F.col("status") >= 400, "error-status").otherwise("no-payload")
+    rows, at = _stream(spark, c.select(F.col("uri").alias("target"), reason.alias("reason"), "event_id"))
+    return live.live_notices(rows, at, "event_id", keep=1 << 20).select("target", "reason")
+
+
+@query("stream_late_revisits", "SELECT id AS custom_id FROM donor", RESOLVE_SQL)
+def stream_late_revisits(spark, d):
+    rows, at = _stream(spark, captures(spark, d).drop("headers"))
+    return live.late_revisits(rows, at).select("custom_id")
+
+
 # --- sources
 
 

@@ -2,8 +2,11 @@
 
 ``read_warc(spark, path)`` gives one row per record and one error row for a file that breaks off.  Plain
 files of 128 MiB or more are cut into byte ranges of at least 64 MiB; a record belongs to the range in which it
-starts, and a range that opens inside one skips to the next start.  Compressed files are one task each, since members
-may start anywhere; a container becomes one task per inner archive.  Files are opened by path on every executor, so
+starts, and a range that opens inside one skips to the next start.  What looks like a start counts only if its header
+parses and its length leads to the next record or the end; an archive that is itself the body of a record is known by
+the doubled break behind its last record (looked for up to ``LOOK`` bytes behind the range), and is skipped.
+Compressed files are one task each, since members may start anywhere; a member of more than ``MEMBER`` bytes is
+inflated piece by piece.  A container becomes one task per inner archive.  Files are opened by path on every executor, so
 they belong on storage that is mounted everywhere.  Options: ``splitFloor``, ``splitFrom`` (bytes) and ``names`` (a
 pattern for other file names).
 """
@@ -24,6 +27,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_FROM, SPLIT_FLOOR = 128 << 20, 64 << 20
 CHUNK = 1 << 20
+#: Bytes behind a range in which the end of an embedded archive is looked for; of a member that is held whole.
+LOOK, MEMBER = 64 << 20, 64 << 20
+START = re.compile(rb"\r\n\r\n(?=WARC/1\.[0-9]\r\n)")
 ACCEPTED = r"(?i)\.(warc|warc\.gz|wacz|wacz\.zip)$"
 SCHEMA = (
     "file_name string, type string, url string, offset bigint, warc map<string,string>, http map<string,string>, version string, status int, status_text string, "
@@ -69,18 +75,21 @@ def _get(bag: dict[str, str], name: str) -> str | None:
     return next((v for k, v in bag.items() if k.lower() == name), None)
 
 
+CHUNK_HEAD = re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n")
+
+
 def _chunks(body: bytes) -> list[int] | None:
     """Sizes of a chunked transfer."""
     sizes, at = [], 0
     while at < len(body):
-        m = re.match(rb"([0-9a-fA-F]+)[^\r\n]*\r\n", body[at : at + 64])
+        m = CHUNK_HEAD.match(body, at)
         if not m:
             return sizes or None
         n = int(m[1], 16)
         if not n:
             return sizes
         sizes.append(n)
-        at += m.end() + n + 2
+        at = m.end() + n + 2
     return sizes
 
 
@@ -102,84 +111,188 @@ def _row(name: str, offset: int, bag: dict[str, str], head: int, body: bytes, gz
     return (name, kind, _get(bag, "warc-target-uri"), offset, bag, http, version, status, text, payload, None)
 
 
+def _leads_on(stream, at: int) -> tuple[int, int, bool] | None:
+    """(place behind the record that starts at ``at``, line breaks there, more to come), or None if it leads nowhere."""
+    stream.seek(at)
+    head = b""
+    while (k := head.find(b"\r\n\r\n")) < 0:
+        more = stream.read(8192)
+        if not more or len(head) > CHUNK:
+            return None
+        head += more
+    first, bag = _headers(head[:k])
+    length = _get(bag, "content-length") or ""
+    if not first.startswith("WARC/") or not length.isascii() or not length.isdigit():
+        return None
+    done = at + k + 4 + int(length)
+    if done and (stream.seek(done - 1) is None or not stream.read(1)):
+        return None  # the file ends before the record does
+    tail = stream.read(256)
+    breaks = len(re.match(rb"(?:\r\n)*", tail)[0]) // 2
+    rest = tail[2 * breaks :]
+    if rest and (breaks < 2 or not rest.startswith(b"WARC/1.")):
+        return None
+    return done + 2 * breaks, breaks, bool(rest)
+
+
+def _behind_embedded(stream, at: int, stop: int) -> int | None:
+    """Where the record behind an embedded archive starts, if the records from ``at`` on belong to one."""
+    while at <= stop:
+        got = _leads_on(stream, at)
+        if got is None or not got[2]:
+            return None
+        at, breaks, _ = got
+        if breaks >= 4:  # the break of the last record inside and that of the record around it
+            return at
+    return None
+
+
+def first_start(stream, start: int, end: int | None) -> int | None:
+    """Place of the first record that starts in [start, end)."""
+    at, buffer, broken = max(0, start - 4), b"", None
+    limit = lambda x: end is None or x < end
+    while True:
+        stream.seek(at + len(buffer))
+        m = START.search(buffer)
+        if not m:
+            more = stream.read(CHUNK)
+            if not more or not limit(at):
+                return broken
+            keep = buffer[-16:]
+            at, buffer = at + len(buffer) - len(keep), keep + more
+            continue
+        place = at + m.end()
+        if not limit(place):
+            return broken
+        if _leads_on(stream, place) is None:
+            if broken is None and _cut_off(stream, place):
+                broken = place
+            at, buffer = place, buffer[m.end() :]
+            continue
+        beyond = _behind_embedded(stream, place, (end or place) + LOOK)
+        if beyond is None:
+            return place
+        if not limit(beyond):
+            return None
+        at, buffer = beyond - 4, b""  # what is behind may be embedded, too
+
+
+def _cut_off(stream, at: int) -> bool:
+    """Is this a record that the end of the file cuts off?"""
+    stream.seek(at)
+    head = stream.read(CHUNK)
+    k = head.find(b"\r\n\r\n")
+    if k < 0:
+        return len(head) < CHUNK
+    length = _get(_headers(head[:k])[1], "content-length") or ""
+    if not length.isascii() or not length.isdigit() or not int(length):
+        return False
+    stream.seek(at + k + 4 + int(length) - 1)
+    return not stream.read(1)
+
+
 def split_records(stream, name: str, start: int = 0, end: int | None = None) -> Iterator[tuple]:
-    """Rows of the records that start in [start, end) of a seekable plain stream."""
+    """Rows of the records that start in [start, end) of a plain stream (seekable, if it does not begin at 0)."""
     last = None
     try:
-        stream.seek(start)
-        at, buffer = start, b""
-        if start:  # to the first record start at or behind ``start``: look from a little before it
-            back = min(start, 4)
-            stream.seek(start - back)
-            at, buffer = start - back, b""
-            while True:
-                m = re.search(rb"\r\n\r\n(?=WARC/1\.[0-9]\r\n)", buffer)
-                if m:
-                    at, buffer = at + m.end(), buffer[m.end() :]
-                    break
-                if end is not None and at > end:
-                    return
-                more = stream.read(CHUNK)
-                if not more:
-                    return
-                keep = buffer[-16:]
-                at += len(buffer) - len(keep)
-                buffer = keep + more
-        while end is None or at < end:
-            while b"\r\n\r\n" not in buffer:
-                more = stream.read(CHUNK)
+        if start:  # to the first record start at or behind ``start``
+            found = first_start(stream, start, end)
+            if found is None:
+                return
+            start = found
+            stream.seek(start)
+        base, buffer, pos = start, b"", 0  # buffer begins at ``base``; the next record at base + pos
+
+        def fill(size: int) -> bool:
+            """At least ``size`` bytes behind pos; what was read is dropped once for each read."""
+            nonlocal base, buffer, pos
+            while len(buffer) - pos < size:
+                more = stream.read(max(CHUNK, size - (len(buffer) - pos)))
                 if not more:
-                    if buffer.strip():
+                    return False
+                base, buffer, pos = base + pos, buffer[pos:] + more, 0
+            return True
+
+        while end is None or base + pos < end:
+            while (k := buffer.find(b"\r\n\r\n", pos)) < 0:
+                if not fill(len(buffer) - pos + 1):
+                    if buffer[pos:].strip():
                         raise EOFError("the file ends inside a record header")
                     return
-                buffer += more
-            head = buffer.index(b"\r\n\r\n") + 4
-            first, bag = _headers(buffer[: head - 4])
+            head = k + 4 - pos
+            first, bag = _headers(buffer[pos:k])
             if not first.startswith("WARC/"):
                 raise ValueError("no record starts here")
             length = int(_get(bag, "content-length") or 0)
-            while len(buffer) < head + length + 4:
-                more = stream.read(max(CHUNK, head + length + 4 - len(buffer)))
-                if not more:
-                    break
-                buffer += more
-            if len(buffer) < head + length:
+            fill(head + length + 4)
+            if len(buffer) - pos < head + length:
                 raise EOFError("the file ends inside a record")
-            yield _row(name, at, bag, head, buffer[head : head + length], None)
-            last = at
-            skip = head + length
-            while buffer[skip : skip + 2] == b"\r\n":
-                skip += 2
-            at, buffer = at + skip, buffer[skip:]
+            yield _row(name, base + pos, bag, head, buffer[pos + head : pos + head + length], None)
+            last = base + pos
+            pos += head + length
+            while fill(2) and buffer[pos : pos + 2] == b"\r\n":
+                pos += 2
     except Exception as e:  # a file that fails keeps what was read before
-        yield (name, *([None] * 9), ("parse", type(e).__name__, str(e)[:200], last))
+        yield (name, *([None] * 9), ("parse", type(e).__name__, str(e), last))
+
+
+class _Member:
+    """One gzip member, read as a plain stream; ``used`` counts its compressed bytes."""
+
+    def __init__(self, stream, buffer: bytes):
+        self.stream, self.buffer, self.used = stream, buffer, 0
+        self.inflater = zlib.decompressobj(zlib.MAX_WBITS | 16)
+
+    def read(self, size: int) -> bytes:
+        while not self.inflater.eof:
+            data = self.inflater.unconsumed_tail or self.buffer or self.stream.read(CHUNK)
+            if not data:
+                raise EOFError("the file ends inside a member")
+            self.buffer = b""
+            out = self.inflater.decompress(data, size)
+            self.used += len(data) - len(self.inflater.unconsumed_tail) - len(self.inflater.unused_data)
+            if self.inflater.eof:
+                self.buffer = self.inflater.unused_data
+            if out:
+                return out
+        return b""
 
 
 def split_members(stream, name: str) -> Iterator[tuple]:
-    """Rows of a compressed stream: usually one gzip member per record; members with several are read through."""
+    """Rows of a compressed stream: usually one gzip member per record.
+
+    A member with more than ``MEMBER`` bytes is inflated twice, first for its length, so that it is never held whole.
+    """
     at, last, buffer = 0, None, b""
     try:
         buffer = stream.read(CHUNK)
         while buffer:
-            member, out, used = zlib.decompressobj(zlib.MAX_WBITS | 16), [], 0
-            while not member.eof:
-                out.append(member.decompress(buffer))
-                used += len(buffer) - len(member.unused_data)
-                buffer = member.unused_data
-                if not member.eof:
-                    buffer = stream.read(CHUNK)
-                    if not buffer:
-                        raise EOFError("the file ends inside a member")
-            for row in split_records(io.BytesIO(b"".join(out)), name):
+            member, parts, size = _Member(stream, buffer), [], 0
+            while size <= MEMBER and (out := member.read(CHUNK)):
+                parts.append(out)
+                size += len(out)
+            if size <= MEMBER:
+                plain = io.BytesIO(b"".join(parts))
+            else:
+                parts.clear()
+                while member.read(CHUNK):
+                    pass
+                stream.seek(at)
+                plain = _Member(stream, b"")
+            used, rest = member.used, member.buffer
+            for row in split_records(plain, name):
                 if row[-1] is not None:
-                    raise ValueError(row[-1][2])
+                    raise EOFError(row[-1][2]) if row[-1][1] == "EOFError" else ValueError(row[-1][2])
                 payload = row[9] and (at, *row[9][1:5], (at, used, row[9][0]))
                 yield (*row[:3], at, *row[4:9], payload, None)
                 last = at
             at += used
-            buffer = buffer or stream.read(CHUNK)
+            if size > MEMBER:
+                stream.seek(at)
+                rest = b""
+            buffer = rest or stream.read(CHUNK)
     except Exception as e:
-        yield (name, *([None] * 9), ("parse", type(e).__name__, str(e)[:200], last))
+        yield (name, *([None] * 9), ("parse", type(e).__name__, str(e), last))
 
 
 class WarcReader(DataSourceReader):

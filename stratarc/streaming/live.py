@@ -1,9 +1,7 @@
-"""The indexes kept current over a stream of records (T1-T6; T7 and T8 are not built whole, see README)."""
+"""The indexes kept current over a stream of records."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -48,17 +46,61 @@ def live_nodes(stream: DataFrame) -> DataFrame:
     return stream.withColumn("node", U.node_url(F.col("uri"))).where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("records"))
 
 
-def live_notices(stream: DataFrame) -> DataFrame:
-    return stream.dropDuplicates(["target", "reason"])
+def _run(df: DataFrame, step, path: str, mode: str = "append") -> None:
+    """Run a stream over all that is there, each micro-batch through ``step(batch, number)``."""
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(step).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int = 500) -> DataFrame:
+    """The newest ``keep`` notices, distinct by (target, reason), the first occurrence kept.
+
+    The state is a table of at most ``keep`` rows for each micro-batch, written anew under the batch's number, so that
+    a batch that runs again gives the same.  A notice that was trimmed is reported again when it comes again.
+    """
+    spark = stream.sparkSession
+    columns = ["target", "reason", order]
+    schema = StructType([*(stream.schema[c] for c in columns), StructField("__batch", IntegerType())])
+
+    def kept(before: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/notices/__n={before}") if before >= 0 else spark.createDataFrame([], schema)
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = kept(number - 1)
+        first = batch.groupBy("target", "reason").agg(F.min(order).alias(order)).select(*columns).withColumn("__batch", F.lit(number).cast("int"))
+        new = first.join(F.broadcast(held.select("target", "reason")), ["target", "reason"], "left_anti")  # at most ``keep`` rows
+        rows = held.unionByName(new).orderBy(F.desc("__batch"), F.desc(order), "target", "reason").limit(keep)
+        rows.write.mode("overwrite").parquet(f"{path}/notices/__n={number}")
+        last[0] = number
+
+    last = [-1]
+    _run(stream, step, path)
+    return kept(last[0]).drop("__batch")
 
 
-def late_revisits(bronze: Callable[[], DataFrame]) -> Callable[[DataFrame, int], DataFrame]:
-    """A foreachBatch step: revisits that came before their donors are resolved over all that is loaded by then."""
+def late_revisits(stream: DataFrame, path: str) -> DataFrame:
+    """All revisits that found a donor by the time the stream was read, with the donor of that time.
 
-    def step(batch: DataFrame, _: int) -> DataFrame:
-        return resolve_revisits(bronze().unionByName(batch))
+    Each micro-batch joins the table of what is loaded; then only revisits that are still open are resolved, over all
+    that is loaded, so that one may come before its donor.  Every table is written under the batch's number.
+    """
+    spark = stream.sparkSession
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    known: dict[str, StructType] = {}
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/bronze/__n={number}")
+        bronze = read("bronze", batch.schema).select(*batch.columns)
+        own = read(f"bronze/__n={number}", batch.schema).where("rec_type = 'revisit'")
+        open_ = own if not number else own.unionByName(read(f"open/__n={number - 1}", batch.schema))
+        done = resolve_revisits(bronze.where("rec_type <> 'revisit'").unionByName(open_))
+        done.write.mode("overwrite").parquet(f"{path}/tried/__n={number}")
+        known["tried"] = done.schema
+        tried = read(f"tried/__n={number}", done.schema)
+        tried.where("donor IS NULL").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/open/__n={number}")
 
-    return step
+    _run(stream, step, path)
+    return read("tried", known["tried"]).drop("__n").where("donor IS NOT NULL")
 
 
 def drain(df: DataFrame, mode: str, keys: list[str] | None, path: str) -> DataFrame:
@@ -70,8 +112,7 @@ def drain(df: DataFrame, mode: str, keys: list[str] | None, path: str) -> DataFr
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/__n={number}")
 
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _run(df, sink, path, mode)
     spark = df.sparkSession
     rows = spark.read.schema(StructType([*df.schema.fields, StructField("__batch", IntegerType())])).parquet(f"{path}/rows")
     rows = rows.select(*df.columns, "__batch")

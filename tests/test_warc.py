@@ -54,6 +54,28 @@ def test_every_cut_reads_each_record_once(tmp_path):
         assert got == whole, cut
 
 
+def test_cuts_inside_embedded_archives(tmp_path):
+    inner = b"".join(RECORDS[:3])
+    bodies = [inner, b"text\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nno record", b"\r\n\r\nWARC/1.0\r\n\r\n", record("resource", "http://e.com/in", inner, n=30)]
+    data = b"".join([RECORDS[0], *(record("resource", f"http://e.com/{i}", b, n=10 + i) for i, b in enumerate(bodies)), RECORDS[2]])
+    p = tmp_path / "t.warc"
+    p.write_bytes(data)
+    whole = [r[3] for r in W.split_records(open(p, "rb"), "t")]
+    assert len(whole) == 6
+    for cut in range(1, len(data)):
+        got = [r[3] for r in W.split_records(open(p, "rb"), "t", 0, cut)] + [r[3] for r in W.split_records(open(p, "rb"), "t", cut, len(data))]
+        assert got == whole, cut
+
+
+def test_large_members_are_inflated_in_pieces(tmp_path, monkeypatch):
+    p = tmp_path / "one.warc.gz"
+    p.write_bytes(gzip.compress(b"".join(RECORDS)) + b"".join(gzip.compress(r) for r in RECORDS))
+    whole = list(W.split_members(open(p, "rb"), "t"))
+    monkeypatch.setattr(W, "MEMBER", 100)
+    monkeypatch.setattr(W, "CHUNK", 64)
+    assert len(whole) == 14 and list(W.split_members(open(p, "rb"), "t")) == whole
+
+
 def test_compressed(spark, tmp_path):
     (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in RECORDS))
     (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(RECORDS)))
