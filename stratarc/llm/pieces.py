@@ -282,5 +282,6 @@ def sentencepiece_round_trip(docs: DataFrame, model: bytes, text: str = "text",
                     [*(batch.column(batch.schema.get_field_index(n)) for n in names), lists, pa.array(coder.decode_all(flat, bounds), pa.string())],
                     names=[*names, ids, decoded],
                 )
+        coder.forget()  # the worker may go on with other work
 
     return docs.select(*(F.col(f"`{n}`") for n in dict.fromkeys([*names, text]))).mapInArrow(run, schema)
