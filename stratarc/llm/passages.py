@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratarc.llm.bwt import least_in_intervals
-from stratarc.llm.common import grow, saved, saved_by, shrink
+from stratarc.llm.common import grow, lean, lean_group, saved, saved_by, shrink
 
 GRAM = 24
 PACK_BYTES = 3 << 20
@@ -76,7 +76,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_ipc(b.slice(at, to - at))], pa.binary())], names=["pack", "payload"])
                 at, n = to, n + 1
 
-    return saved_by(docs.mapInArrow(run, "pack long, payload binary"), "pack", "packs")
+    return saved_by(docs.mapInArrow(lean(run), "pack long, payload binary"), "pack", "packs")
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def _repeated_anchors(packs: DataFrame, buckets: int, open_pack) -> DataFrame:
                     c.append(v)
         return pa.Table.from_batches([_rows(out, told)])
 
-    bits = packs.mapInArrow(ask, "bucket int, pack long, data binary").groupBy("bucket").applyInArrow(answer, "pack long, bucket int, bits binary")
+    bits = packs.mapInArrow(lean(ask), "bucket int, pack long, data binary").groupBy("bucket").applyInArrow(lean_group(answer), "pack long, bucket int, bits binary")
     return saved(bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "anchors")
 
 
@@ -342,8 +342,8 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, open_pack, width: int) -> D
                 c.append(v)
         return pa.Table.from_batches([_rows(out, told)])
 
-    strings = packs.join(anchors, "pack").select("pack", "payload", "told").mapInArrow(send, "bucket int, pack long, data binary")
-    answers = strings.groupBy("bucket").applyInArrow(merge, "pack long, bucket int, least binary")
+    strings = packs.join(anchors, "pack").select("pack", "payload", "told").mapInArrow(lean(send), "bucket int, pack long, data binary")
+    answers = strings.groupBy("bucket").applyInArrow(lean_group(merge), "pack long, bucket int, least binary")
     return answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
 
 
@@ -414,7 +414,7 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 columns = [p.batch.column(p.batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pair), texts if as_text else texts.cast(pa.binary())], names=[*names, spans, kept_text])
 
-    return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "told", "answers").mapInArrow(cut, schema)
+    return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "told", "answers").mapInArrow(lean(cut), schema)
 
 
 def _repeated_places(p: _Pack, told) -> np.ndarray:
