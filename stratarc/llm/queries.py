@@ -172,6 +172,49 @@ FROM e GROUP BY conv_id
 """
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.manifest import manifest
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    made = manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=(tampered, {"text": lower}))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return made.select(
+        F.col("id").alias("doc_id"), text("leaf"), text("subroot"), text("root"), "proof_sha256", text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _op13_sql(depth: int = 8, crown: int = 4) -> str:
+    """depth, crown: levels unrolled in a language's tree and above the languages (8 ** depth rows, 8 ** crown languages)."""
+    coded = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(coded, ("doc_id", "source", "lang", "n_chars"))) + f" || {coded(text)})"
+    ctes = [
+        # CRC-32 of the decimal id, bit by bit
+        "ids AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))",
+        "low AS (SELECT d.*, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small, coalesce(crc % 3 = 0, false) AS hit FROM documents d LEFT JOIN ids USING (doc_id))",
+        f"lv AS (SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf('text')} AS leaf, CASE WHEN hit THEN {leaf('small')} ELSE {leaf('text')} END AS other FROM low)",
+        "n0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos FROM lv)",
+        "t0 AS (SELECT g, pos, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM n0)",
+    ]
+    ctes.append("f0 AS (SELECT doc_id, g, leaf, pos AS spot, other AS x, '' AS proof FROM n0)")
+
+    def levels(t: str, f: str, k: int) -> None:
+        for i in range(k):
+            ctes.append(f"r{t}{i} AS (SELECT g, pos // 8 AS p, string_agg(d, '' ORDER BY pos) AS kids FROM {t}{i} WHERE n > 1 GROUP BY ALL)")
+            ctes.append(f"{t}{i + 1} AS (SELECT g, p AS pos, sha256(kids) AS d, count(*) OVER (PARTITION BY g) AS n FROM r{t}{i} UNION ALL SELECT g, pos, d, n FROM {t}{i} WHERE n = 1)")
+            ctes.append(
+                f"{f}{i + 1} AS (SELECT f.* EXCLUDE (spot, x, proof), spot // 8 AS spot, CASE WHEN kids IS NULL THEN x ELSE sha256(left(kids, 64 * (spot % 8)) || x || substr(kids, 64 * (spot % 8) + 65)) END AS x, "
+                f"CASE WHEN kids IS NULL THEN proof ELSE proof || left(kids, 64 * (spot % 8)) || substr(kids, 64 * (spot % 8) + 65) END AS proof FROM {f}{i} f LEFT JOIN r{t}{i} r ON f.g = r.g AND f.spot // 8 = r.p)"
+            )
+
+    levels("t", "f", depth)
+    ctes.append(f"u0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, d, count(*) OVER () AS n, g AS name FROM t{depth})")
+    ctes.append(f"h0 AS (SELECT f.doc_id, '' AS g, f.leaf, u.d AS subroot, u.pos AS spot, f.x, f.proof FROM f{depth} f JOIN u0 u ON f.g = u.name)")
+    levels("u", "h", crown)
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = d AS verified FROM h{crown} CROSS JOIN u{crown}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bwt_dedup": op1_bwt_dedup,
@@ -184,8 +227,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wrapper_induction": op8_wrapper_induction,
         "op9_bm25_leaks": op9_bm25_leaks,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": OP3_SQL, "op6_reply_trees": OP6_SQL}
+    return {"op3_rule_ledger": OP3_SQL, "op6_reply_trees": OP6_SQL, "op13_merkle": _op13_sql()}
