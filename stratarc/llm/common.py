@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,27 @@ def lean_group(run: Callable) -> Callable:
     return wrapped
 
 
+def runs(batches, *keys: str):
+    """Tables of consecutive rows with equal (and no null) keys, across the ends of batches."""
+    left = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        other = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            c = t.column(k)
+            other |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
+        first = 0
+        for end in (np.flatnonzero(other) + 1).tolist():
+            yield t.slice(first, end - first)
+            first = end
+        left = t.slice(first)
+    if left is not None:
+        yield left
+
+
 def worker_cached(key, make: Callable):
     """What make() gives, kept by this Python worker for the tasks that follow (only derived, bounded things)."""
     home = sys.modules.setdefault("stratarc_worker_cache", types.ModuleType("stratarc_worker_cache")).__dict__

@@ -23,13 +23,11 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratarc.llm.common import saved
+from stratarc.llm.common import runs, saved
 
 ARITY, LEVELS = 8, 3
 BLOCK = ARITY**LEVELS
@@ -123,27 +121,8 @@ def _blocks(nodes: DataFrame, run, schema: str) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.floor(F.col("pos") / BLOCK)).cast("long")
 
-    def each(batches):
-        """Batches cut at the blocks' ends."""
-        left = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if left is None else pa.concat_tables([left, t])
-            if not t.num_rows:
-                continue
-            tree, at = t.column("tree").combine_chunks(), t.column("block").to_numpy()
-            other = pc.not_equal(tree.slice(1), tree.slice(0, len(tree) - 1)).to_numpy(zero_copy_only=False)
-            ends = np.flatnonzero((at[1:] != at[:-1]) | other) + 1
-            first = 0
-            for e in ends.tolist():
-                yield t.slice(first, e - first)
-                first = e
-            left = t.slice(first).combine_chunks()
-        if left is not None and left.num_rows:
-            yield left
-
     def wrapped(batches):
-        for t in each(batches):
+        for t in runs(batches, "tree", "block"):
             yield from run(t)
 
     dealt = nodes.withColumn("block", block).repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", "pos")

@@ -172,6 +172,15 @@ FROM e GROUP BY conv_id
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stratarc.llm.alignment import align_documents
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return align_documents(table(spark, sf_dir, "documents"), a.read(), b.read()).withColumnRenamed("id", "doc_id")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratarc.llm.manifest import manifest
 
@@ -227,6 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wrapper_induction": op8_wrapper_induction,
         "op9_bm25_leaks": op9_bm25_leaks,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_alignment": op12_alignment,
         "op13_merkle": op13_merkle,
     }
 
