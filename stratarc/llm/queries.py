@@ -172,6 +172,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratarc.llm.heavylight import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -236,6 +242,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wrapper_induction": op8_wrapper_induction,
         "op9_bm25_leaks": op9_bm25_leaks,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_jaccard_join": op11_jaccard_join,
         "op12_alignment": op12_alignment,
         "op13_merkle": op13_merkle,
     }
