@@ -10,9 +10,8 @@ the corpus: tasks make *packs* of some MB of text, each pack sends its distinct
 these are summed, and every pack gets the sums of its own pairs back.  So a pair that all documents have costs a row
 for each pack, not for each document, and neither texts nor tokens are exchanged (a pack's references to its pairs are).
 
-Ids of side A come from the tokenizers library for distinct stretches of text only: a text is cut before single spaces
-and around single line feeds between plain signs, where its pre-tokenizer cuts in any case.  Side B is the prefix
-table of :mod:`stratarc.llm.pieces`.
+Ids come from the tokenizers' own libraries for distinct stretches of text only: a text is cut before single spaces and
+around single line feeds between plain signs, where both tokenizers cut in any case.
 
 Defined cases: null and empty texts, and those whose tokens' bytes differ from a space and the text on either side, have
 no tokens: zeros, and an empty digest; null ids and repeated rows are kept, each counts as a document; an empty table
@@ -25,6 +24,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratarc.llm.common import grow, lean, runs, saved, shrink, worker_cached
-from stratarc.llm.pieces import PrefixTable
 
 #: Bytes of text that are worked on at a time, and of a pack (each has one text at least).
 SLICE, PACK = 1 << 20, 1 << 23
@@ -41,6 +40,10 @@ CACHED = 200_000
 #: Signs that no pre-tokenizer takes for white space; where single spaces and line feeds stand between two of them, it cuts.
 PLAIN = "[!-~À-ÖØ-öø-ÿ]"
 STRETCH = re.compile(rf" ?{PLAIN}+(?= {PLAIN}|\n{PLAIN}|\Z)|\n(?={PLAIN})|(?s:.+?)(?<={PLAIN})(?= {PLAIN}|\n{PLAIN}|\Z)|(?s:.+)")
+#: What stands between spaces and line feeds in most texts; texts with anything else are cut by STRETCH.
+REGULAR = re.compile(rf" ?{PLAIN}(?:[^ \n]*{PLAIN})?|\n")
+#: Parts stretches for a moment; texts that have it are cut by STRETCH.
+MARKER = "\x1f"
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -51,7 +54,7 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Ids and bytes of a byte-level tokenizer, given as the content of its JSON file."""
+    """A byte-level tokenizer, given as the content of its JSON file: the bytes of each id, and ids of stretches."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -66,31 +69,76 @@ class ByteLevel:
         self.surface = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.surface[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
+
+    def encode(self, stretches: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(stretches, add_special_tokens=False)]
+
+
+class Pieces:
+    """A piece tokenizer, given as the content of its model file: the bytes of each id, and ids of stretches.
+
+    The space that it puts before a text is left to the caller, so that a stretch has the ids that it has inside a text.
+    """
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        spec = pb.ModelProto()
+        spec.ParseFromString(model)
+        norm, kinds = spec.normalizer_spec, pb.ModelProto.SentencePiece
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix:
+            raise ValueError("only models that add a space and change nothing else are supported")
+        if any(p.type == kinds.NORMAL and ("\n" in p.piece or "▁" in p.piece.lstrip("▁")) for p in spec.pieces):
+            raise ValueError("pieces reach over the ends of stretches")
+        norm.add_dummy_prefix = False
+        self.coder = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace("▁", " ").encode() for p in spec.pieces]
+
+    def encode(self, stretches: list[str]) -> list[list[int]]:
+        return self.coder.encode(stretches, num_threads=1)
+
+
+class Stretches:
+    """Ids of both sides for each stretch of text met so far; texts are put together from these."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.sides = a, b
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin and end)."""
+        self.flat = [np.zeros(0, np.int32) for _ in self.sides]
+        self.ends = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def _learn(self, words: list[str]) -> None:
+        fresh = list(set(words).difference(self.number))
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        for k, side in enumerate(self.sides):
+            ids = side.encode(fresh) if fresh else []
+            self.flat[k] = np.concatenate([self.flat[k], np.fromiter(chain.from_iterable(ids), np.int32)])
+            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(np.fromiter(map(len, ids), np.int64))])
+
+    def encode(self, texts: list[str]):
+        """For both sides: ids of all texts (a space before each that is not empty), and where each text's begin and end."""
         if len(self.number) > CACHED:
             self.forget()
         words, counts = [], [0]
+        regular, known = REGULAR.fullmatch, self.number
         for t in texts:
-            words += STRETCH.findall(t)
+            if t:
+                t = " " + t
+                own = t.replace(" ", MARKER + " ").replace("\n", f"{MARKER}\n{MARKER}").split(MARKER)[1:] if MARKER not in t else [""]
+                if not all(w in known or regular(w) for w in own):
+                    own = STRETCH.findall(t)
+                words += own
             counts.append(len(words))
-        number = self.number
-        fresh = [w for w in dict.fromkeys(words) if w not in number]
-        if fresh:
-            ids = [e.ids for e in self.coder.encode_batch_fast(fresh, add_special_tokens=False)]
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
-        of = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        first, size = self.ends[of], self.ends[of + 1] - self.ends[of]
-        stop = np.concatenate(([0], np.cumsum(size)))
-        return self.flat[np.repeat(first - stop[:-1], size) + np.arange(stop[-1])], stop[np.array(counts)]
+        self._learn(words)
+        of, counts = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), np.array(counts)
+        for flat, ends in zip(self.flat, self.ends):
+            first, size = ends[of], ends[of + 1] - ends[of]
+            stop = np.concatenate(([0], np.cumsum(size)))
+            yield flat[np.repeat(first - stop[:-1], size) + np.arange(stop[-1])], stop[counts]
 
 
 class Strings:
@@ -147,10 +195,11 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np
 class Aligner:
     """Both tokenizers, and the alignment of some texts at a time."""
 
-    def __init__(self, spec: str, table: PrefixTable):
-        self.a, self.b = ByteLevel(spec), table
-        self.bytes_a, self.bytes_b = Strings(self.a.surface), Strings(table.surface)
-        self.wide = len(table.surface)  # a pair's number is a * wide + b
+    def __init__(self, spec: str, model: bytes):
+        self.a, self.b = ByteLevel(spec), Pieces(model)
+        self.stretches = Stretches(self.a, self.b)
+        self.bytes_a, self.bytes_b = Strings(self.a.surface), Strings(self.b.surface)
+        self.wide = len(self.b.surface)  # a pair's number is a * wide + b
         self.pairs = len(self.a.surface) * self.wide
         self.shown = Strings([b"%d," % i for i in (*range(len(self.a.surface)), *range(self.wide))])
 
@@ -159,8 +208,7 @@ class Aligner:
         sound = np.array([bool(t) for t in texts], bool)
         while True:
             kept = [t if s else "" for t, s in zip(texts, sound)]
-            a, a_bounds = self.a.encode_all([" " + t if t else "" for t in kept])
-            b, b_bounds = self.b.encode_all(kept)
+            (a, a_bounds), (b, b_bounds) = self.stretches.encode(kept)
             want = [(" " + t).encode() if t else b"" for t in kept]
             edges = np.concatenate(([0], np.cumsum([len(w) for w in want])))
             want = np.frombuffer(b"".join(want), np.uint8)
@@ -241,7 +289,7 @@ def align_documents(docs: DataFrame, a_spec: str, b_model: bytes, id_column: str
     def pack(batches):
         from pyspark import TaskContext
 
-        aligner = worker_cached(("align", key), lambda: Aligner(sent.value[0], PrefixTable(sent.value[1])))
+        aligner = worker_cached(("align", key), lambda: Aligner(*sent.value))
         number = TaskContext.get().partitionId() << 33
         ids, done, size = [], [], 0
         for b in batches:
@@ -259,8 +307,7 @@ def align_documents(docs: DataFrame, a_spec: str, b_model: bytes, id_column: str
                     number, ids, done, size = number + 1, [], [], 0
         if done:
             yield _packed(pa.concat_arrays(ids), done, number, groups)
-        aligner.a.forget()
-        aligner.b.forget()
+        aligner.stretches.forget()
 
     packs = saved(rows.mapInArrow(lean(pack), f"pack long, ids array<{id_type}>, sums binary, digests binary, refs binary, pairs binary, groups array<string>"), "aligned")
 
@@ -270,7 +317,7 @@ def align_documents(docs: DataFrame, a_spec: str, b_model: bytes, id_column: str
                 pair, n = grow(data, np.int64, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), number), pa.int64()), pa.array(pair), pa.array(n.astype(np.int64))], names=["pack", "pair", "docs"])
 
-    wide = len(PrefixTable(b_model).surface)
+    wide = len(Pieces(b_model).surface)
     held = packs.select("pack", "pairs").mapInArrow(lean(asked), "pack long, pair long, docs long")
     counts = saved(held.groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("a", F.floor(F.col("pair") / wide)), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))

@@ -122,9 +122,8 @@ def test_packs_and_slices(coders, monkeypatch):
     import public_tokenizers as P
 
     from stratarc.llm.alignment import Aligner
-    from stratarc.llm.pieces import PrefixTable
 
-    made = Aligner(open(P.path("byte_bpe_50k.json")).read(), PrefixTable(open(P.path("piece_bpe_32k.model"), "rb").read()))
+    made = Aligner(open(P.path("byte_bpe_50k.json")).read(), open(P.path("piece_bpe_32k.model"), "rb").read())
     texts = [t for _, t in EDGES]
     whole, single = made.align(texts), [made.align([t]) for t in texts]
     for c in ("n_a", "n_b", "n_groups", "n_links", "n_pairs", "pair", "times"):
