@@ -702,12 +702,12 @@ def stream_late_revisits(spark, d):
 # --- sources
 
 
-def _as_warc(spark: SparkSession, d: str) -> str:
-    """The captures written as plain WARC files by Spark; each record is one row of text."""
+def _as_records(spark: SparkSession, d: str) -> DataFrame:
+    """The captures as the text of WARC records, one a row, with whole payloads."""
     c = captures(spark, d)
     nl = F.lit("\r\n")
     line = lambda name, v: F.when(v.isNotNull(), F.concat(F.lit(f"{name}: "), v, nl)).otherwise("")
-    http = F.concat(F.lit("HTTP/1.1 "), F.coalesce("status", F.lit(200)).cast("string"), F.lit(" Ok"), nl, line("Content-Type", F.col("content_type_raw")), line("Location", F.col("location")), nl, F.repeat(F.lit("x"), F.least(F.coalesce("payload_size", F.lit(0)), F.lit(500)).cast("int")))
+    http = F.concat(F.lit("HTTP/1.1 "), F.coalesce("status", F.lit(200)).cast("string"), F.lit(" Ok"), nl, line("Content-Type", F.col("content_type_raw")), line("Location", F.col("location")), nl, F.repeat(F.lit("x"), F.coalesce("payload_size", F.lit(0)).cast("int")))
     body = F.when(F.col("rec_type") == "response", http).otherwise("")
     record = F.concat(
         F.lit("WARC/1.0\r\n"),
@@ -721,33 +721,88 @@ def _as_warc(spark: SparkSession, d: str) -> str:
         nl,
         body,
     )
+    return c.select(record.alias("value"))
+
+
+def _as_warc(spark: SparkSession, d: str) -> str:
+    """Plain WARC files, written by Spark."""
     at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    c.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(at)
+    _as_records(spark, d).write.option("lineSep", "\r\n\r\n").text(at)
     return at
 
 
-def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    from stratarc.sources.warc import read_warc
+def _as_members(spark: SparkSession, d: str, container: bool) -> str:
+    """Files of a gzip member a record, or containers with two stored archives each; a task writes the same file again if it runs again."""
+    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    _as_records(spark, d).limit(0).write.text(at)  # makes the folder
+
+    def run(batches):
+        import gzip
+        import io
+        import zipfile
+
+        from pyarrow import RecordBatch, array
+        from pyspark import TaskContext
+
+        from stratarc.sources.warc import created
+
+        halves = [io.BytesIO(), io.BytesIO()]
+        for b in batches:
+            for k, v in enumerate(b.column(0).to_pylist()):
+                halves[k % 2].write(gzip.compress(v.encode() + b"\r\n\r\n", 1))
+        name = f"{at}/part-{TaskContext.get().partitionId()}"
+        if container:
+            with created(f"{name}.wacz") as f, zipfile.ZipFile(f, "w") as z:
+                for k, h in enumerate(halves):
+                    z.writestr(f"archive/{k}.warc.gz", h.getvalue())
+        else:
+            with created(f"{name}.warc.gz") as f:
+                f.write(b"".join(h.getvalue() for h in halves))
+        yield RecordBatch.from_arrays([array([name])], names=["name"])
+
+    _as_records(spark, d).repartition(4).mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    return at
+
 
-    return read_warc(spark, _as_warc(spark, d), names=r"\.txt$", splitFrom=200_000, splitFloor=100_000)
+def _scanned(spark: SparkSession, at: str) -> DataFrame:
+    from stratarc.sources.warc import ACCEPTED, read_warc
 
+    return read_warc(spark, at, names=rf"{ACCEPTED}|\.txt$", splitFrom=200_000, splitFloor=100_000)
 
-@query(
-    "warc_scan",
-    "SELECT uuid, uri AS url, rec_type, digest, content_type, CASE WHEN rec_type = 'response' THEN coalesce(status, 200) END AS status, CASE WHEN rec_type = 'response' THEN nullif(least(coalesce(payload_size, 0), 500), 0) END AS size FROM (SELECT * REPLACE (CASE WHEN rec_type = 'response' THEN content_type ELSE '' END AS content_type) FROM cap)",
-)
-def warc_scan(spark, d):
+
+SCANNED_SQL = "SELECT uuid, uri AS url, rec_type, digest, content_type, CASE WHEN rec_type = 'response' THEN coalesce(status, 200) END AS status, CASE WHEN rec_type = 'response' THEN nullif(coalesce(payload_size, 0), 0) END AS size FROM (SELECT * REPLACE (CASE WHEN rec_type = 'response' THEN content_type ELSE '' END AS content_type) FROM cap)"
+
+
+def _shown(wire: DataFrame) -> DataFrame:
     from stratarc.sources.warc import records
 
-    c = C.to_captures(records(_scanned(spark, d)))
+    c = C.to_captures(records(wire))
     return c.select("uuid", "url", "rec_type", "digest", "content_type", F.col("http.status").alias("status"), F.col("payload.size").alias("size"))
 
 
+@query("warc_scan", SCANNED_SQL)
+def warc_scan(spark, d):
+    """Plain files, each in several ranges."""
+    return _shown(_scanned(spark, _as_warc(spark, d)))
+
+
+@query("warc_gz_scan", SCANNED_SQL)
+def warc_gz_scan(spark, d):
+    """Files of a member a record, each in several ranges of members."""
+    return _shown(_scanned(spark, _as_members(spark, d, False)))
+
+
+@query("wacz_scan", SCANNED_SQL)
+def wacz_scan(spark, d):
+    """Containers, whose stored archives are read by ranges."""
+    return _shown(_scanned(spark, _as_members(spark, d, True)))
+
+
 @query("ingest_report", "SELECT 'parsed' AS status, count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses FROM cap")
 def ingest_report(spark, d):
     from stratarc.sources.warc import ingest_report as report
 
-    return report(_scanned(spark, d)).groupBy("status").agg(F.sum("records").alias("records"), F.sum("responses").alias("responses"))
+    return report(_scanned(spark, _as_warc(spark, d))).groupBy("status").agg(F.sum("records").alias("records"), F.sum("responses").alias("responses"))
 
 
 @query("snapshot_roundtrip", "SELECT content_type, nodes, captures, true AS stale FROM (SELECT content_type, count(DISTINCT path[len(path)]) AS nodes, count(*) AS captures FROM treed WHERE content_type <> '' GROUP BY content_type)", PATH_SQL)

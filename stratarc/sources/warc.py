@@ -1,34 +1,42 @@
-"""WARC, WARC.GZ and WACZ files as a Spark data source.
-
-``read_warc(spark, path)`` gives one row per record and one error row for a file that breaks off.  Plain
-files of 128 MiB or more are cut into byte ranges of at least 64 MiB; a record belongs to the range in which it
-starts, and a range that opens inside one skips to the next start.  What looks like a start counts only if its header
-parses and its length leads to the next record or the end; an archive that is itself the body of a record is known by
-the doubled break behind its last record (looked for up to ``LOOK`` bytes behind the range), and is skipped.
-Compressed files are one task each, since members may start anywhere; a member of more than ``MEMBER`` bytes is
-inflated piece by piece.  A container becomes one task per inner archive.  Files are opened by path on every executor, so
-they belong on storage that is mounted everywhere.  Options: ``splitFloor``, ``splitFrom`` (bytes) and ``names`` (a
-pattern for other file names).
+"""WARC, WARC.GZ and WACZ files as DataFrames of records.
+
+``read_warc(spark, path)`` gives one row per record and one error row for a file that breaks off.  It is three jobs over
+any file system that both Spark and Arrow reach (files are listed by Spark and opened by Arrow):
+
+1. *Archives* (``archives``).  The listing is a DataFrame; containers are opened in tasks, and each inner archive that is
+   stored (not deflated) is a range of bytes of its container, like a file of its own.
+2. *Pieces* (``pieces``).  Archives of ``splitFrom`` bytes or more are cut into ranges of at least ``splitFloor`` bytes.
+   All ranges are walked at once: each looks for a first start that leads on to another one, and goes from start to
+   start (by the lengths in record headers, or by inflating gzip members) to the first one behind its end.  What looks
+   like a start may be part of a body, say of an embedded archive.  So the ranges of an archive are then chained: the
+   first starts at 0, and each next one must start where the one before it ended; a range that guessed otherwise is
+   walked again from there.  Every record so belongs to the range in which it starts, whatever bodies hold.
+3. *Records*.  Each piece is parsed by a task of its own.
+
+A member of more than ``MEMBER`` bytes is inflated piece by piece.  Inner archives that are deflated are one piece.
+Options: ``splitFloor``, ``splitFrom`` (bytes) and ``names`` (a pattern for other file names).
 """
 
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+
+from stratarc.operators.stored import stored
 
 SPLIT_FROM, SPLIT_FLOOR = 128 << 20, 64 << 20
 CHUNK = 1 << 20
-#: Bytes behind a range in which the end of an embedded archive is looked for; of a member that is held whole.
-LOOK, MEMBER = 64 << 20, 64 << 20
+#: Bytes of a member that is held whole.
+MEMBER = 64 << 20
+MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\r\n\r\n(?=WARC/1\.[0-9]\r\n)")
 ACCEPTED = r"(?i)\.(warc|warc\.gz|wacz|wacz\.zip)$"
 SCHEMA = (
@@ -51,14 +59,44 @@ def plan_ranges(size: int, floor: int = SPLIT_FLOOR, from_: int = SPLIT_FROM) ->
     return list(zip(edges[:-1], edges[1:])) or [(0, size)]
 
 
-@dataclass
-class Piece(InputPartition):
-    path: str
-    shown: str
-    start: int
-    end: int
-    kind: str
-    inner: str = ""
+def opened(uri: str):
+    """A seekable stream of a listed file."""
+    from pyarrow import fs
+
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def created(uri: str):
+    """A stream that writes a file of any such file system."""
+    from pyarrow import fs
+
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_output_stream("/" + uri.removeprefix("file:").lstrip("/"), compression=None)
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_output_stream(path, compression=None)
+
+
+class Part:
+    """The bytes [base, base + size) of a stream as a stream."""
+
+    def __init__(self, stream, base: int, size: int):
+        self.stream, self.base, self.size, self.at = stream, base, size, 0
+
+    def seek(self, at: int) -> int:
+        self.at = at
+        return at
+
+    def read(self, size: int) -> bytes:
+        size = max(0, min(size, self.size - self.at))
+        if not size:
+            return b""
+        self.stream.seek(self.base + self.at)
+        data = self.stream.read(size)
+        self.at += len(data)
+        return data
 
 
 def _headers(block: bytes) -> tuple[str, dict[str, str]]:
@@ -111,95 +149,87 @@ def _row(name: str, offset: int, bag: dict[str, str], head: int, body: bytes, gz
     return (name, kind, _get(bag, "warc-target-uri"), offset, bag, http, version, status, text, payload, None)
 
 
-def _leads_on(stream, at: int) -> tuple[int, int, bool] | None:
-    """(place behind the record that starts at ``at``, line breaks there, more to come), or None if it leads nowhere."""
+def _next_record(stream, at: int) -> int | None:
+    """Where the record behind the one at ``at`` starts (the end of the stream, if there is none); None if none can be read there."""
     stream.seek(at)
     head = b""
     while (k := head.find(b"\r\n\r\n")) < 0:
         more = stream.read(8192)
-        if not more or len(head) > CHUNK:
+        if not more:
             return None
         head += more
     first, bag = _headers(head[:k])
-    length = _get(bag, "content-length") or ""
+    length = _get(bag, "content-length") or "0"
     if not first.startswith("WARC/") or not length.isascii() or not length.isdigit():
         return None
-    done = at + k + 4 + int(length)
-    if done and (stream.seek(done - 1) is None or not stream.read(1)):
-        return None  # the file ends before the record does
-    tail = stream.read(256)
-    breaks = len(re.match(rb"(?:\r\n)*", tail)[0]) // 2
-    rest = tail[2 * breaks :]
-    if rest and (breaks < 2 or not rest.startswith(b"WARC/1.")):
-        return None
-    return done + 2 * breaks, breaks, bool(rest)
+    at += k + 4 + int(length)
+    if int(length) and (stream.seek(at - 1) is None or not stream.read(1)):
+        return None  # the stream ends before the record does
+    stream.seek(at)
+    while (breaks := stream.read(256)).startswith(b"\r\n"):
+        size = len(re.match(rb"(?:\r\n)*", breaks)[0])
+        at += size
+        if size < len(breaks) - 1:
+            break
+        stream.seek(at)
+    return at
 
 
-def _behind_embedded(stream, at: int, stop: int) -> int | None:
-    """Where the record behind an embedded archive starts, if the records from ``at`` on belong to one."""
-    while at <= stop:
-        got = _leads_on(stream, at)
-        if got is None or not got[2]:
+def _next_member(stream, at: int, like: bytes = b"") -> int | None:
+    """Where the gzip member behind the one at ``at`` starts; None if there is none, or its bytes do not begin with ``like``."""
+    stream.seek(at)
+    member, first = _Member(stream, b""), b""
+    try:
+        while out := member.read(CHUNK):
+            if len(first) < len(like):
+                first += out[: len(like)]
+                if not first.startswith(like[: len(first)]):
+                    return None
+    except (EOFError, zlib.error):
+        return None
+    return at + member.used if first[: len(like)] == like else None
+
+
+def _guess(stream, kind: str, start: int, end: int) -> int | None:
+    """The first place in [start, end) that looks like a start and leads on to another one, or to the end."""
+    if not start:
+        return 0
+    back = 0 if kind == "gz" else 4  # of a record, the break before it is looked for
+    at, buffer = max(0, start - back), b""
+    pattern = re.compile(re.escape(MAGIC)) if kind == "gz" else START
+    while at < end:
+        stream.seek(at)
+        buffer = stream.read(CHUNK)
+        if not buffer:
             return None
-        at, breaks, _ = got
-        if breaks >= 4:  # the break of the last record inside and that of the record around it
-            return at
-    return None
-
-
-def first_start(stream, start: int, end: int | None) -> int | None:
-    """Place of the first record that starts in [start, end)."""
-    at, buffer, broken = max(0, start - 4), b"", None
-    limit = lambda x: end is None or x < end
-    while True:
-        stream.seek(at + len(buffer))
-        m = START.search(buffer)
-        if not m:
-            more = stream.read(CHUNK)
-            if not more or not limit(at):
-                return broken
-            keep = buffer[-16:]
-            at, buffer = at + len(buffer) - len(keep), keep + more
-            continue
-        place = at + m.end()
-        if not limit(place):
-            return broken
-        if _leads_on(stream, place) is None:
-            if broken is None and _cut_off(stream, place):
-                broken = place
-            at, buffer = place, buffer[m.end() :]
-            continue
-        beyond = _behind_embedded(stream, place, (end or place) + LOOK)
-        if beyond is None:
+        for m in pattern.finditer(buffer):
+            place = at + (m.start() if kind == "gz" else m.end())
+            if place >= end:
+                return None
+            onward = _next_member(stream, place, b"WARC/") if kind == "gz" else _next_record(stream, place)
+            if onward is None:
+                continue
+            stream.seek(onward)
+            if (follow := stream.read(8)) and not follow.startswith(MAGIC if kind == "gz" else b"WARC/1."):
+                continue
             return place
-        if not limit(beyond):
-            return None
-        at, buffer = beyond - 4, b""  # what is behind may be embedded, too
+        at += max(1, len(buffer) - 16)
+    return None
 
 
-def _cut_off(stream, at: int) -> bool:
-    """Is this a record that the end of the file cuts off?"""
-    stream.seek(at)
-    head = stream.read(CHUNK)
-    k = head.find(b"\r\n\r\n")
-    if k < 0:
-        return len(head) < CHUNK
-    length = _get(_headers(head[:k])[1], "content-length") or ""
-    if not length.isascii() or not length.isdigit() or not int(length):
-        return False
-    stream.seek(at + k + 4 + int(length) - 1)
-    return not stream.read(1)
+def _walked(stream, kind: str, at: int, end: int) -> int | None:
+    """The first start at or behind ``end``, going from start to start; None if that breaks off."""
+    step = _next_member if kind == "gz" else _next_record
+    while at is not None and at < end:
+        at = step(stream, at)
+    return at
 
 
 def split_records(stream, name: str, start: int = 0, end: int | None = None) -> Iterator[tuple]:
-    """Rows of the records that start in [start, end) of a plain stream (seekable, if it does not begin at 0)."""
+    """Rows of the records that start in [start, end) of a plain stream, of which one starts at ``start``."""
     last = None
     try:
-        if start:  # to the first record start at or behind ``start``
-            found = first_start(stream, start, end)
-            if found is None:
-                return
-            start = found
+        if start:
             stream.seek(start)
         base, buffer, pos = start, b"", 0  # buffer begins at ``base``; the next record at base + pos
 
@@ -258,15 +288,17 @@ class _Member:
         return b""
 
 
-def split_members(stream, name: str) -> Iterator[tuple]:
-    """Rows of a compressed stream: usually one gzip member per record.
+def split_members(stream, name: str, start: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Rows of the gzip members that start in [start, end) of a stream, of which one starts at ``start``; usually one per record.
 
     A member with more than ``MEMBER`` bytes is inflated twice, first for its length, so that it is never held whole.
     """
-    at, last, buffer = 0, None, b""
+    at, last, buffer = start, None, b""
     try:
+        if start:
+            stream.seek(start)
         buffer = stream.read(CHUNK)
-        while buffer:
+        while buffer and (end is None or at < end):
             member, parts, size = _Member(stream, buffer), [], 0
             while size <= MEMBER and (out := member.read(CHUNK)):
                 parts.append(out)
@@ -295,64 +327,169 @@ def split_members(stream, name: str) -> Iterator[tuple]:
         yield (name, *([None] * 9), ("parse", type(e).__name__, str(e), last))
 
 
-class WarcReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.floor = int(options.get("splitFloor", SPLIT_FLOOR))
-        self.from_ = int(options.get("splitFrom", SPLIT_FROM))
-        self.names = options.get("names", ACCEPTED)
-
-    def partitions(self):
-        path = self.path.removeprefix("file://")
-        names = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs) if os.path.isdir(path) else [path]
-        out = []
-        for p in names:
-            shown = os.path.basename(p)
-            if not re.search(self.names, shown):
-                continue
-            size = os.path.getsize(p)
-            if re.search(r"(?i)\.gz$", shown):
-                out.append(Piece(p, shown, 0, size, "gz"))
-            elif not re.search(r"(?i)\.(wacz|zip)$", shown):
-                out += [Piece(p, shown, a, z, "plain") for a, z in plan_ranges(size, self.floor, self.from_)]
-            else:
-                try:
-                    with zipfile.ZipFile(p) as z:
-                        inner = [i for i in z.infolist() if re.search(r"(?i)\.warc(\.gz)?$", i.filename)]
-                except (OSError, zipfile.BadZipFile):
-                    inner = []
-                if inner:
-                    out += [Piece(p, f"{shown} › {i.filename}", 0, i.file_size, "inner", i.filename) for i in inner]
-                else:
-                    out.append(Piece(p, shown, 0, size, "plain"))
-        return out or [Piece("", "", 0, 0, "none")]
-
-    def read(self, piece):
-        if piece.kind == "none":
-            return
-        if piece.kind == "inner":
-            with zipfile.ZipFile(piece.path) as z, z.open(piece.inner) as f:
-                yield from split_members(f, piece.shown) if piece.inner.lower().endswith(".gz") else split_records(f, piece.shown)
-            return
-        with open(piece.path, "rb") as f:
-            yield from split_members(f, piece.shown) if piece.kind == "gz" else split_records(f, piece.shown, piece.start, piece.end)
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, file_name, modified, size) of all files under a path, of any file system that Spark lists; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("uri"), F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+ARCHIVE = "uri string, shown string, kind string, inner string, base long, size long"
+GZ, ZIP, INNER = re.compile(r"(?i)\.gz$"), re.compile(r"(?i)\.(wacz|zip)$"), re.compile(r"(?i)\.warc(\.gz)?$")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-class WarcSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "warc"
+def _rows_of(batches, run, schema: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
+    """run(row) for each row, its tuples in batches of bounded size."""
+    held, size = [], 0
+    for b in batches:
+        for row in b.to_pylist():
+            for out in run(row):
+                held.append(out)
+                if len(held) >= most:
+                    yield _batch(held, schema)
+                    held = []
+    if held:
+        yield _batch(held, schema)
 
-    def schema(self):
-        return SCHEMA
 
-    def reader(self, schema):
-        return WarcReader(self.options)
+def _over(df: DataFrame, run, schema: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    typed = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(typed)
+    return df.mapInArrow(lambda batches: _rows_of(batches, run, arrow), typed)
 
-def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
-    spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").options(**options).load(path)
+
+def _inner(row: dict) -> Iterator[tuple]:
+    """The inner archives of a container; it is kept as one archive if there are none."""
+    uri, shown, size = row["uri"], row["file_name"], row["size"]
+    try:
+        with opened(uri) as f, zipfile.ZipFile(f) as z:
+            inner = [i for i in z.infolist() if INNER.search(i.filename)]
+            for i in inner:
+                kind, base = "gz" if GZ.search(i.filename) else "plain", 0
+                if i.compress_type == zipfile.ZIP_STORED:
+                    f.seek(i.header_offset)
+                    local = f.read(30)
+                    base = i.header_offset + 30 + int.from_bytes(local[26:28], "little") + int.from_bytes(local[28:30], "little")
+                yield uri, f"{shown} › {i.filename}", kind, i.filename if not base else None, base, i.file_size
+    except (OSError, zipfile.BadZipFile):
+        inner = []
+    if not inner:
+        yield uri, shown, "plain", None, 0, size
+
+
+def archives(files: DataFrame, names: str = ACCEPTED) -> DataFrame:
+    """The archives of a listing, those inside containers each (S3); ``inner`` names one that is deflated."""
+    files = files.where(F.col("file_name").rlike(names))
+    zipped = F.col("file_name").rlike(ZIP.pattern)
+    kind = F.when(F.col("file_name").rlike(GZ.pattern), "gz").otherwise("plain")
+    plain = files.where(~zipped).select("uri", F.col("file_name").alias("shown"), kind.alias("kind"), F.lit(None).cast("string").alias("inner"), F.lit(0).cast("long").alias("base"), "size")
+    held = files.where(zipped)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plain.unionByName(_over(held.repartition(parts, "uri"), _inner, ARCHIVE))
+
+
+RANGE = "start long, end long, first long, next long"
+
+
+def pieces(found: DataFrame, floor: int = SPLIT_FLOOR, from_: int = SPLIT_FROM) -> DataFrame:
+    """The archives' columns with first and end: true starts, one row for each range in which a record or member starts.
+
+    A stored table of one row for each range; no record is kept.
+    """
+    spark = found.sparkSession
+    n = F.when((F.col("size") >= from_) & F.col("inner").isNull(), F.floor(F.col("size") / floor)).otherwise(1).cast("int")
+    edge = lambda i: F.floor(F.col("size") * i / F.col("n")).cast("long")
+    cut = found.withColumn("n", F.greatest(n, F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("start", edge(F.col("i"))).withColumn("end", edge(F.col("i") + 1))
+    names = [f.name for f in T._parse_datatype_string(ARCHIVE)]
+
+    def walk(row: dict):
+        own = tuple(row[c] for c in names)
+        if row["n"] == 1:
+            yield (*own, 0, row["end"], 0, row["size"])
+            return
+        with opened(row["uri"]) as f:
+            part = Part(f, row["base"], row["size"])
+            first = _guess(part, row["kind"], row["start"], row["end"])
+            yield (*own, row["start"], row["end"], first, None if first is None else _walked(part, row["kind"], first, row["end"]))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    walked = _over(cut.repartition(parts, "uri", "base", "start"), walk, f"{ARCHIVE}, {RANGE}")
+
+    def chained(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["start"])
+        out, at, stream = [], 0, None
+        for r in rows:
+            if at is None:
+                break  # the range before it breaks off: its piece says so
+            if at >= r["end"]:
+                continue  # one record covers all of this range
+            out.append({**r, "first": at})
+            if r["first"] == at:
+                at = r["next"]
+            else:
+                stream = stream or opened(r["uri"])
+                at = _walked(Part(stream, r["base"], r["size"]), r["kind"], at, r["end"])
+        return pa.Table.from_pylist([{k: v for k, v in r.items() if k != "next"} for r in out], schema=pa.schema([f for f in table.schema if f.name != "next"]))
+
+    # an archive's ranges are as many as it has times ``floor`` bytes
+    checked = walked.groupBy("uri", "base", "inner").applyInArrow(chained, f"{ARCHIVE}, start long, end long, first long")
+    return stored(checked.drop("start"), "pieces")
+
+
+def _parsed(row: dict) -> Iterator[tuple]:
+    split = split_members if row["kind"] == "gz" else split_records
+    end = row["end"] if row["end"] < row["size"] else None
+    with opened(row["uri"]) as f:
+        if row["inner"] is not None:
+            with zipfile.ZipFile(f) as z, z.open(row["inner"]) as inside:
+                yield from _wire(split(inside, row["shown"]))
+        else:
+            yield from _wire(split(Part(f, row["base"], row["size"]), row["shown"], row["first"], end))
+
+
+def _wire(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows as Arrow takes them: maps as pairs, structs by name."""
+    located = ("compressed_offset", "compressed_length", "payload_offset")
+    fields = ("offset", "size", "chunks", "full_size", "digest", "gzip")
+    failed = ("stage", "name", "message", "last_offset")
+    for name, kind, url, offset, warc, http, version, status, text, payload, error in rows:
+        if payload is not None:
+            payload = dict(zip(fields, (*payload[:5], payload[5] and dict(zip(located, payload[5])))))
+        pairs = lambda bag: None if bag is None else list(bag.items())
+        yield name, kind, url, offset, pairs(warc), pairs(http), version, status, text, payload, error and dict(zip(failed, error))
+
+
+def read_warc(spark: SparkSession, path: str, splitFloor: int = SPLIT_FLOOR, splitFrom: int = SPLIT_FROM, names: str = ACCEPTED) -> DataFrame:
+    found = pieces(archives(listing(spark, path), names), splitFloor, splitFrom)
+    n = found.count()
+    return _over(found.repartitionByRange(max(n, 1), "uri", "base", "first"), _parsed, SCHEMA)
+
+
+def members(found: DataFrame) -> DataFrame:
+    """The gzip members of pieces (S2): uri, shown, offset and length of each, and where its record's payload starts inside (null without one)."""
+
+    def run(row: dict):
+        with opened(row["uri"]) as f:
+            part = Part(f, row["base"], row["size"])
+            at, payload = None, None
+            for r in split_members(part, row["shown"], row["first"], row["end"] if row["end"] < row["size"] else None):
+                if r[10] is not None:
+                    break
+                if r[3] != at:
+                    if at is not None:
+                        yield row["uri"], row["shown"], at, r[3] - at, payload
+                    at, payload = r[3], None
+                if payload is None and r[9]:
+                    payload = r[9][5][2]
+            if at is not None and (end := _next_member(part, at)) is not None:
+                yield row["uri"], row["shown"], at, end - at, payload
+
+    return _over(found.where("kind = 'gz' AND inner IS NULL"), run, "uri string, shown string, offset long, length long, payload_offset long")
 
 
 def records(wire: DataFrame) -> DataFrame:

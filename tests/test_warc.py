@@ -1,6 +1,8 @@
 """The WARC source on small hand-made files."""
 
 import gzip
+import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -44,27 +46,108 @@ def test_plain_file(spark, tmp_path):
     assert left == {("warcinfo", "no url"): True, ("metadata", "no url"): True}
 
 
-def test_every_cut_reads_each_record_once(tmp_path):
-    data = b"".join(RECORDS)
-    p = tmp_path / "t.warc"
-    p.write_bytes(data)
-    whole = [r[3] for r in W.split_records(open(p, "rb"), "t")]
-    for cut in range(1, len(data), 3):
-        got = [r[3] for r in W.split_records(open(p, "rb"), "t", 0, cut)] + [r[3] for r in W.split_records(open(p, "rb"), "t", cut, len(data))]
-        assert got == whole, cut
+def in_ranges(data, edges, kind="plain"):
+    """Offsets of the records of all ranges between the edges, each range guessed and chained as by pieces()."""
+    part = W.Part(io.BytesIO(data), 0, len(data))
+    split = W.split_members if kind == "gz" else W.split_records
+    got, at, wrong = [], 0, 0
+    for start, end in zip(edges, edges[1:]):
+        first = W._guess(part, kind, start, end)
+        if at is None or at >= end:
+            continue
+        wrong += first != at
+        got += [r[3] for r in split(part, "t", at, end if end < len(data) else None)]
+        at = W._walked(part, kind, at, end)
+    return got, wrong
+
+
+def offsets(data, kind="plain"):
+    return [r[3] for r in (W.split_members if kind == "gz" else W.split_records)(io.BytesIO(data), "t")]
 
 
-def test_cuts_inside_embedded_archives(tmp_path):
+def bodies():
+    """Bodies that hold what looks like starts of records: archives, whole and broken, one inside the other."""
     inner = b"".join(RECORDS[:3])
-    bodies = [inner, b"text\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nno record", b"\r\n\r\nWARC/1.0\r\n\r\n", record("resource", "http://e.com/in", inner, n=30)]
-    data = b"".join([RECORDS[0], *(record("resource", f"http://e.com/{i}", b, n=10 + i) for i, b in enumerate(bodies)), RECORDS[2]])
-    p = tmp_path / "t.warc"
-    p.write_bytes(data)
-    whole = [r[3] for r in W.split_records(open(p, "rb"), "t")]
-    assert len(whole) == 6
+    return [inner, b"text\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nno record", b"\r\n\r\nWARC/1.0\r\n\r\n", record("resource", "http://e.com/in", inner, n=30)]
+
+
+def test_every_cut_reads_each_record_once():
+    """Also with two to six line breaks behind records, and bodies that are archives."""
+    for breaks in range(2, 7):
+        data = b"".join(r + b"\r\n" * (breaks - 2 if k % 2 else 0) for k, r in enumerate([*RECORDS, *(record("resource", "u", x) for x in bodies()), *RECORDS]))
+        whole = offsets(data)
+        assert len(whole) == 2 * len(RECORDS) + 4
+        for cut in range(1, len(data)):
+            assert in_ranges(data, [0, cut, len(data)])[0] == whole, (breaks, cut)
+
+
+def test_many_ranges_and_wrong_guesses():
+    data = b"".join([RECORDS[0], *(record("resource", f"http://e.com/{i}", b, n=10 + i) for i, b in enumerate(bodies())), RECORDS[2]])
+    seen = 0
+    for n in range(1, 60):
+        got, wrong = in_ranges(data, [len(data) * i // n for i in range(n + 1)])
+        assert got == offsets(data)
+        seen += wrong
+    assert seen  # some range took an embedded record for its first
+
+
+def test_cut_members_and_stored_members_inside():
+    """A body that is itself compressed and kept as it is looks like members of its own."""
+    inside = b"".join(gzip.compress(r) for r in RECORDS[:3])
+    data = b"".join(gzip.compress(r, 0) for r in [RECORDS[0], record("resource", "u", inside), *RECORDS[1:], record("resource", "v", inside)])
+    whole, wrong = offsets(data, "gz"), 0
+    assert len(whole) == len(RECORDS) + 2
     for cut in range(1, len(data)):
-        got = [r[3] for r in W.split_records(open(p, "rb"), "t", 0, cut)] + [r[3] for r in W.split_records(open(p, "rb"), "t", cut, len(data))]
+        got, off = in_ranges(data, [0, cut, len(data)], "gz")
         assert got == whole, cut
+        wrong += off
+    assert wrong
+
+
+def test_broken_file_in_ranges(tmp_path, spark):
+    """What stands before the break is read once, the break is reported once."""
+    data = b"".join(RECORDS) * 30
+    bad = data[: len(data) // 2] + b"junk" + data[len(data) // 2 :]
+    (tmp_path / "b.warc").write_bytes(bad)
+    rows = W.read_warc(spark, str(tmp_path), splitFrom=1, splitFloor=500).collect()
+    whole = list(W.split_records(io.BytesIO(bad), "b.warc"))
+    assert sorted(r.offset for r in rows if r._error is None) == [r[3] for r in whole if r[10] is None]
+    assert [r._error.name for r in rows if r._error] == [r[10][1] for r in whole if r[10]] == ["ValueError"]
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    """Plain, compressed and inside a container: records once each, by several tasks; the member table has every member."""
+    r = random.Random(1)
+    many = [record("response", f"http://e.com/{i}", bytes(r.randrange(256) for _ in range(200)), OK, i) for i in range(300)]
+    packed = [gzip.compress(x) for x in many]
+    (tmp_path / "p.warc").write_bytes(b"".join(many))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(packed))
+    with zipfile.ZipFile(tmp_path / "z.wacz", "w") as z:
+        z.writestr("archive/stored.warc.gz", b"".join(packed))
+        z.writestr("archive/small.warc", b"".join(many), zipfile.ZIP_DEFLATED)
+    wire = W.read_warc(spark, str(tmp_path), splitFrom=20_000, splitFloor=10_000)
+    found = wire.withColumn("task", F.spark_partition_id()).groupBy("file_name").agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"), F.count_distinct("task").alias("tasks"), F.count("_error").alias("bad"))
+    got = {x.file_name: tuple(x)[1:] for x in found.collect()}
+    assert {k: v[:2] + v[3:] for k, v in got.items()} == {k: (300, 300, 0) for k in ("p.warc", "c.warc.gz", "z.wacz › archive/stored.warc.gz", "z.wacz › archive/small.warc")}
+    assert got["p.warc"][2] > 3 and got["c.warc.gz"][2] > 3 and got["z.wacz › archive/stored.warc.gz"][2] > 3 and got["z.wacz › archive/small.warc"][2] == 1
+    table = W.members(W.pieces(W.archives(W.listing(spark, str(tmp_path))), 10_000, 20_000)).where("shown = 'c.warc.gz'").orderBy("offset").collect()
+    assert [x.length for x in table] == [len(x) for x in packed] and all(x.payload_offset for x in table)
+    located = {x.payload.gzip.compressed_offset: x.payload.gzip.payload_offset for x in wire.where("file_name = 'c.warc.gz'").collect()}
+    assert located == {x.offset: x.payload_offset for x in table}
+
+
+def test_listing_feeds_status_and_new_files(spark, tmp_path):
+    from stratarc.operators.captures import new_files
+    from stratarc.operators.stats import corpus_status
+
+    for n in ("a.warc", "b.warc.gz", "notes.txt"):
+        (tmp_path / n).write_bytes(b"x" * 10)
+    files = W.accepted(W.listing(spark, f"file://{tmp_path}"))[0]
+    status = corpus_status(files, F.lit("2024-01-31")).first()
+    assert (status.files, status.bytes) == (2, 20)
+    known = files.where("file_name = 'a.warc'").select("file_name", "modified", "size")
+    assert [r.file_name for r in new_files(files, known).collect()] == ["b.warc.gz"]
+    assert [r.file_name for r in new_files(files, known.withColumn("size", F.col("size") + 1)).orderBy("file_name").collect()] == ["a.warc", "b.warc.gz"]
 
 
 def test_large_members_are_inflated_in_pieces(tmp_path, monkeypatch):
