@@ -684,19 +684,20 @@ def stream_newest_host(spark, d):
     return live.drain(live.live_newest_host(rows), "update", ["host"], at).withColumn("last_archived_ts", F.col("last_archived_ts").cast("timestamp_ntz"))
 
 
-@query("stream_notices", "SELECT DISTINCT uri AS target, CASE WHEN status >= 400 THEN 'error-status' ELSE 'no-payload' END AS reason FROM cap WHERE status >= 400 OR (rec_type = 'response' AND payload_size IS NULL)")
+@query("stream_notices", "SELECT uri AS target, CASE WHEN status >= 400 THEN 'error-status' ELSE 'no-payload' END AS reason, min(event_id) AS event_id FROM cap WHERE status >= 400 OR (rec_type = 'response' AND payload_size IS NULL) GROUP BY ALL ORDER BY min(event_id) DESC, 1, 2 LIMIT 60")
 def stream_notices(spark, d):
-    """All distinct notices: no more are held than the number kept, so that none is trimmed here."""
+    """The newest 60 notices, of those that came: the others are trimmed."""
     c = captures(spark, d).where("status >= 400 OR (rec_type = 'response' AND payload_size IS NULL)")
     reason = F.when(F.col("status") >= 400, "error-status").otherwise("no-payload")
-    rows, at = _stream(spark, c.select(F.col("uri").alias("target"), reason.alias("reason"), "event_id"))
-    return live.live_notices(rows, at, "event_id", keep=1 << 20).select("target", "reason")
+    rows, at = _stream(spark, c.select(F.col("uri").alias("target"), reason.alias("reason"), "event_id"), files=1)
+    return live.live_notices(rows, at, "event_id", keep=60)
 
 
-@query("stream_late_revisits", "SELECT id AS custom_id FROM donor", RESOLVE_SQL)
+@query("stream_late_revisits", "SELECT r.custom_id, d.custom_id AS donor_id, d.file_name AS donor_file, d.payload_size AS payload_size, d.via FROM rev r JOIN donor d ON d.id = r.custom_id", RESOLVE_SQL)
 def stream_late_revisits(spark, d):
     rows, at = _stream(spark, captures(spark, d).drop("headers"))
-    return live.late_revisits(rows, at).select("custom_id")
+    found = live.late_revisits(rows, at)
+    return found.select("custom_id", F.col("donor.custom_id").alias("donor_id"), F.col("donor.file_name").alias("donor_file"), F.col("donor.payload_size").alias("payload_size"), "via")
 
 
 # --- sources

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from stratarc.functions import urls as U
-from stratarc.operators.resolve import resolve_revisits
 from stratarc.operators.stats import segment_progress
 
 
@@ -52,55 +56,189 @@ def _run(df: DataFrame, step, path: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What the micro-batches up to now have written, with their number ``__n``; an empty batch of number -1 makes the table."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/__n=-1")
+    return spark.read.schema(StructType([*schema.fields, StructField("__n", LongType())])).parquet(path)
+
+
 def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int = 500) -> DataFrame:
     """The newest ``keep`` notices, distinct by (target, reason), the first occurrence kept.
 
     The state is a table of at most ``keep`` rows for each micro-batch, written anew under the batch's number, so that
-    a batch that runs again gives the same.  A notice that was trimmed is reported again when it comes again.
+    a batch that runs again gives the same; a restart goes on from the newest table.  A notice that was trimmed is
+    reported again when it comes again.
     """
     spark = stream.sparkSession
     columns = ["target", "reason", order]
-    schema = StructType([*(stream.schema[c] for c in columns), StructField("__batch", IntegerType())])
+    schema = StructType([*(stream.schema[c] for c in columns), StructField("__batch", LongType())])
 
-    def kept(before: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path}/notices/__n={before}") if before >= 0 else spark.createDataFrame([], schema)
+    def kept(before: int | None = None) -> DataFrame:
+        """The table of the newest batch, or the newest before one."""
+        rows = _table(spark, f"{path}/notices", schema)
+        rows = rows if before is None else rows.where(F.col("__n") < before)
+        newest = rows.agg(F.max("__n").alias("__newest"))  # one row
+        return rows.join(F.broadcast(newest), F.col("__n") == F.col("__newest")).select(*columns, "__batch")
 
     def step(batch: DataFrame, number: int) -> None:
-        held = kept(number - 1)
-        first = batch.groupBy("target", "reason").agg(F.min(order).alias(order)).select(*columns).withColumn("__batch", F.lit(number).cast("int"))
+        held = kept(number)
+        first = batch.groupBy("target", "reason").agg(F.min(order).alias(order)).select(*columns).withColumn("__batch", F.lit(number).cast("long"))
         new = first.join(F.broadcast(held.select("target", "reason")), ["target", "reason"], "left_anti")  # at most ``keep`` rows
         rows = held.unionByName(new).orderBy(F.desc("__batch"), F.desc(order), "target", "reason").limit(keep)
         rows.write.mode("overwrite").parquet(f"{path}/notices/__n={number}")
-        last[0] = number
 
-    last = [-1]
     _run(stream, step, path)
-    return kept(last[0]).drop("__batch")
+    return kept().drop("__batch")
+
+
+#: What is kept of a donor, in the order of its JSON row behind its moment.
+DONOR = ("file_name", "byte_offset", "custom_id", "status", "location", "payload_size", "content_type")
+DAY = 86_400_000_000
+FOUND = "custom_id string, via string, file_name string, byte_offset long, donor_id string, archived_us long, status int, location string, payload_size long, content_type string"
+
+
+def _place(donor: list) -> tuple:
+    """File order; nulls first."""
+    return tuple((x is not None, x) for x in donor[1:4])
+
+
+class NearestDonors(StatefulProcessor):
+    """The donors and revisits of one key (a digest or a URI) on a time line, kept by day.
+
+    ``donors`` and ``revisits`` map a day to its rows (JSON); ``days`` has the days that are there.  A new donor only
+    touches the revisits between its neighbours in time, a new revisit only the nearest donors, so that a batch reads
+    the days around its own rows, not all of the key's.  A row is given out when a revisit's donor changes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getValueState("days", "donors array<long>, revisits array<long>")
+        self.donors = handle.getMapState("donors", "day long", "rows string")
+        self.revisits = handle.getMapState("revisits", "day long", "rows string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        days = self.days.get() if self.days.exists() else None
+        donor_days, revisit_days = (list(days[0]), list(days[1])) if days else ([], [])
+        seen: dict[tuple[str, int], list] = {}
+        changed: set[tuple[str, int]] = set()
+
+        def bucket(name: str, day: int) -> list:
+            if (name, day) not in seen:
+                held = getattr(self, name)
+                seen[name, day] = json.loads(held.getValue((day,))[0]) if held.containsKey((day,)) else []
+            return seen[name, day]
+
+        def add(name: str, all_days: list[int], day: int) -> list:
+            rows = bucket(name, day)
+            if (k := bisect_left(all_days, day)) == len(all_days) or all_days[k] != day:
+                all_days.insert(k, day)
+            changed.add((name, day))
+            return rows
+
+        def before(at: int) -> list | None:
+            """The last donor at or before a moment."""
+            for day in reversed(donor_days[: bisect_right(donor_days, at // DAY)]):
+                rows = bucket("donors", day)
+                if k := bisect_right(rows, at, key=lambda r: r[0]):
+                    return rows[k - 1]
+            return None
+
+        def after(at: int) -> list | None:
+            """The first donor behind a moment."""
+            for day in donor_days[bisect_left(donor_days, at // DAY) :]:
+                rows = bucket("donors", day)
+                if (k := bisect_right(rows, at, key=lambda r: r[0])) < len(rows):
+                    return rows[k]
+            return None
+
+        moments, open_ = [], {}
+        for r in rows:
+            if r.donor is not None:
+                if r.at is None:
+                    continue  # without a date it is no candidate
+                new, own = [r.at, *(r.donor[c] for c in DONOR)], add("donors", donor_days, r.at // DAY)
+                k = bisect_left(own, r.at, key=lambda x: x[0])
+                if k < len(own) and own[k][0] == r.at:  # of one moment the first in file order
+                    own[k] = min(own[k], new, key=_place)
+                else:
+                    own.insert(k, new)
+                moments.append(r.at)
+            else:
+                day = NO_DATE if r.at is None else r.at // DAY
+                own = add("revisits", revisit_days, day)
+                if all(x[1] != r.custom_id for x in own):
+                    own.append([r.at, r.custom_id, None])
+                open_[day, r.custom_id] = True
+        touched: dict[int, list[tuple]] = {}
+        for at in moments:
+            low, high = before(at - 1), after(at)
+            low, high = low[0] if low else None, high[0] if high else None
+            first = 0 if low is None else bisect_left(revisit_days, low // DAY)
+            last = len(revisit_days) if high is None else bisect_right(revisit_days, high // DAY)
+            for day in revisit_days[first:last]:
+                touched.setdefault(day, []).append((low, high))
+        if moments and NO_DATE in revisit_days:
+            touched.setdefault(NO_DATE, []).append((None, None))
+        for day in sorted({*touched, *(d for d, _ in open_)}):
+            for r in bucket("revisits", day):
+                if (day, r[1]) not in open_ and not any((low is None or r[0] is None or low <= r[0]) and (high is None or r[0] is None or r[0] <= high) for low, high in touched.get(day, ())):
+                    continue
+                if r[0] is None:
+                    best = bucket("donors", donor_days[-1])[-1] if donor_days else None
+                else:
+                    both = [d for d in (before(r[0]), after(r[0])) if d]
+                    best = min(both, key=lambda d: (abs(d[0] - r[0]), _place(d)), default=None)
+                if best and r[2] != best[1:4]:
+                    r[2] = best[1:4]
+                    changed.add(("revisits", day))
+                    yield Row(custom_id=r[1], via=key[0], donor_id=best[3], archived_us=best[0], **{c: x for c, x in zip(DONOR, best[1:]) if c != "custom_id"})
+        for name, day in changed:
+            getattr(self, name).updateValue((day,), (json.dumps(seen[name, day]),))
+        if changed:
+            self.days.update((donor_days, revisit_days))
+
+    def close(self) -> None:
+        pass
+
+
+#: The day of revisits without a date: they take the newest donor.
+NO_DATE = -(1 << 40)
 
 
 def late_revisits(stream: DataFrame, path: str) -> DataFrame:
-    """All revisits that found a donor by the time the stream was read, with the donor of that time.
+    """(custom_id, via, donor) of all revisits that have a donor among what the stream has read, as resolve_revisits() would give.
 
-    Each micro-batch joins the table of what is loaded; then only revisits that are still open are resolved, over all
-    that is loaded, so that one may come before its donor.  Every table is written under the batch's number.
+    Donors and revisits meet by digest and by URI in keyed state; a nearer donor that comes later gives a correction, so
+    the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
+    the newest row counts, and one by digest before one by URI.  No batch reads what earlier ones have read.
     """
     spark = stream.sparkSession
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    known: dict[str, StructType] = {}
+    donor = F.when((F.col("rec_type") != "revisit") & F.col("payload_size").isNotNull(), F.struct(*DONOR))
+    revisit = F.col("rec_type") == "revisit"
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    own, other = at(F.col("archived_ts")), at(F.coalesce("refers_to_date", "archived_ts"))
+    routes = F.array(
+        F.struct(F.lit("digest").alias("via"), F.col("digest").alias("key"), own.alias("at")),
+        F.struct(F.lit("uri").alias("via"), F.when(revisit, F.col("refers_to_uri")).otherwise(F.col("uri")).alias("key"), F.when(revisit, other).otherwise(own).alias("at")),
+    )
+    keyed = stream.withColumn("donor", donor).where(revisit | F.col("donor").isNotNull()).select("custom_id", "donor", F.inline(routes)).where("key IS NOT NULL")
+    found = keyed.groupBy("via", "key").transformWithState(NearestDonors(), FOUND, "Update", "None")
+    schema = found.schema
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/bronze/__n={number}")
-        bronze = read("bronze", batch.schema).select(*batch.columns)
-        own = read(f"bronze/__n={number}", batch.schema).where("rec_type = 'revisit'")
-        open_ = own if not number else own.unionByName(read(f"open/__n={number - 1}", batch.schema))
-        done = resolve_revisits(bronze.where("rec_type <> 'revisit'").unionByName(open_))
-        done.write.mode("overwrite").parquet(f"{path}/tried/__n={number}")
-        known["tried"] = done.schema
-        tried = read(f"tried/__n={number}", done.schema)
-        tried.where("donor IS NULL").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/open/__n={number}")
-
-    _run(stream, step, path)
-    return read("tried", known["tried"]).drop("__n").where("donor IS NOT NULL")
+        batch.write.mode("overwrite").parquet(f"{path}/donors/__n={number}")
+
+    _table(spark, f"{path}/donors", schema)
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, rocks)  # the one that has state by key and name
+    try:
+        _run(found, step, path, "update")
+    finally:
+        spark.conf.set(provider, old)
+    rows = _table(spark, f"{path}/donors", schema)
+    shown = F.struct("file_name", "byte_offset", F.col("donor_id").alias("custom_id"), F.timestamp_micros("archived_us").alias("archived_ts"), *DONOR[3:])
+    newest = rows.groupBy("custom_id", "via").agg(F.max_by(shown, "__n").alias("donor"))
+    return newest.groupBy("custom_id").agg(F.min_by(F.struct("via", "donor"), "via").alias("r")).select("custom_id", "r.*")
 
 
 def drain(df: DataFrame, mode: str, keys: list[str] | None, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stream steps whose results depend on the order of micro-batches."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from stratarc.streaming import live
@@ -21,6 +23,65 @@ def test_trimmed_notices_are_reported_again(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("a", "x", 6), ("c", "x", 4)]  # a was trimmed by c
 
 
+def test_notices_after_a_restart_and_without_rows(spark, tmp_path):
+    schema = "target string, reason string, seq long"
+    out = f"file://{tmp_path}/out"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    assert live.live_notices(_files(spark, tmp_path, [], schema), out, keep=3).count() == 0
+    assert live.live_notices(_files(spark, tmp_path, [[("a", "x", 1), ("b", "x", 2)]], schema), out, keep=3).count() == 2
+    assert live.live_notices(_files(spark, tmp_path, [], schema), out, keep=3).count() == 2  # nothing new
+    got = live.live_notices(_files(spark, tmp_path, [[("a", "x", 3), ("c", "x", 4)], [("d", "x", 5)]], schema), out, keep=3)
+    assert sorted(r.target for r in got.collect()) == ["b", "c", "d"]
+
+
+CAPTURE = "custom_id string, uri string, file_name string, byte_offset long, archived_ts timestamp, rec_type string, status int, location string, payload_size long, content_type string, digest string, refers_to_uri string, refers_to_date timestamp"
+
+
+def _mixed(seed, n):
+    """Donors and revisits over few digests and URIs and a month, with ties in time and place."""
+    from datetime import datetime, timedelta
+
+    r = random.Random(seed)
+    at = lambda: datetime(2024, 1, 1) + timedelta(hours=r.randrange(24 * 30))
+    rows = []
+    for i in range(n):
+        digest, uri = r.choice(["d1", "d2", "d3", f"d{i}", None]), r.choice(["u1", "u2", f"u{i}"])
+        if r.random() < 0.5:
+            rows.append((f"r{i}", uri, "f", i, at(), "revisit", None, None, None, "", digest, r.choice(["u1", "u2", "none", None]), r.choice([at(), None])))
+        else:
+            rows.append((f"c{i}", uri, r.choice(["f", "g"]), r.randrange(50), at(), "response", 200, None, r.choice([5, 9, None]), "text/html", digest, None, None))
+    return rows
+
+
+def _donors(df):
+    return {r.custom_id: (r.via, r.d) for r in df.select("custom_id", "via", F.col("donor.custom_id").alias("d")).collect()}
+
+
+def test_donors_do_not_depend_on_the_order_of_batches(spark, tmp_path):
+    from stratarc.operators.resolve import resolve_revisits
+
+    rows = _mixed(3, 240)
+    want = _donors(resolve_revisits(spark.createDataFrame(rows, CAPTURE)).where("donor IS NOT NULL"))
+    assert len(want) > 80 and {v for v, _ in want.values()} == {"digest", "uri"}
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        at = tmp_path / str(seed)
+        stream = _files(spark, at, [rows[:50], rows[50:130], rows[130:]], CAPTURE)
+        assert _donors(live.late_revisits(stream, f"file://{at}/out")) == want
+
+
+def test_donors_after_a_restart_and_without_rows(spark, tmp_path):
+    from stratarc.operators.resolve import resolve_revisits
+
+    out = f"file://{tmp_path}/out"
+    spark.createDataFrame([], CAPTURE).write.parquet(str(tmp_path / "in"))
+    assert _donors(live.late_revisits(_files(spark, tmp_path, [], CAPTURE), out)) == {}
+    rows = _mixed(4, 120)
+    for part in (rows[:60], [], rows[60:], rows[:10]):  # nothing new, new rows, rows that come again
+        got = _donors(live.late_revisits(_files(spark, tmp_path, [part] if part else [], CAPTURE), out))
+    assert got == _donors(resolve_revisits(spark.createDataFrame(rows, CAPTURE)).where("donor IS NOT NULL"))
+
+
 def test_a_revisit_may_come_before_its_donor(spark, tmp_path):
     from datetime import datetime
 
