@@ -799,6 +799,16 @@ def wacz_scan(spark, d):
     return _shown(_scanned(spark, _as_members(spark, d, True)))
 
 
+@query("stream_warc_progress", "SELECT count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses, 'parsed' AS status FROM cap")
+def stream_warc_progress(spark, d):
+    """Records and failures of a folder, kept current while its files are read as a stream."""
+    from stratarc.sources.warc import ACCEPTED, ingest_report, stream_warc
+
+    wire = stream_warc(spark, _as_warc(spark, d), rf"{ACCEPTED}|\.txt$", files_at_once=1)
+    seen = live.drain(ingest_report(wire), "update", ["file_name"], f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return seen.groupBy("status").agg(F.sum("records").alias("records"), F.sum("responses").alias("responses"))
+
+
 @query("ingest_report", "SELECT 'parsed' AS status, count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses FROM cap")
 def ingest_report(spark, d):
     from stratarc.sources.warc import ingest_report as report

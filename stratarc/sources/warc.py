@@ -329,7 +329,10 @@ def split_members(stream, name: str, start: int = 0, end: int | None = None) ->
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(uri, file_name, modified, size) of all files under a path, of any file system that Spark lists; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def _listed(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("uri"), F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
@@ -470,6 +473,18 @@ def read_warc(spark: SparkSession, path: str, splitFloor: int = SPLIT_FLOOR, spl
     return _over(found.repartitionByRange(max(n, 1), "uri", "base", "first"), _parsed, SCHEMA)
 
 
+def stream_warc(spark: SparkSession, path: str, names: str = ACCEPTED, files_at_once: int = 100) -> DataFrame:
+    """The records of a folder as files arrive (S1, X6): a stream that gives each file's records once, also across restarts.
+
+    Which files were read is the state of Spark's own file source; a file is one task (many at once are read by ranges:
+    ``read_warc`` of a micro-batch's files).  Files must be moved into the folder whole.
+    """
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(path)
+    whole = archives(_listed(files), names).withColumns({"first": F.lit(0).cast("long"), "end": F.col("size")})
+    return _over(whole, _parsed, SCHEMA)
+
+
 def members(found: DataFrame) -> DataFrame:
     """The gzip members of pieces (S2): uri, shown, offset and length of each, and where its record's payload starts inside (null without one)."""
 

@@ -136,6 +136,24 @@ def test_one_file_is_many_tasks(spark, tmp_path):
     assert located == {x.offset: x.payload_offset for x in table}
 
 
+def test_growing_folder_gives_each_record_once(spark, tmp_path):
+    """Over restarts: files that come later are read, those read before are not; what fails is reported."""
+    from stratarc.streaming.live import drain
+
+    (tmp_path / "in").mkdir()
+    at, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    seen = lambda: drain(W.stream_warc(spark, at), "append", None, out)
+    (tmp_path / "in" / "a.warc").write_bytes(b"".join(RECORDS))
+    (tmp_path / "in" / "no.txt").write_bytes(b"".join(RECORDS))
+    assert seen().count() == 7 == seen().count()
+    (tmp_path / "in" / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in RECORDS))
+    (tmp_path / "in" / "c.warc").write_bytes(b"".join(RECORDS)[:-60])
+    with zipfile.ZipFile(tmp_path / "in" / "d.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(gzip.compress(r) for r in RECORDS))
+    got = {r.file_name: (r.records, r.status) for r in W.ingest_report(seen()).collect()}
+    assert got == {"a.warc": (7, "parsed"), "b.warc.gz": (7, "parsed"), "c.warc": (6, "failed"), "d.wacz › archive/a.warc.gz": (7, "parsed")}
+
+
 def test_listing_feeds_status_and_new_files(spark, tmp_path):
     from stratarc.operators.captures import new_files
     from stratarc.operators.stats import corpus_status
