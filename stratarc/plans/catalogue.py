@@ -244,14 +244,40 @@ def archive_detail(spark, d):
 FOUND_SQL = " found AS (SELECT DISTINCT uri, CAST(len(segs) AS INTEGER) AS level FROM cap WHERE contains(lower(uri), 'th'))"
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str):
+    """The stored order of the captures' URLs, written once for a session and input."""
+    from stratarc.operators.searchindex import build_index, open_index
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in INDEXES:
+        at = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+        build_index(captures(spark, d), at)
+        INDEXES[key] = at
+    return open_index(spark, INDEXES[key])
+
+
+@query("search_index", "SELECT level, uri FROM (SELECT DISTINCT uri, len(segs) AS level FROM cap)")
+def search_index(spark, d):
+    return _index(spark, d).uris.select("level", "uri")
+
+
 @query("search_page_offset", "SELECT level, uri FROM found ORDER BY level, uri LIMIT 16 OFFSET 32", FOUND_SQL)
 def search_page_offset(spark, d):
-    return search.offset_page(captures(spark, d), "TH", 3).select("level", "uri")
+    return _index(spark, d).offset_page("TH", 3)
 
 
 @query("search_page_keyset", "SELECT level, uri FROM found WHERE level > 1 OR (level = 1 AND uri > 'http://m') ORDER BY level, uri LIMIT 16", FOUND_SQL)
 def search_page_keyset(spark, d):
-    return search.keyset_page(captures(spark, d), "th", 1, "http://m").select("level", "uri")
+    return _index(spark, d).keyset_page("th", 1, "http://m")
+
+
+@query("search_grams", "SELECT uri, len(segs) AS level FROM cap WHERE contains(lower(uri), 'example.net/e') GROUP BY ALL")
+def search_grams(spark, d):
+    """By postings of grams."""
+    return _index(spark, d).found("Example.NET/e").select("uri", "level")
 
 
 @query("search_groups", "SELECT uri, level, count(*) AS n, CAST(coalesce(sum(payload_size), 0) AS BIGINT) AS total_size, min(archived_ts) AS first_ts, max(archived_ts) AS last_ts FROM cap JOIN (SELECT * FROM found ORDER BY level, uri LIMIT 16) USING (uri) GROUP BY uri, level", FOUND_SQL)
@@ -262,12 +288,12 @@ def search_groups(spark, d):
 
 @query("search_capped", "SELECT least(count(*), 10001) AS total, count(*) >= 10001 AS capped, CASE WHEN count(*) >= 10001 THEN '10,000+' ELSE CAST(count(*) AS VARCHAR) END AS label FROM found", FOUND_SQL)
 def search_capped(spark, d):
-    return search.capped_count(captures(spark, d), "th")
+    return _index(spark, d).capped_count("th")
 
 
 @query("search_exact", "SELECT count(*) AS total FROM found", FOUND_SQL)
 def search_exact(spark, d):
-    return search.found_uris(captures(spark, d), "th").agg(F.count("*").alias("total"))
+    return _index(spark, d).exact_count("th")
 
 
 @query(
