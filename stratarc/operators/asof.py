@@ -1,88 +1,152 @@
-"""Nearest capture in time.
+"""Nearest capture in time (J2, J3, J12), over a stored time index.
 
 A lookup takes the candidate of its key with the least absolute distance in time, the first in file order among
-equals.  Instead of joining every lookup to every candidate of its key, both are laid on one time line per (key, day):
-running windows carry the last candidate before and the first after a lookup, and a second, small window over the days
-of a key carries them across days.  Work is linear in rows, and a key with a third of all rows is dealt by day.
+equals; without a date it takes the newest.  ``time_index`` writes the candidates once:
+
+* *details*: each candidate under a number ``__rid``, in buckets by it; numbers ascend in file order, so that ties in time
+  are settled by numbers alone.
+* *leaves*: per key and node the moments and numbers of up to ``NODE`` candidates in time order, one for each moment, in
+  buckets by key; each leaf also has the last entry before it and the first behind it.
+* *upper levels*, only for keys with more: the first moments of up to ``NODE`` nodes of the level below.  Such keys are
+  ranked by range partitions and prefix sums, so that no task holds a whole key, and a key or a single day of it with
+  a third of all captures is many leaves.
+
+A lookup joins one node of each level (mostly the leaf alone) and then the details of its hit: arrays of numbers are
+searched, no window runs over candidates, and neither leaves nor details are exchanged again, however often they are asked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarc.functions import urls as U
+from stratarc.operators.stored import stored, stored_by
 
 FILE_ORDER = ("file_name", "byte_offset", "custom_id")
+#: Entries of one node.
+NODE = 1024
+NEWEST = 1 << 62
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+@dataclass
+class TimeIndex:
+    details: DataFrame
+    leaves: DataFrame
+    upper: list[DataFrame]
+    fields: list[str]
+
+    def look(self, asked: DataFrame) -> DataFrame:
+        """(…, __rid) for asked rows with __key and __us (micros, null for the newest); only those whose key is held stay."""
+        rows = asked.withColumn("__us", F.coalesce("__us", F.lit(NEWEST))).withColumn("__node", F.lit(0).cast("long"))
+        for level in self.upper:
+            at = F.greatest(F.size(F.filter("__lows", lambda x: x <= F.col("__us"))), F.lit(1))
+            below = F.when(F.col("__below").isNull(), 0).otherwise(F.get("__below", at - 1))
+            rows = rows.join(level, ["__key", "__node"], "left").withColumn("__next", below).drop("__lows", "__below", "__node").withColumnRenamed("__next", "__node")
+        met = rows.join(self.leaves, ["__key", "__node"])
+        n = F.size(F.filter("__moments", lambda x: x <= F.col("__us")))
+        met = met.withColumn("__n", n)
+        b, a = F.get("__rids", F.col("__n") - 1), F.get("__rids", F.col("__n"))
+        gb, ga = F.col("__us") - F.get("__moments", F.col("__n") - 1), F.get("__moments", F.col("__n")) - F.col("__us")
+        rid = F.when(a.isNull(), b).when(b.isNull(), a).when((gb < ga) | ((gb == ga) & (b < a)), b).otherwise(a)
+        return met.withColumn("__rid", rid).drop("__moments", "__rids", "__n", "__us", "__node")
+
+    def fetch(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``hit``, the candidate under their number, or null."""
+        return rows.join(self.details, "__rid", "left").withColumnRenamed("__cand", "hit").drop("__rid")
+
 
+def _node(rows: DataFrame, node: Column, value: str, number: str, names: tuple[str, str]) -> DataFrame:
+    """Entries gathered by key and node, ascending."""
+    both = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(number).alias("i"))))
+    return rows.groupBy("__key", node.alias("__node")).agg(both.alias("b")).select("__key", "__node", F.col("b.v").alias(names[0]), F.col("b.i").alias(names[1]))
 
-def time_line(candidates: DataFrame, key: str = "key", ts: str = "archived_ts") -> DataFrame:
-    """Candidates made ready for nearest(): one per key and moment, the first in file order (``__key``, ``__ts``, ``__cand``)."""
-    whole = F.struct(F.col(ts).alias("__ts"), *(F.col(c) for c in FILE_ORDER), *(F.col(f"`{c}`") for c in candidates.columns if c not in (key, ts, *FILE_ORDER)), F.col(ts).alias(f"__{ts}"))
-    order = F.struct(*(F.col(c) for c in FILE_ORDER))
-    return candidates.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(ts).alias("__ts")).agg(F.min_by(whole, order).alias("__cand"))
 
+def _ranked(line: DataFrame, by: str) -> DataFrame:
+    """Adds __pos, the place within its key in the order of ``by``: range partitions, and prefix sums of their counts."""
+    n = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(line.repartitionByRange(n, "__key", by).sortWithinPartitions("__key", by).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), "ranked")
+    counts = rows.groupBy("__key", "__part").agg(F.count("*").alias("__k"), F.min("__at").alias("__first"))
+    along = Window.partitionBy("__key").orderBy("__part")  # as many rows as there are parts
+    starts = counts.select("__key", "__part", (F.sum("__k").over(along) - F.col("__k") - F.col("__first")).alias("__shift"))
+    return rows.join(starts, ["__key", "__part"]).withColumn("__pos", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
-def nearest(lookups: DataFrame, candidates: DataFrame, key: str = "key", near: str = "near", ts: str = "archived_ts", dated: bool | None = None) -> DataFrame:
+
+def _deep(line: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves and upper levels (the top first) of keys with more entries than a node takes."""
+    ranked = _ranked(line, "__us")
+    node, slot = F.floor(F.col("__pos") / NODE), F.col("__pos") % NODE
+    # the first entry also ends the leaf before, the last one begins the leaf behind
+    nodes = F.filter(F.array(node, F.when((slot == 0) & (node > 0), node - 1), F.when(slot == NODE - 1, node + 1)), lambda x: x.isNotNull())
+    leaves = _node(ranked.withColumn("__of", F.explode(nodes)), F.col("__of"), "__us", "__rid", ("__moments", "__rids"))
+    leaves = leaves.where(F.size("__moments") > 1)  # not a node of an end alone
+    below, upper = ranked.where(slot == 0).select("__key", "__us", node.alias("__child")), []
+    while True:
+        below = stored(below, "level")
+        level = _node(below, F.floor(F.col("__child") / NODE), "__us", "__child", ("__lows", "__below"))
+        upper.insert(0, stored_by(level, "__key", "upper"))
+        if not below.where(F.col("__child") >= NODE).limit(1).count():
+            return leaves, upper
+        below = below.where(F.col("__child") % NODE == 0).select("__key", "__us", F.floor(F.col("__child") / NODE).alias("__child"))
+
+
+def time_index(candidates: DataFrame, key: str = "key", ts: str = "archived_ts", groups: DataFrame | None = None) -> TimeIndex:
+    """Candidates with a key and a date, written for nearest().  ``groups``: other keys (``__key``) that are held without candidates."""
+    fields = [c for c in candidates.columns if c != key]
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = candidates.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    numbered = rows.repartitionByRange(n, *FILE_ORDER).sortWithinPartitions(*FILE_ORDER).select(F.monotonically_increasing_id().alias("__rid"), F.col(key).alias("__key"), _micros(F.col(ts)).alias("__us"), F.struct(*(F.col(f"`{c}`") for c in fields)).alias("__cand"))
+    numbered = stored(numbered, "numbered")
+    line = stored(numbered.groupBy("__key", "__us").agg(F.min("__rid").alias("__rid")), "line")
+    sizes = line.groupBy("__key").agg(F.count("*").alias("__k"))
+    hot = stored(sizes.where(F.col("__k") > NODE).select("__key"), "hot")
+    upper: list[DataFrame] = []
+    if hot.limit(1).count():
+        leaves, upper = _deep(line.join(hot, "__key", "left_semi"))
+        leaves = leaves.unionByName(_node(line.join(hot, "__key", "left_anti"), F.lit(0).cast("long"), "__us", "__rid", ("__moments", "__rids")))
+    else:
+        leaves = _node(line, F.lit(0).cast("long"), "__us", "__rid", ("__moments", "__rids"))
+    if groups is not None:
+        bare = groups.select("__key").distinct().join(line.select("__key").distinct(), "__key", "left_anti")
+        none = F.array().cast("array<bigint>")
+        leaves = leaves.unionByName(bare.select("__key", F.lit(0).cast("long").alias("__node"), none.alias("__moments"), none.alias("__rids")))
+    return TimeIndex(stored_by(numbered.select("__rid", "__cand"), "__rid", "details"), stored_by(leaves, "__key", "leaves"), upper, fields)
+
+
+def nearest(lookups: DataFrame, candidates: DataFrame | TimeIndex, key: str = "key", near: str = "near", ts: str = "archived_ts") -> DataFrame:
     """The lookups (with a unique ``lookup_id``) with ``hit``, a struct of the candidate's columns or null.
 
-    A null ``near`` takes the newest candidate (``dated``: True if none is null, False if all are).  Candidates need
-    ``file_name``, ``byte_offset`` and ``custom_id``, or are a time_line().  Only candidates of keys that are asked for
-    are laid out.
+    A null ``near`` takes the newest candidate.  Candidates need ``file_name``, ``byte_offset`` and ``custom_id``, or are
+    a time_index().
     """
-    fields = [c for c in candidates.columns if c != key]
-    cands = time_line(candidates, key, ts) if "__cand" not in candidates.columns else candidates
-    if "__cand" in candidates.columns:
-        fields = [ts if c == f"__{ts}" else c for c in cands.schema["__cand"].dataType.names if c != "__ts"]
-    asked = lookups.where(F.col(key).isNotNull())
-    cands = cands.join(asked.select(F.col(key).alias("__key")).distinct(), "__key", "left_semi")
-    hits = []
-    if dated is not False:
-        with_date = asked.where(F.col(near).isNotNull())
-        rows = cands.select("__key", F.to_date("__ts").alias("__day"), "__ts", F.lit(None).cast("string").alias("__id"), "__cand").unionByName(
-            with_date.select(F.col(key).alias("__key"), F.to_date(near).alias("__day"), F.col(near).alias("__ts"), F.col("lookup_id").cast("string").alias("__id"), F.lit(None).cast(cands.schema["__cand"].dataType).alias("__cand"))
-        )
-        day = Window.partitionBy("__key", "__day")
-        first = F.col("__id").isNotNull()  # candidates before lookups of the same moment
-        back = day.orderBy("__ts", first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = day.orderBy(F.desc("__ts"), first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        inside = rows.select("*", F.last("__cand", ignorenulls=True).over(back).alias("__b"), F.last("__cand", ignorenulls=True).over(ahead).alias("__a")).where("__id IS NOT NULL").drop("__cand")
-        days = rows.groupBy("__key", "__day").agg(F.min("__cand").alias("__lo"), F.max("__cand").alias("__hi"))
-        along = Window.partitionBy("__key").orderBy("__day")
-        days = days.select(
-            F.col("__key").alias("__k"),
-            F.col("__day").alias("__d"),
-            F.last("__hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-            F.first("__lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-        )
-        both = inside.join(days, F.expr("__key = __k AND __day = __d"))
-        b, a = F.coalesce("__b", "__before"), F.coalesce("__a", "__after")
-        gap = lambda c: F.abs(F.unix_micros(c["__ts"].cast("timestamp")) - F.unix_micros(F.col("__ts").cast("timestamp")))
-        place = lambda c: F.struct(*(c[x] for x in FILE_ORDER))
-        choice = F.when(a.isNull(), b).when(b.isNull(), a).when((gap(b) < gap(a)) | ((gap(b) == gap(a)) & (place(b) <= place(a))), b).otherwise(a)
-        hits.append(both.select("__id", choice.alias("__hit")))
-    if not dated:
-        newest = cands.groupBy("__key").agg(F.max_by("__cand", "__ts").alias("__hit"))
-        hits.append(asked.where(F.col(near).isNull()).join(newest, F.col(key) == F.col("__key")).select(F.col("lookup_id").cast("string").alias("__id"), "__hit"))
-    found = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
-    out = lookups.join(found, lookups["lookup_id"].cast("string") == F.col("__id"), "left")
-    hit = F.when(F.col("__hit").isNotNull(), F.struct(*((F.col(f"__hit.__{ts}") if c == ts else F.col("__hit")[c]).alias(c) for c in fields)))
-    return out.select(*(lookups[c] for c in lookups.columns), hit.alias("hit"))
-
-
-def nearest_by_keys(lookups: DataFrame, groups: DataFrame, candidates: DataFrame, url: str = "url", near: str = "near", dated: bool | None = None) -> DataFrame:
+    index = candidates if isinstance(candidates, TimeIndex) else time_index(candidates, key, ts)
+    asked = lookups.where(F.col(key).isNotNull()).select("lookup_id", F.col(key).alias("__key"), _micros(F.col(near)).alias("__us"))
+    found = index.look(asked).select("lookup_id", "__rid")
+    return index.fetch(lookups.join(found, "lookup_id", "left")).select(*(F.col(f"`{c}`") for c in lookups.columns), "hit")
+
+
+def nearest_by_keys(lookups: DataFrame, groups: DataFrame, candidates: DataFrame | TimeIndex, url: str = "url", near: str = "near") -> DataFrame:
     """The first lookup key that has any captures decides, even if none of them can be shown.
 
     ``groups``: the distinct URIs held.  Adds ``key``, ``hit`` and ``outcome``: hit, no-payload or not-archived.
-    ``candidates``: rows with their ``uri``, or keyed_time_line() of them.
+    ``candidates``: rows with their ``uri``, or keyed_time_index() of them.
     """
-    keys = lookups.select("lookup_id", F.posexplode(U.lookup_keys(F.col(url))).alias("__pos", "__uri"))
-    held = keys.join(groups.select(F.col("uri").alias("__uri")), "__uri", "left_semi").groupBy("lookup_id").agg(F.min_by("__uri", "__pos").alias("key"))
-    line = candidates if "__cand" in candidates.columns else keyed_time_line(candidates)
-    found = nearest(lookups.join(held, "lookup_id", "left"), line, near=near, dated=dated)
-    return found.withColumn("outcome", F.when(F.col("hit").isNotNull(), "hit").when(F.col("key").isNotNull(), "no-payload").otherwise("not-archived"))
+    index = candidates if isinstance(candidates, TimeIndex) else keyed_time_index(candidates, groups)
+    keys = lookups.select("lookup_id", _micros(F.col(near)).alias("__us"), F.posexplode(U.lookup_keys(F.col(url))).alias("__pos", "__key"))
+    first = index.look(keys).groupBy("lookup_id").agg(F.min_by(F.struct(F.col("__key").alias("key"), "__rid"), "__pos").alias("__f")).select("lookup_id", "__f.*")
+    found = index.fetch(lookups.join(first, "lookup_id", "left"))
+    outcome = F.when(F.col("hit").isNotNull(), "hit").when(F.col("key").isNotNull(), "no-payload").otherwise("not-archived")
+    return found.select(*(F.col(f"`{c}`") for c in lookups.columns), "key", "hit", outcome.alias("outcome"))
 
 
-def keyed_time_line(candidates: DataFrame) -> DataFrame:
-    """time_line() by URI, with the URI kept among the fields."""
-    return time_line(candidates.withColumnRenamed("uri", "key").withColumn("uri", F.col("key")))
+def keyed_time_index(candidates: DataFrame, groups: DataFrame) -> TimeIndex:
+    """time_index() by URI, with the URI kept among the fields; of candidates only those of the groups."""
+    held = groups.select(F.col("uri").alias("__key"))
+    rows = candidates.withColumn("key", F.col("uri")).join(held.select(F.col("__key").alias("key")).distinct(), "key", "left_semi")
+    return time_index(rows, groups=held)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarc.functions import urls as U
+from stratarc.operators.asof import TimeIndex
 from stratarc.operators.resolve import follow_redirects
 
 MAX_ENTRIES, MAX_BYTES = 1000, 256 << 20
@@ -17,12 +18,12 @@ def page_refs(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return found.withColumn("target", U.resolve_reference(F.col("page_uri"), F.col("ref")))
 
 
-def resolve_refs(refs: DataFrame, captures: DataFrame, dates: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+def resolve_refs(refs: DataFrame, captures: DataFrame, dates: DataFrame, shown: DataFrame | TimeIndex | None = None) -> DataFrame:
     """Distinct (page_uri, target) with the outcome of the lookup at the page's own date (``dates``: uri, near)."""
     asked = refs.where("target IS NOT NULL").groupBy("page_uri", "target").agg(F.min("pos").alias("pos"))
     asked = asked.join(dates.withColumnRenamed("uri", "page_uri"), "page_uri")
     lookups = asked.select(F.concat_ws(" ", "page_uri", "target").alias("lookup_id"), F.col("target").alias("url"), "near")
-    final, _ = follow_redirects(lookups, captures, shown=shown, dated=True)
+    final, _ = follow_redirects(lookups, captures, shown=shown)
     return asked.withColumn("lookup_id", F.concat_ws(" ", "page_uri", "target")).join(final, "lookup_id").drop("lookup_id")
 
 

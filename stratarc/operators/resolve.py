@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratarc.functions import headers as H
 from stratarc.functions import urls as U
-from stratarc.operators.asof import keyed_time_line, nearest, nearest_by_keys
+from stratarc.operators.asof import TimeIndex, keyed_time_index, nearest, nearest_by_keys
 from stratarc.operators.stored import stored
 
 CARRIED = ("file_name", "byte_offset", "custom_id", "archived_ts", "status", "location", "payload_size", "content_type")
@@ -29,7 +29,7 @@ def resolve_revisits(captures: DataFrame, same_file: bool = False) -> DataFrame:
     else:
         join = F.col
     key = lambda c: F.when(F.col(c).isNotNull(), join(c))
-    by_digest = nearest(revisits.withColumn("key", key("digest")), donors.where("digest IS NOT NULL").select(key("digest").alias("key"), *CARRIED), near="archived_ts", dated=True)
+    by_digest = nearest(revisits.withColumn("key", key("digest")), donors.where("digest IS NOT NULL").select(key("digest").alias("key"), *CARRIED), near="archived_ts")
     by_digest = stored(by_digest, "by-digest")  # both branches below read it
     found = by_digest.where("hit IS NOT NULL").withColumn("via", F.lit("digest"))
     rest = by_digest.where("hit IS NULL").drop("hit", "key").withColumn("key", key("refers_to_uri")).withColumn("__at", F.coalesce("refers_to_date", "archived_ts"))
@@ -73,20 +73,20 @@ def revisit_rate(captures: DataFrame) -> DataFrame:
     return rate("own file", "file_name").unionByName(rate("all files"))
 
 
-def follow_redirects(lookups: DataFrame, captures: DataFrame, follow: int = 5, stop_at_body: bool = False, shown: DataFrame | None = None, dated: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def follow_redirects(lookups: DataFrame, captures: DataFrame, follow: int = 5, stop_at_body: bool = False, shown: DataFrame | TimeIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(final, hops) of lookups (lookup_id, url, near).
 
     Each hop takes the nearest capture of the URL at the lookup's own date.  A chain ends at a capture that leads no
     further (hit), with not-archived or no-payload, or with redirect: at a capture seen before, or past ``follow``
     hops.  With ``stop_at_body`` the first redirect with a body ends it, its target in ``redirects_to``.  The
-    candidates' time line is made once; a hop lays out only the keys that are still asked for.
+    candidates' time index is made once (or given as ``shown``); a hop only joins what is still asked for.
     """
-    shown = stored(keyed_time_line(candidates(captures) if shown is None else shown), "time-line")
-    groups = stored(captures.select("uri").where("uri <> ''").distinct(), "groups")
+    groups = captures.select("uri").where("uri <> ''").distinct()
+    shown = shown if isinstance(shown, TimeIndex) else keyed_time_index(candidates(captures) if shown is None else shown, groups)
     open_ = lookups.select("lookup_id", "url", "near", F.array().cast("array<string>").alias("seen"))
     finals, hops = [], []
     for hop in range(follow + 1):
-        step = nearest_by_keys(open_, groups, shown, dated=dated)
+        step = nearest_by_keys(open_, groups, shown)
         step = step.withColumn("target", U.redirect_target(F.col("hit.status"), F.col("hit.location"), F.col("hit.uri")))
         again = F.array_contains("seen", F.col("hit.custom_id"))
         stops = F.lit(stop_at_body) & H.has_body(F.col("hit.payload_size"))
@@ -134,23 +134,24 @@ def from_captures(captures: DataFrame, starts: DataFrame, follow: int = 5, shown
     rows = shown.join(starts, "custom_id", "left_semi").withColumn("target", target_of())
     own = rows.where(F.col("target").isNull() | H.has_body(F.col("payload_size")))
     onward = rows.where(F.col("target").isNotNull() & ~H.has_body(F.col("payload_size")))
-    final, _ = follow_redirects(onward.select(F.col("custom_id").alias("lookup_id"), F.col("target").alias("url"), F.col("archived_ts").alias("near")), captures, follow, True, shown, dated=True)
+    final, _ = follow_redirects(onward.select(F.col("custom_id").alias("lookup_id"), F.col("target").alias("url"), F.col("archived_ts").alias("near")), captures, follow, True, shown)
     return own.select(F.col("custom_id").alias("lookup_id"), F.lit("hit").alias("outcome"), "custom_id").unionByName(final.select("lookup_id", "outcome", "custom_id"))
 
 
-def one_hop(captures: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+def one_hop(captures: DataFrame, shown: DataFrame | TimeIndex | None = None) -> DataFrame:
     """For every redirect capture its target and the nearest capture there at the same date, or null."""
-    shown = stored(candidates(captures), "candidates") if shown is None else shown
+    shown = candidates(captures) if shown is None else shown
     moves = captures.where("rec_type = 'response'").select(F.col("custom_id").alias("lookup_id"), target_of().alias("url"), F.col("archived_ts").alias("near")).where("url IS NOT NULL")
-    found = nearest_by_keys(moves, captures.select("uri").distinct(), shown, dated=True)
+    found = nearest_by_keys(moves, captures.select("uri").distinct(), shown)
     return found.select(F.col("lookup_id").alias("custom_id"), F.col("url").alias("target"), F.col("hit.custom_id").alias("target_id"))
 
 
 def from_page(lookups: DataFrame, captures: DataFrame, shown: DataFrame, now: Column, follow: int = 5) -> tuple[DataFrame, DataFrame]:
     """Lookups (lookup_id, url, from_url): ``near`` is the newest capture the referring page ends at, else now."""
-    pages, _ = follow_redirects(lookups.select("lookup_id", F.col("from_url").alias("url"), F.lit(None).cast(shown.schema["archived_ts"].dataType).alias("near")), captures, follow, False, shown, dated=False)
+    index = keyed_time_index(shown, captures.select("uri").where("uri <> ''").distinct())
+    pages, _ = follow_redirects(lookups.select("lookup_id", F.col("from_url").alias("url"), F.lit(None).cast(shown.schema["archived_ts"].dataType).alias("near")), captures, follow, False, index)
     dates = pages.where("custom_id IS NOT NULL").join(shown.select("custom_id", "archived_ts"), "custom_id").select("lookup_id", F.col("archived_ts").alias("near"))
-    return follow_redirects(lookups.join(dates, "lookup_id", "left").select("lookup_id", "url", F.coalesce("near", now).alias("near")), captures, follow, False, shown, dated=True)
+    return follow_redirects(lookups.join(dates, "lookup_id", "left").select("lookup_id", "url", F.coalesce("near", now).alias("near")), captures, follow, False, index)
 
 
 def request_pairs(captures: DataFrame) -> DataFrame:

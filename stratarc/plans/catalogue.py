@@ -431,46 +431,64 @@ def _chain_sql(follow: int = 5, stop: str = "false", source: str = "lk") -> str:
 FINAL = ("lookup_id", "outcome", "custom_id", "hops", "final_url", "redirects_to")
 
 
+SHOWN: dict[tuple[str, str], asof.TimeIndex] = {}
+
+
+def _shown(spark: SparkSession, d: str) -> asof.TimeIndex:
+    """The time index of what lookups may end at, written once for a session and input."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SHOWN:
+        c = captures(spark, d)
+        SHOWN[key] = asof.keyed_time_index(resolve.candidates(c), c.select("uri").where("uri <> ''").distinct())
+    return SHOWN[key]
+
+
+@query("time_index", "SELECT uri, count(DISTINCT archived_ts) AS moments, min(archived_ts) AS first_ts, max(archived_ts) AS last_ts FROM shown GROUP BY uri", RESOLVE_SQL)
+def time_index(spark, d):
+    """The index itself: the distinct moments of every URL."""
+    at = _shown(spark, d).leaves.select(F.col("__key").alias("uri"), F.explode("__moments").alias("us")).distinct()
+    ts = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return at.groupBy("uri").agg(F.count("*").alias("moments"), ts(F.min("us")).alias("first_ts"), ts(F.max("us")).alias("last_ts"))
+
+
 @query("nearest_capture", "SELECT lookup_id, url, f.custom_id, f.archived_ts FROM lk LEFT JOIN (SELECT * FROM (SELECT l.lookup_id AS lid, s.*, row_number() OVER (PARTITION BY l.lookup_id ORDER BY abs(epoch_us(s.archived_ts) - epoch_us(l.near)), s.file_name, s.byte_offset, s.custom_id) AS rn FROM lk l JOIN shown s ON s.uri = l.url) WHERE rn = 1) f ON f.lid = lookup_id", RESOLVE_SQL + "," + LOOKUP_SQL)
 def nearest_capture(spark, d):
-    shown = resolve.candidates(captures(spark, d)).withColumnRenamed("uri", "key")
-    found = asof.nearest(lookups(spark, d).withColumn("key", F.col("url")), shown, dated=True)
+    found = asof.nearest(lookups(spark, d).withColumn("key", F.col("url")), _shown(spark, d))
     return found.select("lookup_id", "url", F.col("hit.custom_id").alias("custom_id"), F.col("hit.archived_ts").alias("archived_ts"))
 
 
 @query("newest_capture", "SELECT url, arg_max(custom_id, archived_ts) AS custom_id FROM (SELECT DISTINCT url FROM lk) JOIN (SELECT uri, archived_ts, arg_min(custom_id, (file_name, byte_offset, custom_id)) AS custom_id FROM shown GROUP BY ALL) ON uri = url GROUP BY url", RESOLVE_SQL + "," + LOOKUP_SQL)
 def newest_capture(spark, d):
     """Lookups without a date take the newest capture."""
-    shown = resolve.candidates(captures(spark, d)).withColumnRenamed("uri", "key")
     asked = lookups(spark, d).select("url").distinct().select("url", F.col("url").alias("lookup_id"), F.col("url").alias("key"), F.lit(None).cast("timestamp_ntz").alias("near"))
-    return asof.nearest(asked, shown).where("hit IS NOT NULL").select("url", F.col("hit.custom_id").alias("custom_id"))
+    return asof.nearest(asked, _shown(spark, d)).where("hit IS NOT NULL").select("url", F.col("hit.custom_id").alias("custom_id"))
 
 
 @query("nearest_by_keys", "SELECT lookup_id, key, custom_id, CASE WHEN state IN ('not-archived', 'no-payload') THEN state ELSE 'hit' END AS outcome FROM h0", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql(0))
 def nearest_by_keys(spark, d):
     c = captures(spark, d)
-    found = asof.nearest_by_keys(lookups(spark, d), c.select("uri").distinct(), resolve.candidates(c), dated=True)
+    found = asof.nearest_by_keys(lookups(spark, d), c.select("uri").distinct(), _shown(spark, d))
     return found.select("lookup_id", "key", F.col("hit.custom_id").alias("custom_id"), "outcome")
 
 
 @query("redirect_final", f"SELECT {', '.join(FINAL)} FROM final", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql())
 def redirect_final(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), dated=True)[0].select(*FINAL)
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), shown=_shown(spark, d))[0].select(*FINAL)
 
 
 @query("redirect_hops", "SELECT * FROM hops", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql())
 def redirect_hops(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), dated=True)[1]
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), shown=_shown(spark, d))[1]
 
 
 @query("redirect_stop_bodied", f"SELECT {', '.join(FINAL)} FROM final", RESOLVE_SQL + "," + LOOKUP_SQL + "," + _chain_sql(5, "true"))
 def redirect_stop_bodied(spark, d):
-    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), stop_at_body=True, dated=True)[0].select(*FINAL)
+    return resolve.follow_redirects(lookups(spark, d), captures(spark, d), stop_at_body=True, shown=_shown(spark, d))[0].select(*FINAL)
 
 
 @query("one_hop", "SELECT lookup_id AS custom_id, url AS target, h0.custom_id AS target_id FROM h0", RESOLVE_SQL + ", mv AS (SELECT custom_id AS lookup_id, target AS url, archived_ts AS near FROM cap WHERE rec_type = 'response' AND target IS NOT NULL)," + _chain_sql(0, source="mv"))
 def one_hop(spark, d):
-    return resolve.one_hop(captures(spark, d))
+    return resolve.one_hop(captures(spark, d), _shown(spark, d))
 
 
 @query("from_page", "SELECT lookup_id, outcome, custom_id FROM final", RESOLVE_SQL + """, fp AS (SELECT p.page_id AS lookup_id, p.url, q.url AS from_url FROM pages p JOIN pages q ON q.page_id = p.page_id + 1),
@@ -571,7 +589,7 @@ def _resolved_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     held = pages(spark, d).select(F.col("page_id").alias("__to"), F.col("url").alias("__url"))
     bent = found.withColumn("__to", F.when(F.col("pos") % 3 == 0, (F.length("page_uri") * 13 + F.length("ref") * 7) % n)).join(held, "__to", "left")
     dates = c.groupBy("uri").agg(F.max("archived_ts").alias("near"))
-    return refs.resolve_refs(bent.withColumn("target", F.coalesce("__url", "target")), c, dates), c
+    return refs.resolve_refs(bent.withColumn("target", F.coalesce("__url", "target")), c, dates, _shown(spark, d)), c
 
 
 BENT_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
@@ -800,7 +818,7 @@ def _scanned(spark: SparkSession, at: str) -> DataFrame:
 SCANNED_SQL = "SELECT uuid, uri AS url, rec_type, digest, content_type, CASE WHEN rec_type = 'response' THEN coalesce(status, 200) END AS status, CASE WHEN rec_type = 'response' THEN nullif(coalesce(payload_size, 0), 0) END AS size FROM (SELECT * REPLACE (CASE WHEN rec_type = 'response' THEN content_type ELSE '' END AS content_type) FROM cap)"
 
 
-def _shown(wire: DataFrame) -> DataFrame:
+def _seen(wire: DataFrame) -> DataFrame:
     from stratarc.sources.warc import records
 
     c = C.to_captures(records(wire))
@@ -810,19 +828,19 @@ def _shown(wire: DataFrame) -> DataFrame:
 @query("warc_scan", SCANNED_SQL)
 def warc_scan(spark, d):
     """Plain files, each in several ranges."""
-    return _shown(_scanned(spark, _as_warc(spark, d)))
+    return _seen(_scanned(spark, _as_warc(spark, d)))
 
 
 @query("warc_gz_scan", SCANNED_SQL)
 def warc_gz_scan(spark, d):
     """Files of a member a record, each in several ranges of members."""
-    return _shown(_scanned(spark, _as_members(spark, d, False)))
+    return _seen(_scanned(spark, _as_members(spark, d, False)))
 
 
 @query("wacz_scan", SCANNED_SQL)
 def wacz_scan(spark, d):
     """Containers, whose stored archives are read by ranges."""
-    return _shown(_scanned(spark, _as_members(spark, d, True)))
+    return _seen(_scanned(spark, _as_members(spark, d, True)))
 
 
 @query("stream_warc_progress", "SELECT count(*) AS records, count(*) FILTER (rec_type = 'response') AS responses, 'parsed' AS status FROM cap")

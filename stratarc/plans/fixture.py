@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratarc.operators.stored import stored
+
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -14,7 +16,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+CAPTURES: dict[tuple[str, str], DataFrame] = {}
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived table, written once for a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in CAPTURES:
+        CAPTURES[key] = stored(derived(spark, sf_dir), "captures")
+    return CAPTURES[key]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir)
     n = F.lit(p.count())
     e, i, kind = events(spark, sf_dir), F.col("event_id"), F.col("event_type")

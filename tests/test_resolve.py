@@ -113,3 +113,27 @@ def test_snapshots(spark, tmp_path):
     got = read_newest(spark, root, "status").first()
     assert got.n == 1 and got.stale and got.saved_at == datetime(2024, 1, 2)
     assert not read_newest(spark, root, "status", live=seed).first().stale
+
+
+def test_hot_key_is_many_leaves(spark, monkeypatch):
+    """One URL, most of it on one day, with ties in time and distance; three levels of nodes, and keys with few captures beside it."""
+    import random
+
+    monkeypatch.setattr(asof, "NODE", 4)
+    r = random.Random(8)
+    cands = [("hot", f"f{r.randrange(3)}", r.randrange(9), f"c{i}", 1_000_000 * (r.randrange(400) if i % 3 else r.randrange(10**6))) for i in range(300)]
+    cands += [(f"k{i % 5}", "f", i, f"d{i}", 1_000_000 * r.randrange(500)) for i in range(12)] + [("k0", "f", 1, "none", None), (None, "f", 1, "no key", 5)]
+    asks = [(f"l{i}", r.choice(["hot", "hot", "k0", "k1", "gone", None]), r.choice([None, 500_000, *(1_000_000 * r.randrange(500) + r.choice([0, 500_000]) for _ in range(9))])) for i in range(200)]
+    ts = F.timestamp_micros("us")
+    c = spark.createDataFrame(cands, "key string, file_name string, byte_offset long, custom_id string, us long").withColumn("archived_ts", ts)
+    asked = spark.createDataFrame(asks, "lookup_id string, key string, us long").withColumn("near", ts)
+    index = asof.time_index(c)
+    assert len(index.upper) >= 3 and index.leaves.agg(F.max(F.size("__moments"))).first()[0] <= 6
+    got = {x.lookup_id: x.hit and x.hit.custom_id for x in asof.nearest(asked, index).collect()}
+    for name, key, at in asks:
+        own = [x for x in cands if x[0] == key and key is not None and x[4] is not None]
+        if at is None:
+            best = max(own, key=lambda x: (x[4], [-ord(s) for s in x[1]], -x[2], [-ord(s) for s in x[3]]), default=None)
+        else:
+            best = min(own, key=lambda x: (abs(x[4] - at), x[1:4]), default=None)
+        assert got[name] == (best and best[3]), (name, key, at)
