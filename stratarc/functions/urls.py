@@ -19,15 +19,24 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, GRAMMAR, group)
+#: Parts the groups of a matched URL; a character that no text has.
+MARKER = "\uffff"
 
 
-def _parses(url: Column) -> Column:
+def _groups(url: Column) -> Column:
+    """The six groups of the grammar, matched once; an array of another length where it does not match."""
+    return F.split(F.regexp_replace(url, GRAMMAR, MARKER.join(f"${i}" for i in range(1, 7))), MARKER)
+
+
+def _part(groups: Column, group: int) -> Column:
+    return F.when(F.size(groups) == 6, F.get(groups, F.lit(group - 1))).when(groups.isNotNull(), "")
+
+
+def _parses(g: Column) -> Column:
     """A scheme, and for schemes with an origin a host without blanks."""
-    special = F.lower(_part(url, 1)).isin(*PORTS)
-    host = F.regexp_replace(_part(url, 3), r"^[^@]*@", "")
-    return F.coalesce(url.rlike(SCHEME) & (~special | ((host != "") & ~host.rlike(r"[\s<>^|%]"))), F.lit(False))
+    special = F.lower(_part(g, 1)).isin(*PORTS)
+    host = F.regexp_replace(_part(g, 3), r"^[^@]*@", "")
+    return F.coalesce((_part(g, 1) != "") & (~special | ((host != "") & ~host.rlike(r"[\s<>^|%]"))), F.lit(False))
 
 
 def _without_dots(path: Column) -> Column:
@@ -52,50 +61,77 @@ def _escaped(s: Column) -> Column:
     return s
 
 
-def _authority(url: Column) -> Column:
+def _authority(g: Column) -> Column:
     """Lower-case host with its port, without a default port or credentials."""
-    scheme = F.lower(_part(url, 1))
-    host = F.lower(F.regexp_replace(_part(url, 3), r"^[^@]*@", ""))
+    scheme = F.lower(_part(g, 1))
     default = F.coalesce(*(F.when(scheme == s, F.lit(f":{p}")) for s, p in PORTS.items()), F.lit(":"))
-    return F.when(host.endswith(default), F.regexp_replace(host, r":[0-9]*$", "")).otherwise(host)
+    return _let(F.lower(F.regexp_replace(_part(g, 3), r"^[^@]*@", "")), lambda host: F.when(host.endswith(default), F.regexp_replace(host, r":[0-9]*$", "")).otherwise(host))
 
 
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-case, default port and dot segments gone, empty path '/'; odd text stays as it is."""
 
-    def built(text: Column) -> Column:
-        scheme = F.lower(_part(text, 1))
-        path = _part(text, 4)
+    def built(g: Column) -> Column:
+        scheme = F.lower(_part(g, 1))
+        path = _part(g, 4)
         path = F.when(scheme.isin(*PORTS), _without_dots(F.when(path == "", "/").otherwise(path))).otherwise(path)
-        user = F.regexp_extract(_part(text, 3), r"^([^@]*@)", 1)
-        place = F.when(_part(text, 2) != "", F.concat(F.lit("//"), user, _authority(text))).otherwise("")
-        return F.when(_parses(text), F.concat(scheme, F.lit(":"), place, _escaped(path), _escaped(_part(text, 5)), _escaped(_part(text, 6))))
+        user = F.regexp_extract(_part(g, 3), r"^([^@]*@)", 1)
+        place = F.when(_part(g, 2) != "", F.concat(F.lit("//"), user, _authority(g))).otherwise("")
+        return F.when(_parses(g), F.concat(scheme, F.lit(":"), place, _escaped(path), _escaped(_part(g, 5)), _escaped(_part(g, 6))))
+
+    return F.coalesce(_let(_groups(F.trim(url)), built), url)
+
+
+def _parts(g: Column) -> Column:
+    host, scheme = _authority(g), F.lower(_part(g, 1))
+
+    def made(host: Column) -> Column:
+        return F.struct(
+            scheme.alias("scheme"),
+            host.alias("host"),
+            F.regexp_replace(host, r":[0-9]*$", "").alias("hostname"),
+            F.when(scheme.isin(*PORTS), F.concat(scheme, F.lit("://"), host)).alias("origin"),
+            F.filter(F.split(_part(g, 4), "/"), lambda s: s != "").alias("segments"),
+            _sorted_query(_part(g, 5)).alias("query"),
+            F.when(~_parses(g), "unparseable").when(host == "", "not-a-web-url").alias("reason"),
+            F.when(_part(g, 4) == "", "/").otherwise(_part(g, 4)).alias("path"),
+            _part(g, 5).alias("search"),
+        )
 
-    return F.coalesce(_let(F.trim(url), built), url)
+    return _let(host, made)
 
 
 def url_parts(url: Column) -> Column:
     """scheme, host, hostname, origin, segments, query; ``reason`` where the URL has no place in a tree."""
-    parses = _parses(url)
-    host = _authority(url)
-    scheme = F.lower(_part(url, 1))
-    origin = F.when(scheme.isin(*PORTS), F.concat(scheme, F.lit("://"), host))
-    return F.struct(
-        scheme.alias("scheme"),
-        host.alias("host"),
-        F.regexp_replace(host, r":[0-9]*$", "").alias("hostname"),
-        origin.alias("origin"),
-        F.filter(F.split(_part(url, 4), "/"), lambda s: s != "").alias("segments"),
-        canonical_query(url).alias("query"),
-        F.when(~parses, "unparseable").when(host == "", "not-a-web-url").alias("reason"),
-    )
+    return _let(_groups(url), _parts)
+
+
+def _form_decoded(s: Column) -> Column:
+    """``+`` is a space, %XX a byte; a percent sign without two hex digits is itself."""
+    return F.when(s.rlike("[%+]"), F.try_url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(s)
+
+
+def _form_encoded(s: Column) -> Column:
+    return F.when(s.rlike("[^A-Za-z0-9*._-]"), F.url_encode(s)).otherwise(s)
+
+
+def _sorted_query(search: Column) -> Column:
+    """Form-encoded parameters sorted by key, equal keys in their order, from a query with its question mark."""
+
+    def pair(p: Column, i: Column) -> Column:
+        at = F.instr(p, "=")
+        key = F.when(at > 0, F.substring(p, F.lit(1), at - 1)).otherwise(p)
+        value = F.when(at > 0, F.substring(p, at + 1, F.length(p))).otherwise("")
+        return F.struct(_form_decoded(key).alias("k"), i.alias("i"), _form_decoded(value).alias("v"))
+
+    pairs = F.filter(F.split(F.substring(search, F.lit(2), F.length(search)), "&"), lambda p: p != "")
+    shown = F.transform(F.array_sort(F.transform(pairs, pair)), lambda x: F.concat(_form_encoded(x.k), F.lit("="), _form_encoded(x.v)))
+    return F.when(F.length(search) > 1, F.array_join(shown, "&")).when(search.isNotNull(), "")
 
 
 def canonical_query(url: Column) -> Column:
-    """Parameters sorted by key, equal keys in their order; '' for none."""
-    pairs = F.filter(F.split(F.substring(_part(url, 5), F.lit(2), F.length(url)), "&"), lambda p: p != "")
-    keyed = F.transform(pairs, lambda p, i: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x.p), "&")
+    """Parameters decoded, sorted by key and serialised as a form; '' for none.  Keys sort by code point."""
+    return _let(_groups(url), lambda g: _sorted_query(_part(g, 5)))
 
 
 def normal_host(host: Column) -> Column:
@@ -104,11 +140,14 @@ def normal_host(host: Column) -> Column:
 
 def node_path(url: Column, normal: bool = False) -> Column:
     """URLs of the tree nodes from the root down to the record's own; null where it has no place."""
-    p = url_parts(url)
-    base = normal_host(p.hostname) if normal else p.origin
-    steps = F.transform(F.sequence(F.lit(0), F.size(p.segments)), lambda i: F.when(i == 0, F.concat(base, F.lit("/"))).otherwise(F.concat(base, F.lit("/"), F.array_join(F.slice(p.segments, F.lit(1), i), "/"))))
-    whole = F.when(p.query != "", F.concat(steps, F.array(F.concat(F.element_at(steps, -1), F.lit("?"), p.query)))).otherwise(steps)
-    return F.when(p.reason.isNull() & base.isNotNull(), whole)
+
+    def built(p: Column) -> Column:
+        base = normal_host(p.hostname) if normal else p.origin
+        steps = F.transform(F.sequence(F.lit(0), F.size(p.segments)), lambda i: F.when(i == 0, F.concat(base, F.lit("/"))).otherwise(F.concat(base, F.lit("/"), F.array_join(F.slice(p.segments, F.lit(1), i), "/"))))
+        whole = _let(steps, lambda x: F.when(p.query != "", F.concat(x, F.array(F.concat(F.element_at(x, -1), F.lit("?"), p.query)))).otherwise(x))
+        return F.when(p.reason.isNull() & base.isNotNull(), whole)
+
+    return _let(url_parts(url), built)
 
 
 def node_url(url: Column, normal: bool = False) -> Column:
@@ -127,36 +166,40 @@ def parent_url(node: Column) -> Column:
     )
 
 
+def _bare(p: Column, url: Column) -> Column:
+    return F.when(p.origin.isNotNull() & p.reason.isNull(), F.concat(p.origin, p.path, F.when(p.search == "?", "").otherwise(p.search))).otherwise(url)
+
+
 def without_fragment(url: Column) -> Column:
-    p = url_parts(url)
-    path = F.when(_part(url, 4) == "", "/").otherwise(_part(url, 4))
-    return F.when(p.origin.isNotNull() & p.reason.isNull(), F.concat(p.origin, path, F.when(_part(url, 5) == "?", "").otherwise(_part(url, 5)))).otherwise(url)
+    return _let(url_parts(url), lambda p: _bare(p, url))
 
 
 def lookup_keys(url: Column) -> Column:
     """Up to three keys by priority: as given, without fragment, and with sorted query too."""
-    p = url_parts(url)
-    path = F.when(_part(url, 4) == "", "/").otherwise(_part(url, 4))
-    sorted_ = F.when(p.origin.isNotNull() & p.reason.isNull(), F.concat(p.origin, path, F.when(p.query != "", F.concat(F.lit("?"), p.query)).otherwise(""))).otherwise(url)
-    return F.array_distinct(F.array(url, without_fragment(url), sorted_))
+
+    def keys(p: Column) -> Column:
+        sorted_ = F.when(p.origin.isNotNull() & p.reason.isNull(), F.concat(p.origin, p.path, F.when(p.query != "", F.concat(F.lit("?"), p.query)).otherwise(""))).otherwise(url)
+        return F.array_distinct(F.array(url, _bare(p, url), sorted_))
+
+    return _let(url_parts(url), keys)
 
 
 def resolve_reference(base: Column, ref: Column) -> Column:
     """The absolute URL of a reference found on a page; null where there is none."""
     r = F.trim(ref)
-    origin = url_parts(base).origin
-    scheme = F.lower(_part(base, 1))
-    folder = F.regexp_replace(F.when(_part(base, 4) == "", "/").otherwise(_part(base, 4)), r"[^/]*$", "")
-    own = F.concat(origin, F.when(_part(base, 4) == "", "/").otherwise(_part(base, 4)))
-    relative = (
-        F.when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin, r))
-        .when(r.startswith("?"), F.concat(own, r))
-        .when(r.startswith("#"), F.concat(own, _part(base, 5), r))
-        .otherwise(F.concat(origin, folder, r))
-    )
-    whole = F.when(r.rlike(SCHEME), r).otherwise(relative)
-    return F.when(r != "", _let(whole, lambda w: F.when(_parses(w), canonical_url(w))))
+
+    def joined(p: Column) -> Column:
+        folder = F.regexp_replace(p.path, r"[^/]*$", "")
+        relative = (
+            F.when(r.startswith("//"), F.concat(p.scheme, F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(p.origin, r))
+            .when(r.startswith("?"), F.concat(p.origin, p.path, r))
+            .when(r.startswith("#"), F.concat(p.origin, p.path, p.search, r))
+            .otherwise(F.concat(p.origin, folder, r))
+        )
+        return F.when(r.rlike(SCHEME), r).otherwise(relative)
+
+    return F.when(r != "", _let(_let(url_parts(base), joined), lambda w: F.when(_parses(_groups(w)), canonical_url(w))))
 
 
 def redirect_target(status: Column, location: Column, url: Column) -> Column:
@@ -165,7 +208,7 @@ def redirect_target(status: Column, location: Column, url: Column) -> Column:
 
 def same_target(a: Column, b: Column) -> Column:
     x, y = url_parts(a), url_parts(b)
-    return (a == b) | F.coalesce((x.origin == y.origin) & (_part(a, 4) == _part(b, 4)) & (x.query == y.query), F.lit(False))
+    return (a == b) | F.coalesce((x.origin == y.origin) & (_part(_groups(a), 4) == _part(_groups(b), 4)) & (x.query == y.query), F.lit(False))
 
 
 def _encoded(s: Column) -> Column:
@@ -191,9 +234,11 @@ def query_from_slug(slug: Column) -> Column:
 
 
 def site_label(uri: Column) -> Column:
-    p = url_parts(uri)
-    shown = F.concat(p.host, F.when(_part(uri, 4) == "", "/").otherwise(_part(uri, 4)), F.when(_part(uri, 5) == "?", "").otherwise(_part(uri, 5)))
-    return F.when(p.reason.isNull() & p.host.isNotNull(), F.regexp_replace(shown, "/$", "")).otherwise(uri)
+    def shown(p: Column) -> Column:
+        whole = F.concat(p.host, p.path, F.when(p.search == "?", "").otherwise(p.search))
+        return F.when(p.reason.isNull() & p.host.isNotNull(), F.regexp_replace(whole, "/$", "")).otherwise(uri)
+
+    return _let(url_parts(uri), shown)
 
 
 def site_anchor(uri: Column) -> Column:
@@ -204,7 +249,7 @@ def site_anchor(uri: Column) -> Column:
 
 def export_name(url: Column, uuid: Column) -> Column:
     p = url_parts(url)
-    path = F.replace(F.regexp_replace(_part(url, 4), "^/+|/+$", ""), F.lit("/"), F.lit("-"))
+    path = F.replace(F.regexp_replace(p.path, "^/+|/+$", ""), F.lit("/"), F.lit("-"))
     web = p.reason.isNull()
     host = F.when(web, F.regexp_replace(p.hostname, r"^www\.", "")).otherwise("archive")
     stem = F.substring(F.concat_ws("-", F.nullif(host, F.lit("")), F.nullif(F.when(web, path), F.lit(""))), 1, 100)

@@ -92,3 +92,17 @@ def test_natural_order(spark):
     given = ["10.html", "2.html", "About", "about", "774138.html"]
     keys = dict(zip(given, values(spark, "string", given, search.natural_key)))
     assert sorted(given[:2] + given[4:], key=keys.get) == ["2.html", "10.html", "774138.html"] and keys["About"] == keys["about"]
+
+
+def test_query_is_a_sorted_form(spark):
+    """Decoded, sorted by key (equal keys in their order) and serialised as a form does; expected values by urllib."""
+    from urllib.parse import parse_qsl, urlencode
+
+    odd = ["q=b%20c", "q=b+c", "b=2&a=1", "a=2&a=1", "x", "x=", "=v", "a=b=c", "&&a=1&", "k=%C3%A9", "k=é", "k=~(x)!'*", "s=a/b?c", "z=1&%61=2"]
+    urls = [f"http://e.com/p?{q}#f" for q in odd]
+    got = {r.u: r.q for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.canonical_query(F.col("u")).alias("q")).collect()}
+    for u, q in zip(urls, odd):
+        pairs = sorted(parse_qsl(q, keep_blank_values=True), key=lambda x: x[0])
+        assert got[u] == urlencode(pairs, safe="*").replace("~", "%7E"), q
+    plain = {r.u: r.q for r in spark.createDataFrame([("http://e.com/?",), ("http://e.com/",), ("http://e.com/?a=100%&b=%zz",), ("no url",), (None,)], "u string").select("u", U.canonical_query(F.col("u")).alias("q")).collect()}
+    assert plain == {"http://e.com/?": "", "http://e.com/": "", "http://e.com/?a=100%&b=%zz": "a=100%25&b=%25zz", "no url": "", None: None}
