@@ -82,7 +82,9 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
     ends = np.cumsum(count)
-    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat(first - (ends - count), count)
+    out += np.arange(len(out))
+    return out
 
 
 def _groups(*sorted_: np.ndarray) -> np.ndarray:
@@ -162,8 +164,11 @@ def _collapse(raw: np.ndarray, first: np.ndarray, length: np.ndarray, key: np.nd
     order = np.lexsort((hashed, key))
     k, h, n, f = key[order], hashed[order], length[order], first[order]
     same = np.concatenate(([False], (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1]))) if len(order) else np.zeros(0, bool)
-    twin = np.flatnonzero(same)
-    if len(twin):
+    twins = np.flatnonzero(same)
+    parts = np.cumsum(n[twins]) // BLOCK_BYTES  # places take eight times the strings' bytes
+    edges = np.append(_groups(parts), len(twins))
+    for a, z in zip(edges, edges[1:]):
+        twin = twins[a:z]
         equal = raw[_ranges(f[twin], n[twin])] == raw[_ranges(f[twin - 1], n[twin])]
         same[twin] = np.logical_and.reduceat(equal, np.cumsum(n[twin]) - n[twin])
     of = np.empty(len(order), np.int64)
@@ -294,9 +299,9 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, open_pack, width: int) -> D
 
     def send(batches):
         for b in batches:
-            for number, payload, bits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for number, payload, bits in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 p = open_pack(payload)
-                p.strings(bits)
+                p.strings(bits.as_py())
                 least = np.full(len(p.one_), NO_ID, np.int64)
                 np.minimum.at(least, p.class_of, p.ids[p.doc_])
                 first, length = p.first_[p.one_], p.count_[p.one_] + width - 1
@@ -389,7 +394,8 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     def cut(batches):
         for b in batches:
-            for payload, bits, told in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2))):
+            for k, payload in enumerate(b.column(0)):
+                bits, told = b.column(1)[k].as_py(), b.column(2)[k].as_py()  # of one pack at a time
                 p = open_pack(payload)
                 size = int(p.bounds[-1])
                 edge = np.zeros(size + 1, np.int32)
