@@ -1,6 +1,6 @@
 """Named query functions over a captures table and over loaded archives.
 
-Each takes typed arguments and gives a DataFrame of at most ``limit`` rows; an empty result is an empty DataFrame.
+Each takes typed arguments and gives a DataFrame, of at most ``limit`` rows where it takes one; an empty result is an empty DataFrame.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from stratarc.operators import captures as C
 from stratarc.operators import resolve, search, stats, tree
 from stratarc.operators.asof import nearest_by_keys
 
+MAX_ROWS = 25
+
 
 def _one_lookup(captures: DataFrame, url: str, near: Column | None) -> DataFrame:
     spark = captures.sparkSession
@@ -19,9 +21,11 @@ def _one_lookup(captures: DataFrame, url: str, near: Column | None) -> DataFrame
     return spark.range(1).select(F.lit("0").alias("lookup_id"), F.lit(url).alias("url"), (near if near is not None else F.lit(None)).cast(kind).alias("near"))
 
 
-def search_archive(captures: DataFrame, query: str, content_type: str | None = None, after: tuple[int, str] | None = None, page: int = 1) -> DataFrame:
+def search_archive(captures: DataFrame, query: str, content_type: str | None = None, after: tuple[int, str] | None = None, page: int = 1, limit: int = search.PAGE) -> DataFrame:
+    """URLs with their statistics; ``limit`` is held within 1 and 25, and a page has so many."""
+    size = min(max(int(limit), 1), MAX_ROWS)
     rows = search.type_filter(captures, content_type) if content_type else captures
-    found = search.keyset_page(rows, query, *after) if after else search.offset_page(rows, query, page)
+    found = search.keyset_page(rows, query, *after, size=size) if after else search.offset_page(rows, query, page, size)
     return search.page_groups(rows, found)
 
 
@@ -34,8 +38,10 @@ def get_capture_as_of(captures: DataFrame, url: str, date: Column | None = None)
     return found.select("url", "outcome", "hit.*")
 
 
-def list_content_types(captures: DataFrame) -> DataFrame:
-    return stats.content_types(captures).orderBy(F.lower("content_type"), "content_type")
+def list_content_types(captures: DataFrame, limit: int | None = None) -> DataFrame:
+    """The types held, by name; all of them without a limit."""
+    types = stats.content_types(captures).orderBy(F.lower("content_type"), "content_type")
+    return types if limit is None else types.limit(limit)
 
 
 def get_capture_detail(captures: DataFrame, custom_id: str) -> DataFrame:

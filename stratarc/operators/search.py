@@ -46,17 +46,17 @@ def page_count(total: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.least(t, F.lit(1e9)) / PAGE), F.lit(1)), F.lit(LAST_PAGE)).cast("int")
 
 
-def offset_page(captures: DataFrame, query: str, page: float) -> DataFrame:
+def offset_page(captures: DataFrame, query: str, page: float, size: int = PAGE) -> DataFrame:
     n = min(max(int(page), 1), LAST_PAGE)
-    return found_uris(captures, query).orderBy("level", "uri").offset((n - 1) * PAGE).limit(PAGE)
+    return found_uris(captures, query).orderBy("level", "uri").offset((n - 1) * size).limit(size)
 
 
-def keyset_page(captures: DataFrame, query: str, after_level: int | None, after_uri: str | None) -> DataFrame:
+def keyset_page(captures: DataFrame, query: str, after_level: int | None, after_uri: str | None, size: int = PAGE) -> DataFrame:
     """Rows after a cursor; half a cursor is none."""
     rows = found_uris(captures, query)
     if after_level is not None and after_uri:
         rows = rows.where((F.col("level") > after_level) | ((F.col("level") == after_level) & (F.col("uri") > after_uri)))
-    return rows.orderBy("level", "uri").limit(PAGE)
+    return rows.orderBy("level", "uri").limit(size)
 
 
 def page_groups(captures: DataFrame, page: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from stratarc.functions import urls as U
 from stratarc.operators.captures import browsable
 
 
-def day_key(ts: Column) -> Column:
-    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("invalid"))
+def day_key(ts: Column, zone: str | None = None) -> Column:
+    """The day of a moment (UTC, without zone), of the named zone with its daylight saving time if one is given."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ts) if zone else ts
+    return F.coalesce(F.date_format(local, "yyyy-MM-dd"), F.lit("invalid"))
 
 
 def month_key(day: Column) -> Column:
@@ -63,28 +65,28 @@ def newest_per_host(captures: DataFrame) -> DataFrame:
     return captures.where("uri <> ''").rollup(host.alias("host")).agg(F.max("archived_ts").alias("newest_ts"), F.count("*").alias("n"))
 
 
-def timeline_days(captures: DataFrame) -> DataFrame:
+def timeline_days(captures: DataFrame, zone: str | None = None) -> DataFrame:
     """Captures per day with the peak's share: bar = max(4, 100 n / peak)."""
-    days = captures.groupBy(day_key(F.col("archived_ts")).alias("day")).agg(F.count("*").alias("n"))
+    days = captures.groupBy(day_key(F.col("archived_ts"), zone).alias("day")).agg(F.count("*").alias("n"))
     peak = days.agg(F.max("n").alias("peak"))
     return days.crossJoin(F.broadcast(peak)).withColumn("bar", F.greatest(F.lit(4), F.floor(100 * F.col("n") / F.col("peak"))).cast("long"))
 
 
-def timeline_rollup(captures: DataFrame) -> DataFrame:
+def timeline_rollup(captures: DataFrame, zone: str | None = None) -> DataFrame:
     """Nested totals: year, month, day and all."""
-    day = day_key(F.col("archived_ts"))
+    day = day_key(F.col("archived_ts"), zone)
     keyed = captures.select(year_key(day).alias("year"), month_key(day).alias("month"), day.alias("day"))
     return keyed.rollup("year", "month", "day").agg(F.count("*").alias("n"))
 
 
-def distinct_days(captures: DataFrame) -> DataFrame:
-    return captures.groupBy("uri").agg(F.count("*").alias("n"), F.count_distinct(day_key(F.col("archived_ts"))).alias("days"))
+def distinct_days(captures: DataFrame, zone: str | None = None) -> DataFrame:
+    return captures.groupBy("uri").agg(F.count("*").alias("n"), F.count_distinct(day_key(F.col("archived_ts"), zone)).alias("days"))
 
 
-def capture_pattern(captures: DataFrame) -> DataFrame:
+def capture_pattern(captures: DataFrame, zone: str | None = None) -> DataFrame:
     """URLs with one capture, several on one day, several days."""
     case = F.when(F.col("n") == 1, "one").when(F.col("days") == 1, "one day").otherwise("several days")
-    return distinct_days(captures).groupBy(case.alias("pattern")).agg(F.count("*").alias("urls"))
+    return distinct_days(captures, zone).groupBy(case.alias("pattern")).agg(F.count("*").alias("urls"))
 
 
 def content_types(captures: DataFrame) -> DataFrame:

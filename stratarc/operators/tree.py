@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarc.functions import headers as H
 from stratarc.functions import urls as U
 from stratarc.operators.search import matches, natural_key
+from stratarc.operators.stored import stored
 
 
 def nodes(captures: DataFrame, normal: bool = False) -> DataFrame:
@@ -79,6 +80,23 @@ def visible_rows(tree: DataFrame, open_nodes: DataFrame | None = None, kept: Dat
     return rows.select("node", "depth", "records", key.alias("sort_key"))
 
 
+def numbered(rows: DataFrame, key: str = "sort_key", name: str = "pos") -> DataFrame:
+    """The rows with their dense place in the order of the key, from 0; keys are unique, as those of visible rows are.
+
+    Rows are dealt by ranges of the key and stored with the number of their range, so that a task that runs again cannot
+    deal them otherwise; a row's place is its place in the range behind the sizes of the ranges before.  No task orders
+    all rows: only sizes, one for each range, are summed in one.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, at, size, before = (f"__{name}_{x}" for x in ("part", "at", "size", "before"))
+    dealt = stored(rows.repartitionByRange(n, key).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias(size))
+    starts = sizes.select(F.col(part), (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(before))
+    placed = dealt.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(key)))
+    return placed.join(F.broadcast(starts), part).withColumn(name, (F.col(before) + F.col(at) - 1).cast("long")).drop(part, at, before)  # a row for each range
+
+
 def untreed(captures: DataFrame) -> DataFrame:
     """Records outside the trees by type and reason; without a URL only some types are expected."""
     p = U.url_parts(F.col("uri"))

@@ -106,6 +106,19 @@ def timeline_zone(spark, d):
     return moved.groupBy(stats.day_key(F.col("archived_ts")).alias("day")).agg(F.count("*").alias("n"))
 
 
+#: New York: four hours behind from the second Sunday of March, 7:00 UTC, to the first one of November, 6:00 UTC; else five.
+NEW_YORK_SQL = """ yearly AS (SELECT archived_ts + to_days(CAST((event_id % 12) * 30 AS INTEGER)) AS archived_ts FROM cap),
+ starts AS (SELECT archived_ts, make_timestamp(year(archived_ts), 3, 1, 0, 0, 0) AS m, make_timestamp(year(archived_ts), 11, 1, 0, 0, 0) AS n FROM yearly),
+ ny AS (SELECT archived_ts - CASE WHEN archived_ts >= m + to_days(CAST(14 - isodow(m) AS INTEGER)) + INTERVAL 7 HOUR AND archived_ts < n + to_days(CAST(7 - isodow(n) AS INTEGER)) + INTERVAL 6 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM starts)"""
+
+
+@query("timeline_zone_named", "SELECT year, month, day, count(*) AS n FROM (SELECT strftime(local_ts, '%Y') AS year, strftime(local_ts, '%Y-%m') AS month, strftime(local_ts, '%Y-%m-%d') AS day FROM ny) GROUP BY ROLLUP (year, month, day)", NEW_YORK_SQL)
+def timeline_zone_named(spark, d):
+    """Local days of New York, with captures spread over the year, so that both changes of the clock are met."""
+    spread = captures(spark, d).withColumn("archived_ts", F.col("archived_ts") + F.make_dt_interval((F.col("event_id") % 12 * 30).cast("int")))
+    return stats.timeline_rollup(spread, "America/New_York")
+
+
 PATH_SQL = """ tree0 AS (SELECT *, list_transform(range(0, len(segs) + 1), lambda i: CASE WHEN i = 0 THEN origin || '/' ELSE origin || '/' || array_to_string(segs[1:i], '/') END) AS steps FROM cap),
  treed AS (SELECT *, CASE WHEN query <> '' THEN list_append(steps, steps[len(steps)] || '?' || query) ELSE steps END AS path FROM tree0),
  treen0 AS (SELECT *, list_transform(range(0, len(segs) + 1), lambda i: CASE WHEN i = 0 THEN nhost || '/' ELSE nhost || '/' || array_to_string(segs[1:i], '/') END) AS steps FROM (SELECT *, regexp_replace(host, '^www[.]', '') AS nhost FROM cap)),
@@ -533,6 +546,10 @@ def tree_segments(spark, d):
 FILTER_SQL = NODES_SQL.format("d") + """, m AS (SELECT node FROM nodesd WHERE contains(lower(segment), 'page=2') INTERSECT SELECT path[len(path)] FROM treed WHERE content_type = 'text/html'),
  kept AS (SELECT node, bool_or(node = me) AS matched FROM (SELECT DISTINCT unnest(path) AS node, path[len(path)] AS me FROM treed WHERE path[len(path)] IN (SELECT node FROM m)) GROUP BY node)"""
 
+#: A node's way from its root, with the natural key of each segment.
+ORDER_SQL = """ way AS (SELECT DISTINCT path[d + 1] AS node, path[1:d + 1] AS steps FROM (SELECT path, unnest(range(len(path))) AS d FROM treed)),
+ bit AS (SELECT node, list_transform(steps, lambda u: {'k': array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(regexp_replace(u, '/$', ''), '([^/]*)$', 1)), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(regexp_replace(p, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(p, '^0+([0-9])', '\\1') ELSE p END), ''), 'u': u}) AS sort_key FROM way)"""
+
 
 @query("tree_filter", "SELECT node, matched FROM kept", PATH_SQL + "," + FILTER_SQL)
 def tree_filter(spark, d):
@@ -541,19 +558,25 @@ def tree_filter(spark, d):
     return tree.tree_filter(t, tree.intersect(tree.find_segments(t, "PAGE=2"), tree.find_type(c, "text/html")))
 
 
-@query("tree_rows", "SELECT k.node, depth, records FROM kept k JOIN nodesd USING (node)", PATH_SQL + "," + FILTER_SQL)
+@query("tree_rows", "SELECT k.node, depth, records, row_number() OVER (ORDER BY sort_key) - 1 AS pos FROM kept k JOIN nodesd USING (node) JOIN bit USING (node)", PATH_SQL + "," + FILTER_SQL + "," + ORDER_SQL)
 def tree_rows(spark, d):
     c = captures(spark, d)
     t = stored(tree.nodes(c), "nodes")
     kept = tree.tree_filter(t, tree.intersect(tree.find_segments(t, "page=2"), tree.find_type(c, "text/html")))
-    return tree.visible_rows(t, None, kept).select("node", "depth", "records")
+    return tree.numbered(tree.visible_rows(t, None, kept)).select("node", "depth", "records", "pos")
 
 
-@query("tree_open", "SELECT node, depth, records FROM nodesd WHERE depth <= 1", PATH_SQL + "," + NODES_SQL.format("d"))
+@query("tree_open", "SELECT node, depth, records, row_number() OVER (ORDER BY sort_key) - 1 AS pos FROM nodesd JOIN bit USING (node) WHERE depth <= 1", PATH_SQL + "," + NODES_SQL.format("d") + "," + ORDER_SQL)
 def tree_open(spark, d):
     """All roots opened, nothing below."""
     t = stored(tree.nodes(captures(spark, d)), "nodes")
-    return tree.visible_rows(t, t.where("parent IS NULL").select("node")).select("node", "depth", "records")
+    return tree.numbered(tree.visible_rows(t, t.where("parent IS NULL").select("node"))).select("node", "depth", "records", "pos")
+
+
+@query("tree_positions", "SELECT node, depth, row_number() OVER (ORDER BY sort_key) - 1 AS pos FROM nodesd JOIN bit USING (node)", PATH_SQL + "," + NODES_SQL.format("d") + "," + ORDER_SQL)
+def tree_positions(spark, d):
+    """All nodes in the order of an open tree."""
+    return tree.numbered(tree.visible_rows(tree.nodes(captures(spark, d)))).select("node", "depth", "pos")
 
 
 @query("untreed", "SELECT rec_type, 'not-a-web-url' AS reason, count(*) AS n, false AS expected FROM cap WHERE event_id % 7 = 0 GROUP BY rec_type UNION ALL SELECT rec_type, 'no url', count(*), false FROM cap WHERE event_id % 7 = 1 GROUP BY rec_type UNION ALL SELECT rec_type, 'unparseable', count(*), false FROM cap WHERE event_id % 7 = 2 GROUP BY rec_type")
