@@ -6,19 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratarc.functions.headers import FOLLOWED
+from stratarc.functions.hrefs import PORTS, href, stripped
+from stratarc.functions.hrefs import let as _let
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 #: scheme, //authority, authority, path, ?query, #fragment
 GRAMMAR = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-#: Default ports (fixed values); schemes with one have an origin.
-PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 #: Parts the groups of a matched URL; a character that no text has.
 MARKER = "\uffff"
 
@@ -39,28 +32,6 @@ def _parses(g: Column) -> Column:
     return F.coalesce((_part(g, 1) != "") & (~special | ((host != "") & ~host.rlike(r"[\s<>^|%]"))), F.lit(False))
 
 
-def _without_dots(path: Column) -> Column:
-    """Dot segments removed; a trailing one leaves a slash."""
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), _let(path, _undotted)).otherwise(path)
-
-
-def _undotted(path: Column) -> Column:
-    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
-    kept = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
-    )
-    tail = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
-
-
-def _escaped(s: Column) -> Column:
-    for raw, code in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E")):
-        s = F.replace(s, F.lit(raw), F.lit(code))
-    return s
-
-
 def _authority(g: Column) -> Column:
     """Lower-case host with its port, without a default port or credentials."""
     scheme = F.lower(_part(g, 1))
@@ -69,17 +40,8 @@ def _authority(g: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-case, default port and dot segments gone, empty path '/'; odd text stays as it is."""
-
-    def built(g: Column) -> Column:
-        scheme = F.lower(_part(g, 1))
-        path = _part(g, 4)
-        path = F.when(scheme.isin(*PORTS), _without_dots(F.when(path == "", "/").otherwise(path))).otherwise(path)
-        user = F.regexp_extract(_part(g, 3), r"^([^@]*@)", 1)
-        place = F.when(_part(g, 2) != "", F.concat(F.lit("//"), user, _authority(g))).otherwise("")
-        return F.when(_parses(g), F.concat(scheme, F.lit(":"), place, _escaped(path), _escaped(_part(g, 5)), _escaped(_part(g, 6))))
-
-    return F.coalesce(_let(_groups(F.trim(url)), built), url)
+    """The href of the URL; text that is no absolute URL stays as it is."""
+    return F.coalesce(href(url), url)
 
 
 def _parts(g: Column) -> Column:
@@ -101,9 +63,14 @@ def _parts(g: Column) -> Column:
     return _let(host, made)
 
 
+def _whole(url: Column) -> Column:
+    """The href; '' for text that is no absolute URL."""
+    return F.coalesce(href(url), F.when(url.isNotNull(), ""))
+
+
 def url_parts(url: Column) -> Column:
-    """scheme, host, hostname, origin, segments, query; ``reason`` where the URL has no place in a tree."""
-    return _let(_groups(url), _parts)
+    """scheme, host, hostname, origin, segments, query of the href; ``reason`` where the URL has no place in a tree."""
+    return _let(_groups(_whole(url)), _parts)
 
 
 def _form_decoded(s: Column) -> Column:
@@ -185,10 +152,9 @@ def lookup_keys(url: Column) -> Column:
 
 
 def resolve_reference(base: Column, ref: Column) -> Column:
-    """The absolute URL of a reference found on a page; null where there is none."""
-    r = F.trim(ref)
+    """The absolute URL of a reference found on a page; null where there is none.  Backslashes are slashes, as on the web."""
 
-    def joined(p: Column) -> Column:
+    def joined(p: Column, r: Column) -> Column:
         folder = F.regexp_replace(p.path, r"[^/]*$", "")
         relative = (
             F.when(r.startswith("//"), F.concat(p.scheme, F.lit(":"), r))
@@ -199,7 +165,9 @@ def resolve_reference(base: Column, ref: Column) -> Column:
         )
         return F.when(r.rlike(SCHEME), r).otherwise(relative)
 
-    return F.when(r != "", _let(_let(url_parts(base), joined), lambda w: F.when(_parses(_groups(w)), canonical_url(w))))
+    slashes = lambda r: F.when(r.contains("\\") & ~r.rlike(SCHEME), F.concat(F.translate(F.regexp_extract(r, "^[^?#]*", 0), "\\", "/"), F.regexp_replace(r, "^[^?#]*", ""))).otherwise(r)
+    r = _let(stripped(ref), slashes)
+    return F.when(stripped(ref) != "", _let(url_parts(base), lambda p: _let(r, lambda r: href(joined(p, r)))))
 
 
 def redirect_target(status: Column, location: Column, url: Column) -> Column:
@@ -208,7 +176,7 @@ def redirect_target(status: Column, location: Column, url: Column) -> Column:
 
 def same_target(a: Column, b: Column) -> Column:
     x, y = url_parts(a), url_parts(b)
-    return (a == b) | F.coalesce((x.origin == y.origin) & (_part(_groups(a), 4) == _part(_groups(b), 4)) & (x.query == y.query), F.lit(False))
+    return (a == b) | F.coalesce((x.origin == y.origin) & (x.path == y.path) & (x.query == y.query), F.lit(False))
 
 
 def _encoded(s: Column) -> Column:

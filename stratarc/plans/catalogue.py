@@ -374,6 +374,60 @@ def slugs(spark, d):
     return pages(spark, d).select("page_id", (U.query_from_slug(slug) == F.col("url")).alias("same"), slug.alias("slug"))
 
 
+ODD_URLS_SQL = r""" web AS (SELECT page_id, regexp_extract(url, '^(https?)', 1) AS s, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, regexp_extract(url, '([?#].*)?$', 0) AS r FROM pages)"""
+
+
+@query(
+    "odd_urls",
+    """SELECT page_id, page_id % 9 <> 7 AS web, CASE page_id % 9
+ WHEN 2 THEN s || '://' || h || p || '%C3%A9%20b%7B' || r
+ WHEN 3 THEN s || '://xn--bcher-kva.' || h || p || r
+ WHEN 4 THEN 'http://10.' || (page_id // 65536) % 256 || '.' || (page_id // 256) % 256 || '.' || page_id % 256 || p
+ WHEN 5 THEN 'http://[::' || format('{:x}', page_id % 60000 + 1) || ']' || p
+ WHEN 7 THEN s || '://' || h || ':65536' || p
+ WHEN 8 THEN s || '://' || h || p || '?q=%27x%20y%22'
+ ELSE s || '://' || h || p || r END AS canonical FROM web""",
+    ODD_URLS_SQL,
+)
+def odd_urls(spark, d):
+    """Backslashes, escaped dots, letters above ASCII, addresses as hosts, missing slashes, a port too large, quotes."""
+    part = lambda e: F.regexp_extract("url", r"^(https?)://([^/?#]+)([^?#]*)(.*)$", e)
+    s, h, p, r = (part(i) for i in range(1, 5))
+    forms = [
+        [s, ":\\\\", h, F.translate(p, "/", "\\"), r],
+        [s, "://", h, "/x/%2e%2E", p, r],
+        [s, "://", h, p, "é b{", r],
+        [s, "://BÜcher.", h, p, r],
+        ["http://", (F.lit(10 << 24) + F.col("page_id")).cast("string"), p],
+        ["http://[0:0::", F.lpad(F.hex(F.col("page_id") % 60000 + 1), 4, "0"), "]", p],
+        [" \t", s, ":", h, p, r],
+        [s, "://", h, ":65536", p],
+        [s, "://", h, p, "?q='x y\""],
+    ]
+    odd = F.coalesce(*(F.when(F.col("page_id") % len(forms) == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in f))) for i, f in enumerate(forms)))
+    return pages(spark, d).select("page_id", odd.alias("odd")).select("page_id", U.url_parts(F.col("odd")).reason.isNull().alias("web"), U.canonical_url(F.col("odd")).alias("canonical"))
+
+
+@query("same_targets", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN url NOT LIKE '%?%' WHEN 2 THEN false ELSE contains(url, '?') END AS same FROM pages")
+def same_targets(spark, d):
+    """Another fragment is the same target; no query for a query, another path, one more parameter are not; order of parameters is not looked at."""
+    bare = F.regexp_replace("url", "#.*$", "")
+    page, search = F.regexp_replace(bare, r"\?.*$", ""), F.regexp_extract(bare, r"\?(.*)$", 1)
+    turned = F.concat(page, F.lit("?"), F.array_join(F.reverse(F.split(search, "&")), "&"), F.when(search == "", "z=1").otherwise(""))
+    other = F.when(F.col("page_id") % 4 == 0, F.concat(bare, F.lit("#other"))).when(F.col("page_id") % 4 == 1, page).when(F.col("page_id") % 4 == 2, F.concat(page, F.lit("/x"))).otherwise(turned)
+    return pages(spark, d).select("page_id", U.same_target(F.col("url"), other).alias("same"))
+
+
+@query("odd_slugs", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '%2561ll' WHEN 1 THEN '%252E' WHEN 2 THEN '%252E%252E' WHEN 3 THEN url_encode(url_encode('100% ' || url)) ELSE url_encode(url) END AS slug,
+ CASE page_id % 5 WHEN 0 THEN 'all' WHEN 1 THEN '.' WHEN 2 THEN '..' WHEN 3 THEN '100% ' || url ELSE url END AS back FROM pages""")
+def odd_slugs(spark, d):
+    """Texts whose slugs would clash with reserved ones, hold percent signs or blanks around them, and the texts read back."""
+    k = F.col("page_id") % 5
+    text = F.when(k == 0, "all").when(k == 1, ".").when(k == 2, "..").when(k == 3, F.concat(F.lit("100% "), "url")).otherwise(F.concat(F.lit("  "), "url", F.lit(" ")))
+    slug = U.query_slug(text)
+    return pages(spark, d).select("page_id", slug.alias("slug"), U.query_from_slug(slug).alias("back"))
+
+
 @query("export_names", "SELECT custom_id, regexp_replace(regexp_replace(regexp_replace(rtrim(concat_ws('-', regexp_replace(host, '^www[.]', ''), nullif(array_to_string(segs, '-'), '')), '') || '-' || uuid, '[<>:\"|?*\\\\/]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') || '.zip' AS name FROM cap")
 def export_names(spark, d):
     return captures(spark, d).select("custom_id", U.export_name(F.col("uri"), F.col("uuid")).alias("name"))
