@@ -19,7 +19,6 @@ SPECIAL = (*PORTS, "file")
 CONTROLS = r"\x00-\x1f\x7f-\x{10ffff}"
 FRAGMENT = CONTROLS + ' "<>`'
 QUERY = CONTROLS + ' "#<>'
-SPECIAL_QUERY = QUERY + "'"
 PATH = QUERY + r"?\^`{}"
 USER = PATH + r"/:;=@\[\\\]|"
 # Characters that no host may have; a domain may have no controls and no percent sign either.
@@ -47,9 +46,12 @@ def stripped(url: Column) -> Column:
 
 
 def _encoded(s: Column, chars: str) -> Column:
-    runs = F.regexp_extract_all(s, F.lit(f"(?s)[{chars}]+|[^{chars}]+"), F.lit(0))
-    coded = F.transform(runs, lambda r: F.when(r.rlike(f"^[{chars}]"), F.regexp_replace(F.hex(r), "(..)", "%$1")).otherwise(r))
-    return F.when(s.rlike(f"[{chars}]"), F.array_join(coded, "")).otherwise(s)
+    def coded(s: Column) -> Column:
+        runs = F.regexp_extract_all(s, F.lit(f"(?s)[{chars}]+|[^{chars}]+"), F.lit(0))
+        escaped = F.transform(runs, lambda r: F.when(r.rlike(f"^[{chars}]"), F.regexp_replace(F.hex(r), "(..)", "%$1")).otherwise(r))
+        return F.when(s.rlike(f"[{chars}]"), F.array_join(escaped, "")).otherwise(s)
+
+    return let(s, coded)
 
 
 def _undotted(path: Column) -> Column:
@@ -58,11 +60,10 @@ def _undotted(path: Column) -> Column:
 
     def walked(steps: Column) -> Column:
         step = lambda out, s: F.when(s.rlike(two), F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s.rlike(one), out).otherwise(F.concat(out, F.array(s)))
-        kept = F.aggregate(steps, F.array().cast("array<string>"), step)
         tail = F.when(F.element_at(steps, -1).rlike(f"^{DOT}{{1,2}}$"), "/").otherwise("")
-        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, tail).otherwise("")))
+        return F.aggregate(steps, F.array().cast("array<string>"), step, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, tail).otherwise("")))
 
-    return F.when(path.rlike(f"/{DOT}{{1,2}}(/|$)"), let(F.split(F.regexp_replace(path, "^/", ""), "/"), walked)).otherwise(path)
+    return let(path, lambda p: F.when(p.rlike(f"/{DOT}{{1,2}}(/|$)"), let(F.split(F.substring(p, F.lit(2), F.length(p)), "/"), walked)).otherwise(p))
 
 
 # --- hosts
@@ -170,7 +171,7 @@ def _domain(host: Column) -> Column:
     mapped = F.lower(F.translate(F.regexp_replace(decoded, DROPPED, ""), WIDE, NARROW))
     ascii_ = lambda d: F.when(d.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(d, r"\."), _punycode), ".")).otherwise(d)
     named = lambda d: F.when(d.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"), _ipv4(d)).when(d != "", d)
-    return let(F.when(~mapped.rlike(f"[{NO_DOMAIN}]"), let(mapped, ascii_)), named)
+    return let(let(mapped, lambda m: F.when(~m.rlike(f"[{NO_DOMAIN}]"), ascii_(m))), named)
 
 
 def _host(host: Column, special: Column) -> Column:
@@ -185,38 +186,60 @@ WHOLE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):([^?#]*)(\?[^#]*)?(#.*)?\z"
 PLACE = r"(?s)^(?:(.*)@)?(\[[^\]]*\]|[^:@]*)(?::([^:@]*))?\z"
 
 
+def _login(text: Column) -> Column:
+    user, password = F.regexp_extract(text, "(?s)^([^:]*)", 1), F.regexp_extract(text, "(?s)^[^:]*:(.*)", 1)
+    shown = F.concat(_encoded(user, USER), let(password, lambda p: F.when(p != "", F.concat(F.lit(":"), _encoded(p, USER))).otherwise("")), F.lit("@"))
+    return F.when(text.rlike("^:?$"), "").otherwise(shown)
+
+
+def _port(digits: Column, scheme: Column) -> Column:
+    default = F.coalesce(*(F.when(scheme == s, F.lit(p)) for s, p in PORTS.items()), F.lit(""))
+    shown = lambda d: F.when((d == "") | (d == default), "").when(d.rlike("^[0-9]{1,5}$"), F.when(d.cast("int") <= 65535, F.concat(F.lit(":"), d)))
+    return let(F.regexp_replace(digits, "^0+(?=.)", ""), shown)
+
+
 def _place(text: Column, scheme: Column) -> Column:
     """//user:password@host:port from the text of an authority; null where it is none."""
-    group = lambda i: F.regexp_extract(text, PLACE, i)
-    web, special = scheme.isin(*PORTS), scheme.isin(*SPECIAL)
-    user, password = F.regexp_extract(group(1), "(?s)^([^:]*)", 1), F.regexp_extract(group(1), "(?s)^[^:]*:(.*)", 1)
-    login = F.when(group(1).rlike("^:?$"), "").otherwise(F.concat(_encoded(user, USER), F.when(password != "", F.concat(F.lit(":"), _encoded(password, USER))).otherwise(""), F.lit("@")))
-    digits = F.regexp_replace(group(3), "^0+(?=.)", "")
-    default = F.coalesce(*(F.when(scheme == s, F.lit(p)) for s, p in PORTS.items()), F.lit(""))
-    port = F.when(digits.isin("") | (digits == default), "").when(digits.rlike("^[0-9]{1,5}$"), F.when(digits.cast("int") <= 65535, F.concat(F.lit(":"), digits)))
-    host = F.when(group(2) != "", _host(group(2), special)).when(~web & (group(1) == "") & (group(3) == ""), "")
-    local = F.when((scheme == "file") & (host == "localhost"), "").otherwise(host)
-    sound = text.rlike(PLACE) & ((scheme != "file") | ((group(1) == "") & (group(3) == "")))
-    return F.when(sound, F.concat(F.lit("//"), login, local, port))
+
+    def shown(g: Column) -> Column:
+        alone = (g.user == "") & (g.port == "")
+        host = F.when(g.host != "", _host(g.host, scheme.isin(*SPECIAL))).when(~scheme.isin(*PORTS) & alone, "")
+        local = let(host, lambda h: F.when(scheme == "file", F.when(alone, F.regexp_replace(h, "^localhost$", ""))).otherwise(h))
+        return F.concat(F.lit("//"), _login(g.user), local, _port(g.port, scheme))
+
+    groups = F.struct(*(F.regexp_extract(text, PLACE, i).alias(n) for i, n in ((1, "user"), (2, "host"), (3, "port"))))
+    return F.when(text.rlike(PLACE), let(groups, shown))
 
 
 def _serialised(u: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(u, WHOLE, 1))
-    special = scheme.isin(*SPECIAL)
-    body = F.when(special, F.translate(F.regexp_extract(u, WHOLE, 2), "\\", "/")).otherwise(F.regexp_extract(u, WHOLE, 2))
+    def cut(p: Column) -> Column:
+        """The text of an authority, if there is one, and the path as it is written."""
+        web, special = p.scheme.isin(*PORTS), p.scheme.isin(*SPECIAL)
+
+        def parted(body: Column) -> Column:
+            drive = (p.scheme == "file") & body.rlike("^/{0,3}[A-Za-z][:|](/|$)")
+            after = F.when(web, F.regexp_replace(body, "^/*", "")).when(~drive & body.startswith("//"), F.substring(body, F.lit(3), F.length(body)))
+            bare = F.when(drive, F.regexp_replace(body, "^/*([A-Za-z]).", "/$1:")).otherwise(body)
+            rooted = lambda r: F.when(special, F.regexp_replace(r, "^(?!/)", "/")).otherwise(r)
+            return let(after, lambda a: F.struct(F.regexp_extract(a, "^[^/]*", 0).alias("place"), rooted(F.coalesce(F.regexp_replace(a, "^[^/]*", ""), bare)).alias("rest")))
+
+        return let(F.when(special, F.translate(p.body, "\\", "/")).otherwise(p.body), parted)
 
     def built(p: Column) -> Column:
-        drive = (p.scheme == "file") & p.body.rlike("^/{0,3}[A-Za-z][:|](/|$)")
-        after = F.when(p.scheme.isin(*PORTS), F.regexp_replace(p.body, "^/*", "")).when(~drive & p.body.startswith("//"), F.substring(p.body, F.lit(3), F.length(p.body)))
-        rest = F.when(after.isNotNull(), F.regexp_replace(after, "^[^/]*", "")).when(drive, F.regexp_replace(p.body, "^/*([A-Za-z]).", "/$1:")).otherwise(p.body)
-        place = F.when(after.isNotNull(), _place(F.regexp_extract(after, "^[^/]*", 0), p.scheme)).when(p.scheme == "file", "//").otherwise("")
-        rooted = F.when(p.scheme.isin(*SPECIAL) & ~rest.startswith("/"), F.concat(F.lit("/"), rest)).otherwise(rest)
-        path = let(rooted, lambda r: F.when(r.startswith("/"), _undotted(_encoded(r, PATH))).otherwise(_encoded(r, CONTROLS)))
-        apart = let(path, lambda x: F.when(after.isNull() & x.startswith("//") & (p.scheme != "file"), F.concat(F.lit("/."), x)).otherwise(x))
-        search = F.when(p.scheme.isin(*SPECIAL), _encoded(p.search, SPECIAL_QUERY)).otherwise(_encoded(p.search, QUERY))
-        return F.concat(p.scheme, F.lit(":"), place, apart, search, _encoded(p.fragment, FRAGMENT))
-
-    parts = F.struct(scheme.alias("scheme"), body.alias("body"), F.regexp_extract(u, WHOLE, 3).alias("search"), F.regexp_extract(u, WHOLE, 4).alias("fragment"))
+        special = p.scheme.isin(*SPECIAL)
+
+        def whole(c: Column) -> Column:
+            place = F.when(c.place.isNotNull(), _place(c.place, p.scheme)).when(p.scheme == "file", "//").otherwise("")
+            path = F.when(c.rest.startswith("/"), _undotted(_encoded(c.rest, PATH))).otherwise(_encoded(c.rest, CONTROLS))
+            apart = let(path, lambda x: F.when(c.place.isNull() & x.startswith("//") & ~special, F.concat(F.lit("/."), x)).otherwise(x))
+            search = _encoded(p.search, QUERY)
+            quoted = F.when(special, F.replace(search, F.lit("'"), F.lit("%27"))).otherwise(search)
+            return F.concat(p.scheme, F.lit(":"), place, apart, quoted, _encoded(p.fragment, FRAGMENT))
+
+        return let(cut(p), whole)
+
+    group = lambda i: F.regexp_extract(u, WHOLE, i)
+    parts = F.struct(F.lower(group(1)).alias("scheme"), group(2).alias("body"), group(3).alias("search"), group(4).alias("fragment"))
     return F.when(u.rlike(WHOLE), let(parts, built))
 
 

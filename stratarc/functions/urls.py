@@ -25,11 +25,20 @@ def _part(groups: Column, group: int) -> Column:
     return F.when(F.size(groups) == 6, F.get(groups, F.lit(group - 1))).when(groups.isNotNull(), "")
 
 
+#: Host and port as a href has them: an address in brackets, four bytes, or a name whose last label is no number.
+BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+HOST = (
+    r"^(?:\[(?![^\]]*::[^\]]*::)(?=[^\]]*::|(?:[^:\]]*:){7}[^:\]]*\])[0-9a-f:]+\]"
+    rf"|{BYTE}(?:\.{BYTE}){{3}}"
+    r"|(?!(?:.*\.)?(?:[0-9]+|0x[0-9a-f]*)\.?(?::|$))[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+)"
+    r"(?::(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?$"
+)
+
+
 def _parses(g: Column) -> Column:
-    """A scheme, and for schemes with an origin a host without blanks."""
-    special = F.lower(_part(g, 1)).isin(*PORTS)
-    host = F.regexp_replace(_part(g, 3), r"^[^@]*@", "")
-    return F.coalesce((_part(g, 1) != "") & (~special | ((host != "") & ~host.rlike(r"[\s<>^|%]"))), F.lit(False))
+    """A scheme, and for schemes with an origin a host and port that a href can have."""
+    web = F.lower(_part(g, 1)).isin(*PORTS)
+    return F.coalesce((_part(g, 1) != "") & (~web | F.lower(F.regexp_replace(_part(g, 3), r"^[^@]*@", "")).rlike(HOST)), F.lit(False))
 
 
 def _authority(g: Column) -> Column:
@@ -63,14 +72,9 @@ def _parts(g: Column) -> Column:
     return _let(host, made)
 
 
-def _whole(url: Column) -> Column:
-    """The href; '' for text that is no absolute URL."""
-    return F.coalesce(href(url), F.when(url.isNotNull(), ""))
-
-
 def url_parts(url: Column) -> Column:
-    """scheme, host, hostname, origin, segments, query of the href; ``reason`` where the URL has no place in a tree."""
-    return _let(_groups(_whole(url)), _parts)
+    """scheme, host, hostname, origin, segments, query of a URL as ``canonical_url`` leaves it; ``reason`` where it has no place in a tree."""
+    return _let(_groups(url), _parts)
 
 
 def _form_decoded(s: Column) -> Column:

@@ -85,9 +85,10 @@ def follow_redirects(lookups: DataFrame, captures: DataFrame, follow: int = 5, s
     shown = shown if isinstance(shown, TimeIndex) else keyed_time_index(candidates(captures) if shown is None else shown, groups)
     open_ = lookups.select("lookup_id", "url", "near", F.array().cast("array<string>").alias("seen"))
     finals, hops = [], []
+    target = U.redirect_target(F.col("hit.status"), F.col("hit.location"), F.col("hit.uri"))
     for hop in range(follow + 1):
         step = nearest_by_keys(open_, groups, shown)
-        step = step.withColumn("target", U.redirect_target(F.col("hit.status"), F.col("hit.location"), F.col("hit.uri")))
+        step = step.withColumn("target", target)
         again = F.array_contains("seen", F.col("hit.custom_id"))
         stops = F.lit(stop_at_body) & H.has_body(F.col("hit.payload_size"))
         state = (

@@ -405,7 +405,8 @@ def odd_urls(spark, d):
         [s, "://", h, p, "?q='x y\""],
     ]
     odd = F.coalesce(*(F.when(F.col("page_id") % len(forms) == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in f))) for i, f in enumerate(forms)))
-    return pages(spark, d).select("page_id", odd.alias("odd")).select("page_id", U.url_parts(F.col("odd")).reason.isNull().alias("web"), U.canonical_url(F.col("odd")).alias("canonical"))
+    p = pages(spark, d).select("page_id", U.canonical_url(odd).alias("canonical"))
+    return p.select("page_id", U.url_parts(F.col("canonical")).reason.isNull().alias("web"), "canonical")
 
 
 @query("same_targets", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN url NOT LIKE '%?%' WHEN 2 THEN false ELSE contains(url, '?') END AS same FROM pages")
@@ -655,7 +656,7 @@ def search_fallback(spark, d):
 # --- references and exports
 
 REFS_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
- r1 AS (SELECT page_uri, CAST(min(pos) AS INTEGER) AS pos, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0 WHERE ref <> '' GROUP BY ALL)"""
+ r1 AS (SELECT page_uri, CAST(min(pos) AS INTEGER) AS pos, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END FOR c IN string_split(ref, '')], '') AS target FROM r0 WHERE ref <> '' GROUP BY ALL)"""
 
 
 def _resolved_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -670,18 +671,18 @@ def _resolved_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 BENT_SQL = RESOLVE_SQL + """, r0 AS (SELECT url AS page_uri, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
- r1 AS (SELECT r0.page_uri, CAST(min(pos) AS INTEGER) AS pos, coalesce(p.url, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref) AS target FROM r0 CROSS JOIN np LEFT JOIN pages p ON pos % 3 = 0 AND p.page_id = (length(page_uri) * 13 + length(ref) * 7) % np.n WHERE ref <> '' GROUP BY ALL),
+ r1 AS (SELECT r0.page_uri, CAST(min(pos) AS INTEGER) AS pos, coalesce(p.url, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END FOR c IN string_split(ref, '')], '')) AS target FROM r0 CROSS JOIN np LEFT JOIN pages p ON pos % 3 = 0 AND p.page_id = (length(page_uri) * 13 + length(ref) * 7) % np.n WHERE ref <> '' GROUP BY ALL),
  r2 AS (SELECT page_uri, target, min(pos) AS pos FROM r1 GROUP BY ALL),
  dates AS (SELECT uri, max(archived_ts) AS near FROM cap GROUP BY uri),
  rl AS (SELECT page_uri || ' ' || target AS lookup_id, target AS url, near, page_uri, pos FROM r2 JOIN dates ON dates.uri = page_uri),""" + _chain_sql(source="rl") + ", res AS (SELECT rl.page_uri, rl.url AS target, rl.pos, final.* FROM rl JOIN final USING (lookup_id))"
 
 
-@query("page_refs", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL)
+@query("page_refs", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END FOR c IN string_split(ref, '')], '') AS target FROM r0", REFS_SQL)
 def page_refs(spark, d):
     return refs.page_refs(pages(spark, d))
 
 
-@query("page_refs_all", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || ref AS target FROM r0", REFS_SQL)
+@query("page_refs_all", "SELECT page_uri, CAST(pos AS INTEGER) AS pos, ref, regexp_extract(page_uri, '^(https?://[^/?#]+)', 1) || array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END FOR c IN string_split(ref, '')], '') AS target FROM r0", REFS_SQL)
 def page_refs_all(spark, d):
     """References of every page."""
     return refs.page_refs(pages(spark, d))

@@ -169,6 +169,8 @@ def test_hrefs_of_odd_urls(spark):
     assert dict(zip(HREFS, values(spark, "string", list(HREFS), href))) == HREFS
     shown = sorted({h for h in HREFS.values() if h})
     assert values(spark, "string", shown, href) == shown
+    places = [p.reason for p in values(spark, "string", shown + [u for u, h in HREFS.items() if h is None and u.startswith("http")], U.url_parts)]
+    assert [r == "unparseable" for r in places] == [False] * len(shown) + [True] * (len(places) - len(shown))
     assert values(spark, "string", [u for u, h in HREFS.items() if h is None] + [None], U.canonical_url) == [u for u, h in HREFS.items() if h is None] + [None]
 
 
@@ -188,6 +190,6 @@ def test_punycode_and_ipv6_as_the_library_has_them(spark):
 
 
 def test_references_with_backslashes_and_odd_bases(spark):
-    rows = [("http://e.com/a/b", "\\x\\y?q\\"), ("http://e.com/a/b", "c\td"), ("HTTP://E.com", "é"), ("http://e.com/", "http://e.com:99999/"), ("http://bad host/", "/x"), ("http://e.com/a", "  ")]
+    rows = [("http://e.com/a/b", "\\x\\y?q\\"), ("http://e.com/a/b", "c\td"), ("HTTP://E.com", "é"), ("http://e.com/", "http://e.com:99999/"), ("http://bad host/", "/x"), ("http://e.com/a", "  "), ("http://1.2.3.4.5/", "/x")]
     df = spark.createDataFrame(rows, "b string, r string").select(U.resolve_reference(F.col("b"), F.col("r")).alias("u"))
-    assert [r.u for r in df.collect()] == ["http://e.com/x/y?q\\", "http://e.com/a/cd", "http://e.com/%C3%A9", None, None, None]
+    assert [r.u for r in df.collect()] == ["http://e.com/x/y?q\\", "http://e.com/a/cd", "http://e.com/%C3%A9", None, None, None, None]
