@@ -11,7 +11,9 @@ any file system that both Spark and Arrow reach (files are listed by Spark and o
    like a start may be part of a body, say of an embedded archive.  So the ranges of an archive are then chained: the
    first starts at 0, and each next one must start where the one before it ended; a range that guessed otherwise is
    walked again from there.  Every record so belongs to the range in which it starts, whatever bodies hold.
-3. *Records*.  Each piece is parsed by a task of its own.
+3. *Records*.  Pieces are parsed in tasks of some ``SPLIT_FLOOR`` bytes at least, so that short pieces do not cost a task each.
+
+Bytes are read in steps that grow (``STEP`` to ``CHUNK``), so that a short range or member reads little beyond its end.
 
 A member of more than ``MEMBER`` bytes is inflated piece by piece.  Inner archives that are deflated are one piece.
 Options: ``splitFloor``, ``splitFrom`` (bytes) and ``names`` (a pattern for other file names).
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from stratarc.operators.stored import stored
 
 SPLIT_FROM, SPLIT_FLOOR = 128 << 20, 64 << 20
-CHUNK = 1 << 20
+STEP, CHUNK = 1 << 16, 1 << 20
 #: Bytes of a member that is held whole.
 MEMBER = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -84,6 +86,7 @@ class Part:
 
     def __init__(self, stream, base: int, size: int):
         self.stream, self.base, self.size, self.at = stream, base, size, 0
+        self.block, self.begin = b"", 0  # what was read last for short reads, and where it begins
 
     def seek(self, at: int) -> int:
         self.at = at
@@ -93,12 +96,38 @@ class Part:
         size = max(0, min(size, self.size - self.at))
         if not size:
             return b""
-        self.stream.seek(self.base + self.at)
-        data = self.stream.read(size)
+        if size < STEP:
+            if not self.begin <= self.at <= self.begin + len(self.block) - size:
+                self.stream.seek(self.base + self.at)
+                self.begin, self.block = self.at, self.stream.read(min(STEP, self.size - self.at))
+            data = self.block[self.at - self.begin : self.at - self.begin + size]
+        else:
+            self.stream.seek(self.base + self.at)
+            data = self.stream.read(size)
         self.at += len(data)
         return data
 
 
+class Ahead:
+    """A stream read from a place on, some bytes ahead; of what was taken last, bytes can be put back."""
+
+    def __init__(self, stream, at: int | None = None):
+        if at is not None:
+            stream.seek(at)
+        self.stream, self.step, self.buffer, self.pos = stream, STEP, b"", 0
+
+    def take(self, size: int) -> memoryview:
+        if self.pos == len(self.buffer):
+            self.buffer, self.pos = self.stream.read(self.step), 0
+            self.step = min(2 * self.step, CHUNK)
+        out = memoryview(self.buffer)[self.pos : self.pos + size]
+        self.pos += len(out)
+        return out
+
+    def back(self, size: int) -> None:
+        self.pos -= size
+
+
 def _headers(block: bytes) -> tuple[str, dict[str, str]]:
     first, *lines = block.decode("utf-8", "replace").split("\r\n")
     bag: dict[str, str] = {}
@@ -175,10 +204,9 @@ def _next_record(stream, at: int) -> int | None:
     return at
 
 
-def _next_member(stream, at: int, like: bytes = b"") -> int | None:
-    """Where the gzip member behind the one at ``at`` starts; None if there is none, or its bytes do not begin with ``like``."""
-    stream.seek(at)
-    member, first = _Member(stream, b""), b""
+def _next_member(ahead: Ahead, at: int, like: bytes = b"") -> int | None:
+    """Where the gzip member behind the one at ``at`` starts, where ``ahead`` is; None if there is none, or its bytes do not begin with ``like``."""
+    member, first = _Member(ahead), b""
     try:
         while out := member.read(CHUNK):
             if len(first) < len(like):
@@ -199,14 +227,14 @@ def _guess(stream, kind: str, start: int, end: int) -> int | None:
     pattern = re.compile(re.escape(MAGIC)) if kind == "gz" else START
     while at < end:
         stream.seek(at)
-        buffer = stream.read(CHUNK)
+        buffer = stream.read(min(CHUNK, end - at + 16))
         if not buffer:
             return None
         for m in pattern.finditer(buffer):
             place = at + (m.start() if kind == "gz" else m.end())
             if place >= end:
                 return None
-            onward = _next_member(stream, place, b"WARC/") if kind == "gz" else _next_record(stream, place)
+            onward = _next_member(Ahead(stream, place), place, b"WARC/") if kind == "gz" else _next_record(stream, place)
             if onward is None:
                 continue
             stream.seek(onward)
@@ -219,9 +247,10 @@ def _guess(stream, kind: str, start: int, end: int) -> int | None:
 
 def _walked(stream, kind: str, at: int, end: int) -> int | None:
     """The first start at or behind ``end``, going from start to start; None if that breaks off."""
+    source = Ahead(stream, at) if kind == "gz" and at is not None else stream
     step = _next_member if kind == "gz" else _next_record
     while at is not None and at < end:
-        at = step(stream, at)
+        at = step(source, at)
     return at
 
 
@@ -237,7 +266,8 @@ def split_records(stream, name: str, start: int = 0, end: int | None = None) ->
             """At least ``size`` bytes behind pos; what was read is dropped once for each read."""
             nonlocal base, buffer, pos
             while len(buffer) - pos < size:
-                more = stream.read(max(CHUNK, size - (len(buffer) - pos)))
+                left = CHUNK if end is None else end - base - len(buffer)
+                more = stream.read(max(min(CHUNK, max(STEP, left)), size - (len(buffer) - pos)))
                 if not more:
                     return False
                 base, buffer, pos = base + pos, buffer[pos:] + more, 0
@@ -267,22 +297,24 @@ def split_records(stream, name: str, start: int = 0, end: int | None = None) ->
 
 
 class _Member:
-    """One gzip member, read as a plain stream; ``used`` counts its compressed bytes."""
+    """One gzip member, read as a plain stream; ``used`` counts its compressed bytes, and what is behind it is put back."""
 
-    def __init__(self, stream, buffer: bytes):
-        self.stream, self.buffer, self.used = stream, buffer, 0
+    def __init__(self, ahead: Ahead):
+        self.ahead, self.used, self.step = ahead, 0, 1 << 12
         self.inflater = zlib.decompressobj(zlib.MAX_WBITS | 16)
 
     def read(self, size: int) -> bytes:
         while not self.inflater.eof:
-            data = self.inflater.unconsumed_tail or self.buffer or self.stream.read(CHUNK)
+            data = self.inflater.unconsumed_tail
             if not data:
-                raise EOFError("the file ends inside a member")
-            self.buffer = b""
+                data, self.step = self.ahead.take(self.step), min(2 * self.step, STEP)
+                self.used += len(data)
             out = self.inflater.decompress(data, size)
-            self.used += len(data) - len(self.inflater.unconsumed_tail) - len(self.inflater.unused_data)
+            if not data and not out:
+                raise EOFError("the file ends inside a member")
             if self.inflater.eof:
-                self.buffer = self.inflater.unused_data
+                self.used -= len(self.inflater.unused_data)
+                self.ahead.back(len(self.inflater.unused_data))
             if out:
                 return out
         return b""
@@ -293,13 +325,14 @@ def split_members(stream, name: str, start: int = 0, end: int | None = None) ->
 
     A member with more than ``MEMBER`` bytes is inflated twice, first for its length, so that it is never held whole.
     """
-    at, last, buffer = start, None, b""
+    at, last = start, None
     try:
-        if start:
-            stream.seek(start)
-        buffer = stream.read(CHUNK)
-        while buffer and (end is None or at < end):
-            member, parts, size = _Member(stream, buffer), [], 0
+        ahead = Ahead(stream, start or None)
+        while end is None or at < end:
+            if not len(begin := ahead.take(1)):
+                break
+            ahead.back(len(begin))
+            member, parts, size = _Member(ahead), [], 0
             while size <= MEMBER and (out := member.read(CHUNK)):
                 parts.append(out)
                 size += len(out)
@@ -309,9 +342,8 @@ def split_members(stream, name: str, start: int = 0, end: int | None = None) ->
                 parts.clear()
                 while member.read(CHUNK):
                     pass
-                stream.seek(at)
-                plain = _Member(stream, b"")
-            used, rest = member.used, member.buffer
+                plain = _Member(Ahead(stream, at))
+            used = member.used
             for row in split_records(plain, name):
                 if row[-1] is not None:
                     raise EOFError(row[-1][2]) if row[-1][1] == "EOFError" else ValueError(row[-1][2])
@@ -320,9 +352,7 @@ def split_members(stream, name: str, start: int = 0, end: int | None = None) ->
                 last = at
             at += used
             if size > MEMBER:
-                stream.seek(at)
-                rest = b""
-            buffer = rest or stream.read(CHUNK)
+                ahead = Ahead(stream, at)
     except Exception as e:
         yield (name, *([None] * 9), ("parse", type(e).__name__, str(e), last))
 
@@ -469,20 +499,43 @@ def _wire(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def read_warc(spark: SparkSession, path: str, splitFloor: int = SPLIT_FLOOR, splitFrom: int = SPLIT_FROM, names: str = ACCEPTED) -> DataFrame:
     found = pieces(archives(listing(spark, path), names), splitFloor, splitFrom)
-    n = found.count()
-    return _over(found.repartitionByRange(max(n, 1), "uri", "base", "first"), _parsed, SCHEMA)
+    return _over(_dealt(found), _parsed, SCHEMA)
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    """Pieces dealt to tasks: one each, or several if they are so short that there would be more tasks than SPLIT_FLOOR bytes and shuffle partitions ask for."""
+    n, size = found.select(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("first")), F.lit(0))).first()
+    most = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_FLOOR))
+    return found.repartitionByRange(max(n, 1), "uri", "base", "first") if n <= most else found.repartition(most, "uri", "base", "first")
 
 
 def stream_warc(spark: SparkSession, path: str, names: str = ACCEPTED, files_at_once: int = 100) -> DataFrame:
     """The records of a folder as files arrive (S1, X6): a stream that gives each file's records once, also across restarts.
 
-    Which files were read is the state of Spark's own file source; a file is one task (many at once are read by ranges:
-    ``read_warc`` of a micro-batch's files).  Files must be moved into the folder whole.
+    Which files were read is the state of Spark's own file source.  A stream cannot chain guessed ranges: each archive is
+    walked by one task, which skips bodies by their lengths, and its pieces are parsed in many.  Files must be moved into
+    the folder whole.
     """
     kind = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(path)
-    whole = archives(_listed(files), names).withColumns({"first": F.lit(0).cast("long"), "end": F.col("size")})
-    return _over(whole, _parsed, SCHEMA)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = _over(archives(_listed(files), names), _cut, f"{ARCHIVE}, first long, end long")
+    return _over(cut.repartition(parts, "uri", "base", "first"), _parsed, SCHEMA)
+
+
+def _cut(row: dict, floor: int = SPLIT_FLOOR, from_: int = SPLIT_FROM) -> Iterator[tuple]:
+    """The pieces of an archive, walked from its begin."""
+    own = tuple(row[f.partition(" ")[0]] for f in ARCHIVE.split(", "))
+    size = row["size"]
+    if row["inner"] is not None or size < from_:
+        yield (*own, 0, size)
+        return
+    with opened(row["uri"]) as f:
+        part, at = Part(f, row["base"], size), 0
+        while at is not None and at < size:
+            onward = _walked(part, row["kind"], at, min(at + floor, size))
+            yield (*own, at, size if onward is None else onward)  # where the walk breaks off, the piece says so
+            at = onward
 
 
 def members(found: DataFrame) -> DataFrame:
@@ -501,7 +554,7 @@ def members(found: DataFrame) -> DataFrame:
                     at, payload = r[3], None
                 if payload is None and r[9]:
                     payload = r[9][5][2]
-            if at is not None and (end := _next_member(part, at)) is not None:
+            if at is not None and (end := _next_member(Ahead(part, at), at)) is not None:
                 yield row["uri"], row["shown"], at, end - at, payload
 
     return _over(found.where("kind = 'gz' AND inner IS NULL"), run, "uri string, shown string, offset long, length long, payload_offset long")

@@ -214,3 +214,48 @@ def test_ranges():
 
 def test_nothing_to_read(spark, tmp_path):
     assert W.read_warc(spark, str(tmp_path)).where(F.col("type").isNotNull()).count() == 0
+
+
+class Counting(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    got = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.got += len(data)
+        return data
+
+
+def test_short_members_and_ranges_are_read_about_once():
+    data = b"".join(gzip.compress(record("response", f"http://e.com/{i}", b"x" * 500, OK, i)) for i in range(8000))
+    raw = Counting(data)
+    assert W._walked(W.Part(raw, 0, len(data)), "gz", 0, len(data)) == len(data)
+    assert raw.got < 2 * len(data)
+    plain = b"".join(record("response", f"http://e.com/{i}", b"x" * 2000, OK, i) for i in range(2000))
+    raw, step = Counting(plain), 100_000
+    at = 0
+    for start in range(0, len(plain), step):
+        part, end = W.Part(raw, 0, len(plain)), min(start + step, len(plain))
+        assert W._guess(part, "plain", start, end) == at
+        onward = W._walked(part, "plain", at, end)
+        assert all(r[-1] is None for r in W.split_records(part, "t", at, end if end < len(plain) else None))
+        at = onward
+    assert raw.got < 6 * len(plain)  # guessed, walked and parsed
+
+
+def test_short_pieces_share_tasks(spark, tmp_path):
+    (tmp_path / "many.warc").write_bytes(b"".join(record("response", f"http://e.com/{i}", b"x" * 500, OK, i) for i in range(300)))
+    wire = W.read_warc(spark, str(tmp_path), splitFrom=1000, splitFloor=1000)
+    assert wire.rdd.getNumPartitions() <= 4 and wire.where("_error IS NULL").count() == 300
+
+
+def test_pieces_of_a_stream(tmp_path):
+    for name, data, kind in (("a.warc", b"".join(RECORDS * 40), "plain"), ("a.warc.gz", b"".join(map(gzip.compress, RECORDS * 40)), "gz"), ("b.warc", b"".join(RECORDS * 40)[:-60], "plain")):
+        (tmp_path / name).write_bytes(data)
+        row = {"uri": str(tmp_path / name), "shown": name, "kind": kind, "inner": None, "base": 0, "size": len(data)}
+        cut = list(W._cut(row, 3000, 3000))
+        assert len(cut) > 1 and [c[-2] for c in cut] == [0, *(c[-1] for c in cut[:-1])] and cut[-1][-1] == len(data)
+        split = W.split_members if kind == "gz" else W.split_records
+        got = [r[3] for c in cut for r in split(io.BytesIO(data), name, c[-2], c[-1] if c[-1] < len(data) else None)]
+        assert got == offsets(data, kind)
