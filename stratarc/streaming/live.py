@@ -62,13 +62,15 @@ def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(StructType([*schema.fields, StructField("__n", LongType())])).parquet(path)
 
 
-def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int = 500) -> DataFrame:
-    """The newest ``keep`` notices, distinct by (target, reason), the first occurrence kept.
+def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int | None = 500) -> DataFrame:
+    """The newest ``keep`` notices, distinct by (target, reason), the first occurrence kept (T7); all of them without ``keep``.
 
     The state is a table of at most ``keep`` rows for each micro-batch, written anew under the batch's number, so that
     a batch that runs again gives the same; a restart goes on from the newest table.  A notice that was trimmed is
-    reported again when it comes again.
+    reported again when it comes again.  Without ``keep`` they are keyed state of Spark's own.
     """
+    if keep is None:
+        return drain(stream.groupBy("target", "reason").agg(F.min(order).alias(order)), "update", ["target", "reason"], path)
     spark = stream.sparkSession
     columns = ["target", "reason", order]
     schema = StructType([*(stream.schema[c] for c in columns), StructField("__batch", LongType())])

@@ -92,3 +92,13 @@ def test_a_revisit_may_come_before_its_donor(spark, tmp_path):
     stream = _files(spark, tmp_path, [[revisit("r1", "d1"), revisit("r2", "d2")], [donor("x", "d1")], [donor("y", "d2"), revisit("r3", "d1"), revisit("r4", "none")]], schema)
     got = live.late_revisits(stream, f"file://{tmp_path}/out").select("custom_id", F.col("donor.custom_id").alias("d")).collect()
     assert sorted(tuple(r) for r in got) == [("r1", "x"), ("r2", "y"), ("r3", "x")]
+
+
+def test_all_notices_are_kept_without_a_limit(spark, tmp_path, sf_dir):
+    batches = [[("a", "x", 3), ("b", "x", 2)], [("a", "x", 1), ("c", "y", 4)]]
+    got = live.live_notices(_files(spark, tmp_path, batches, "target string, reason string, seq long"), f"file://{tmp_path}/out", keep=None)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "x", 1), ("b", "x", 2), ("c", "y", 4)]
+
+    from stratarc.plans.catalogue import QUERIES, SQL
+
+    assert "LIMIT" not in SQL["stream_notices"] and QUERIES["stream_notices"](spark, sf_dir).count() > 60

@@ -239,7 +239,7 @@ def test_short_members_and_ranges_are_read_about_once():
         part, end = W.Part(raw, 0, len(plain)), min(start + step, len(plain))
         assert W._guess(part, "plain", start, end) == at
         onward = W._walked(part, "plain", at, end)
-        assert all(r[-1] is None for r in W.split_records(part, "t", at, end if end < len(plain) else None))
+        assert all(r[-1] is None for r in W.split_records(W.Part(raw, 0, len(plain)), "t", at, end if end < len(plain) else None))
         at = onward
     assert raw.got < 6 * len(plain)  # guessed, walked and parsed
 
