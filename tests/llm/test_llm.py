@@ -605,3 +605,31 @@ def test_passage_query_matches_brute_force(spark, sf_dir, docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in got} == want
     spans = {r.doc_id: r.n_spans for r in got}
     assert {i: len(s) for i, s in brute_spans(rows).items()} == spans
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that only rows far beyond the first of a class have is learned, over several tasks and packs."""
+    import stratarc.llm.toxicity as X
+
+    monkeypatch.setattr(X, "LEAST", 200)
+    monkeypatch.setattr(X, "PACK", 60)
+    n = 1500
+    texts = [(i, f"calm words number {i % 40} of a quiet day" if i % 3 else f"the vilest zorgle{i % 7} of number {i % 40}", "en") for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+    seen = []
+    real = X.start
+    monkeypatch.setattr(X, "start", lambda odds, n1, n0: (seen.append((odds, n1, n0)), real(odds, n1, n0))[1])
+    model = X.fit(docs, labels)
+    import zlib
+
+    mine = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"calibrate{i}".encode()) % 5]
+    assert seen[0][1:] == (sum(i % 3 == 0 for i in mine), sum(i % 3 > 0 for i in mine))
+    own = np.zeros((2, X.BUCKETS), np.float32)
+    X.count_buckets(own, [X._words(texts[i][1]) for i in mine], np.array([int(i % 3 == 0) for i in mine]))
+    assert (own == seen[0][0]).all()  # frequencies of all rows, not of a sample
+    asked = spark.createDataFrame([(1, "the vilest zorgle3 of number 5", "en"), (2, "calm words number 5 of a quiet day", "en")], docs.schema)
+    got = {r.doc_id: r.score for r in X.score_documents(asked, model).collect()}
+    assert got[1] > 0.5 > got[2]
+    assert X.fit(docs, labels) == model
+    assert not hasattr(X, "SAMPLE")
