@@ -626,7 +626,7 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     mine = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"calibrate{i}".encode()) % 5]
     assert seen[0][1:] == (sum(i % 3 == 0 for i in mine), sum(i % 3 > 0 for i in mine))
     own = np.zeros((2, X.BUCKETS), np.float32)
-    X.count_buckets(own, [X._words(texts[i][1]) for i in mine], np.array([int(i % 3 == 0) for i in mine]))
+    X.count_buckets(own, X._Texts([X._words(texts[i][1]) for i in mine]), np.array([int(i % 3 == 0) for i in mine]))
     assert (own == seen[0][0]).all()  # frequencies of all rows, not of a sample
     asked = spark.createDataFrame([(1, "the vilest zorgle3 of number 5", "en"), (2, "calm words number 5 of a quiet day", "en")], docs.schema)
     got = {r.doc_id: r.score for r in X.score_documents(asked, model).collect()}
