@@ -25,7 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of texts linked by five-word Jaccard similarity 0.8 or more the row with the smallest id."""
+    """Keeps of each group of texts linked by five-word Jaccard similarity 0.8 or more the row with the smallest id.
+
+    Candidates come from BK-trees over SimHash fingerprints and from a prefix filter that misses none; whole sets decide.
+    """
     return without_copies(docs)
 
 

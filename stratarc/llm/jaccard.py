@@ -7,9 +7,12 @@ values (prefix filter), so that no link is missed.  The order puts values that a
 decides only how many pairs must be looked at, not which link.
 
 Pairs are made in two rounds, both verified on whole sets, after a sketch (parities of values per bit, about a bit for
-each value, which differ in no more bits than the sets in values) has ruled out most of the others.  First each text meets one text per shared value and size
-class; the components of these links hold large groups of copies together.  Then texts of different components that
-share a value meet.  Pairs inside one component are never made, so a group of g copies costs g pairs, not g * g.
+each value, which differ in no more bits than the sets in values) has ruled out most of the others.  First each text meets
+the text that BK-trees over SimHash fingerprints of the same shingles join it to (op2's, ``RADIUS`` bits), and one text per
+shared value and size class; the components of these links hold large groups of copies together.  Then texts of different
+components meet under the values that can be the first common one of a link: the value at ``pos`` of n serves partners of
+(5 n - 9 pos) / 4 values at most.  Pairs inside one component are never made, so a group of g copies costs g pairs, not
+g * g; nor are those of texts so far apart that no link has the value first.
 
 Defined cases: null, empty and wordless texts are no copies of anything; letters A-Z and white space count as in simhash.
 """
@@ -22,23 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratarc.llm.common import free_name, grow, lean, saved, saved_by, shrink
-from stratarc.llm.simhash import SEED, components
+from stratarc.llm.simhash import SEED, components, linked, majority
 
 WORDS = 5
 #: One text in so many gives the order; at most so many values are put last.
 SAMPLED, LAST = 16, 100_000
 #: Bits of the smallest sketch.
 SKETCH = 512
+#: Differing bits of fingerprints at which texts are compared.
+RADIUS = 4
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct values of 40 bits, ascending."""
+def _digests(text: str | None) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
     n = max(1, len(parts) - WORDS + 1) if parts else 0
-    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + WORDS]), SEED) for i in range(n)), np.uint64, n) >> np.uint64(24)).view(np.int64)
+    return np.fromiter((digest(b" ".join(parts[i : i + WORDS]), SEED) for i in range(n)), np.uint64, n)
+
+
+def _distinct(digests: np.ndarray) -> np.ndarray:
+    return np.unique(digests >> np.uint64(24)).view(np.int64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct values of 40 bits, ascending."""
+    return _distinct(_digests(text))
 
 
 def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -80,22 +94,23 @@ def _differ(p: bytes, q: bytes) -> int:
 
 
 def _marks(texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row of (node, id, text): node, id, the set's size n, digest and sketch, and its prefix's values; in buckets by node."""
+    """Per row of (node, id, text): node, id, the set's size n, digest, fingerprint and sketch, and its prefix's values; in buckets by node."""
     import hashlib
 
     sent = texts.sparkSession.sparkContext.broadcast(order)  # at most 2 * LAST numbers
-    schema = f"node long, id {texts.schema['id'].dataType.simpleString()}, n int, digest binary, sketch binary, prefix binary"
+    schema = f"node long, id {texts.schema['id'].dataType.simpleString()}, n int, fp long, digest binary, sketch binary, prefix binary"
 
-    def mark(values: np.ndarray):
+    def mark(digests: np.ndarray):
+        values = _distinct(digests)
         n = len(values)
-        return n, hashlib.blake2b(values.tobytes(), digest_size=16).digest(), _sketch(values), _packed(np.sort(_prefix(values, sent.value, n)))
+        return n, majority(digests), hashlib.blake2b(values.tobytes(), digest_size=16).digest(), _sketch(values), _packed(np.sort(_prefix(values, sent.value, n)))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                n, *rest = zip(*(mark(shingles(t)) for t in part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), *(pa.array(r, pa.binary()) for r in rest)], names=["node", "id", "n", "digest", "sketch", "prefix"])
+                n, fp, *rest = zip(*(mark(_digests(t)) for t in part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], names=["node", "id", "n", "fp", "digest", "sketch", "prefix"])
 
     return saved_by(texts.mapInArrow(lean(run), schema), "node", "marks")
 
@@ -166,15 +181,32 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "p", "q").mapInArrow(lean(enough), "a long, b long")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes to be compared, since BK-trees join their fingerprints: one pair for each node and each star."""
+    first = saved(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("k")), "fingerprints")
+    equal = nodes.join(first.where("k > 1"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    named = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    stars = linked(first.select("fp"), RADIUS).distinct().withColumnsRenamed({"a": "fa", "b": "fb"})
+    return equal.unionByName(stars.join(named("fa", "a"), "fa").join(named("fb", "b"), "fb").select("a", "b"))
+
+
+def _meeting(named: DataFrame) -> DataFrame:
+    """(token, ga, gb): groups that can have a link whose first common value is the token, of rows (token, group, n, far)."""
+    groups = named.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("far").alias("far"))
+    met = groups.alias("x").join(groups.alias("y"), "token").where("x.group < y.group AND x.least <= y.far AND y.least <= x.far")
+    return met.select("token", F.col("x.group").alias("ga"), F.col("y.group").alias("gb"))
+
+
 def copies(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], texts: DataFrame) -> DataFrame:
     """(a, b): every ``node`` of a component of links but the smallest, with that one; ``node`` is unique; order is that of _order(), texts has the text of each node."""
-    slim = saved(nodes.select("node", "n", "sketch"), "sketches")
+    slim = saved(nodes.select("node", "n", "fp", "sketch"), "sketches")
     tokens = _prefixes(nodes, order)
     twice = tokens.groupBy("token").count().where("count > 1").select("token")
     tokens = saved(tokens.join(twice, "token", "left_semi").withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")).select("node", "n", "pos", "token", "size"), "shared")
 
     heads = tokens.groupBy("token", "size").agg(F.min(F.struct("node", "n", "pos")).alias("y"), F.count("*").alias("k")).where("k > 1").select("token", "size", "y.*")
-    first = tokens.alias("x").join(heads.alias("y"), ["token", "size"]).where("x.node <> y.node").where(POSSIBLE).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = tokens.alias("x").join(heads.alias("y"), ["token", "size"]).where("x.node <> y.node").where(POSSIBLE).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    first = met.unionByName(_alike(slim.select("node", "fp"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     near = saved(_verified(first, slim, texts), "links")
     group = components(near)
 
@@ -182,10 +214,9 @@ def copies(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], texts: DataFr
     named = saved(named, "named")
     open_ = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
     named = saved(named.join(open_, "token", "left_semi"), "open")
-    groups = named.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = groups.alias("x").join(groups.alias("y"), "token").where("x.group < y.group AND 5 * x.most >= 4 * y.least AND 5 * y.most >= 4 * x.least").select("token", F.col("x.group").alias("ga"), F.col("y.group").alias("gb"))
-    x = met.join(named.select("token", F.col("group").alias("ga"), F.struct("node", "n", "pos").alias("x")), ["token", "ga"])
-    second = x.join(named.select("token", F.col("group").alias("gb"), F.struct("node", "n", "pos").alias("y")), ["token", "gb"]).where(POSSIBLE)
+    named = named.withColumn("far", F.floor((5 * F.col("n") - 9 * F.col("pos")) / 4))
+    x = _meeting(named).join(named.select("token", F.col("group").alias("ga"), F.struct("node", "n", "far").alias("x")), ["token", "ga"])
+    second = x.join(named.select("token", F.col("group").alias("gb"), F.struct("node", "n", "far").alias("y")), ["token", "gb"]).where("x.n <= y.far AND y.n <= x.far")
     far = _verified(second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), slim, texts)
     return components(group.unionByName(far))
 

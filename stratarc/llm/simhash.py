@@ -64,6 +64,17 @@ class BKTree:
         return found
 
 
+def majority(hashes) -> int:
+    """The bits that over half of the hashes have, as a signed number; none without any."""
+    import numpy as np
+
+    n = len(hashes)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """Signed 64 bits."""
     import numpy as np
@@ -74,11 +85,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     n = max(1, len(parts) - words + 1)
-    hashes = np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    return majority(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:

@@ -113,3 +113,39 @@ def test_rows_without_links_stay(spark):
     kept, _ = brute_kept(rows)
     assert got == sorted((rows[i] for i in kept), key=str)
     assert got == sorted([(7, a), (None, b), (5, c), (5, "another text under the same id"), (1, None), (2, ""), (3, ""), (None, " \t")], key=str)
+
+
+def test_far_copies_are_not_paired(spark, monkeypatch):
+    """300 copies with edits that are too many to link with one another: no pair of groups for each pair of copies."""
+    from stratarc.llm import jaccard
+
+    r = random.Random(5)
+    base = [f"h{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        text = list(base)
+        for j, at in enumerate(r.sample(range(150), 5)):
+            text[at] = f"e{i}x{j}"
+        texts.append(" ".join(text))
+    kept, links = brute_kept(list(enumerate(texts)))
+    made = []
+    real = jaccard._meeting
+    monkeypatch.setattr(jaccard, "_meeting", lambda named: made.append(real(named).count()) or real(named))
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    left = jaccard.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == kept
+    assert len(made) == 1 and made[0] < 10 * len(texts)
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Texts joined by BK-trees are compared, whole sets decide: a near copy links, unlike texts with close fingerprints do not."""
+    from stratarc.llm import jaccard
+
+    asked = []
+    real = jaccard._alike
+    monkeypatch.setattr(jaccard, "_alike", lambda nodes: asked.append(real(nodes).collect()) or real(nodes))
+    base = [f"b{i}" for i in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"c{i}" for i in range(50))]
+    left = jaccard.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r.doc_id for r in left.orderBy("doc_id").collect()] == [0, 2]
+    assert [len(x) for x in asked] == [1]
