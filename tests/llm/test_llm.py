@@ -633,3 +633,14 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert got[1] > 0.5 > got[2]
     assert X.fit(docs, labels) == model
     assert not hasattr(X, "SAMPLE")
+
+
+def test_toxicity_packs_of_a_part_share_a_file(spark):
+    """Epochs read packs where they are: a part is not spread over files, so that no exchange has to gather it."""
+    import stratarc.llm.toxicity as X
+
+    rows = spark.createDataFrame([(i, f"text {i} of many", "en", i % 2) for i in range(4000)], "__id long, __text string, __lang string, __toxic int").repartition(7)
+    packs = X._packs(rows, 4000, 3)
+    spread = packs.select("part", F.input_file_name().alias("file")).distinct().groupBy("part").count().collect()
+    assert sorted((r.part, r["count"]) for r in spread) == [(0, 1), (1, 1), (2, 1)]
+    assert packs.count() == 8
