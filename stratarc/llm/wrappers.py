@@ -31,7 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,7 +87,7 @@ class Node:
 def parse(html: str | None) -> Node:
     root = Node("#page", {})
     open_ = [root]
-    count: Counter[str] = Counter()  # of open tags
+    count: defaultdict[str, int] = defaultdict(int)  # of open tags
     at, html = 0, html or ""
 
     def text(piece: str) -> None:
@@ -95,7 +95,8 @@ def parse(html: str | None) -> Node:
             open_[-1].parts.append(entities.unescape(piece))
 
     def close(n: int) -> None:
-        count.subtract(x.tag for x in open_[n:])
+        for x in open_[n:]:
+            count[x.tag] -= 1
         del open_[n:]
 
     for m in TOKEN.finditer(html):
@@ -248,12 +249,14 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]], list[int]]:
             continue
         wide = len(left) * len(right) > WIDE
         chosen = greedy(left, right) if wide else [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0].label == y[0].label]
-        needed = [
-            pair
-            for i, j in chosen
-            for pair in (zip(left[i], right[j]) if _in_step(left[i], right[j], blocks) else ((x, y) for x in left[i] for y in right[j]))
-            if (id(pair[0]), id(pair[1])) not in done
-        ]
+        needed = []
+        for i, j in chosen:
+            for x, y in zip(left[i], right[j]) if _in_step(left[i], right[j], blocks) else ((x, y) for x in left[i] for y in right[j]):
+                if (id(x), id(y)) not in done:
+                    if blocks(x) and blocks(y):
+                        needed.append((x, y))
+                    else:
+                        done[id(x), id(y)] = 1, []
         if needed:
             stack += needed
             continue

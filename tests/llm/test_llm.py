@@ -644,3 +644,16 @@ def test_toxicity_packs_of_a_part_share_a_file(spark):
     spread = packs.select("part", F.input_file_name().alias("file")).distinct().groupBy("part").count().collect()
     assert sorted((r.part, r["count"]) for r in spread) == [(0, 1), (1, 1), (2, 1)]
     assert packs.count() == 8
+
+
+def test_wrapper_leaves_are_matched_without_a_visit(monkeypatch):
+    """Pairs of nodes of which one has no blocks match at once; only inner ones are taken apart."""
+    from stratarc.llm import wrappers as W
+
+    a, b = (W.parse("<body><div>" + "".join(f"<p>text {i} {x}</p>" for i in range(200)) + "</div></body>") for x in "ab")
+    taken = []
+    real = W._runs
+    monkeypatch.setattr(W, "_runs", lambda nodes: taken.append(len(nodes)) or real(nodes))
+    n, pairs, above = W.align(a, b)
+    assert n == len(pairs) == len(above) == 203
+    assert len(taken) < 20
