@@ -137,3 +137,28 @@ def test_hot_key_is_many_leaves(spark, monkeypatch):
         else:
             best = min(own, key=lambda x: (abs(x[4] - at), x[1:4]), default=None)
         assert got[name] == (best and best[3]), (name, key, at)
+
+
+def test_donors_are_written_once_and_details_only_for_loops(spark, sf_dir, monkeypatch):
+    """One numbering serves lookups by digest and by URI; no table of details is written for a single lookup."""
+    from stratarc.operators import asof, resolve
+    from stratarc.plans.fixture import captures
+
+    made = []
+    for name in ("stored", "stored_by"):
+        real = getattr(asof, name)
+        monkeypatch.setattr(asof, name, lambda df, *a, real=real: made.append(a[-1]) or real(df, *a))
+    resolve.resolve_revisits(captures(spark, sf_dir))
+    assert made.count("numbered") == 1 and made.count("leaves") == 2 and "details" not in made
+
+
+def test_places_by_halves(spark):
+    """As many moments as are at most the limit, for arrays of every length a node can have."""
+    from pyspark.sql import functions as F
+
+    from stratarc.operators.asof import NODE, _up_to
+
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 1000, NODE - 1, NODE, NODE + 1, NODE + 2)], "n int")
+    rows = sizes.withColumn("v", F.expr("transform(sequence(0, n), x -> 3L * x)")).withColumn("v", F.slice("v", 1, F.col("n")))
+    rows = rows.withColumn("x", F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1, 3, 3070, 3071, 3072, 3075, 1 << 62)))))
+    assert rows.where(_up_to("v", F.col("x")) != F.size(F.filter("v", lambda m: m <= F.col("x")))).count() == 0
