@@ -105,9 +105,19 @@ def _anchors(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
     """
     n, gram = int(bounds[-1]), min(GRAM, width)
     wide = width - gram + 1
-    least = np.empty(n, np.uint64)
+    long_ = np.diff(bounds) >= width
+    edge = np.zeros(n + 1, np.int8)
+    edge[bounds[:-1][long_]] += 1
+    edge[bounds[1:][long_] - width + 1] -= 1
+    begins = np.cumsum(edge[:-1], dtype=np.int8).view(bool)  # where a string begins
+    # a stripe leaves only its runs: eight bytes for each place of a pack would be most of a worker's memory
+    hashes, places, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    seen, last, before = 0, None, -1
     for a in range(0, n, STRIPE):
         z = min(n, a + STRIPE)
+        at = np.flatnonzero(begins[a:z])
+        if not len(at):
+            continue
         grams = z - a + wide - 1
         size = grams + gram - 8
         word = np.empty(-(-size // 8) * 8, np.uint64)
@@ -124,17 +134,15 @@ def _anchors(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
             span *= 2
         if wide > span:
             h = np.minimum(h[: -(wide - span)], h[wide - span :])
-        least[a:z] = h
-    sizes = np.diff(bounds)
-    long_ = sizes >= width
-    edge = np.zeros(n + 1, np.int8)
-    edge[bounds[:-1][long_]] += 1
-    edge[bounds[1:][long_] - width + 1] -= 1
-    at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
-    h = least[at]
-    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else at
-    counts = np.diff(np.append(first, len(at)))
-    h, first = h[first] * _ODD[4], at[first]
+        h, at = h[at], at + a
+        new = np.concatenate(([at[0] != before + 1 or h[0] != last], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)))
+        begin = np.flatnonzero(new)
+        hashes.append(h[begin])
+        places.append(at[begin])
+        numbers.append(begin + seen)
+        seen, last, before = seen + len(at), h[-1], at[-1]
+    h, first = np.concatenate(hashes) * _ODD[4], np.concatenate(places)
+    counts = np.diff(np.append(np.concatenate(numbers), seen))
     if len(counts) and counts.max() > RUN:
         pieces = -(-counts // RUN)
         step = _ranges(np.zeros(len(pieces), np.int64), pieces)
@@ -404,7 +412,7 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     at = _repeated_places(p, told)
                     edge[at] += 1
                     edge[at + width] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
                 begins, ends = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
                 begins[p.bounds], ends[p.bounds] = True, True
                 start = np.flatnonzero(gone & (begins[:-1] | ~np.concatenate(([False], gone[:-1]))))
@@ -413,7 +421,7 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 offsets = np.searchsorted(doc, np.arange(len(p.ids) + 1))
                 pair = pa.StructArray.from_arrays([pa.array(start - p.bounds[doc], pa.int64()), pa.array(end - start, pa.int64())], ["start", "length"])
                 kept_ = p.raw[:size][~gone]
-                left = np.concatenate(([0], np.cumsum(~gone)))[p.bounds]
+                left = np.concatenate(([0], np.cumsum(~gone, dtype=np.int32)))[p.bounds]
                 texts = pa.Array.from_buffers(pa.large_binary(), len(p.ids), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(kept_)])
                 if as_text:
                     texts = pa.array([t.decode("utf-8", "ignore") for t in texts.to_pylist()], pa.string())
