@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -122,6 +123,7 @@ class NearestDonors(StatefulProcessor):
         donor_days, revisit_days = (list(days[0]), list(days[1])) if days else ([], [])
         seen: dict[tuple[str, int], list] = {}
         changed: set[tuple[str, int]] = set()
+        ids: dict[int, set[str]] = {}
 
         def bucket(name: str, day: int) -> list:
             if (name, day) not in seen:
@@ -167,22 +169,38 @@ class NearestDonors(StatefulProcessor):
             else:
                 day = NO_DATE if r.at is None else r.at // DAY
                 own = add("revisits", revisit_days, day)
-                if all(x[1] != r.custom_id for x in own):
+                if day not in ids:
+                    ids[day] = {x[1] for x in own}
+                if r.custom_id not in ids[day]:
+                    ids[day].add(r.custom_id)
                     own.append([r.at, r.custom_id, None])
                 open_[day, r.custom_id] = True
-        touched: dict[int, list[tuple]] = {}
-        for at in moments:
+        spans: list[list] = []  # between the neighbours of new donors, as few as they can be
+        for at in sorted(set(moments)):
             low, high = before(at - 1), after(at)
-            low, high = low[0] if low else None, high[0] if high else None
-            first = 0 if low is None else bisect_left(revisit_days, low // DAY)
-            last = len(revisit_days) if high is None else bisect_right(revisit_days, high // DAY)
-            for day in revisit_days[first:last]:
-                touched.setdefault(day, []).append((low, high))
+            low, high = low[0] if low else -math.inf, high[0] if high else math.inf
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], high)
+            else:
+                spans.append([low, high])
+        days_open = {d for d, _ in open_}
+        for low, high in spans:
+            first = 0 if low == -math.inf else bisect_left(revisit_days, low // DAY)
+            last = len(revisit_days) if high == math.inf else bisect_right(revisit_days, high // DAY)
+            days_open.update(revisit_days[first:last])
         if moments and NO_DATE in revisit_days:
-            touched.setdefault(NO_DATE, []).append((None, None))
-        for day in sorted({*touched, *(d for d, _ in open_)}):
+            days_open.add(NO_DATE)
+
+        def near_new(at: int | None) -> bool:
+            """Whether a new donor can be the nearest of a moment."""
+            if at is None:
+                return bool(moments)
+            k = bisect_right(spans, at, key=lambda s: s[0])
+            return k > 0 and at <= spans[k - 1][1]
+
+        for day in sorted(days_open):
             for r in bucket("revisits", day):
-                if (day, r[1]) not in open_ and not any((low is None or r[0] is None or low <= r[0]) and (high is None or r[0] is None or r[0] <= high) for low, high in touched.get(day, ())):
+                if (day, r[1]) not in open_ and not near_new(r[0]):
                     continue
                 if r[0] is None:
                     best = bucket("donors", donor_days[-1])[-1] if donor_days else None

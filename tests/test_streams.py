@@ -102,3 +102,60 @@ def test_all_notices_are_kept_without_a_limit(spark, tmp_path, sf_dir):
     from stratarc.plans.catalogue import QUERIES, SQL
 
     assert "LIMIT" not in SQL["stream_notices"] and QUERIES["stream_notices"](spark, sf_dir).count() > 60
+
+
+class _State:
+    def __init__(self):
+        self.held = {}
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+
+class _Handle:
+    def getValueState(self, *_):
+        return _State()
+
+    getMapState = getValueState
+
+
+def test_a_days_rows_are_not_compared_with_one_another():
+    import sys
+
+    from pyspark.sql import Row
+
+    n, day = 1500, live.DAY
+    donor = lambda k: Row(custom_id=f"c{k}", at=3 * day + 20 * k, donor=Row(file_name="f", byte_offset=k, custom_id=f"c{k}", status=200, location=None, payload_size=5, content_type=""))
+    revisit = lambda k: Row(custom_id=f"r{k}", at=3 * day + 20 * k + 7, donor=None)
+    work = live.NearestDonors()
+    work.init(_Handle())
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        first = list(work.handleInputRows(("digest", "d"), [donor(k) for k in range(0, n, 2)] + [revisit(k) for k in range(n)], None))
+        then = list(work.handleInputRows(("digest", "d"), [donor(k) for k in range(1, n, 2)] + [revisit(0)], None))
+    finally:
+        sys.setprofile(None)
+    assert {r.custom_id: r.donor_id for r in first} == {f"r{k}": f"c{k if k % 2 == 0 else min(k + 1, n - 2)}" for k in range(n)}
+    assert {r.custom_id: r.donor_id for r in then} == {f"r{k}": f"c{k}" for k in range(1, n, 2)}
+    assert calls < 200 * n  # a few for each row; before, one for each pair of a day
