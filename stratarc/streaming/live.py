@@ -7,7 +7,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -31,8 +31,14 @@ def live_newest(stream: DataFrame, key: str = "uri") -> DataFrame:
     return stream.where(F.col(key) != "").groupBy(key).agg(F.max("archived_ts").alias("last_archived_ts"))
 
 
+def _of_group(key: Column, n: str = "__n") -> Column:
+    """A group's key, for a condition on groups: with their count in it, it is not asked of (and a URL not parsed for) every row before."""
+    return F.when(F.col(n) > 0, key)
+
+
 def live_newest_host(stream: DataFrame) -> DataFrame:
-    return live_newest(stream.withColumn("host", U.normal_host(U.url_parts(F.col("uri")).hostname)), "host")
+    hosts = stream.groupBy(U.normal_host(U.url_parts(F.col("uri")).hostname).alias("host")).agg(F.max("archived_ts").alias("last_archived_ts"), F.count("*").alias("__n"))
+    return hosts.where(_of_group(F.col("host")) != "").drop("__n")
 
 
 def live_progress(reports: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def live_timeline(stream: DataFrame, watermark: str | None = None) -> DataFrame:
 
 def live_nodes(stream: DataFrame) -> DataFrame:
     """Own records per tree node; in update mode each micro-batch gives only the nodes it changed."""
-    return stream.withColumn("node", U.node_url(F.col("uri"))).where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("records"))
+    return stream.groupBy(U.node_url(F.col("uri")).alias("node")).agg(F.count("*").alias("records")).where(_of_group(F.col("node"), "records").isNotNull())
 
 
 def _run(df: DataFrame, step, path: str, mode: str = "append") -> None:
