@@ -92,7 +92,7 @@ def capture_pattern(captures: DataFrame, zone: str | None = None) -> DataFrame:
 def content_types(captures: DataFrame) -> DataFrame:
     """Per essence the number of distinct tree nodes; empty types excluded."""
     uris = captures.groupBy("uri", H.content_essence(F.col("content_type_raw")).alias("content_type")).agg(F.count("*").alias("n")).where("content_type <> ''")
-    nodes = uris.select("content_type", U.node_url(F.col("uri")).alias("node"), "n").where("node IS NOT NULL")
+    nodes = uris.select("content_type", F.when(F.col("n") > 0, U.node_url(F.col("uri"))).alias("node"), "n").where("node IS NOT NULL")  # of groups, see tree.nodes()
     return nodes.groupBy("content_type", "node").agg(F.sum("n").alias("n")).groupBy("content_type").agg(F.count("*").alias("nodes"), F.sum("n").alias("captures"))
 
 

@@ -14,9 +14,10 @@ from stratarc.operators.stored import stored
 def nodes(captures: DataFrame, normal: bool = False) -> DataFrame:
     """One row per node: url, parent, segment, depth, own records, children.
 
-    Rows are counted per URL first, so that paths are exploded per distinct URL and a hot URL is one row.
+    Rows are counted per URL first, so that paths are exploded per distinct URL and a hot URL is one row; with the count
+    in them, conditions on paths are asked of URLs too, not of all their rows before.
     """
-    uris = captures.groupBy("uri").agg(F.count("*").alias("n")).select(U.node_path(F.col("uri"), normal).alias("path"), "n").where("path IS NOT NULL")
+    uris = captures.groupBy("uri").agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, U.node_path(F.col("uri"), normal)).alias("path"), "n").where("path IS NOT NULL")
     steps = uris.select("n", F.size("path").alias("size"), F.posexplode("path").alias("depth", "node"))
     found = steps.groupBy("node").agg(F.min("depth").cast("int").alias("depth"), F.sum(F.when(F.col("depth") == F.col("size") - 1, F.col("n")).otherwise(0)).alias("records"))
     found = found.withColumn("parent", U.parent_url(F.col("node"))).withColumn("segment", segment(F.col("node"), F.col("parent")))
@@ -41,8 +42,8 @@ def find_segments(tree: DataFrame, query: str) -> DataFrame:
 
 
 def find_type(captures: DataFrame, content_type: str, normal: bool = False) -> DataFrame:
-    rows = captures.where(H.content_essence(F.col("content_type_raw")) == content_type).select("uri").distinct()
-    return rows.select(U.node_url(F.col("uri"), normal).alias("node")).where("node IS NOT NULL").distinct()
+    rows = captures.where(H.content_essence(F.col("content_type_raw")) == content_type).groupBy("uri").agg(F.count("*").alias("n"))
+    return rows.select(F.when(F.col("n") > 0, U.node_url(F.col("uri"), normal)).alias("node")).where("node IS NOT NULL").distinct()
 
 
 def intersect(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
