@@ -12,7 +12,7 @@ out so that equal strings meet, and no task sees more than a bounded share of th
    least id) to the anchor's bucket.  Anchors with very many runs own too much for one bucket: their strings go one by
    one to the bucket of their own hash, so that a line on every page is dealt over all tasks.
 4. *Merge.*  In a bucket, equal runs of several packs collapse to one; the rest of each pack is a shard with its own
-   transform.  The shards' transforms are merged by interleave refinement (:mod:`stratarc.llm.bwt`), some MB of anchors
+   transform.  The shards' transforms are merged by interleave refinement (:mod:`stratarc.llm.bwt`), a quarter MB of strings
    at a time, and every repeated interval gets its least id.
 5. *Cut.*  Packs get the answers, mark strings whose least id is smaller than the document's own, and cut.
 
@@ -33,14 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratarc.llm.bwt import least_in_intervals
-from stratarc.llm.common import grow, lean, lean_group, saved, saved_by, shrink
+from stratarc.llm.common import arrow_rows, grow, lean, lean_group, saved, saved_by, shrink
 
 GRAM = 24
 PACK_BYTES = 3 << 20
+#: Rows that are sent to be packed at once; a pack takes what it needs from several such batches.
+PACK_ROWS = 500
 #: Strings of one anchor in one document are sent in runs of at most this many.
 RUN = 64
-#: Bytes of strings that are merged at once inside a bucket.
-BLOCK_BYTES = 1 << 20
+#: Bytes of strings that are merged at once inside a bucket (a merge takes some 80 times as much).
+BLOCK_BYTES = 1 << 18
+#: Bytes of a bucket's strings that are laid side by side at once.
+MERGE_BYTES = 4 << 20
 #: An anchor with more runs than this sends its strings one by one.
 HOT_RUNS = 20_000
 #: Places that are hashed at once (their arrays stay in the processor's cache).
@@ -66,17 +70,31 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        n, base = 0, TaskContext.get().partitionId() << 33
+        n, base, left = 0, TaskContext.get().partitionId() << 33, None
+
+        def pack(b):
+            nonlocal n
+            n += 1
+            return pa.RecordBatch.from_arrays([pa.array([base + n - 1], pa.int64()), pa.array([_ipc(b)], pa.binary())], names=["pack", "payload"])
+
         for b in batches:
+            if left is not None:
+                b = pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0] if b.num_rows else left
             sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < b.num_rows:
                 done = int(sizes[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, done + PACK_BYTES, "right")))
-                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_ipc(b.slice(at, to - at))], pa.binary())], names=["pack", "payload"])
-                at, n = to, n + 1
+                if to >= b.num_rows:
+                    break  # the next batch may have more for this pack
+                yield pack(b.slice(at, to - at))
+                at = to
+            left = b.slice(at) if at < b.num_rows else None
+        if left is not None:
+            yield pack(left)
 
-    return saved_by(docs.mapInArrow(lean(run), "pack long, payload binary"), "pack", "packs")
+    with arrow_rows(docs.sparkSession, PACK_ROWS):
+        return saved_by(docs.mapInArrow(lean(run), "pack long, payload binary"), "pack", "packs", "uncompressed")
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -323,35 +341,23 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, open_pack, width: int) -> D
     def merge(table: pa.Table) -> pa.Table:
         packs_ = table.column("pack").to_pylist()
         parts = [grow(d.as_buffer(), np.uint8, np.uint16, np.int64, np.uint32) for d in table.column("data")]
-        sizes = np.array([len(x[1]) for x in parts])
-        raw = np.concatenate([*(x[0] for x in parts), np.zeros(16, np.uint8)])
-        length, least, key = (np.concatenate([x[i] for x in parts]).astype(t) for i, t in ((1, np.int64), (2, np.int64), (3, np.uint32)))
-        del parts
-        pack = np.repeat(np.arange(len(packs_)), sizes)
-        first = np.cumsum(length) - length
-        of, one = _collapse(raw, first, length, key, width)
-        low = np.full(len(one), NO_ID, np.int64)
-        np.minimum.at(low, of, least)
-        first, length, shard, key = first[one], length[one], pack[one], key[one]
-        # blocks of some MB; strings with one anchor stay together
-        begin = _groups(key)
-        block = np.cumsum(length)[begin] // BLOCK_BYTES
-        edges = np.append(begin[_groups(block)], len(one))
-        runs, sizes_, ids = np.empty(len(one), np.uint8), [], []
-        for a, z in zip(edges, edges[1:]):
-            r, s, i = _answer(raw, first[a:z], length[a:z], shard[a:z], low[a:z], width)
-            runs[a:z] = r
-            sizes_.append(s)
-            ids.append(i)
-        sizes_, ids = np.concatenate(sizes_), np.concatenate(ids)
-        ends = np.cumsum(runs, dtype=np.int64)
-        bucket, at = table.column("bucket")[0].as_py(), 0
+        # keys ascend in each pack: some MB of strings are merged at once, by ranges of keys
+        ranges = -(-sum(len(x[0]) for x in parts) // MERGE_BYTES) or 1
+        limits = np.linspace(0, 1 << 32, ranges + 1).astype(np.int64)[1:-1]
+        cuts = [np.concatenate(([0], np.searchsorted(x[3], limits), [len(x[3])])) for x in parts]
+        ends = [np.concatenate(([0], np.cumsum(x[1], dtype=np.int64))) for x in parts]
+        found: list[list] = [[] for _ in parts]
+        for k in range(ranges):
+            slices = [(c[k], c[k + 1]) for c in cuts]
+            raw = np.concatenate([*(x[0][e[a] : e[z]] for x, e, (a, z) in zip(parts, ends, slices)), np.zeros(16, np.uint8)])
+            length, least, key = (np.concatenate([x[i][a:z] for x, (a, z) in zip(parts, slices)]).astype(t) for i, t in ((1, np.int64), (2, np.int64), (3, np.uint32)))
+            if len(key):
+                for f, r in zip(found, _merged(raw, length, least, key, [z - a for a, z in slices], width)):
+                    f.append(r)
+        bucket = table.column("bucket")[0].as_py()
         out: list[list] = [[], [], []]
-        for number, n in zip(packs_, sizes.tolist()):
-            mine = of[at : at + n]
-            at += n
-            where = _ranges(ends[mine] - runs[mine], runs[mine].astype(np.int64))
-            for c, v in zip(out, (number, bucket, shrink(runs[mine], sizes_[where], ids[where]))):
+        for number, f in zip(packs_, found):
+            for c, v in zip(out, (number, bucket, shrink(*(np.concatenate(x) for x in zip(*f))))):
                 c.append(v)
         return pa.Table.from_batches([_rows(out, told)])
 
@@ -360,6 +366,33 @@ def _least_ids(packs: DataFrame, anchors: DataFrame, open_pack, width: int) -> D
     return answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
 
 
+def _merged(raw: np.ndarray, length: np.ndarray, least: np.ndarray, key: np.ndarray, sizes: list[int], width: int):
+    """For each pack (``sizes``: its strings) the number of runs of each string, the runs' lengths and least ids."""
+    pack = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(length) - length
+    of, one = _collapse(raw, first, length, key, width)
+    low = np.full(len(one), NO_ID, np.int64)
+    np.minimum.at(low, of, least)
+    first, length, shard, key = first[one], length[one], pack[one], key[one]
+    # blocks of some MB; strings with one anchor stay together
+    begin = _groups(key)
+    block = np.cumsum(length)[begin] // BLOCK_BYTES
+    edges = np.append(begin[_groups(block)], len(one))
+    runs, sizes_, ids = np.empty(len(one), np.uint8), [], []
+    for a, z in zip(edges, edges[1:]):
+        r, s, i = _answer(raw, first[a:z], length[a:z], shard[a:z], low[a:z], width)
+        runs[a:z] = r
+        sizes_.append(s)
+        ids.append(i)
+    sizes_, ids = np.concatenate(sizes_), np.concatenate(ids)
+    ends, at = np.cumsum(runs, dtype=np.int64), 0
+    for n in sizes:
+        mine = of[at : at + n]
+        at += n
+        where = _ranges(ends[mine] - runs[mine], runs[mine].astype(np.int64))
+        yield runs[mine], sizes_[where], ids[where]
+
+
 def _answer(raw, first, length, shard, low, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the strings of one block, in their order: the number of runs of places with one least id, their lengths, their ids."""
     by = np.argsort(shard, kind="stable")
@@ -409,9 +442,9 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 edge = np.zeros(size + 1, np.int32)
                 if told:
                     p.strings(bits)
-                    at = _repeated_places(p, told)
-                    edge[at] += 1
-                    edge[at + width] -= 1
+                    for at in _repeated_places(p, told):
+                        edge[at] += 1
+                        edge[at + width] -= 1
                 gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
                 begins, ends = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
                 begins[p.bounds], ends[p.bounds] = True, True
@@ -431,19 +464,18 @@ def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     return packs.join(anchors, "pack", "left").join(answers, "pack", "left").select("payload", "told", "answers").mapInArrow(lean(cut), schema)
 
 
-def _repeated_places(p: _Pack, told) -> np.ndarray:
-    """Places of the pack's strings that a document with a smaller id has too."""
-    runs = np.zeros(len(p.one_), np.int64)
+def _repeated_places(p: _Pack, told):
+    """Places of the pack's strings that a document with a smaller id has too, some at a time."""
     sizes, ids = [np.zeros(0, np.uint8)] * len(told), [np.zeros(0, np.int64)] * len(told)
     told = sorted(told, key=lambda x: p.sent[x["bucket"]])
     for k, x in enumerate(told):
-        a, z = p.sent[x["bucket"]]
-        n, sizes[k], ids[k] = grow(x["least"], np.uint8, np.uint8, np.int64)
-        runs[a:z] = n
-    sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    flat = np.repeat(ids, sizes)  # the least id of each place of each class
+        _, sizes[k], ids[k] = grow(x["least"], np.uint8, np.uint8, np.int64)
+    sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+    flat = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)  # where the least id of each place of each class is
     counts = p.count_[p.one_]
     begin = np.cumsum(counts) - counts
-    least = flat[_ranges(begin[p.class_of], p.count_)]
-    smaller = least < np.repeat(p.ids[p.doc_], p.count_)
-    return _ranges(p.first_, p.count_)[smaller]
+    edges = np.append(_groups(np.cumsum(p.count_) // STRIPE), len(p.count_))
+    for a, z in zip(edges, edges[1:]):
+        n = p.count_[a:z]
+        least = ids[flat[_ranges(begin[p.class_of[a:z]], n)]]
+        yield _ranges(p.first_[a:z], n)[least < np.repeat(p.ids[p.doc_[a:z]], n)]
