@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratarc.functions import headers as H
 from stratarc.functions import urls as U
+from stratarc.functions.hrefs import let
 from stratarc.operators.search import matches, natural_key
 from stratarc.operators.stored import stored
 
@@ -51,34 +52,47 @@ def intersect(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
     return b if a is None else a if b is None else a.join(b, "node", "left_semi")
 
 
-def tree_filter(tree: DataFrame, matched: DataFrame, steps: int = 64) -> DataFrame:
+def tree_filter(tree: DataFrame, matched: DataFrame) -> DataFrame:
     """(node, matched): matched nodes and all their ancestors that the tree has."""
-    web = matched.select(F.explode(ancestors(F.col("node"), steps)).alias("node"), F.col("node").alias("of"))
+    web = matched.select(F.explode(ancestors(F.col("node"))).alias("node"), F.col("node").alias("of"))
     kept = web.groupBy("node").agg(F.bool_or(F.col("node") == F.col("of")).alias("matched"))
     return kept.join(tree.select("node"), "node", "left_semi")
 
 
-def ancestors(node: Column, steps: int = 64) -> Column:
-    """The node and all nodes above it, root first."""
+def ancestors(node: Column) -> Column:
+    """The node and all nodes above it, root first, however deep it is."""
     base = F.regexp_extract(node, r"^((?:[^/]*://)?[^/]*/)", 1)
     path = F.regexp_replace(F.split_part(node, F.lit("?"), F.lit(1)), "/$", "")
     rest = F.filter(F.split(F.substring(path, F.length(base) + 1, F.length(path)), "/"), lambda s: s != "")
     walk = F.transform(F.sequence(F.lit(0), F.size(rest)), lambda i: F.when(i == 0, base).otherwise(F.concat(base, F.array_join(F.slice(rest, F.lit(1), i), "/"))))
-    return F.slice(F.array_distinct(F.concat(walk, F.array(node))), 1, steps)
+    return F.array_distinct(F.concat(walk, F.array(node)))
+
+
+def way(node: Column) -> Column:
+    """A node's place in pre-order: of each node from the root the natural key, then what it adds to the node above it.
+
+    Whole URLs would order the same, since those above are equal by then, but take the square of a deep node's length.
+    """
+    name = lambda p: F.regexp_extract(F.regexp_replace(p, "/$", ""), r"([^/]*)$", 1)
+
+    def placed(path: Column) -> Column:
+        above = lambda i: F.get(path, i - 1)
+        added = lambda p, i: F.when(p.startswith(above(i)), F.substring(p, F.length(above(i)) + 1, F.length(p))).otherwise(p)
+        return F.transform(path, lambda p, i: F.struct(natural_key(name(p)).alias("k"), added(p, i).alias("url")))
+
+    return let(ancestors(node), placed)
 
 
 def visible_rows(tree: DataFrame, open_nodes: DataFrame | None = None, kept: DataFrame | None = None) -> DataFrame:
     """Nodes in pre-order with their depth: children only of open nodes; under a filter kept nodes and what is below a match."""
-    up = F.expr("slice(__path, 1, size(__path) - 1)")
-    rows = tree.withColumn("__path", ancestors(F.col("node")))
+    rows, path = tree, ancestors(F.col("node"))
     if open_nodes is not None:
-        shut = rows.select("node", F.explode(up).alias("__up")).join(open_nodes.select(F.col("node").alias("__up")), "__up", "left_anti").select("node").distinct()
+        shut = rows.select("node", F.explode(F.slice(path, F.lit(1), F.size(path) - 1)).alias("__up")).join(open_nodes.select(F.col("node").alias("__up")), "__up", "left_anti").select("node").distinct()
         rows = rows.join(shut, "node", "left_anti")
     if kept is not None:
-        below = rows.select("node", F.explode("__path").alias("__up")).join(kept.where("matched").select(F.col("node").alias("__up")), "__up", "left_semi").select("node").distinct()
+        below = rows.select("node", F.explode(path).alias("__up")).join(kept.where("matched").select(F.col("node").alias("__up")), "__up", "left_semi").select("node").distinct()
         rows = rows.join(kept.select("node").unionByName(below).distinct(), "node", "left_semi")
-    key = F.transform(F.col("__path"), lambda p: F.struct(natural_key(F.regexp_extract(F.regexp_replace(p, "/$", ""), r"([^/]*)$", 1)).alias("k"), p.alias("url")))
-    return rows.select("node", "depth", "records", key.alias("sort_key"))
+    return rows.select("node", "depth", "records", way(F.col("node")).alias("sort_key"))
 
 
 def numbered(rows: DataFrame, key: str = "sort_key", name: str = "pos") -> DataFrame:

@@ -32,6 +32,35 @@ def test_one_host_with_most_nodes_is_many_ranges(spark):
     assert {x.node: x.pos for x in placed.collect()} == {"http://one.example/": 0, **{f"http://one.example/{i}": i + 1 for i in range(4000)}}
 
 
+def test_nodes_of_any_depth_are_kept_and_placed(spark, tmp_path):
+    import duckdb
+
+    from stratarc.plans.catalogue import QUERIES, SQL
+
+    deep = "http://deep.example/" + "/".join(f"s{k}" for k in range(130))
+    urls = [f"{deep}/x?page=2", f"{deep}/x?page=21", f"{deep}/page=2", f"{deep}/z", "http://flat.example/a?page=2", "http://flat.example/b"]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT i::BIGINT AS page_id, u AS url, '<p>' AS html FROM (SELECT unnest(?) AS u, unnest(range(6)) AS i)", [urls])
+    c.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, i % 5 AS user_id, 'view' AS event_type, 1.0 AS value, '' AS props FROM range(60) r(i)")
+    for t in ("pages", "events"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in QUERIES["tree_rows"](spark, str(tmp_path)).collect())
+    want = sorted(c.execute(SQL["tree_rows"]).fetchall())
+    assert got == want and max(depth for _, depth, *_ in got) > 130
+
+    kept = QUERIES["tree_filter"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(c.execute(SQL["tree_filter"]).fetchall())
+    all_nodes = sorted(tuple(r) for r in QUERIES["tree_positions"](spark, str(tmp_path)).collect())
+    assert all_nodes == sorted(c.execute(SQL["tree_positions"]).fetchall())
+
+
+def test_a_deep_nodes_key_is_not_the_square_of_its_length(spark):
+    deep = "http://deep.example/" + "/".join(f"s{k}" for k in range(500))
+    rows = tree.visible_rows(tree.nodes(spark.createDataFrame([(deep,)], "uri string")))
+    sizes = [(len(r.node), sum(len(x.url) for x in r.sort_key)) for r in rows.collect()]
+    assert len(sizes) == 501 and all(a == b for a, b in sizes)
+
+
 def test_days_of_a_zone_with_daylight_saving(spark):
     start = datetime(2024, 3, 9)
     moments = [start + timedelta(minutes=30 * k) for k in range(120)] + [datetime(2024, 11, 2) + timedelta(minutes=30 * k) for k in range(120)] + [None]
