@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import math
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from stratarc.functions import urls as U
 from stratarc.operators.stats import segment_progress
+from stratarc.streaming.donors import DAY, DONOR, FOUND, PACKS, NearestDonors, PackedDonors, packed, unpacked  # noqa: F401
 
 
 def deduped(stream: DataFrame, id_column: str = "custom_id", watermark: str | None = None, ts: str = "archived_ts") -> DataFrame:
@@ -100,158 +95,27 @@ def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int | N
     return kept().drop("__batch")
 
 
-#: What is kept of a donor, in the order of its JSON row behind its moment.
-DONOR = ("file_name", "byte_offset", "custom_id", "status", "location", "payload_size", "content_type")
-DAY = 86_400_000_000
-FOUND = "custom_id string, via string, file_name string, byte_offset long, donor_id string, archived_us long, status int, location string, payload_size long, content_type string"
-
-
-def _place(donor: list) -> tuple:
-    """File order; nulls first."""
-    return tuple((x is not None, x) for x in donor[1:4])
-
-
-class NearestDonors(StatefulProcessor):
-    """The donors and revisits of one key (a digest or a URI) on a time line, kept by day.
-
-    ``donors`` and ``revisits`` map a day to its rows (JSON); ``days`` has the days that are there.  A new donor only
-    touches the revisits between its neighbours in time, a new revisit only the nearest donors, so that a batch reads
-    the days around its own rows, not all of the key's.  A row is given out when a revisit's donor changes.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getValueState("days", "donors array<long>, revisits array<long>")
-        self.donors = handle.getMapState("donors", "day long", "rows string")
-        self.revisits = handle.getMapState("revisits", "day long", "rows string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        days = self.days.get() if self.days.exists() else None
-        donor_days, revisit_days = (list(days[0]), list(days[1])) if days else ([], [])
-        seen: dict[tuple[str, int], list] = {}
-        changed: set[tuple[str, int]] = set()
-        ids: dict[int, set[str]] = {}
-
-        def bucket(name: str, day: int) -> list:
-            if (name, day) not in seen:
-                held = getattr(self, name)
-                seen[name, day] = json.loads(held.getValue((day,))[0]) if held.containsKey((day,)) else []
-            return seen[name, day]
-
-        def add(name: str, all_days: list[int], day: int) -> list:
-            rows = bucket(name, day)
-            if (k := bisect_left(all_days, day)) == len(all_days) or all_days[k] != day:
-                all_days.insert(k, day)
-            changed.add((name, day))
-            return rows
-
-        def before(at: int) -> list | None:
-            """The last donor at or before a moment."""
-            for day in reversed(donor_days[: bisect_right(donor_days, at // DAY)]):
-                rows = bucket("donors", day)
-                if k := bisect_right(rows, at, key=lambda r: r[0]):
-                    return rows[k - 1]
-            return None
-
-        def after(at: int) -> list | None:
-            """The first donor behind a moment."""
-            for day in donor_days[bisect_left(donor_days, at // DAY) :]:
-                rows = bucket("donors", day)
-                if (k := bisect_right(rows, at, key=lambda r: r[0])) < len(rows):
-                    return rows[k]
-            return None
-
-        moments, open_ = [], {}
-        for r in rows:
-            if r.donor is not None:
-                if r.at is None:
-                    continue  # without a date it is no candidate
-                new, own = [r.at, *(r.donor[c] for c in DONOR)], add("donors", donor_days, r.at // DAY)
-                k = bisect_left(own, r.at, key=lambda x: x[0])
-                if k < len(own) and own[k][0] == r.at:  # of one moment the first in file order
-                    own[k] = min(own[k], new, key=_place)
-                else:
-                    own.insert(k, new)
-                moments.append(r.at)
-            else:
-                day = NO_DATE if r.at is None else r.at // DAY
-                own = add("revisits", revisit_days, day)
-                if day not in ids:
-                    ids[day] = {x[1] for x in own}
-                if r.custom_id not in ids[day]:
-                    ids[day].add(r.custom_id)
-                    own.append([r.at, r.custom_id, None])
-                open_[day, r.custom_id] = True
-        spans: list[list] = []  # between the neighbours of new donors, as few as they can be
-        for at in sorted(set(moments)):
-            low, high = before(at - 1), after(at)
-            low, high = low[0] if low else -math.inf, high[0] if high else math.inf
-            if spans and low <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], high)
-            else:
-                spans.append([low, high])
-        days_open = {d for d, _ in open_}
-        for low, high in spans:
-            first = 0 if low == -math.inf else bisect_left(revisit_days, low // DAY)
-            last = len(revisit_days) if high == math.inf else bisect_right(revisit_days, high // DAY)
-            days_open.update(revisit_days[first:last])
-        if moments and NO_DATE in revisit_days:
-            days_open.add(NO_DATE)
-
-        def near_new(at: int | None) -> bool:
-            """Whether a new donor can be the nearest of a moment."""
-            if at is None:
-                return bool(moments)
-            k = bisect_right(spans, at, key=lambda s: s[0])
-            return k > 0 and at <= spans[k - 1][1]
-
-        for day in sorted(days_open):
-            for r in bucket("revisits", day):
-                if (day, r[1]) not in open_ and not near_new(r[0]):
-                    continue
-                if r[0] is None:
-                    best = bucket("donors", donor_days[-1])[-1] if donor_days else None
-                else:
-                    both = [d for d in (before(r[0]), after(r[0])) if d]
-                    best = min(both, key=lambda d: (abs(d[0] - r[0]), _place(d)), default=None)
-                if best and r[2] != best[1:4]:
-                    r[2] = best[1:4]
-                    changed.add(("revisits", day))
-                    yield Row(custom_id=r[1], via=key[0], donor_id=best[3], archived_us=best[0], **{c: x for c, x in zip(DONOR, best[1:]) if c != "custom_id"})
-        for name, day in changed:
-            getattr(self, name).updateValue((day,), (json.dumps(seen[name, day]),))
-        if changed:
-            self.days.update((donor_days, revisit_days))
-
-    def close(self) -> None:
-        pass
-
-
-#: The day of revisits without a date: they take the newest donor.
-NO_DATE = -(1 << 40)
-
-
 def late_revisits(stream: DataFrame, path: str) -> DataFrame:
     """(custom_id, via, donor) of all revisits that have a donor among what the stream has read, as resolve_revisits() would give.
 
-    Donors and revisits meet by digest and by URI in keyed state; a nearer donor that comes later gives a correction, so
-    the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
+    Donors and revisits meet by digest and by URI in keyed state, to which they go in packs of a key each; a nearer donor
+    that comes later gives a correction, so the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
     the newest row counts, and one by digest before one by URI.  No batch reads what earlier ones have read.
     """
     spark = stream.sparkSession
-    donor = F.when((F.col("rec_type") != "revisit") & F.col("payload_size").isNotNull(), F.struct(*DONOR))
     revisit = F.col("rec_type") == "revisit"
+    donor = F.coalesce((F.col("rec_type") != "revisit") & F.col("payload_size").isNotNull(), F.lit(False))
     at = lambda c: F.unix_micros(c.cast("timestamp"))
     own, other = at(F.col("archived_ts")), at(F.coalesce("refers_to_date", "archived_ts"))
-    routes = F.array(
-        F.struct(F.lit("digest").alias("via"), F.col("digest").alias("key"), own.alias("at")),
-        F.struct(F.lit("uri").alias("via"), F.when(revisit, F.col("refers_to_uri")).otherwise(F.col("uri")).alias("key"), F.when(revisit, other).otherwise(own).alias("at")),
-    )
-    keyed = stream.withColumn("donor", donor).where(revisit | F.col("donor").isNotNull()).select("custom_id", "donor", F.inline(routes)).where("key IS NOT NULL")
-    found = keyed.groupBy("via", "key").transformWithState(NearestDonors(), FOUND, "Update", "None")
-    schema = found.schema
+    kind = {"byte_offset": "long", "status": "int", "payload_size": "long"}
+    details = [F.when(F.lit(c == "custom_id") | donor, F.col(c).cast(kind.get(c, "string"))).alias(c) for c in DONOR]
+    keys = ["digest", F.when(revisit, F.col("refers_to_uri")).otherwise(F.col("uri")).alias("uri"), own.alias("own"), F.when(revisit, other).otherwise(own).alias("other")]
+    keyed = stream.where(revisit | donor).select(donor.alias("donor"), *details, *keys).mapInArrow(packed, PACKS)
+    found = keyed.groupBy("via", "key").transformWithState(PackedDonors(), "pack binary", "Update", "None")
+    schema = spark.createDataFrame([], FOUND).schema
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/donors/__n={number}")
+        batch.mapInArrow(unpacked, FOUND).write.mode("overwrite").parquet(f"{path}/donors/__n={number}")
 
     _table(spark, f"{path}/donors", schema)
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -263,8 +127,8 @@ def late_revisits(stream: DataFrame, path: str) -> DataFrame:
         spark.conf.set(provider, old)
     rows = _table(spark, f"{path}/donors", schema)
     shown = F.struct("file_name", "byte_offset", F.col("donor_id").alias("custom_id"), F.timestamp_micros("archived_us").alias("archived_ts"), *DONOR[3:])
-    newest = rows.groupBy("custom_id", "via").agg(F.max_by(shown, "__n").alias("donor"))
-    return newest.groupBy("custom_id").agg(F.min_by(F.struct("via", "donor"), "via").alias("r")).select("custom_id", "r.*")
+    newest = F.min_by(F.struct("via", shown.alias("donor")), F.struct("via", -F.col("__n")))
+    return rows.groupBy("custom_id").agg(newest.alias("r")).select("custom_id", "r.*")
 
 
 def drain(df: DataFrame, mode: str, keys: list[str] | None, path: str) -> DataFrame:
