@@ -98,8 +98,8 @@ def live_notices(stream: DataFrame, path: str, order: str = "seq", keep: int | N
 def late_revisits(stream: DataFrame, path: str) -> DataFrame:
     """(custom_id, via, donor) of all revisits that have a donor among what the stream has read, as resolve_revisits() would give.
 
-    Donors and revisits meet by digest and by URI in keyed state, to which they go in packs of a key each; a nearer donor
-    that comes later gives a correction, so the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
+    Donors and revisits meet by digest and by URI in state keyed by buckets of these, to which they go in packs; a nearer
+    donor that comes later gives a correction, so the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
     the newest row counts, and one by digest before one by URI.  No batch reads what earlier ones have read.
     """
     spark = stream.sparkSession
@@ -111,7 +111,7 @@ def late_revisits(stream: DataFrame, path: str) -> DataFrame:
     details = [F.when(F.lit(c == "custom_id") | donor, F.col(c).cast(kind.get(c, "string"))).alias(c) for c in DONOR]
     keys = ["digest", F.when(revisit, F.col("refers_to_uri")).otherwise(F.col("uri")).alias("uri"), own.alias("own"), F.when(revisit, other).otherwise(own).alias("other")]
     keyed = stream.where(revisit | donor).select(donor.alias("donor"), *details, *keys).mapInArrow(packed, PACKS)
-    found = keyed.groupBy("via", "key").transformWithState(PackedDonors(), "pack binary", "Update", "None")
+    found = keyed.groupBy("via", "bucket").transformWithState(PackedDonors(), "pack binary", "Update", "None")
     schema = spark.createDataFrame([], FOUND).schema
 
     def step(batch: DataFrame, number: int) -> None:

@@ -55,10 +55,36 @@ def test_blocks_of_any_size_give_the_nearest_donor(monkeypatch, seed):
         assert got == {k: v.custom_id for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_keys_of_a_bucket_stay_apart(monkeypatch, seed):
+    r = random.Random(seed)
+    for name, size in (("BUCKETS", 1), ("BLOCK", r.choice([1, 3, 8])), ("OPEN", r.choice([1, 32])), ("GROUP", r.choice([5, 10**6])), ("PACK", r.choice([2, 100]))):
+        monkeypatch.setattr(donors, name, size)
+    key = lambda: r.choice(["", "a", "é", *(f"k{i}" for i in range(r.choice([1, 20])))])
+    rows = [(r.random() < 0.5, key(), r.choice([None, *range(-9, 9)]), f"x{i}", r.randrange(4)) for i in range(120)]
+    work, got, seen = _work(donors.PackedDonors), {}, 0
+    while seen < len(rows):
+        some = rows[seen : seen + r.choice([1, 30, 60])]
+        seen += len(some)
+        is_donor, keys, at, names, offsets = zip(*some)
+        columns = {c: pa.nulls(len(some), f.type) for c, f in zip(donors.WIRE.names, donors.WIRE) if c not in ("at", "pos")}
+        columns |= {"donor": pa.array(is_donor), "custom_id": pa.array(names), "byte_offset": pa.array(offsets, pa.int64())}
+        columns |= {"digest": pa.nulls(len(some), pa.string()), "uri": pa.array(keys), "own": pa.array(at, pa.int64()), "other": pa.array(at, pa.int64())}
+        packs = [Row(pack=x["pack"]) for b in donors.packed(iter([pa.RecordBatch.from_pydict(columns)])) for x in b.to_pylist()]
+        for found in work.handleInputRows(("uri", 0), packs, None) if packs else ():
+            got |= {x["custom_id"]: x["donor_id"] for x in donors.decoded(found.pack, donors.RESULT).to_pylist()}
+        want = {}
+        for mine, k, t, name, _ in rows[:seen]:
+            theirs = [_row(n, u, (None, o)) for d, q, u, n, o in rows[:seen] if d and q == k and u is not None]
+            if not mine and theirs:
+                want[name] = _best(theirs, t).custom_id
+        assert got == want
+
+
 def _packs(n, moments, named):
     """Half donors and half revisits of one key."""
     wire = {c: pa.nulls(n, f.type) for c, f in zip(donors.WIRE.names, donors.WIRE)}
-    wire |= {"donor": pa.array(np.arange(n) % 2 == 0), "at": pa.array(moments), "custom_id": pa.array([f"{named}{i}" for i in range(n)])}
+    wire |= {"donor": pa.array(np.arange(n) % 2 == 0), "at": pa.array(moments), "pos": donors.positions(donors.hashed(["d"]), moments), "custom_id": pa.array([f"{named}{i}" for i in range(n)])}
     return [Row(pack=donors.encoded(pa.RecordBatch.from_pydict(wire, donors.WIRE)))]
 
 
@@ -93,12 +119,12 @@ def test_a_small_batch_opens_few_blocks_and_no_block_grows():
     assert len(read) <= 6 < len(sizes)
 
 
-def test_packs_have_each_key_once_a_buffer():
-    batches = [pa.RecordBatch.from_pydict({**{c: pa.nulls(4, t.type) for c, t in zip(donors.WIRE.names, donors.WIRE) if c != "at"}, "donor": [True, False, True, False], "digest": ["d", "d", None, "e"], "uri": ["u", "u", "v", None], "own": pa.array([1, 2, None, 4], pa.int64()), "other": pa.array([1, None, None, 4], pa.int64())})] * 3
+def test_packs_have_each_bucket_once_a_buffer():
+    batches = [pa.RecordBatch.from_pydict({**{c: pa.nulls(4, t.type) for c, t in zip(donors.WIRE.names, donors.WIRE) if c not in ("at", "pos")}, "donor": [True, False, True, False], "digest": ["d", "d", None, "e"], "uri": ["u", "u", "v", None], "own": pa.array([1, 2, None, 4], pa.int64()), "other": pa.array([1, None, None, 4], pa.int64())})] * 3
     rows = [r for b in donors.packed(iter(batches)) for r in b.to_pylist()]
-    assert sorted((r["via"], r["key"]) for r in rows) == [("digest", "d"), ("digest", "e"), ("uri", "u")]
-    held = {r["key"]: donors.decoded(r["pack"], donors.WIRE).column("at").to_pylist() for r in rows}
-    assert held == {"d": [1, 2] * 3, "e": [4] * 3, "u": [1, donors.NO_DATE] * 3}
+    assert [r["via"] for r in rows] == ["digest", "digest", "uri"] and rows[0]["bucket"] != rows[1]["bucket"]
+    held = sorted(donors.decoded(r["pack"], donors.WIRE).column("at").to_pylist() for r in rows)
+    assert held == sorted([[1, 2] * 3, [4] * 3, [1, donors.NO_DATE] * 3])
 
 
 def test_many_packs_of_a_key_in_a_stream(spark, tmp_path, monkeypatch):
