@@ -368,12 +368,13 @@ def _packs_batch(via: str, buckets: list, packs: list) -> pa.RecordBatch:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What was found, as rows."""
+    """What was found (packs and their micro-batch ``__n``) as rows."""
     held, size = [], 0
     for rows in batches:
-        for pack in rows.column("pack"):
-            held.append(decoded(pack.as_py(), RESULT))
-            size += held[-1].num_rows
+        for pack, n in zip(rows.column("pack"), rows.column("__n").to_pylist()):
+            found = decoded(pack.as_py(), RESULT)
+            held.append(found.append_column("__n", pa.array(np.full(found.num_rows, n, dtype=np.int64))))
+            size += found.num_rows
             if size >= 2 * BLOCK:
                 yield pa.concat_batches(held)
                 held, size = [], 0

@@ -99,8 +99,9 @@ def late_revisits(stream: DataFrame, path: str) -> DataFrame:
     """(custom_id, via, donor) of all revisits that have a donor among what the stream has read, as resolve_revisits() would give.
 
     Donors and revisits meet by digest and by URI in state keyed by buckets of these, to which they go in packs; a nearer
-    donor that comes later gives a correction, so the order of rows and batches makes no difference.  The sink has one small table for each micro-batch; of a revisit
-    the newest row counts, and one by digest before one by URI.  No batch reads what earlier ones have read.
+    donor that comes later gives a correction, so the order of rows and batches makes no difference.  The sink has one
+    small table of packs for each micro-batch; of a revisit the newest row counts, and one by digest before one by URI.
+    No batch reads what earlier ones have read.
     """
     spark = stream.sparkSession
     revisit = F.col("rec_type") == "revisit"
@@ -112,10 +113,10 @@ def late_revisits(stream: DataFrame, path: str) -> DataFrame:
     keys = ["digest", F.when(revisit, F.col("refers_to_uri")).otherwise(F.col("uri")).alias("uri"), own.alias("own"), F.when(revisit, other).otherwise(own).alias("other")]
     keyed = stream.where(revisit | donor).select(donor.alias("donor"), *details, *keys).mapInArrow(packed, PACKS)
     found = keyed.groupBy("via", "bucket").transformWithState(PackedDonors(), "pack binary", "Update", "None")
-    schema = spark.createDataFrame([], FOUND).schema
+    schema = found.schema
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.mapInArrow(unpacked, FOUND).write.mode("overwrite").parquet(f"{path}/donors/__n={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/donors/__n={number}")
 
     _table(spark, f"{path}/donors", schema)
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -125,7 +126,7 @@ def late_revisits(stream: DataFrame, path: str) -> DataFrame:
         _run(found, step, path, "update")
     finally:
         spark.conf.set(provider, old)
-    rows = _table(spark, f"{path}/donors", schema)
+    rows = _table(spark, f"{path}/donors", schema).mapInArrow(unpacked, f"{FOUND}, __n long")
     shown = F.struct("file_name", "byte_offset", F.col("donor_id").alias("custom_id"), F.timestamp_micros("archived_us").alias("archived_ts"), *DONOR[3:])
     newest = F.min_by(F.struct("via", shown.alias("donor")), F.struct("via", -F.col("__n")))
     return rows.groupBy("custom_id").agg(newest.alias("r")).select("custom_id", "r.*")
